@@ -5,8 +5,12 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from credsieve.functions.regex import char_class
+
 HEX_CHARS = "0123456789abcdefABCDEF"
 BASE64_CHARS = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/=_-"
+HEX = char_class(HEX_CHARS)
+BASE64 = char_class(BASE64_CHARS)
 
 # two sums of the same terms may differ in the last bits
 EPSILON = 1e-9

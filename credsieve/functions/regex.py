@@ -47,6 +47,11 @@ def to_java(pattern: str, ignore_case: bool = False) -> str:
     return body
 
 
+def char_class(chars: str) -> str:
+    """Class of the given characters."""
+    return "[" + "".join(_char(ord(c)) for c in chars) + "]"
+
+
 def _char(code: int) -> str:
     ch = chr(code)
     if ch.isascii() and (ch.isalnum() or ch in "_ "):
@@ -70,6 +75,9 @@ def _klass(items, flags: int) -> str:
             negate = "^"
         elif op is sre.LITERAL:
             parts.append(_char(arg))
+        elif op is sre.RANGE and arg[1] < 128:
+            # Java tests listed ASCII characters by one table look-up, ranges one by one
+            parts.extend(_char(code) for code in range(arg[0], arg[1] + 1))
         elif op is sre.RANGE:
             parts.append(f"{_char(arg[0])}-{_char(arg[1])}")
         elif op is sre.CATEGORY:
@@ -171,3 +179,64 @@ def _node(op, arg, flags: int) -> str:
     if op is sre.AT:
         return _anchor(arg, flags)
     raise Untranslatable(str(op))
+
+
+# ---------------------------------------------------------------------------------
+# What every match of a pattern is known to hold
+# ---------------------------------------------------------------------------------
+
+_BREAK = (0, 0, 0, False)  # longest run, run at the start, run at the end, nothing but run
+
+
+def guaranteed_run(pattern: str, chars: str) -> int:
+    """Every match holds at least this many of ``chars`` in a row (0 = nothing known)."""
+    tree = sre_parser.parse(pattern)
+    return _run_of(tree, tree.state.flags, frozenset(map(ord, chars)))[0]
+
+
+def _run_of(items, flags: int, chars: frozenset[int]):
+    best, start, end, whole = 0, 0, 0, True
+    for op, arg in items:
+        b, s, e, w = _node_run(op, arg, flags, chars)
+        best = max(best, b, end + s)
+        start = start + s if whole else start
+        end = end + e if w else e
+        whole = whole and w
+    return best, start, end, whole
+
+
+def _node_run(op, arg, flags: int, chars: frozenset[int]):
+    if op in (sre.AT, sre.ASSERT, sre.ASSERT_NOT):
+        return (0, 0, 0, True)
+    if op in (sre.LITERAL, sre.IN):
+        codes = _listed([(op, arg)] if op is sre.LITERAL else arg)
+        if flags & re.IGNORECASE and codes and codes & set(map(ord, "iksIKS")):
+            return _BREAK  # may also match a letter beyond ASCII
+        return (1, 1, 1, True) if codes and codes <= chars else _BREAK
+    if op in _REPEATS:
+        low, _, item = arg
+        b, s, e, w = _run_of(item, flags, chars)
+        if w:
+            return (low * b, low * b, low * b, True)
+        return (b, s, e, False) if low else _BREAK
+    if op is sre.BRANCH:
+        runs = [_run_of(branch, flags, chars) for branch in arg[1]]
+        return (*(min(r[i] for r in runs) for i in range(3)), all(r[3] for r in runs))
+    if op is sre.SUBPATTERN:
+        _, add, drop, item = arg
+        return _run_of(item, (flags | add) & ~drop, chars)
+    if op is sre.ATOMIC_GROUP:
+        return _run_of(arg, flags, chars)
+    return _BREAK
+
+
+def _listed(items) -> set[int] | None:
+    codes: set[int] = set()
+    for op, arg in items:
+        if op is sre.LITERAL:
+            codes.add(arg)
+        elif op is sre.RANGE and arg[1] < 128:
+            codes.update(range(arg[0], arg[1] + 1))
+        else:
+            return None
+    return codes

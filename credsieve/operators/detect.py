@@ -19,6 +19,7 @@ from credsieve.functions.values import is_noise_line, is_valid_secret
 from credsieve.operators import entropy, keywords, patterns
 from credsieve.options import ScanOptions
 from credsieve.rules import BUILTIN_RULES, Rule
+from credsieve.rules.model import LONG_RUN, RUN_LENGTH
 
 PATTERN, KEYWORD, ENTROPY = 0, 1, 2
 # columns added to the key columns of the input
@@ -67,20 +68,35 @@ def raw_hits(
     return _finished(_tokens(_parts(lines, keys, options), keys, options), keys, [r for _, r in rules])
 
 
+def _either(tests: list[Column]) -> Column:
+    return functools.reduce(Column.__or__, tests, F.lit(False))
+
+
+def _any_gate(
+    text: Column, lowered: Column, options: ScanOptions, rules: list[tuple[int, Rule]]
+) -> Column:
+    """True if some detector may have a hit; the cheap and selective tests come first."""
+    of_run = [patterns.rule_applies(text, lowered, r) for _, r in rules if r.has_long_run]
+    plain = [patterns.rule_applies(text, lowered, r) for _, r in rules if not r.has_long_run]
+    if options.use_keywords:
+        plain.append(keywords.keyword_gate(text, lowered, options))
+    if options.use_entropy:
+        plain.append(text.rlike(entropy.hex_pattern(options)))
+        long_enough = entropy.base64_size(options) >= RUN_LENGTH
+        (of_run if long_enough else plain).append(text.rlike(entropy.base64_pattern(options)))
+    return _either([*plain, text.rlike(LONG_RUN) & _either(of_run)])
+
+
 def _candidate_lines(
     texts: DataFrame, keys: list[str], options: ScanOptions, rules: list[tuple[int, Rule]]
 ) -> DataFrame:
     text, lowered = F.col("_text"), F.lower(F.col("_text"))
-    gates: list[Column] = [patterns.rule_applies(text, lowered, rule) for _, rule in rules]
     flags = {}
     if options.use_keywords:
         flags["_keyword"] = keywords.keyword_gate(text, lowered, options)
     if options.use_entropy:
         flags["_entropy"] = text.rlike(entropy.token_pattern(options))
-    gates.extend(flags.values())
-    if not gates:
-        gates = [F.lit(False)]
-    gated = texts.where(functools.reduce(Column.__or__, gates)).select(
+    gated = texts.where(_any_gate(text, lowered, options, rules)).select(
         *keys,
         "_text",
         (

@@ -7,13 +7,18 @@ import math
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from credsieve.functions.entropy import BASE64_CHARS, EPSILON, HEX_CHARS, alphabet_entropy
+from credsieve.functions.entropy import (
+    BASE64,
+    BASE64_CHARS,
+    EPSILON,
+    HEX,
+    HEX_CHARS,
+    alphabet_entropy,
+)
 from credsieve.functions.regex import SPACE
 from credsieve.functions.text import numbered_lines
 from credsieve.options import ScanOptions
 
-_HEX = "0-9a-fA-F"
-_BASE64 = "A-Za-z0-9+/=_-"
 _MIN_HEX = 8
 _MIN_BASE64 = 12
 # an address counts for a token if it starts at most this far before it on the line
@@ -26,11 +31,23 @@ def _shortest(threshold: float, least: int) -> int:
     return max(least, math.ceil(2 ** (threshold - EPSILON)))
 
 
+def base64_size(options: ScanOptions) -> int:
+    """Length below which no base64 token qualifies."""
+    return _shortest(options.base64_threshold, _MIN_BASE64)
+
+
+def hex_pattern(options: ScanOptions) -> str:
+    """Finds text that holds a hex token long enough for its threshold."""
+    return f"{HEX}{{{_shortest(options.hex_threshold, _MIN_HEX)}}}"
+
+
+def base64_pattern(options: ScanOptions) -> str:
+    """The same for base64 tokens; tried at the start of a run only."""
+    return f"(?<!{BASE64}){BASE64}{{{base64_size(options)}}}"
+
+
 def token_pattern(options: ScanOptions) -> str:
-    """Finds text that holds a token long enough for its threshold."""
-    hexes = _shortest(options.hex_threshold, _MIN_HEX)
-    base64s = _shortest(options.base64_threshold, _MIN_BASE64)
-    return rf"[{_HEX}]{{{hexes}}}|[{_BASE64}]{{{base64s}}}"
+    return f"{hex_pattern(options)}|{base64_pattern(options)}"
 
 
 def token_lines(text: Column, options: ScanOptions) -> Column:
@@ -45,12 +62,10 @@ def line_runs(line: Column, options: ScanOptions) -> Column:
     '' if there is none.  The bound in the pattern is loose (UTF-16 units); the
     exact look-back is tested on the length of the head.
     """
-    hexes = _shortest(options.hex_threshold, _MIN_HEX)
-    base64s = _shortest(options.base64_threshold, _MIN_BASE64)
     head = rf"((?iu:https?:)(?=//)|(?iu:https?://){_STOP}{{0,{2 * _LOOK_BACK}}})"
     run = (
-        rf"(?<![{_BASE64}])(?=[{_BASE64}]{{{base64s}}}|[{_BASE64}]*?[{_HEX}]{{{hexes}}})"
-        rf"(?:(?<={head})|)([{_BASE64}]+)"
+        rf"(?<!{BASE64})(?={BASE64}{{{base64_size(options)}}}|{BASE64}*?{hex_pattern(options)})"
+        rf"(?:(?<={head})|)({BASE64}+)"
     )
     return F.transform(
         F.arrays_zip(
@@ -74,7 +89,7 @@ def base64_bits(head: Column, run: Column, options: ScanOptions) -> Column:
     bits = alphabet_entropy(run, BASE64_CHARS)
     return F.when(
         (F.length(run) >= _MIN_BASE64)
-        & run.rlike(rf"[^{_HEX}]")
+        & run.rlike(rf"[^{HEX_CHARS}]")
         & ~in_address
         & ~_path_or_slug(run)
         & (bits >= options.base64_threshold - EPSILON),
@@ -96,7 +111,7 @@ def hex_tokens(head: Column, run: Column, options: ScanOptions) -> Column:
     near_address = (
         rf"(?:(?iu:http)://{_STOP}{{0,{_LOOK_BACK - 7}}}|(?iu:https)://{_STOP}{{0,{_LOOK_BACK - 8}}})"
     )
-    token = rf"(?<![{_HEX}])(?<!{near_address})[{_HEX}]{{{_MIN_HEX},}}"
+    token = rf"(?<!{HEX})(?<!{near_address}){HEX}{{{_MIN_HEX},}}"
     found = F.regexp_extract_all(F.concat(blank_head, run), F.lit(token), F.lit(0))
     measured = F.transform(
         found,

@@ -4,7 +4,14 @@ from __future__ import annotations
 
 from dataclasses import dataclass, field
 
-from credsieve.functions.regex import Untranslatable, to_java
+from credsieve.functions.entropy import BASE64_CHARS
+from credsieve.functions.regex import Untranslatable, char_class, guaranteed_run, to_java
+
+# Tokens are long runs of these characters and prose has few such runs, so one look for
+# a run of this length spares most texts the tests for every single rule.
+RUN_CHARS = BASE64_CHARS + ".:"
+RUN_LENGTH = 20
+LONG_RUN = f"(?<!{char_class(RUN_CHARS)}){char_class(RUN_CHARS)}{{{RUN_LENGTH}}}"
 
 
 @dataclass(frozen=True)
@@ -29,3 +36,8 @@ class Rule:
             return to_java(self.pattern)
         except Untranslatable:
             return None
+
+    @property
+    def has_long_run(self) -> bool:
+        """True if every match holds a run that LONG_RUN finds."""
+        return guaranteed_run(self.pattern, RUN_CHARS) >= RUN_LENGTH
