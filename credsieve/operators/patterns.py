@@ -15,7 +15,7 @@ from credsieve.rules.model import Rule
 # stands before a match while the text is cut into lines
 _MARK = "\x01"
 # letters whose case folding leaves ASCII, so that lower() is no superset of ignore-case
-FOLDING_LETTERS = ["İ", "ı", "ſ", "K"]
+FOLDING_LETTERS = ["\u0130", "\u0131", "\u017f", "\u212a"]
 
 
 def rule_gate(text: Column, lowered: Column, rule: Rule) -> Column:
