@@ -178,6 +178,8 @@ def _node(op, arg, flags: int) -> str:
         return _look(arg, flags, op is sre.ASSERT_NOT)
     if op is sre.AT:
         return _anchor(arg, flags)
+    if op is sre.FAILURE:
+        return "(?!)"
     raise Untranslatable(str(op))
 
 

@@ -9,6 +9,7 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Row
 from pyspark.sql import functions as F
+from pyspark.sql.types import BooleanType, StringType
 
 from credsieve.functions.findings import SEVERITIES, rank_of
 from credsieve.functions.globs import globs_to_regex
@@ -39,7 +40,7 @@ def _python_entries(entries: list[Row]) -> Column:
     """Predicate of the entries whose regex only Python can run."""
     prepared = [(e.pattern, globs_as_python(e.scope)) for e in entries]
 
-    @F.pandas_udf("boolean")
+    @F.pandas_udf(BooleanType())
     def allowed(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
         tests = [(re.compile(p), re.compile(s) if s else None) for p, s in prepared]
         for values, paths in batches:
@@ -84,7 +85,7 @@ def drop_allowed(findings: DataFrame, allowlist: DataFrame | None) -> DataFrame:
 
 def _drop_by_joins(findings: DataFrame, entries: DataFrame) -> DataFrame:
     # the Java forms of patterns and scopes, made next to the data
-    @F.pandas_udf("string")
+    @F.pandas_udf(StringType())
     def java_regex(patterns: pd.Series) -> pd.Series:
         def one(p: str) -> str | None:
             try:
@@ -94,7 +95,7 @@ def _drop_by_joins(findings: DataFrame, entries: DataFrame) -> DataFrame:
 
         return patterns.map(one)
 
-    @F.pandas_udf("string")
+    @F.pandas_udf(StringType())
     def java_glob(scopes: pd.Series) -> pd.Series:
         return scopes.map(lambda s: globs_to_regex([s]) if s else None)
 
@@ -109,10 +110,10 @@ def _drop_by_joins(findings: DataFrame, entries: DataFrame) -> DataFrame:
     path, value = normal_path(F.col("file_path")), F.col("matched_text")
     in_scope = (
         F.col("_scope").isNull()
-        | F.expr("rlike(replace(file_path, '\\\\', '/'), _scope)")
-        | base_name(path).rlike(F.col("_scope"))
+        | F.rlike(path, F.col("_scope"))
+        | F.rlike(base_name(path), F.col("_scope"))
     )
-    hit = F.when(F.col("is_regex"), value.rlike(F.col("_regex"))).otherwise(
+    hit = F.when(F.col("is_regex"), F.rlike(value, F.col("_regex"))).otherwise(
         F.contains(value, F.col("pattern"))
     )
     for part in range(parts):

@@ -16,6 +16,7 @@ from credsieve.functions.findings import (
     redacted,
     safe_cell,
     sarif_level,
+    severity_rank,
     short_commit,
 )
 from credsieve.functions.text import normal_path
@@ -187,7 +188,7 @@ def baseline_rows(findings: DataFrame) -> DataFrame:
     keys = [c for c in ("repo", "fingerprint") if c in findings.columns]
     known = [c for c in _ORDER if c in findings.columns]
     shown = ["rule_id", "rule_name", "file_path", "severity", "redacted_value", "commit_sha"]
-    first = F.min(F.struct((-F.col("sev_rank")).alias("_sev"), *[c for c in known], F.struct(*shown).alias("_row")))
+    first = F.min(F.struct((-F.col("sev_rank")).alias("_sev"), *known, F.struct(*shown).alias("_row")))
     return (
         findings.groupBy(*keys)
         .agg(first.alias("_first"))
@@ -214,15 +215,8 @@ def write_csv(findings: DataFrame, path: str, redacted_values: bool = False) ->
 
 
 def write_baseline(findings: DataFrame, path: str) -> None:
-    """One JSON document per part file, each readable as a baseline on its own.
-
-    Every row is a document with one finding; readers take the union.
-    """
-    rows = baseline_rows(findings)
-    entry = F.struct(*[c for c in rows.columns if c != "repo"])
-    rows.select(F.to_json(F.struct(F.array(entry).alias("findings"))).alias("value")).write.mode(
-        "overwrite"
-    ).text(path)
+    """Baseline rows as JSON lines; ``sources.lists.read_baseline_rows`` reads them."""
+    baseline_rows(findings).write.mode("overwrite").json(path)
 
 
 def document_lines(
@@ -321,3 +315,25 @@ def gitlab_document(findings: DataFrame, repos: DataFrame, parts: int | None = N
     """Code-quality report per repository: an array of issues."""
     heads = repos.select("repo").distinct().withColumn("head", F.lit("["))
     return document_lines(gitlab_issues(findings), heads, "]", parts)
+
+
+def baseline_document(findings: DataFrame, repos: DataFrame, parts: int | None = None) -> DataFrame:
+    """Baseline per repository as one JSON document: header and redacted entries."""
+    entries = baseline_rows(findings)
+    shown = [c for c in entries.columns if c != "repo"]
+    elements = entries.select(
+        "repo",
+        severity_rank(F.col("severity")).alias("sev_rank"),
+        "file_path",
+        F.to_json(F.struct(*shown)).alias("json"),
+    )
+    sizes = entries.groupBy("repo").agg(F.count("*").alias("_n"))
+    heads = repos.select("repo").distinct().join(sizes, "repo", "left").select(
+        "repo",
+        F.concat(
+            F.lit(f'{{"version":"{TOOL_VERSION}","generator":"{TOOL_NAME}","total_findings":'),
+            F.coalesce("_n", F.lit(0)).cast("string"),
+            F.lit(',"findings":['),
+        ).alias("head"),
+    )
+    return document_lines(elements, heads, "]}", parts)

@@ -79,8 +79,8 @@ def parse_baseline(documents: DataFrame, column: str = "value") -> DataFrame:
 def read_baseline(spark: SparkSession, path: str) -> DataFrame:
     """Known fingerprints of a baseline.
 
-    ``path`` is a folder written by :func:`credsieve.plans.reports.write_baseline`, or one
-    JSON document.  Missing or corrupt files give an empty baseline and a warning.
+    ``path`` holds JSON documents.  Missing or corrupt ones give an empty baseline, the
+    latter with a warning.
     """
     empty = spark.createDataFrame([], "fingerprint string")
     try:
@@ -93,3 +93,14 @@ def read_baseline(spark: SparkSession, path: str) -> DataFrame:
     if not bad.isEmpty():
         warnings.warn(f"baseline {path!r} holds a document that cannot be read", stacklevel=2)
     return parse_baseline(documents)
+
+
+def read_baseline_rows(spark: SparkSession, path: str) -> DataFrame:
+    """(repo, fingerprint) of a baseline written as rows; empty if there is none."""
+    schema = "repo string, fingerprint string"
+    try:
+        return spark.read.schema(schema).json(path).where(F.col("fingerprint").isNotNull())
+    except AnalysisException as exc:
+        if _is_missing(exc):
+            return spark.createDataFrame([], schema)
+        raise

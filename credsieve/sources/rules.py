@@ -5,8 +5,9 @@ from __future__ import annotations
 import re
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 from credsieve.functions.findings import SEVERITIES, severity_rank
 from credsieve.rules import Rule
@@ -15,18 +16,21 @@ from credsieve.rules import Rule
 MAX_RULES = 2000
 
 
-@F.pandas_udf("string")
-def regex_error(patterns: pd.Series) -> pd.Series:
+def regex_error(pattern: Column) -> Column:
     """Why a pattern is no valid regular expression; null if it is one."""
 
-    def problem(pattern: str | None) -> str | None:
+    def problem(text: str | None) -> str | None:
         try:
-            re.compile(pattern or "")
+            re.compile(text or "")
         except re.error as exc:
             return f"invalid regex: {exc}"
         return None
 
-    return patterns.map(problem)
+    @F.pandas_udf(StringType())
+    def problems(patterns: pd.Series) -> pd.Series:
+        return patterns.map(problem)
+
+    return problems(pattern)
 
 
 def check_rules(raw: DataFrame) -> DataFrame:
