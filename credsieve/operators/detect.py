@@ -9,6 +9,7 @@ findings, never texts.
 from __future__ import annotations
 
 import functools
+from dataclasses import replace
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -58,7 +59,7 @@ def raw_hits(
     """
     options = options or ScanOptions()
     rules = list(enumerate(active_rules(options, custom_rules)))
-    texts = texts.select(*keys, F.col(text).alias("_text")).where(F.col("_text").isNotNull())
+    texts = _computed_once(texts, keys, text)
     lines = _candidate_lines(texts, keys, options, [(i, r) for i, r in rules if r.java])
     python_rules = [(i, r) for i, r in rules if not r.java]
     if python_rules:
@@ -68,6 +69,16 @@ def raw_hits(
     return _finished(_tokens(_parts(lines, keys, options), keys, options), keys, [r for _, r in rules])
 
 
+def _computed_once(texts: DataFrame, keys: list[str], text: str) -> DataFrame:
+    """(keys, _text).  The optimizer moves filters below projections by repeating the
+    projected expressions in them; a text that is decoded or put together would then be
+    computed again for every gate.  It does not do so below a generator.
+    """
+    return texts.where(F.col(text).isNotNull()).select(
+        *keys, F.explode(F.array(F.col(text))).alias("_text")
+    )
+
+
 def _either(tests: list[Column]) -> Column:
     return functools.reduce(Column.__or__, tests, F.lit(False))
 
@@ -259,3 +270,32 @@ def detect(
 ) -> DataFrame:
     """Findings of a table of texts; ``keys`` name a text (repository, path, ...)."""
     return first_per_line(raw_hits(texts, keys, text, options, custom_rules), keys)
+
+
+def assignments(
+    texts: DataFrame, keys: list[str], text: str = "text", options: ScanOptions | None = None
+) -> DataFrame:
+    """Keyword assignments alone: (keys, line_number, line_content, form, keyword, value).
+
+    Per line one row for each (keyword in lower case, value), in the first form that
+    finds it; inline markers are not looked at.
+    """
+    options = replace(
+        options or ScanOptions(), use_builtin_rules=False, use_entropy=False, ignore_markers=[]
+    )
+    texts = _computed_once(texts, keys, text)
+    found = _parts(_candidate_lines(texts, keys, options, []), keys, options)
+    word = F.lower("extra").alias("_word")
+    first = F.min(F.struct("rule_idx", "pos", "extra", "line")).alias("f")
+    return (
+        found.groupBy(*keys, "line_number", word, "value")
+        .agg(first)
+        .select(
+            *keys,
+            "line_number",
+            F.col("f.line").alias("line_content"),
+            F.col("f.rule_idx").alias("form"),
+            F.col("f.extra").alias("keyword"),
+            "value",
+        )
+    )
