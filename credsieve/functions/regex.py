@@ -152,7 +152,27 @@ def _look(arg, flags: int, negated: bool) -> str:
 
 
 def _sequence(items, flags: int) -> str:
-    return "".join(_node(op, arg, flags) for op, arg in items)
+    out, items = [], list(items)
+    for i, (op, arg) in enumerate(items):
+        if op is sre.AT and arg is sre.AT_BOUNDARY and _starts_word(items[i + 1 :]):
+            # a word starts here: only what stands before it needs a look
+            word = _CLASSES["WORD"][1 if flags & re.ASCII else 0]
+            out.append(f"(?<![{word}])")
+        else:
+            out.append(_node(op, arg, flags))
+    return "".join(out)
+
+
+def _starts_word(items) -> bool:
+    """True if the first character can only be a letter, a digit or an underscore."""
+    if not items:
+        return False
+    op, arg = items[0]
+    if op is sre.LITERAL:
+        return chr(arg).isalnum() or arg == ord("_")
+    if op is sre.BRANCH:
+        return all(_starts_word(list(branch)) for branch in arg[1])
+    return op is sre.SUBPATTERN and _starts_word(list(arg[-1]))
 
 
 def _node(op, arg, flags: int) -> str:
@@ -196,6 +216,35 @@ def guaranteed_run(pattern: str, chars: str) -> int:
     return _run_of(tree, tree.state.flags, frozenset(map(ord, chars)))[0]
 
 
+def stays_in_run(pattern: str, chars: str) -> bool:
+    """Every match is one run of ``chars``, and only ``chars`` next to it can prevent one.
+
+    Such a pattern matches in a text if and only if it matches in the maximal runs of
+    the text, written one after the other with blanks between them.
+    """
+    tree = sre_parser.parse(pattern)
+    codes = frozenset(map(ord, chars))
+    return _run_of(tree, tree.state.flags, codes)[3] and _sees_run_only(tree, codes)
+
+
+def _sees_run_only(items, chars: frozenset[int]) -> bool:
+    for op, arg in items:
+        if op is sre.ASSERT_NOT:
+            if len(arg[1]) != 1 or arg[1][0][0] is not sre.IN:
+                return False
+            if not (_listed(arg[1][0][1]) or {-1}) <= chars:
+                return False
+        elif op in (sre.ASSERT, sre.AT, sre.GROUPREF):
+            return False
+        elif op is sre.BRANCH:
+            if not all(_sees_run_only(branch, chars) for branch in arg[1]):
+                return False
+        elif op is sre.SUBPATTERN or op in _REPEATS:
+            if not _sees_run_only(arg[-1], chars):
+                return False
+    return True
+
+
 def _run_of(items, flags: int, chars: frozenset[int]):
     best, start, end, whole = 0, 0, 0, True
     for op, arg in items:

@@ -7,6 +7,9 @@ from pyspark.sql import functions as F
 
 from credsieve.functions.regex import LINE_BREAK, SPACE_CHARS
 
+# letters whose case folding leaves ASCII, so that lower() is no superset of ignore-case
+FOLDING_LETTERS = ["\u0130", "\u0131", "\u017f", "\u212a"]
+
 
 def strip(text: Column) -> Column:
     """Remove Unicode white space from both ends (``trim`` knows the space only)."""
@@ -57,3 +60,15 @@ def contains_any(text: Column, needles: list[str]) -> Column:
     for needle in needles:
         found = found | F.contains(text, F.lit(needle))
     return found
+
+
+def contains_any_case(text: Column, needles: list[str]) -> Column:
+    """The same without regard to case.
+
+    A lambda over one element gives the lowered text a name; written out, it would be
+    lowered again for every literal.
+    """
+    lowered = [needle.lower() for needle in needles]
+    return F.exists(F.array(F.lower(text)), lambda low: contains_any(low, lowered)) | contains_any(
+        text, FOLDING_LETTERS
+    )

@@ -20,7 +20,7 @@ from credsieve.functions.values import is_noise_line, is_valid_secret
 from credsieve.operators import entropy, keywords, patterns
 from credsieve.options import ScanOptions
 from credsieve.rules import BUILTIN_RULES, Rule
-from credsieve.rules.model import LONG_RUN, RUN_LENGTH
+from credsieve.rules.model import RUN_LENGTH
 
 PATTERN, KEYWORD, ENTROPY = 0, 1, 2
 # columns added to the key columns of the input
@@ -83,35 +83,45 @@ def _either(tests: list[Column]) -> Column:
     return functools.reduce(Column.__or__, tests, F.lit(False))
 
 
-def _any_gate(
-    text: Column, lowered: Column, options: ScanOptions, rules: list[tuple[int, Rule]]
-) -> Column:
+def _any_gate(text: Column, options: ScanOptions, rules: list[tuple[int, Rule]]) -> Column:
     """True if some detector may have a hit; the cheap and selective tests come first."""
-    of_run = [patterns.rule_applies(text, lowered, r) for _, r in rules if r.has_long_run]
-    plain = [patterns.rule_applies(text, lowered, r) for _, r in rules if not r.has_long_run]
+    in_runs = [r for _, r in rules if r.is_long_run]
+    with_run = [patterns.rule_applies(text, r) for _, r in rules if r.has_long_run and not r.is_long_run]
+    plain = [patterns.rule_applies(text, r) for _, r in rules if not r.has_long_run]
+    base64_in_runs = options.use_entropy and entropy.base64_size(options) >= RUN_LENGTH
     if options.use_keywords:
-        plain.append(keywords.keyword_gate(text, lowered, options))
+        plain.append(keywords.keyword_gate(text, options))
     if options.use_entropy:
         plain.append(text.rlike(entropy.hex_pattern(options)))
-        long_enough = entropy.base64_size(options) >= RUN_LENGTH
-        (of_run if long_enough else plain).append(text.rlike(entropy.base64_pattern(options)))
-    return _either([*plain, text.rlike(LONG_RUN) & _either(of_run)])
+        if not base64_in_runs:
+            plain.append(text.rlike(entropy.base64_pattern(options)))
+
+    def of_runs(runs: Column) -> Column:
+        tests = [patterns.rule_applies(runs, r) for r in in_runs]
+        if base64_in_runs:
+            tests.append(runs.rlike(entropy.base64_pattern(options)))
+        return (runs != "") & _either([*tests, *with_run])
+
+    if in_runs or with_run or base64_in_runs:
+        # the lambda gives the runs a name, so that they are taken out once
+        plain.append(F.exists(F.array(patterns.long_runs(text)), of_runs))
+    return _either(plain)
 
 
 def _candidate_lines(
     texts: DataFrame, keys: list[str], options: ScanOptions, rules: list[tuple[int, Rule]]
 ) -> DataFrame:
-    text, lowered = F.col("_text"), F.lower(F.col("_text"))
+    text = F.col("_text")
     flags = {}
     if options.use_keywords:
-        flags["_keyword"] = keywords.keyword_gate(text, lowered, options)
+        flags["_keyword"] = keywords.keyword_gate(text, options)
     if options.use_entropy:
         flags["_entropy"] = text.rlike(entropy.token_pattern(options))
-    gated = texts.where(_any_gate(text, lowered, options, rules)).select(
+    gated = texts.where(_any_gate(text, options, rules)).select(
         *keys,
         "_text",
         (
-            patterns.applying_rules(text, lowered, rules) if rules else F.array().cast("array<int>")
+            patterns.applying_rules(text, rules) if rules else F.array().cast("array<int>")
         ).alias("_rules"),
         patterns.match_mark(text).alias("_mark"),
         *[flag.alias(name) for name, flag in flags.items()],

@@ -8,8 +8,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from credsieve.functions.regex import to_java
-from credsieve.functions.text import contains_any, numbered_universal_lines, strip
-from credsieve.operators.patterns import FOLDING_LETTERS
+from credsieve.functions.text import contains_any, contains_any_case, numbered_universal_lines, strip
 from credsieve.options import ScanOptions
 
 # The assignment forms in the order they are tried (Python dialect).
@@ -44,20 +43,17 @@ def keyword_stems(options: ScanOptions) -> list[str]:
     return sorted(w for w in words if not any(o != w and o in w for o in words))
 
 
-def keyword_gate(text: Column, lowered: Column, options: ScanOptions) -> Column:
+def keyword_gate(text: Column, options: ScanOptions) -> Column:
     """False only for text that holds no keyword or no assignment sign."""
-    stems = keyword_stems(options)
-    signs = contains_any(text, ["=", ":"])
-    if options.keyword_case_sensitive:
-        return signs & contains_any(text, stems)
-    return signs & (contains_any(lowered, stems) | contains_any(text, FOLDING_LETTERS))
+    contains = contains_any if options.keyword_case_sensitive else contains_any_case
+    return contains_any(text, ["=", ":"]) & contains(text, keyword_stems(options))
 
 
 def keyword_lines(text: Column, options: ScanOptions) -> Column:
     """Lines that may hold an assignment: array of (line_number, line)."""
     return F.filter(
         numbered_universal_lines(text),
-        lambda row: keyword_gate(row["line"], F.lower(row["line"]), options),
+        lambda row: keyword_gate(row["line"], options),
     )
 
 
@@ -71,9 +67,18 @@ def _value(quote: Column, quoted: Column, unquoted: Column) -> Column:
 def line_assignments(line: Column, options: ScanOptions) -> Column:
     """Array of (form, pos, keyword, value) for one line."""
 
+    # what a line must hold before the pattern of a form is tried on it
+    signs = [
+        contains_any(line, [":"]),
+        contains_any_case(line, ["export"]),
+        contains_any(line, ["=>"]),
+        contains_any(line, ["=", ":"]),
+    ]
+    nothing = F.array().cast("array<struct<form:int,pos:int,keyword:string,value:string>>")
+
     def matches(form: int, pattern: str) -> Column:
         groups = [F.regexp_extract_all(line, F.lit(pattern), F.lit(g)) for g in (1, 2, 3, 4)]
-        return F.transform(
+        found = F.transform(
             F.arrays_zip(*groups),
             lambda g, i: F.struct(
                 F.lit(form).alias("form"),
@@ -82,5 +87,6 @@ def line_assignments(line: Column, options: ScanOptions) -> Column:
                 _value(g["1"], g["2"], g["3"]).alias("value"),
             ),
         )
+        return F.when(signs[form] & line.rlike(pattern), found).otherwise(nothing)
 
     return F.concat(*[matches(i, p) for i, p in enumerate(form_patterns(options))])

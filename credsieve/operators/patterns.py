@@ -9,35 +9,44 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from credsieve.functions.text import contains_any, drop_line_end
-from credsieve.rules.model import Rule
+from credsieve.functions.text import contains_any, contains_any_case, drop_line_end
+from credsieve.rules.model import LONG_RUN, Rule
 
 # stands before a match while the text is cut into lines
 _MARK = "\x01"
-# letters whose case folding leaves ASCII, so that lower() is no superset of ignore-case
-FOLDING_LETTERS = ["\u0130", "\u0131", "\u017f", "\u212a"]
 
 
-def rule_gate(text: Column, lowered: Column, rule: Rule) -> Column:
+def rule_gate(text: Column, rule: Rule) -> Column:
     """Cheap and never wrong about a text without the rule's literal."""
     literals = [literal for literal in rule.literals if literal]
     if not literals:
         return F.lit(True)
-    if rule.any_case:
-        literals = [literal.lower() for literal in literals]
-        return contains_any(lowered, literals) | contains_any(text, FOLDING_LETTERS)
-    return contains_any(text, literals)
+    return contains_any_case(text, literals) if rule.any_case else contains_any(text, literals)
 
 
-def rule_applies(text: Column, lowered: Column, rule: Rule) -> Column:
-    return rule_gate(text, lowered, rule) & text.rlike(rule.java)
+def rule_applies(text: Column, rule: Rule) -> Column:
+    return rule_gate(text, rule) & text.rlike(rule.java)
 
 
-def applying_rules(text: Column, lowered: Column, rules: list[tuple[int, Rule]]) -> Column:
+def long_runs(text: Column) -> Column:
+    """The long runs of token characters, blanks between them."""
+    return F.array_join(F.regexp_extract_all(text, F.lit(LONG_RUN), F.lit(0)), " ")
+
+
+def applying_rules(text: Column, rules: list[tuple[int, Rule]]) -> Column:
     """Indexes of the rules with at least one match in the text."""
-    return F.array_compact(
-        F.array(*[F.when(rule_applies(text, lowered, r), F.lit(i)) for i, r in rules])
-    )
+
+    def found(runs: Column) -> Column:
+        # the rules that stay in a run look at the runs
+        return F.array_compact(
+            F.array(*[
+                F.when(rule_applies(runs if r.is_long_run else text, r), F.lit(i))
+                for i, r in rules
+            ])
+        )
+
+    # the lambda gives the runs a name, so that they are taken out once
+    return F.flatten(F.transform(F.array(long_runs(text)), found))
 
 
 def match_mark(text: Column) -> Column:

@@ -5,13 +5,19 @@ from __future__ import annotations
 from dataclasses import dataclass, field
 
 from credsieve.functions.entropy import BASE64_CHARS
-from credsieve.functions.regex import Untranslatable, char_class, guaranteed_run, to_java
-
-# Tokens are long runs of these characters and prose has few such runs, so one look for
-# a run of this length spares most texts the tests for every single rule.
+from credsieve.functions.regex import (
+    Untranslatable,
+    char_class,
+    guaranteed_run,
+    stays_in_run,
+    to_java,
+)
+
+# Tokens are long runs of these characters, and prose and markup have few such runs.  They
+# are taken out of a text once; most rules then look at them instead of at the text.
 RUN_CHARS = BASE64_CHARS + ".:"
 RUN_LENGTH = 20
-LONG_RUN = f"(?<!{char_class(RUN_CHARS)}){char_class(RUN_CHARS)}{{{RUN_LENGTH}}}"
+LONG_RUN = f"(?<!{char_class(RUN_CHARS)}){char_class(RUN_CHARS)}{{{RUN_LENGTH},}}"
 
 
 @dataclass(frozen=True)
@@ -41,3 +47,8 @@ class Rule:
     def has_long_run(self) -> bool:
         """True if every match holds a run that LONG_RUN finds."""
         return guaranteed_run(self.pattern, RUN_CHARS) >= RUN_LENGTH
+
+    @property
+    def is_long_run(self) -> bool:
+        """True if it is enough to look at what LONG_RUN finds."""
+        return self.has_long_run and stays_in_run(self.pattern, RUN_CHARS)

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -24,6 +25,11 @@ def work_folder(spark: SparkSession) -> str:
 
 
 def cut_lineage(df: DataFrame) -> DataFrame:
-    """Checkpoint in the shared work folder."""
-    work_folder(df.sparkSession)
-    return df.checkpoint()
+    """Write a table into the shared work folder and go on from there.
+
+    It is computed once, a lost executor does not bring the computation back, and the
+    optimizer knows its size afterwards.
+    """
+    path = f"{work_folder(df.sparkSession)}/{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

@@ -125,8 +125,8 @@ ENTRY_LINES = f"""entry_lines AS (
 GLOB = "'(?s)' || replace(replace(scope, '.', '[.]'), '*', '.*')"
 
 COMMITS = f"commits AS ({planted.commits_sql(True)})"
-FILES = f"file_versions AS ({planted.file_versions_sql(True)})"
-TURNS = f"turns AS ({planted.turns_sql(True)}), blobs AS (SELECT DISTINCT blob_sha, text FROM turns)"
+FILES = f"file_versions AS ({planted.file_versions_sql("turns")})"
+TURNS = f"turns AS {planted.turns_sql()}, blobs AS (SELECT DISTINCT blob_sha, text FROM turns)"
 
 
 def ancestors(name: str, starts: str) -> str:
@@ -151,7 +151,7 @@ def commits_after(seq: int) -> str:
 def history(selected: str = "commits", ctes: str = COMMITS, scan: str | None = None, keep: str = "TRUE") -> str:
     """CTE ``findings``: every sighting of every hit of every file, the earliest kept."""
     scan = scan or scannable("path", ["vendor/*"])
-    return f"""WITH RECURSIVE {ctes}, {FILES}, {TURNS}, {hits_ctes("blobs", "blob_sha")},
+    return f"""WITH RECURSIVE {ctes}, {TURNS}, {FILES}, {hits_ctes("blobs", "blob_sha")},
       files AS (SELECT f.repo, f.path, f.blob_sha, min(c.commit_seq) AS commit_seq
                 FROM file_versions f JOIN {selected} c USING (repo, commit_sha) WHERE {scan} GROUP BY ALL),
       sightings AS (SELECT * FROM files JOIN hits USING (blob_sha) WHERE {keep}),
@@ -173,7 +173,7 @@ SUMMARY = f"""{history()},
       summaries AS (SELECT repo, coalesce(total_files, 0) AS total_files, coalesce(total_findings, 0) AS total_findings,
                            coalesce(n_critical, 0) AS n_critical, coalesce(n_high, 0) AS n_high,
                            coalesce(n_medium, 0) AS n_medium, coalesce(n_low, 0) AS n_low,
-                           coalesce(total_commits, 0) AS total_commits, 0 AS suppressed
+                           coalesce(total_commits, 0) AS total_commits, cast(0 AS bigint) AS suppressed
                     FROM n_commits FULL JOIN n_files USING (repo) FULL JOIN n_findings USING (repo))"""
 
 # order of a report; texts have neither commits nor more than one line of a kind per place
@@ -247,7 +247,7 @@ ORACLES: dict[str, str] = {
           AND CASE WHEN is_regex THEN regexp_matches(matched_text, pattern) ELSE contains(matched_text, pattern) END)""",
     "min_severity": f"{doc_findings('sev_rank >= 2')} SELECT {SHOWN} FROM findings",
     "gates": f"""{doc_findings()}
-      SELECT gate, n_failing, n_failing > 0 AS failed, CASE WHEN n_failing > 0 THEN 1 ELSE 0 END AS exit_code
+      SELECT gate, n_failing, n_failing > 0 AS failed, cast(CASE WHEN n_failing > 0 THEN 1 ELSE 0 END AS bigint) AS exit_code
       FROM (SELECT 'any' AS gate, count(*) AS n_failing FROM findings
             UNION ALL SELECT 'critical', count(*) FROM findings WHERE sev_rank = 3
             UNION ALL SELECT 'none', 0)""",
@@ -261,7 +261,7 @@ ORACLES: dict[str, str] = {
     "commit_ranges": f"WITH RECURSIVE {commits_after(1)} SELECT repo, commit_sha, commit_seq, author FROM selected WHERE repo IN (SELECT repo FROM commits WHERE commit_seq = 1)",
     "head_only": f"""WITH {COMMITS}
       SELECT repo, commit_sha, commit_seq FROM commits QUALIFY row_number() OVER (PARTITION BY repo ORDER BY commit_seq DESC) = 1""",
-    "snapshot_changes": f"""WITH new AS ({planted.tree_sql(True, 4)}), old AS ({planted.tree_sql(True, 2)}),
+    "snapshot_changes": f"""WITH {TURNS}, new AS ({planted.tree_sql("turns", 4)}), old AS ({planted.tree_sql("turns", 2)}),
       gone AS (SELECT * FROM old ANTI JOIN new USING (repo, path))
       SELECT repo, path, blob_sha,
              CASE WHEN EXISTS (SELECT 1 FROM old o WHERE o.repo = n.repo AND o.path = n.path) THEN 'M'
@@ -270,7 +270,7 @@ ORACLES: dict[str, str] = {
                   ELSE 'A' END AS change_type
       FROM (SELECT * FROM new ANTI JOIN old USING (repo, path, blob_sha)) n
       UNION ALL SELECT repo, path, blob_sha, 'D' FROM gone""",
-    "pending": f"""WITH new AS ({planted.tree_sql(True, 4)}), old AS ({planted.tree_sql(True, 2)}), {TURNS},
+    "pending": f"""WITH {TURNS}, new AS ({planted.tree_sql("turns", 4)}), old AS ({planted.tree_sql("turns", 2)}),
       {hits_ctes("blobs", "blob_sha")},
       sightings AS (SELECT * FROM (SELECT * FROM new ANTI JOIN old USING (repo, path, blob_sha)) JOIN hits USING (blob_sha)
                     WHERE {scannable("path")}),
@@ -289,10 +289,10 @@ ORACLES: dict[str, str] = {
         "total_files", "total_findings", "n_critical", "n_high", "n_medium", "n_low", "total_commits", "suppressed"))}
       FROM summaries""",
     "severities": f"""{doc_findings()}
-      SELECT s AS severity, r AS sev_rank, (SELECT count(*) FROM findings f WHERE f.severity = s) AS n_findings
+      SELECT s AS severity, cast(r AS bigint) AS sev_rank, (SELECT count(*) FROM findings f WHERE f.severity = s) AS n_findings
       FROM (VALUES ('LOW', 0), ('MEDIUM', 1), ('HIGH', 2), ('CRITICAL', 3)) v(s, r)""",
     "findings_report": f"""{doc_findings()}
-      SELECT repo, path AS file_path, line_number, line AS line_content, sev_rank, redacted_value, fingerprint,
+      SELECT repo, path AS file_path, line_number, line AS line_content, cast(sev_rank AS bigint) AS sev_rank, redacted_value, fingerprint,
              '[' || severity || '] ' || rule_name || ' in ' || path || ':' || line_number || ' (' || redacted_value || ') @ N/A' AS summary
       FROM findings ORDER BY {REPORT_ORDER}""",
     "csv_report": f"""{doc_findings()}

@@ -8,6 +8,7 @@ two names.  Tokens are put together from prefix and body.
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 H = "substr(h, {}, {})".format
 UUID = " || '-' || ".join(H(a, n) for a, n in ((1, 8), (9, 4), (13, 4), (17, 4), (21, 12)))
@@ -108,15 +109,19 @@ def documents_sql(duck: bool) -> str:
     """
 
 
-def turns_sql(duck: bool) -> str:
-    """(repo, turn, role, text, blob_sha) of conversations with added lines."""
+def turn_texts_sql(duck: bool) -> str:
+    """(repo, turn, role, text) of conversations with added lines."""
     pair = "cast(floor(turn / 2.0) AS bigint)"  # two turns share their added lines
     name = f"cast(conv_id AS varchar(20)) || ':' || cast({pair} AS varchar(20))"
-    inner = f"""
+    return f"""
       SELECT 'conv' || cast(conv_id AS varchar(20)) AS repo, turn, role, text || {ADDED} AS text
       FROM (SELECT *, conv_id + {pair} AS n, {_hash(name, duck)} AS h FROM conversations) c
     """
-    return f"SELECT *, {_hash('text', duck)} AS blob_sha FROM ({inner}) t"
+
+
+def turns_sql() -> str:
+    """For DuckDB: the same with the hash of the text as blob_sha."""
+    return f"(SELECT *, sha256(text) AS blob_sha FROM ({turn_texts_sql(True)}) t)"
 
 
 def commits_sql(duck: bool) -> str:
@@ -140,24 +145,23 @@ def commits_sql(duck: bool) -> str:
     """
 
 
-def file_versions_sql(duck: bool) -> str:
+def file_versions_sql(turns: str) -> str:
     """Every turn changes one of three files; every second one also copies it into docs/
     or vendor/."""
-    turns = turns_sql(duck)
     sha = "repo || '-' || cast(turn AS varchar(20))"
     return f"""
       SELECT repo, {sha} AS commit_sha, 'turn' || cast(turn % 3 AS varchar(20)) || '.txt' AS path,
              blob_sha, CASE WHEN turn < 3 THEN 'A' ELSE 'M' END AS change_type
-      FROM ({turns}) a
+      FROM {turns} a
       UNION ALL
       SELECT repo, {sha} AS commit_sha,
              CASE WHEN turn % 4 = 1 THEN 'docs/' ELSE 'vendor/' END || 'copy' || cast(turn % 3 AS varchar(20)) || '.txt' AS path,
              blob_sha, 'A' AS change_type
-      FROM ({turns}) b WHERE turn % 2 = 1
+      FROM {turns} b WHERE turn % 2 = 1
     """
 
 
-def tree_sql(duck: bool, turn: int) -> str:
+def tree_sql(turns: str, turn: int) -> str:
     """(repo, path, blob_sha): files of a conversation after the given turn; the turns up to
     it stand in files turn % 3, so later ones replace earlier ones; turn 2 lies elsewhere
     in the older tree."""
@@ -166,7 +170,7 @@ def tree_sql(duck: bool, turn: int) -> str:
         SELECT repo, CASE WHEN turn = 2 AND {turn} = 2 THEN 'old/turn2.txt'
                           ELSE 'turn' || cast(turn % 3 AS varchar(20)) || '.txt' END AS path, blob_sha,
                row_number() OVER (PARTITION BY repo, turn % 3 ORDER BY turn DESC) AS r
-        FROM ({turns_sql(duck)}) x WHERE turn <= {turn}) y
+        FROM {turns} x WHERE turn <= {turn}) y
       WHERE r = 1
     """
 
@@ -181,15 +185,26 @@ def _spread(df: DataFrame) -> DataFrame:
     return df.repartition(df.sparkSession.sparkContext.defaultParallelism)
 
 
+def _once(df: DataFrame, column: str) -> DataFrame:
+    """Compute a long expression once, not in every place that uses it."""
+    others = [c for c in df.columns if c != column]
+    return df.select(*others, F.explode(F.array(column)).alias(column))
+
+
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    raw = _spread(spark.read.parquet(f"{sf_dir}/documents.parquet"))
-    raw.createOrReplaceTempView("documents")
-    return spark.sql(documents_sql(False))
+    _spread(spark.read.parquet(f"{sf_dir}/documents.parquet")).createOrReplaceTempView("documents")
+    return _once(spark.sql(documents_sql(False)), "text")
 
 
 def turns(spark: SparkSession, sf_dir: str) -> DataFrame:
     _spread(spark.read.parquet(f"{sf_dir}/conversations.parquet")).createOrReplaceTempView("conversations")
-    return spark.sql(turns_sql(False))
+    return with_blob(spark)
+
+
+def with_blob(spark: SparkSession) -> DataFrame:
+    """Turns of the view ``conversations`` with the hash of their text."""
+    texts = _once(spark.sql(turn_texts_sql(False)), "text")
+    return texts.withColumn("blob_sha", F.sha2("text", 256))
 
 
 def commits(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -198,8 +213,8 @@ def commits(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def file_versions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    tables(spark, sf_dir, "conversations")
-    return spark.sql(file_versions_sql(False))
+    turns(spark, sf_dir).createOrReplaceTempView("turns")
+    return spark.sql(file_versions_sql("turns"))
 
 
 def blobs(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -207,5 +222,5 @@ def blobs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def tree(spark: SparkSession, sf_dir: str, turn: int) -> DataFrame:
-    tables(spark, sf_dir, "conversations")
-    return spark.sql(tree_sql(False, turn))
+    turns(spark, sf_dir).createOrReplaceTempView("turns")
+    return spark.sql(tree_sql("turns", turn))

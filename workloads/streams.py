@@ -19,11 +19,14 @@ def stream_conversations(spark: SparkSession, sf_dir: str) -> DataFrame:
     schema = spark.read.parquet(f"{sf_dir}/conversations.parquet").schema
     stream = spark.readStream.schema(schema).option("pathGlobFilter", "conversations.parquet").parquet(sf_dir)
     stream.createOrReplaceTempView("conversations")
-    turns = spark.sql(planted.turns_sql(False)).select(
+    turns = planted.with_blob(spark).select(
         "repo",
         F.concat(F.lit("turn"), (F.col("turn") % 3).cast("string"), F.lit(".txt")).alias("path"),
         "text",
-        F.timestamp_seconds(F.substr("repo", F.lit(5)).cast("bigint") * 3600 + F.col("turn") * 60).alias("committed_at"),
+        # one hour per conversation, one minute per turn, some time after the epoch
+        F.timestamp_seconds(
+            F.lit(1_700_000_000) + F.substr("repo", F.lit(5)).cast("bigint") * 3600 + F.col("turn") * 60
+        ).alias("committed_at"),
         F.col("turn").alias("commit_seq"),
     )
     found = stream_findings(turns, horizon="30 days")
