@@ -38,7 +38,7 @@ def alphabet_entropy(text: Column, alphabet: str) -> Column:
     Counts each symbol of the alphabet instead of splitting the text into
     characters, so a token of megabytes needs no array of its characters.
     """
-    return _bits(text, F.array(*[F.lit(c) for c in alphabet]))
+    return _bits(text, F.split(F.lit(alphabet), ""))
 
 
 def hex_entropy(text: Column) -> Column:

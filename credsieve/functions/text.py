@@ -54,12 +54,23 @@ def count_of(text: Column, chars: str) -> Column:
     return F.length(text) - F.length(F.translate(text, chars, ""))
 
 
+def sql_text(value: str) -> str:
+    """A string as SQL, whatever it holds; the optimizer folds it into a literal."""
+    if value.isprintable() and "'" not in value and "\\" not in value:
+        return f"'{value}'"
+    return f"cast(X'{value.encode().hex()}' AS STRING)"
+
+
+def text_array(values: list[str]) -> Column:
+    """A constant array.  As SQL it is one call into the JVM instead of one per element."""
+    return F.expr("array(" + ", ".join(map(sql_text, values)) + ")")
+
+
 def contains_any(text: Column, needles: list[str]) -> Column:
     """True if one of the literals occurs."""
-    found = F.lit(False)
-    for needle in needles:
-        found = found | F.contains(text, F.lit(needle))
-    return found
+    if len(needles) == 1:
+        return F.contains(text, F.lit(needles[0]))
+    return F.exists(text_array(needles), lambda needle: F.contains(text, needle))
 
 
 def contains_any_case(text: Column, needles: list[str]) -> Column:

@@ -14,8 +14,9 @@ from dataclasses import replace
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from credsieve.functions.findings import rank_of
+from credsieve.functions.findings import severity_rank
 from credsieve.functions.regex import to_java
+from credsieve.functions.text import text_array
 from credsieve.functions.values import is_noise_line, is_valid_secret
 from credsieve.operators import entropy, keywords, patterns
 from credsieve.options import ScanOptions
@@ -79,33 +80,19 @@ def _computed_once(texts: DataFrame, keys: list[str], text: str) -> DataFrame:
     )
 
 
-def _either(tests: list[Column]) -> Column:
-    return functools.reduce(Column.__or__, tests, F.lit(False))
-
-
-def _any_gate(text: Column, options: ScanOptions, rules: list[tuple[int, Rule]]) -> Column:
-    """True if some detector may have a hit; the cheap and selective tests come first."""
-    in_runs = [r for _, r in rules if r.is_long_run]
-    with_run = [patterns.rule_applies(text, r) for _, r in rules if r.has_long_run and not r.is_long_run]
-    plain = [patterns.rule_applies(text, r) for _, r in rules if not r.has_long_run]
-    base64_in_runs = options.use_entropy and entropy.base64_size(options) >= RUN_LENGTH
+def _any_gate(options: ScanOptions, rules: list[tuple[int, Rule]]) -> Column:
+    """True if some detector may have a hit in ``_text``."""
+    text, in_runs, gates = F.col("_text"), [], []
     if options.use_keywords:
-        plain.append(keywords.keyword_gate(text, options))
+        gates.append(keywords.keyword_gate(text, options))
     if options.use_entropy:
-        plain.append(text.rlike(entropy.hex_pattern(options)))
-        if not base64_in_runs:
-            plain.append(text.rlike(entropy.base64_pattern(options)))
-
-    def of_runs(runs: Column) -> Column:
-        tests = [patterns.rule_applies(runs, r) for r in in_runs]
-        if base64_in_runs:
-            tests.append(runs.rlike(entropy.base64_pattern(options)))
-        return (runs != "") & _either([*tests, *with_run])
-
-    if in_runs or with_run or base64_in_runs:
-        # the lambda gives the runs a name, so that they are taken out once
-        plain.append(F.exists(F.array(patterns.long_runs(text)), of_runs))
-    return _either(plain)
+        gates.append(text.rlike(entropy.hex_pattern(options)))
+        if entropy.base64_size(options) >= RUN_LENGTH:
+            in_runs.append(entropy.base64_pattern(options))
+        else:
+            gates.append(text.rlike(entropy.base64_pattern(options)))
+    gates.append(patterns.any_rule("_text", [r for _, r in rules], in_runs))
+    return functools.reduce(Column.__or__, gates)
 
 
 def _candidate_lines(
@@ -117,20 +104,19 @@ def _candidate_lines(
         flags["_keyword"] = keywords.keyword_gate(text, options)
     if options.use_entropy:
         flags["_entropy"] = text.rlike(entropy.token_pattern(options))
-    gated = texts.where(_any_gate(text, options, rules)).select(
+    gated = texts.where(_any_gate(options, rules)).select(
         *keys,
         "_text",
         (
-            patterns.applying_rules(text, rules) if rules else F.array().cast("array<int>")
+            patterns.applying_rules("_text", rules) if rules else F.array().cast("array<int>")
         ).alias("_rules"),
         patterns.match_mark(text).alias("_mark"),
         *[flag.alias(name) for name, flag in flags.items()],
     )
     parts = []
     if rules:
-        by_index = F.map_from_arrays(
-            F.array(*[F.lit(i) for i, _ in rules]), F.array(*[F.lit(r.java) for _, r in rules])
-        )
+        indexes = F.expr("array(" + ", ".join(str(i) for i, _ in rules) + ")")
+        by_index = F.map_from_arrays(indexes, text_array([r.java for _, r in rules]))
 
         def of_rule(i: Column) -> Column:
             found = patterns.located_matches(text, F.col("_mark"), F.element_at(by_index, i))
@@ -223,14 +209,15 @@ def _tokens(parts: DataFrame, keys: list[str], options: ScanOptions) -> DataFram
 def _finished(hits: DataFrame, keys: list[str], rules: list[Rule]) -> DataFrame:
     det, extra = F.col("det"), F.col("extra")
 
-    def of_rule(values: list) -> Column:
+    def of_rule(values: list[str]) -> Column:
         if not rules:
             return F.lit(None)
-        return F.element_at(F.array(*[F.lit(v) for v in values]), F.col("rule_idx") + 1)
+        return F.element_at(text_array(values), F.col("rule_idx") + 1)
 
     def pick(pattern: Column, keyword: Column, token: Column) -> Column:
         return F.when(det == PATTERN, pattern).when(det == KEYWORD, keyword).otherwise(token)
 
+    severity = pick(of_rule([r.severity for r in rules]), F.lit("MEDIUM"), F.lit("LOW"))
     return hits.select(
         *keys,
         pick(
@@ -243,8 +230,8 @@ def _finished(hits: DataFrame, keys: list[str], rules: list[Rule]) -> DataFrame:
             F.concat(F.lit("Keyword: "), extra),
             F.concat(F.lit("High-Entropy "), F.initcap(extra), F.lit(" String")),
         ).alias("rule_name"),
-        pick(of_rule([r.severity for r in rules]), F.lit("MEDIUM"), F.lit("LOW")).alias("severity"),
-        pick(of_rule([rank_of(r.severity) for r in rules]), F.lit(1), F.lit(0)).alias("sev_rank"),
+        severity.alias("severity"),
+        severity_rank(severity).alias("sev_rank"),
         F.col("line_number"),
         F.col("line").alias("line_content"),
         F.col("value").alias("matched_text"),

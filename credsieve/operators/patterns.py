@@ -9,44 +9,66 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from credsieve.functions.text import contains_any, contains_any_case, drop_line_end
+from credsieve.functions.text import FOLDING_LETTERS, drop_line_end, sql_text
 from credsieve.rules.model import LONG_RUN, Rule
 
 # stands before a match while the text is cut into lines
 _MARK = "\x01"
 
 
-def rule_gate(text: Column, rule: Rule) -> Column:
-    """Cheap and never wrong about a text without the rule's literal."""
-    literals = [literal for literal in rule.literals if literal]
-    if not literals:
-        return F.lit(True)
-    return contains_any_case(text, literals) if rule.any_case else contains_any(text, literals)
+def _contains_sql(text: str, literals: list[str]) -> str:
+    return "(" + " OR ".join(f"contains({text}, {sql_text(x)})" for x in literals) + ")"
+
 
+def rule_sql(text: str, rule: Rule) -> str:
+    """SQL condition: the rule matches in ``text``.
 
-def rule_applies(text: Column, rule: Rule) -> Column:
-    return rule_gate(text, rule) & text.rlike(rule.java)
+    The literals come first, they are cheap and never wrong about a text without the
+    rule's token.  Conditions of many rules are written as SQL because that is one call
+    into the JVM for all of them.
+    """
+    found = f"rlike({text}, {sql_text(rule.java)})"
+    literals = [literal for literal in rule.literals if literal]
+    if not literals:
+        return found
+    if rule.any_case:
+        low = _contains_sql("low", [literal.lower() for literal in literals])
+        gate = f"(exists(array(lower({text})), low -> {low}) OR {_contains_sql(text, FOLDING_LETTERS)})"
+    else:
+        gate = _contains_sql(text, literals)
+    return f"({gate} AND {found})"
 
 
-def long_runs(text: Column) -> Column:
+def long_runs_sql(text: str) -> str:
     """The long runs of token characters, blanks between them."""
-    return F.array_join(F.regexp_extract_all(text, F.lit(LONG_RUN), F.lit(0)), " ")
+    return f"array_join(regexp_extract_all({text}, {sql_text(LONG_RUN)}, 0), ' ')"
 
 
-def applying_rules(text: Column, rules: list[tuple[int, Rule]]) -> Column:
-    """Indexes of the rules with at least one match in the text."""
+def any_rule(text: str, rules: list[Rule], or_in_runs: list[str] = ()) -> Column:
+    """True if a rule matches in the column named ``text``.
 
-    def found(runs: Column) -> Column:
-        # the rules that stay in a run look at the runs
-        return F.array_compact(
-            F.array(*[
-                F.when(rule_applies(runs if r.is_long_run else text, r), F.lit(i))
-                for i, r in rules
-            ])
-        )
+    Rules whose match is one long run look at the runs only.  ``or_in_runs`` are further
+    patterns to look for there.
+    """
+    tests = [f"rlike(runs, {sql_text(p)})" for p in or_in_runs]
+    tests += [rule_sql("runs", r) for r in rules if r.is_long_run]
+    tests += [rule_sql(text, r) for r in rules if r.has_long_run and not r.is_long_run]
+    plain = [rule_sql(text, r) for r in rules if not r.has_long_run]
+    if tests:
+        # the lambda gives the runs a name, so that they are taken out once
+        plain.append(
+            f"exists(array({long_runs_sql(text)}), runs -> runs != '' AND ({' OR '.join(tests)}))"
+        )
+    return F.expr(" OR ".join(plain)) if plain else F.lit(False)
 
-    # the lambda gives the runs a name, so that they are taken out once
-    return F.flatten(F.transform(F.array(long_runs(text)), found))
+
+def applying_rules(text: str, rules: list[tuple[int, Rule]]) -> Column:
+    """Indexes of the rules with at least one match in the column named ``text``."""
+    tests = ", ".join(
+        f"CASE WHEN {rule_sql('runs' if r.is_long_run else text, r)} THEN {i} END" for i, r in rules
+    )
+    found = f"transform(array({long_runs_sql(text)}), runs -> array_compact(array({tests})))"
+    return F.expr(f"flatten({found})")
 
 
 def match_mark(text: Column) -> Column:

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from dataclasses import dataclass, field
+from functools import cached_property
 
 from credsieve.functions.entropy import BASE64_CHARS
 from credsieve.functions.regex import (
@@ -35,7 +36,7 @@ class Rule:
     any_case: bool = False
     description: str = ""
 
-    @property
+    @cached_property
     def java(self) -> str | None:
         """The pattern for Spark, or None if only Python can run it."""
         try:
@@ -43,12 +44,12 @@ class Rule:
         except Untranslatable:
             return None
 
-    @property
+    @cached_property
     def has_long_run(self) -> bool:
         """True if every match holds a run that LONG_RUN finds."""
         return guaranteed_run(self.pattern, RUN_CHARS) >= RUN_LENGTH
 
-    @property
+    @cached_property
     def is_long_run(self) -> bool:
         """True if it is enough to look at what LONG_RUN finds."""
         return self.has_long_run and stays_in_run(self.pattern, RUN_CHARS)

@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from credsieve.functions.findings import GITLAB_SEVERITIES, SARIF_LEVELS
-from credsieve.options import KEYWORDS
 from credsieve.rules import BUILTIN_RULES
 from workloads import planted
 from workloads.oracle_parts import (
@@ -16,7 +15,6 @@ from workloads.oracle_parts import (
     lines_cte,
     matches_globs,
     noise_line,
-    one_of,
     quoted,
     redacted,
     rule_hits_cte,
@@ -28,7 +26,6 @@ from workloads.queries import (
     ALLOW_ROWS,
     CUSTOM_KEYWORDS,
     CUSTOM_RULES,
-    MULTILINE_RULES,
     NOISE_STARTS,
     PATH_ENDINGS,
     PATH_HEADS,
@@ -314,9 +311,10 @@ ORACLES: dict[str, str] = {
       SELECT repo, rule_id AS check_name, 'Secret detected: ' || rule_name || ' (' || redacted_value || ')' AS description,
              {names("severity", GITLAB_SEVERITIES)} AS severity, fingerprint, 'Security' AS category, path,
              cast(line_number AS varchar) AS begin FROM findings""",
+    "report_document_sizes": f"""{doc_findings()}
+      SELECT repo, count(*) + 2 AS n_lines, count(*) - 1 AS n_commas, cast(2 AS bigint) AS n_ends FROM findings GROUP BY repo""",
     "stream_scan": f"""WITH {TURNS}, texts AS (
         SELECT DISTINCT repo, turn, 'turn' || (turn % 3) || '.txt' AS path, text FROM turns),
       {hits_ctes("texts", "repo, turn, path")}
       SELECT DISTINCT repo, path AS file_path, line_number, matched_text FROM hits""",
 }
-__all__ = ["KEYWORDS", "MULTILINE_RULES", "ORACLES", "one_of"]
