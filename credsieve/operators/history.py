@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -89,43 +91,53 @@ def _chains(commits: DataFrame) -> DataFrame:
     return table.drop("done")
 
 
-def ancestors(
-    commits: DataFrame, starts: DataFrame, rows_per_task: int = ROWS_PER_TASK
-) -> DataFrame:
-    """(repo, commit_sha) of all commits reachable from ``starts``, these included.
+@dataclass(frozen=True)
+class _Graph:
+    """``placed`` commits on chains, ``edges`` between chains, chains with very many of both."""
 
-    On a first-parent chain a commit reaches everything below itself, so what is
-    reached of a chain is one number.  Only the other edges need following, and a round
-    follows all of them at once: the number of rounds is the number of chains a path
-    has to pass, not the depth of the history.
-    """
-    placed = cut_lineage(_chains(commits.select("repo", "commit_sha", "parents")))
+    placed: DataFrame
+    edges: DataFrame
+    hot: DataFrame
+
+
+def _graph(commits: DataFrame, rows_per_task: int) -> _Graph:
+    placed = _chains(commits.select("repo", "commit_sha", "parents"))
     lower = placed.select(
         "repo",
         F.col("commit_sha").alias("parent"),
         F.col("chain").alias("to_chain"),
         F.col("height").alias("to_height"),
     )
-    edges = (
-        commits.select("repo", "commit_sha", F.explode("parents").alias("parent"))
-        .join(placed, ["repo", "commit_sha"])
-        .transform(lambda e: join_salted(e, lower, ["repo", "parent"], rows_per_task=rows_per_task))
+    links = commits.select("repo", "commit_sha", F.explode("parents").alias("parent")).join(
+        placed, ["repo", "commit_sha"]
+    )
+    edges = cut_lineage(
+        join_salted(links, lower, ["repo", "parent"], rows_per_task=rows_per_task)
         .where(F.col("chain") != F.col("to_chain"))
         .groupBy("repo", "chain", "height", "to_chain")
         .agg(F.max("to_height").alias("to_height"))
     )
-    edges = cut_lineage(edges)
-    hot = cut_lineage(hot_keys(edges, ["repo", "chain"], rows_per_task))
+    return _Graph(placed, edges, cut_lineage(hot_keys(edges, ["repo", "chain"], rows_per_task)))
+
+
+def _reached(graph: _Graph, starts: DataFrame, rows_per_task: int) -> DataFrame:
+    """(repo, commit_sha) of all commits reachable from ``starts``, these included.
+
+    On a first-parent chain a commit reaches everything below itself, so what is
+    reached of a chain is one number.  Only the other edges need following, and a round
+    follows all of them at once: the number of rounds is the number of chains a path
+    has to pass, not the depth of the history.
+    """
     reached = cut_lineage(
         starts.select("repo", "commit_sha")
-        .join(placed, ["repo", "commit_sha"])
+        .join(graph.placed, ["repo", "commit_sha"])
         .groupBy("repo", "chain")
         .agg(F.max("height").alias("reach"))
     )
     grown = reached
-    while not grown.isEmpty():
+    while True:
         onward = (
-            join_salted(edges, grown, ["repo", "chain"], hot=hot)
+            join_salted(graph.edges, grown, ["repo", "chain"], hot=graph.hot)
             .where(F.col("height") <= F.col("reach"))
             .groupBy("repo", F.col("to_chain").alias("chain"))
             .agg(F.max("to_height").alias("reach"))
@@ -136,18 +148,30 @@ def ancestors(
             .where(F.col("_reach").isNull() | (F.col("reach") > F.col("_reach")))
             .select("repo", "chain", "reach")
         )
+        if grown.isEmpty():
+            break
         reached = cut_lineage(
             reached.unionByName(grown).groupBy("repo", "chain").agg(F.max("reach").alias("reach"))
         )
     return (
-        join_salted(placed, reached, ["repo", "chain"], rows_per_task=rows_per_task)
+        join_salted(graph.placed, reached, ["repo", "chain"], rows_per_task=rows_per_task)
         .where(F.col("height") <= F.col("reach"))
         .select("repo", "commit_sha")
     )
 
 
+def ancestors(
+    commits: DataFrame, starts: DataFrame, rows_per_task: int = ROWS_PER_TASK
+) -> DataFrame:
+    """(repo, commit_sha) of ``starts`` and everything they descend from."""
+    return _reached(_graph(commits, rows_per_task), starts, rows_per_task)
+
+
 def commit_range(
-    commits: DataFrame, base: str | DataFrame, head: DataFrame | None = None
+    commits: DataFrame,
+    base: str | DataFrame,
+    head: DataFrame | None = None,
+    rows_per_task: int = ROWS_PER_TASK,
 ) -> DataFrame:
     """Commits reachable from the head but not from ``base``.
 
@@ -164,7 +188,10 @@ def commit_range(
         if missing:
             raise UnknownRevision(f"unknown base revision {missing.commit_sha!r}")
     head = head_of(commits) if head is None else head
-    wanted = ancestors(commits, head).join(ancestors(commits, bases), ["repo", "commit_sha"], "left_anti")
+    graph = _graph(commits, rows_per_task)
+    wanted = _reached(graph, head, rows_per_task).join(
+        _reached(graph, bases, rows_per_task), ["repo", "commit_sha"], "left_anti"
+    )
     return commits.join(wanted, ["repo", "commit_sha"], "left_semi")
 
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
@@ -17,6 +18,9 @@ from credsieve.operators.suppress import at_least, drop_allowed, drop_known, onl
 from credsieve.options import ScanOptions
 from credsieve.rules import Rule
 from credsieve.sources.files import is_readable, readable_texts
+from credsieve.storage import cut_lineage
+
+Keep = Callable[[DataFrame], DataFrame] | None
 
 FINDING_COLUMNS = [
     "repo", "rule_id", "rule_name", "severity", "sev_rank", "file_path", "line_number",
@@ -34,9 +38,13 @@ PENDING_COMMIT = {
 }
 
 
+def _as_is(df: DataFrame) -> DataFrame:
+    return df
+
+
 @dataclass(frozen=True)
 class Scan:
-    """Lazy results of a scan.
+    """Results of a scan.
 
     ``findings`` are new findings, ``suppressed`` the ones the baseline knows, ``commits``
     the selected revisions, ``files`` the distinct (repo, path, blob_sha) looked at with
@@ -142,23 +150,24 @@ def scan_history(
     head: DataFrame | None = None,
     where: Column | None = None,
     rows_per_task: int = ROWS_PER_TASK,
-    keep=None,
+    keep: Keep = cut_lineage,
 ) -> Scan:
     """Scan the history of one or many repositories.
 
-    Every blob is read and searched once, in one narrow pass.  ``keep`` may store the
-    hits (for instance ``credsieve.storage.cut_lineage``) when several results are
-    computed from one scan.  For head_only options ``file_versions`` must list the tree
-    of the head (see ``history.snapshot_at``).
+    Every blob is read and searched once, in one narrow pass.  ``keep`` stores the two
+    tables that several results are computed from, the distinct files and the hits; with
+    ``keep=None`` they are computed wherever they are used and nothing runs here.  For
+    head_only options ``file_versions`` must list the tree of the head (see
+    ``history.snapshot_at``).
     """
     options = options or ScanOptions()
     selected = select_commits(commits, options, head)
-    files = first_occurrences(file_versions, selected, options, where, rows_per_task)
+    keep = keep or _as_is
+    files = keep(first_occurrences(file_versions, selected, options, where, rows_per_task))
     if options.head_only or options.diff_base or options.since_commit:
         # a part of the history: leave out contents it does not refer to
         blobs = blobs.join(files.select("blob_sha").distinct(), "blob_sha", "left_semi")
-    hits = detect(readable_texts(blobs, options), ["blob_sha"], "text", options, custom_rules)
-    hits = keep(hits) if keep else hits
+    hits = keep(detect(readable_texts(blobs, options), ["blob_sha"], "text", options, custom_rules))
     found = findings_of_files(files, hits, allowlist, rows_per_task)
     new, known = judged(found, options, baseline)
     return Scan(
@@ -178,19 +187,19 @@ def scan_pending(
     allowlist: DataFrame | None = None,
     baseline: DataFrame | None = None,
     custom_rules: list[Rule] = (),
-    keep=None,
+    keep: Keep = cut_lineage,
 ) -> Scan:
     """Scan what a pending tree changes against the head; all of it if there is no head."""
     options = options or ScanOptions()
+    keep = keep or _as_is
     changes = snapshot_diff(pending, head_tree)
-    files = (
+    files = keep(
         changes.where(should_scan(F.col("path"), options))
         .select("repo", "path", "blob_sha", F.lit(0).cast("bigint").alias("commit_seq"))
         .distinct()
     )
     blobs = blobs.join(files.select("blob_sha").distinct(), "blob_sha", "left_semi")
-    hits = detect(readable_texts(blobs, options), ["blob_sha"], "text", options, custom_rules)
-    hits = keep(hits) if keep else hits
+    hits = keep(detect(readable_texts(blobs, options), ["blob_sha"], "text", options, custom_rules))
     new, known = judged(findings_of_files(files, hits, allowlist), options, baseline)
     new = new.withColumns({name: F.lit(value) for name, value in PENDING_COMMIT.items()})
     return Scan(new, known, None, files, hits.select("blob_sha").distinct())

@@ -16,7 +16,6 @@ from credsieve.operators.history import (
 from credsieve.operators.snapshots import file_versions_of, snapshot_diff
 from credsieve.options import ScanOptions
 from credsieve.plans.scan import scan_history, scan_pending, summary, totals
-from credsieve.storage import cut_lineage
 
 COMMITS = "repo string, commit_sha string, parents array<string>, commit_seq long, author string, committed_at timestamp, message string"
 FILES = "repo string, commit_sha string, path string, blob_sha string, change_type string"
@@ -133,7 +132,7 @@ def test_history_scan(spark):
     key, other, commits, files, blobs = history(spark)
     options = ScanOptions(max_file_size=2000)
     for rows in (1, 1000):
-        scan = scan_history(commits, files, blobs, options, rows_per_task=rows, keep=cut_lineage)
+        scan = scan_history(commits, files, blobs, options, rows_per_task=rows)
         got = {(f.file_path, f.matched_text, f.commit_sha, f.commit_author, f.commit_date)
                for f in scan.findings.collect() if f.rule_id == "aws-access-key-id"}
         assert got == {

@@ -402,11 +402,11 @@ def pending(spark, sf_dir):
     )
 
 
-def history(spark, sf_dir, keep=None, **kw):
+def history(spark, sf_dir, **kw):
     kw.setdefault("options", ScanOptions(exclude_paths=["vendor/*"]))
     return scan_history(
         planted.commits(spark, sf_dir), planted.file_versions(spark, sf_dir), planted.blobs(spark, sf_dir),
-        keep=keep, **kw,
+        **kw,
     )
 
 
@@ -442,13 +442,13 @@ def range_scan(spark, sf_dir):
 
 @query
 def scan_summary(spark, sf_dir):
-    scan = history(spark, sf_dir, keep=cut_lineage)
+    scan = history(spark, sf_dir)
     return whole(summary(scan, planted.blobs(spark, sf_dir)))
 
 
 @query
 def scan_totals(spark, sf_dir):
-    scan = history(spark, sf_dir, keep=cut_lineage)
+    scan = history(spark, sf_dir)
     return whole(totals(summary(scan, planted.blobs(spark, sf_dir))))
 
 
