@@ -83,3 +83,17 @@ def contains_any_case(text: Column, needles: list[str]) -> Column:
     return F.exists(F.array(F.lower(text)), lambda low: contains_any(low, lowered)) | contains_any(
         text, FOLDING_LETTERS
     )
+
+
+def pair(first: Column, second: Column) -> Column:
+    """Two strings as one.  Arrays of strings are made distinct by hashing, arrays of
+    structs by comparing all pairs."""
+    return F.concat(F.length(first).cast("string"), F.lit(":"), first, second)
+
+
+def halves(joined: Column) -> tuple[Column, Column]:
+    """The two strings of a :func:`pair`."""
+    size = F.substring_index(joined, ":", 1)
+    start = F.length(size) + 2
+    length = size.cast("int")
+    return F.substr(joined, start, length), F.substr(joined, start + length)

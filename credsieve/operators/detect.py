@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 from credsieve.functions.findings import severity_rank
 from credsieve.functions.regex import to_java
-from credsieve.functions.text import text_array
+from credsieve.functions.text import drop_line_end, text_array
 from credsieve.functions.values import is_noise_line, is_valid_secret
 from credsieve.operators import entropy, keywords, patterns
 from credsieve.options import ScanOptions
@@ -65,8 +65,8 @@ def raw_hits(
     python_rules = [(i, r) for i, r in rules if not r.java]
     if python_rules:
         found = patterns.python_matches(texts, keys, python_rules)
+        found = found.where(~is_ignored(F.col("line"), options))
         lines = lines.unionByName(found.withColumn("det", F.lit(PATTERN)))
-    lines = lines.where(~is_ignored(F.col("line"), options))
     return _finished(_tokens(_parts(lines, keys, options), keys, options), keys, [r for _, r in rules])
 
 
@@ -119,14 +119,22 @@ def _candidate_lines(
         by_index = F.map_from_arrays(indexes, text_array([r.java for _, r in rules]))
 
         def of_rule(i: Column) -> Column:
-            found = patterns.located_matches(text, F.col("_mark"), F.element_at(by_index, i))
-            return F.transform(
-                found,
-                lambda m: F.struct(
-                    F.lit(PATTERN).alias("det"), i.alias("rule_idx"), m["line_number"], m["line"],
-                    m["match"], m["pos"],
-                ),
-            )
+            found = patterns.located_matches(
+                text, F.col("_mark"), F.element_at(by_index, i), lambda line: is_ignored(line, options)
+            )
+            lines = F.transform(F.split(text, "\n", -1), drop_line_end)
+
+            def with_line(all_lines: Column) -> Column:
+                return F.transform(
+                    found,
+                    lambda m: F.struct(
+                        F.lit(PATTERN).alias("det"), i.alias("rule_idx"), m["line_number"],
+                        F.element_at(all_lines, m["line_number"]).alias("line"), m["match"], m["pos"],
+                    ),
+                )
+
+            # the lambda gives the lines a name, so that the text is cut once
+            return F.flatten(F.transform(F.array(lines), with_line))
 
         parts.append(F.flatten(F.transform(F.col("_rules"), of_rule)).cast(_LINE))
 
@@ -148,7 +156,9 @@ def _candidate_lines(
     if "_entropy" in flags:
         parts.append(whole_lines(ENTROPY, "_entropy", entropy.token_lines(text, options)))
     rows = F.concat(*parts) if parts else F.array().cast(_LINE)
-    return gated.select(*keys, F.explode(rows).alias("c")).select(*keys, "c.*")
+    lines = gated.select(*keys, F.explode(rows).alias("c")).select(*keys, "c.*")
+    # matches on ignored lines are left out already
+    return lines.where((F.col("det") == PATTERN) | ~is_ignored(F.col("line"), options))
 
 
 def _parts(lines: DataFrame, keys: list[str], options: ScanOptions) -> DataFrame:

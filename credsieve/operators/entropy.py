@@ -16,7 +16,7 @@ from credsieve.functions.entropy import (
     alphabet_entropy,
 )
 from credsieve.functions.regex import SPACE
-from credsieve.functions.text import numbered_lines
+from credsieve.functions.text import halves, numbered_lines, pair
 from credsieve.options import ScanOptions
 
 _MIN_HEX = 8
@@ -56,7 +56,7 @@ def token_lines(text: Column, options: ScanOptions) -> Column:
 
 
 def line_runs(line: Column, options: ScanOptions) -> Column:
-    """Maximal runs of base64 characters: array of (head, run, pos).
+    """Distinct maximal runs of base64 characters: array of (head, run, pos).
 
     ``head`` is the start of an address that leads without a break up to the run,
     '' if there is none.  The bound in the pattern is loose (UTF-16 units); the
@@ -67,14 +67,18 @@ def line_runs(line: Column, options: ScanOptions) -> Column:
         rf"(?<!{BASE64})(?={BASE64}{{{base64_size(options)}}}|{BASE64}*?{hex_pattern(options)})"
         rf"(?:(?<={head})|)({BASE64}+)"
     )
-    return F.transform(
-        F.arrays_zip(
-            F.regexp_extract_all(line, F.lit(run), F.lit(1)),
-            F.regexp_extract_all(line, F.lit(run), F.lit(2)),
-        ),
-        lambda r, i: F.struct(r["0"].alias("head"), r["1"].alias("run"), i.alias("pos")),
+    found = F.zip_with(
+        F.regexp_extract_all(line, F.lit(run), F.lit(1)),
+        F.regexp_extract_all(line, F.lit(run), F.lit(2)),
+        pair,
     )
 
+    def parts(joined: Column, i: Column) -> Column:
+        start, characters = halves(joined)
+        return F.struct(start.alias("head"), characters.alias("run"), i.alias("pos"))
+
+    return F.transform(F.array_distinct(found), parts)
+
 
 def _path_or_slug(token: Column) -> Column:
     size = F.length(token)
@@ -111,7 +115,8 @@ def hex_tokens(head: Column, run: Column, options: ScanOptions) -> Column:
     near_address = (
         rf"(?:(?iu:http)://{_STOP}{{0,{_LOOK_BACK - 7}}}|(?iu:https)://{_STOP}{{0,{_LOOK_BACK - 8}}})"
     )
-    token = rf"(?<!{HEX})(?<!{near_address}){HEX}{{{_MIN_HEX},}}"
+    # the look-behind over many characters comes after the cheap tests
+    token = rf"(?<!{HEX})(?={HEX}{{{_MIN_HEX}}})(?<!{near_address}){HEX}+"
     found = F.regexp_extract_all(F.concat(blank_head, run), F.lit(token), F.lit(0))
     measured = F.transform(
         found,

@@ -8,7 +8,14 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from credsieve.functions.regex import to_java
-from credsieve.functions.text import contains_any, contains_any_case, numbered_universal_lines, strip
+from credsieve.functions.text import (
+    contains_any,
+    contains_any_case,
+    halves,
+    numbered_universal_lines,
+    pair,
+    strip,
+)
 from credsieve.options import ScanOptions
 
 # The assignment forms in the order they are tried (Python dialect).
@@ -79,14 +86,20 @@ def line_assignments(line: Column, options: ScanOptions) -> Column:
     def matches(form: int, pattern: str) -> Column:
         groups = [F.regexp_extract_all(line, F.lit(pattern), F.lit(g)) for g in (1, 2, 3, 4)]
         found = F.transform(
-            F.arrays_zip(*groups),
-            lambda g, i: F.struct(
+            F.arrays_zip(*groups), lambda g: pair(g["0"], _value(g["1"], g["2"], g["3"]))
+        )
+
+        def assignment(joined: Column, i: Column) -> Column:
+            keyword, value = halves(joined)
+            return F.struct(
                 F.lit(form).alias("form"),
                 i.alias("pos"),
-                g["0"].alias("keyword"),
-                _value(g["1"], g["2"], g["3"]).alias("value"),
-            ),
-        )
+                keyword.alias("keyword"),
+                value.alias("value"),
+            )
+
+        # repeats on a line go before each of them is given its line
+        found = F.transform(F.array_distinct(found), assignment)
         return F.when(signs[form] & line.rlike(pattern), found).otherwise(nothing)
 
     return F.concat(*[matches(i, p) for i, p in enumerate(form_patterns(options))])

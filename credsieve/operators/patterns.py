@@ -3,13 +3,13 @@
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from credsieve.functions.text import FOLDING_LETTERS, drop_line_end, sql_text
+from credsieve.functions.text import FOLDING_LETTERS, halves, pair, sql_text
 from credsieve.rules.model import LONG_RUN, Rule
 
 # stands before a match while the text is cut into lines
@@ -78,13 +78,15 @@ def match_mark(text: Column) -> Column:
     ).otherwise(F.lit(_MARK))
 
 
-def located_matches(text: Column, mark: Column, pattern: Column) -> Column:
-    """All matches of a rule: array of (line_number, line, match, pos).
+def located_matches(
+    text: Column, mark: Column, pattern: Column, ignored: Callable[[Column], Column]
+) -> Column:
+    """Distinct matches of a rule: array of (line_number, match, pos), ignored lines left out.
 
-    The mark is put before every match, then the text is cut at newlines: each
-    marked line gives its number and content once per mark, in match order.  That
-    takes one pass for any number of matches and also serves rules whose matches
-    cross lines.
+    The mark is put before every match, then the text is cut at newlines: each marked
+    line gives its number once per mark, in match order.  That takes one pass for any
+    number of matches and also serves rules whose matches cross lines.  Repeats on a
+    line are dropped here, before a match is given its line.
     """
     marked = F.transform(
         F.split(F.regexp_replace(text, pattern, F.concat(mark, F.lit("$0"))), "\n", -1),
@@ -94,32 +96,21 @@ def located_matches(text: Column, mark: Column, pattern: Column) -> Column:
     def per_mark(row: Column) -> Column:
         bare = F.replace(row["line"], mark, F.lit(""))
         marks = (F.length(row["line"]) - F.length(bare)) / F.length(mark)
-        return F.array_repeat(
-            F.struct(row["line_number"].alias("line_number"), drop_line_end(bare).alias("line")),
-            marks.cast("int"),
-        )
+        number = F.when(~ignored(bare), row["line_number"].cast("string"))
+        return F.array_repeat(number, marks.cast("int"))
 
-    starts = F.flatten(
+    numbers = F.flatten(
         F.transform(F.filter(marked, lambda row: F.contains(row["line"], mark)), per_mark)
     )
-    pairs = F.zip_with(
-        starts,
-        F.regexp_extract_all(text, pattern, F.lit(0)),
-        lambda start, match: F.struct(
-            start["line_number"].alias("line_number"),
-            start["line"].alias("line"),
-            match.alias("match"),
-        ),
-    )
-    return F.transform(
-        pairs,
-        lambda p, i: F.struct(
-            p["line_number"].alias("line_number"),
-            p["line"].alias("line"),
-            p["match"].alias("match"),
-            i.alias("pos"),
-        ),
-    )
+    found = F.zip_with(numbers, F.regexp_extract_all(text, pattern, F.lit(0)), pair)
+
+    def located(joined: Column, i: Column) -> Column:
+        number, match = halves(joined)
+        return F.struct(
+            number.cast("int").alias("line_number"), match.alias("match"), i.alias("pos")
+        )
+
+    return F.transform(F.array_distinct(F.array_compact(found)), located)
 
 
 PYTHON_MATCHES = "rule_idx int, line_number int, line string, match string, pos int"
@@ -138,10 +129,13 @@ def python_matches(texts: DataFrame, keys: list[str], rules: list[tuple[int, Rul
             for row in batch.itertuples(index=False):
                 text, key = row[-1], row[:-1]
                 for i, rx in compiled:
-                    line_number, line_start = 1, 0
+                    line_number, line_start, seen = 1, 0, set()
                     for pos, m in enumerate(rx.finditer(text)):
                         line_number += text.count("\n", line_start, m.start())
                         line_start = m.start()
+                        if (line_number, m.group()) in seen:
+                            continue
+                        seen.add((line_number, m.group()))
                         first = text.rfind("\n", 0, m.start()) + 1
                         last = text.find("\n", m.start())
                         line = text[first : last if last >= 0 else len(text)].rstrip("\r\n")
