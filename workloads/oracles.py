@@ -213,6 +213,11 @@ ORACLES: dict[str, str] = {
       FROM rule_hits JOIN rules USING (rule_idx)
       WHERE NOT regexp_matches(line, '(?i)credsieve\\s*:\\s*ignore|pragma\\s*:\\s*allowlist\\s+secret')
       QUALIFY row_number() OVER (PARTITION BY doc_id, line_number, match ORDER BY rule_idx) = 1""",
+    "python_rules": f"""WITH {DOCS}, {lines_cte("docs", "doc_id")}
+      SELECT DISTINCT doc_id, line_number, line AS line_content, 'conditional' AS rule_id, 'Conditional' AS rule_name,
+             'LOW' AS severity, match AS matched_text
+      FROM (SELECT *, unnest(regexp_extract_all(line, 'token = "| note')) AS match FROM lines)
+      WHERE NOT regexp_matches(line, '(?i)credsieve\\s*:\\s*ignore|pragma\\s*:\\s*allowlist\\s+secret')""",
     "rule_validation": """
       SELECT 'rule-' || doc_id AS id, CASE WHEN doc_id % 7 <> 4 THEN 'Rule ' || doc_id ELSE 'rule-' || doc_id END AS name,
              CASE WHEN doc_id % 7 = 1 THEN '[unclosed' ELSE 'x{2}' || doc_id END AS pattern,
@@ -256,6 +261,11 @@ ORACLES: dict[str, str] = {
       FROM findings WHERE fingerprint >= 'a'
       QUALIFY row_number() OVER (PARTITION BY repo, fingerprint ORDER BY {REPORT_ORDER}) = 1""",
     "commit_ranges": f"WITH RECURSIVE {commits_after(1)} SELECT repo, commit_sha, commit_seq, author FROM selected WHERE repo IN (SELECT repo FROM commits WHERE commit_seq = 1)",
+    "commit_numbers": f"""WITH {COMMITS}
+      SELECT repo, commit_sha, row_number() OVER (PARTITION BY repo ORDER BY committed_at, commit_sha) AS commit_seq FROM commits""",
+    "head_tree": f"""WITH {COMMITS}, {TURNS}, {FILES}
+      SELECT repo, path, blob_sha FROM file_versions JOIN commits USING (repo, commit_sha)
+      QUALIFY row_number() OVER (PARTITION BY repo, path ORDER BY commit_seq DESC) = 1""",
     "head_only": f"""WITH {COMMITS}
       SELECT repo, commit_sha, commit_seq FROM commits QUALIFY row_number() OVER (PARTITION BY repo ORDER BY commit_seq DESC) = 1""",
     "snapshot_changes": f"""WITH {TURNS}, new AS ({planted.tree_sql("turns", 4)}), old AS ({planted.tree_sql("turns", 2)}),
@@ -313,6 +323,10 @@ ORACLES: dict[str, str] = {
              cast(line_number AS varchar) AS begin FROM findings""",
     "report_document_sizes": f"""{doc_findings()}
       SELECT repo, count(*) + 2 AS n_lines, count(*) - 1 AS n_commas, cast(2 AS bigint) AS n_ends FROM findings GROUP BY repo""",
+    "stream_incremental": f"""WITH {TURNS}, texts AS (
+        SELECT DISTINCT repo, turn, 'turn' || (turn % 3) || '.txt' AS path, text FROM turns),
+      {hits_ctes("texts", "repo, turn, path")}, {first_hits_cte("repo, path", "turn,")}
+      SELECT repo, path AS file_path, line_number, rule_id, severity, matched_text, turn AS commit_seq FROM findings""",
     "stream_scan": f"""WITH {TURNS}, texts AS (
         SELECT DISTINCT repo, turn, 'turn' || (turn % 3) || '.txt' AS path, text FROM turns),
       {hits_ctes("texts", "repo, turn, path")}

@@ -12,7 +12,7 @@ from credsieve.functions.findings import one_line
 from credsieve.functions.text import base_name, normal_path
 from credsieve.functions.values import is_noise_line, is_valid_secret
 from credsieve.operators.detect import assignments, detect, raw_hits
-from credsieve.operators.history import commit_range, select_commits
+from credsieve.operators.history import commit_range, numbered, select_commits, snapshot_at
 from credsieve.operators.paths import path_of_url, should_scan
 from credsieve.operators.snapshots import snapshot_diff
 from credsieve.operators.suppress import (
@@ -201,6 +201,15 @@ def custom_rules(spark, sf_dir):
     return _rule_rows(found)
 
 
+@query
+def python_rules(spark, sf_dir):
+    """A rule with a conditional group, which only Python can run."""
+    options = ScanOptions(use_builtin_rules=False, use_keywords=False, use_entropy=False)
+    rule = Rule("conditional", "Conditional", "LOW", r'(token)?(?(1) = "| note)')
+    assert rule.java is None
+    return _rule_rows(detect(planted.documents(spark, sf_dir), ["doc_id"], "text", options, [rule]))
+
+
 @query
 def rule_validation(spark, sf_dir):
     docs = planted.documents(spark, sf_dir)
@@ -378,6 +387,19 @@ def commit_ranges(spark, sf_dir):
     return whole(commit_range(commits, bases), "repo", "commit_sha", "commit_seq", "author")
 
 
+@query
+def commit_numbers(spark, sf_dir):
+    """commit_seq of linear histories from their commit times."""
+    commits = planted.commits(spark, sf_dir).drop("commit_seq")
+    return whole(numbered(commits), "repo", "commit_sha", "commit_seq")
+
+
+@query
+def head_tree(spark, sf_dir):
+    """Files of the newest commit, from the changes along its first-parent line."""
+    return snapshot_at(planted.commits(spark, sf_dir), planted.file_versions(spark, sf_dir))
+
+
 @query
 def head_only(spark, sf_dir):
     commits = planted.commits(spark, sf_dir)
@@ -531,3 +553,12 @@ def stream_scan(spark, sf_dir):
 
     found = stream_conversations(spark, sf_dir)
     return whole(found, "repo", "file_path", "line_number", "matched_text")
+
+
+@query
+def stream_incremental(spark, sf_dir):
+    """The same stream with findings appended and the baseline rolled forward per batch."""
+    from workloads.streams import incremental_conversations
+
+    found = incremental_conversations(spark, sf_dir)
+    return whole(found, "repo", "file_path", "line_number", "rule_id", "severity", "matched_text", "commit_seq")

@@ -1,4 +1,4 @@
-"""A streaming run over the conversations."""
+"""Streaming runs over the conversations."""
 
 from __future__ import annotations
 
@@ -8,28 +8,38 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from credsieve.storage import work_folder
-from credsieve.streaming.scan import stream_findings
+from credsieve.streaming.scan import run_incremental, stream_findings
 from workloads import planted
 
 
-def stream_conversations(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Read the conversations as a stream, scan it until all is read, return the findings
-    written."""
-    folder = f"{work_folder(spark)}/{uuid.uuid4().hex}"
+def _turns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(repo, path, text, committed_at, commit_seq) as a stream."""
     schema = spark.read.parquet(f"{sf_dir}/conversations.parquet").schema
-    stream = spark.readStream.schema(schema).option("pathGlobFilter", "conversations.parquet").parquet(sf_dir)
+    stream = (
+        spark.readStream.schema(schema)
+        .option("pathGlobFilter", "conversations.parquet")
+        .parquet(sf_dir)
+    )
     stream.createOrReplaceTempView("conversations")
-    turns = planted.with_blob(spark).select(
+    # one hour per conversation, one minute per turn, some time after the epoch
+    hour = F.substr("repo", F.lit(5)).cast("bigint")
+    return planted.with_blob(spark).select(
         "repo",
         F.concat(F.lit("turn"), (F.col("turn") % 3).cast("string"), F.lit(".txt")).alias("path"),
         "text",
-        # one hour per conversation, one minute per turn, some time after the epoch
-        F.timestamp_seconds(
-            F.lit(1_700_000_000) + F.substr("repo", F.lit(5)).cast("bigint") * 3600 + F.col("turn") * 60
-        ).alias("committed_at"),
+        F.timestamp_seconds(F.lit(1_700_000_000) + hour * 3600 + F.col("turn") * 60).alias("committed_at"),
         F.col("turn").alias("commit_seq"),
     )
-    found = stream_findings(turns, horizon="30 days")
+
+
+def _folder(spark: SparkSession) -> str:
+    return f"{work_folder(spark)}/{uuid.uuid4().hex}"
+
+
+def stream_conversations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Scan the conversations as a stream until all is read; the findings written."""
+    folder = _folder(spark)
+    found = stream_findings(_turns(spark, sf_dir), horizon="30 days")
     query = (
         found.writeStream.format("parquet")
         .option("checkpointLocation", f"{folder}/checkpoint")
@@ -38,3 +48,12 @@ def stream_conversations(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
     query.awaitTermination()
     return spark.read.schema(found.schema).parquet(f"{folder}/findings")
+
+
+def incremental_conversations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same with a baseline that is rolled forward batch by batch."""
+    folder = _folder(spark)
+    run_incremental(
+        _turns(spark, sf_dir), f"{folder}/findings", f"{folder}/baseline", f"{folder}/checkpoint"
+    ).awaitTermination()
+    return spark.read.parquet(f"{folder}/findings")
