@@ -1,8 +1,9 @@
-"""Cutting lineage so that it survives lost executors."""
+"""Cutting lineage so that it survives lost executors, and giving the space back."""
 
 from __future__ import annotations
 
-import tempfile
+import atexit
+import shutil
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -11,14 +12,16 @@ from pyspark.sql import DataFrame, SparkSession
 def work_folder(spark: SparkSession) -> str:
     """The shared folder the session names in ``spark.checkpoint.dir``.
 
-    A local session without that setting gets a folder of its own.
+    A local session without that setting works in its warehouse folder and removes what
+    it wrote there at its end; on a cluster the setting is required.
     """
     context = spark.sparkContext
     folder = context.getCheckpointDir() or spark.conf.get("spark.checkpoint.dir", None)
     if folder is None:
-        if not context.master.startswith("local"):
+        if not context.master.startswith("local") or "cluster" in context.master:
             raise ValueError("set spark.checkpoint.dir to a folder all executors share")
-        folder = tempfile.mkdtemp(prefix="run-", dir="/tmp")
+        folder = f"{spark.conf.get('spark.sql.warehouse.dir')}/_work-{context.applicationId}"
+        atexit.register(shutil.rmtree, folder.removeprefix("file:"), ignore_errors=True)
     if context.getCheckpointDir() is None:
         context.setCheckpointDir(folder)
     return context.getCheckpointDir()
@@ -33,3 +36,31 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     path = f"{work_folder(df.sparkSession)}/{uuid.uuid4().hex}"
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+class Steps:
+    """Written steps of one job, each dropped as soon as the job no longer reads it.
+
+    They are managed tables of a database placed in the shared work folder, so that
+    dropping one deletes its files, whatever file system the folder is on.
+    """
+
+    def __init__(self, spark: SparkSession) -> None:
+        self.spark = spark
+        self.database = f"steps_{uuid.uuid4().hex}"
+        place = f"{work_folder(spark)}/{self.database}"
+        spark.sql(f"CREATE DATABASE {self.database} LOCATION '{place}'")
+        self._made = 0
+
+    def write(self, df: DataFrame) -> DataFrame:
+        self._made += 1
+        name = f"{self.database}.step_{self._made}"
+        df.write.format("parquet").saveAsTable(name)
+        table = self.spark.table(name)
+        table._step = name
+        return table
+
+    def drop(self, *tables: DataFrame) -> None:
+        """Delete tables that ``write`` returned."""
+        for table in tables:
+            self.spark.sql(f"DROP TABLE IF EXISTS {table._step}")
