@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from credsieve.llm import decontaminate, packing, sql
-from credsieve.llm.common import table
+from credsieve.llm import decontaminate, langid, packing, simhash, sql
+from credsieve.llm.common import remainder, table
 
 Query = Callable[[SparkSession, str], DataFrame]
 REGISTRY: dict[str, Query] = {}
@@ -29,6 +29,24 @@ def op2_packing(spark, sf_dir):
     )
 
 
+@query
+def op7_simhash_near_dedup(spark, sf_dir):
+    """Fingerprints of all documents and their groups within two bits."""
+    found = simhash.near_duplicates(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", simhash.as_hex(F.col("fp")).alias("fingerprint"), "component_id")
+
+
+@query
+def op8_language_id(spark, sf_dir):
+    """Languages of all documents, learnt from two thirds of them."""
+    docs = table(spark, sf_dir, "documents")
+    held_out = remainder(F.col("doc_id"), 3) == 1
+    model = langid.fit(docs.where(~held_out))
+    return langid.predict(docs, model).select(
+        "doc_id", held_out.alias("held_out"), "lang_pred", "score", "rejected"
+    )
+
+
 @query
 def op9_benchmark_decontamination(spark, sf_dir):
     """Documents that contain windows of 13 words of benchmark items."""
