@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from credsieve.llm import decontaminate, langid, packing, simhash, sql
+from credsieve.llm import decontaminate, langid, packing, simhash, sql, suffix
 from credsieve.llm.common import remainder, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -63,4 +63,20 @@ def op9_benchmark_decontamination(spark, sf_dir):
     )
 
 
+@query
+def op10_suffix_array_dedup(spark, sf_dir):
+    """All documents without the bytes of strings of 400 bytes that occur twice."""
+    docs = table(spark, sf_dir, "documents")
+    found = suffix.without_spans(docs, suffix.repeated_spans(docs))
+    removed = F.aggregate("spans", F.lit(0).cast("long"), lambda n, s: n + s["hi"] - s["lo"])
+    return found.select(
+        "doc_id",
+        "n_bytes",
+        F.coalesce(removed, F.lit(0).cast("long")).alias("n_removed"),
+        F.coalesce(F.size("spans"), F.lit(0)).cast("long").alias("n_spans"),
+        F.sha2("kept", 256).alias("kept_sha256"),
+    )
+
+
+
 ORACLES["op9_benchmark_decontamination"] = sql.DECONTAMINATION
