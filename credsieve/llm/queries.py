@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from credsieve.llm import decontaminate, langid, packing, simhash, sql, suffix
+from credsieve.llm import decontaminate, langid, packing, relative_lz, simhash, sql, suffix
 from credsieve.llm.common import remainder, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -29,6 +29,14 @@ def op2_packing(spark, sf_dir):
     )
 
 
+@query
+def op3_substring_dedup(spark, sf_dir):
+    """All documents without the words of windows of 20 words that also start earlier."""
+    docs = table(spark, sf_dir, "documents")
+    found = relative_lz.without_copies(docs, relative_lz.factors(docs))
+    return found.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
+
+
 @query
 def op7_simhash_near_dedup(spark, sf_dir):
     """Fingerprints of all documents and their groups within two bits."""
