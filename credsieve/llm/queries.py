@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from credsieve.llm import decontaminate, langid, packing, relative_lz, simhash, sql, suffix
+from credsieve.llm import decontaminate, langid, packing, relative_lz, simhash, sql, suffix, toxicity
 from credsieve.llm.common import remainder, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -20,6 +20,15 @@ def query(f: Query) -> Query:
     return f
 
 
+@query
+def op1_toxicity(spark, sf_dir):
+    """Toxicity of all documents, learnt from the labels of three quarters of them."""
+    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    held_out = remainder(F.col("doc_id"), 4) == 2
+    model = toxicity.fit(docs, labels, ~held_out)
+    return toxicity.score(docs, model).select("doc_id", held_out.alias("held_out"), "score", "predicted")
+
+
 @query
 def op2_packing(spark, sf_dir):
     """All documents, concatenated and cut into sequences of 4096 ids."""
