@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from credsieve.llm import blocks, decontaminate, langid, packing, relative_lz, simhash, sql, suffix, toxicity
+from credsieve.llm import blocks, collisions, decontaminate, langid, packing, relative_lz, simhash, sql, suffix, toxicity
 from credsieve.llm.common import remainder, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -46,6 +46,12 @@ def op3_substring_dedup(spark, sf_dir):
     return found.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
 
 
+@query
+def op4_embedding_near_dedup(spark, sf_dir):
+    """All vectors with their links of cosine 0.98 or more inside a label."""
+    return collisions.near_duplicates(table(spark, sf_dir, "embeddings"))
+
+
 @query
 def op5_html_extraction(spark, sf_dir):
     """Main text of all pages."""
