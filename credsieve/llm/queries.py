@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from credsieve.llm import blocks, collisions, decontaminate, langid, packing, relative_lz, simhash, sql, suffix, toxicity
+from credsieve.llm import blocks, collisions, decontaminate, langid, licenses, packing, relative_lz, simhash, sql, suffix, toxicity
 from credsieve.llm.common import remainder, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -58,6 +58,31 @@ def op5_html_extraction(spark, sf_dir):
     return blocks.extract(table(spark, sf_dir, "pages")).select("page_id", "url", "text", "n_chars")
 
 
+def as_files(docs: DataFrame) -> DataFrame:
+    """Documents as a tree of files: source, thousand and ten of the id are directories.
+
+    A document of whose words a fifth or more stand in licence headers is a licence file.
+    """
+    text = F.coalesce(F.col("text"), F.lit(""))
+    headers = licenses.header_lines(text)
+    in_headers = F.size(F.flatten(F.transform(headers, licenses.tokens)))
+    is_license = (F.size(headers) > 0) & (5 * in_headers >= F.size(licenses.tokens(text)))
+    number = F.coalesce("doc_id", F.lit(0))
+    folder = F.concat_ws(
+        "/", F.coalesce("source", F.lit("none")), F.floor(number / 1000), F.floor(number / 10)
+    )
+    name = F.concat(
+        F.when(is_license, "LICENSE.").otherwise("doc."), F.coalesce(F.col("doc_id").cast("string"), F.lit("none"))
+    )
+    return docs.select("doc_id", "text", F.concat(folder, F.lit("/"), name).alias("path"))
+
+
+@query
+def op6_license_scan(spark, sf_dir):
+    """Licences of all documents, by header or from the directories above."""
+    return licenses.scan(as_files(table(spark, sf_dir, "documents")))
+
+
 @query
 def op7_simhash_near_dedup(spark, sf_dir):
     """Fingerprints of all documents and their groups within two bits."""
@@ -109,3 +134,4 @@ def op10_suffix_array_dedup(spark, sf_dir):
 
 
 ORACLES["op9_benchmark_decontamination"] = sql.DECONTAMINATION
+ORACLES["op6_license_scan"] = sql.licenses(licenses.TEMPLATES)
