@@ -22,6 +22,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from credsieve.llm.common import fresh
+
 TAG = re.compile(
     r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)"
     r"|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+)>"
@@ -250,13 +252,13 @@ def extract(pages: DataFrame, html_col: str = "html", labelled: list[tuple] = LA
         for batch in batches:
             yield pd.DataFrame([main_text(p, tree) for p in batch], columns=["text", "n_kept", "n_blocks"])
 
-    own = ["text", "n_chars", "n_blocks", "n_kept"]
+    own, name = ["text", "n_chars", "n_blocks", "n_kept"], fresh(pages, "_found")
     kept = [c for c in pages.columns if c not in (html_col, *own)]
-    found = pages.select(*kept, extracted(F.col(html_col).cast("string")).alias("_found"))
+    found = pages.select(*kept, extracted(F.col(html_col).cast("string")).alias(name))
     return found.select(
         *kept,
-        F.col("_found.text").alias("text"),
-        F.length("_found.text").cast("long").alias("n_chars"),
-        F.col("_found.n_blocks").alias("n_blocks"),
-        F.col("_found.n_kept").alias("n_kept"),
+        F.col(f"{name}.text").alias("text"),
+        F.length(f"{name}.text").cast("long").alias("n_chars"),
+        F.col(f"{name}.n_blocks").alias("n_blocks"),
+        F.col(f"{name}.n_kept").alias("n_kept"),
     )

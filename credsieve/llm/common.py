@@ -30,13 +30,7 @@ def keyed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
     and share their result, so repeated ids and null ids need no numbering.
     """
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
-    return docs.select(
-        F.col(id_col).alias("doc_id"), F.xxhash64(text).alias("text_key"), text.alias("text")
-    )
-
-
-def same_row(a: DataFrame, b: DataFrame) -> Column:
-    return a["doc_id"].eqNullSafe(b["doc_id"]) & (a["text_key"] == b["text_key"])
+    return docs.select(F.col(id_col).alias("doc_id"), text_key(text).alias("text_key"), text.alias("text"))
 
 
 def attach(rows: DataFrame, found: DataFrame) -> DataFrame:
@@ -44,3 +38,15 @@ def attach(rows: DataFrame, found: DataFrame) -> DataFrame:
     right = found.withColumnsRenamed({"doc_id": "_doc_id", "text_key": "_text_key"})
     on = F.col("doc_id").eqNullSafe(F.col("_doc_id")) & (F.col("text_key") == F.col("_text_key"))
     return rows.join(right, on, "left").drop("_doc_id", "_text_key")
+
+
+def fresh(df: DataFrame, name: str) -> str:
+    """A column name that ``df`` does not have."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name = f"_{name}"
+    return name
+
+
+def text_key(text: Column) -> Column:
+    return F.xxhash64(F.coalesce(text.cast("string"), F.lit("")))

@@ -15,7 +15,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from credsieve.llm.common import ascii_lower, attach, keyed
+from credsieve.llm.common import ascii_lower, attach, fresh, keyed, text_key
 
 WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 WINDOW = 13
@@ -148,14 +148,14 @@ def is_contaminated(n_hit: Column, n_words: Column) -> Column:
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
     """The rows of ``docs`` that are not contaminated, with all their columns."""
+    own_id, own_key = fresh(docs, "_bad_id"), fresh(docs, "_bad_key")
     bad = (
         contamination(docs, benchmark, window)
         .where(is_contaminated(F.col("n_hit"), F.col("n_words")))
-        .select(F.col("doc_id").alias("_doc_id"), F.col("text_key").alias("_text_key"))
+        .select(F.col("doc_id").alias(own_id), F.col("text_key").alias(own_key))
         .distinct()
     )
-    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    on = F.col("doc_id").eqNullSafe(F.col("_doc_id")) & (F.xxhash64(text) == F.col("_text_key"))
+    on = F.col("doc_id").eqNullSafe(F.col(own_id)) & (text_key(F.col("text")) == F.col(own_key))
     return docs.join(bad, on, "left_anti")
 
 

@@ -29,6 +29,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from credsieve.llm.common import fresh
+
 UNKNOWN = "und"
 FEATURES = 1 << 13
 PER_LANGUAGE = 600
@@ -208,10 +210,12 @@ def predict(docs: DataFrame, model: Centroids) -> DataFrame:
     """``docs`` with lang_pred, score (the cosine) and rejected; same-named columns are replaced."""
     found = ["lang_pred", "score", "rejected"]
     kept = [c for c in docs.columns if c not in found]
-    return docs.withColumn("_found", _nearest(docs, model)).select(*kept, *[f"_found.{c}" for c in found])
+    own = fresh(docs, "_found")
+    return docs.withColumn(own, _nearest(docs, model)).select(*kept, *[f"{own}.{c}" for c in found])
 
 
 def drop_unknown(docs: DataFrame, model: Centroids) -> DataFrame:
     """The rows of ``docs`` that the model does not reject, with their own columns."""
-    found = _nearest(docs, model)
-    return docs.withColumn("_found", found).where(~F.col("_found.rejected")).select(*docs.columns)
+    own = fresh(docs, "_found")
+    found = docs.withColumn(own, _nearest(docs, model))
+    return found.where(~F.col(f"{own}.rejected")).select(*docs.columns)

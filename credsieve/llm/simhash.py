@@ -27,6 +27,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType
 
+from credsieve.llm.common import fresh
 from credsieve.llm.components import components
 from credsieve.storage import Steps
 
@@ -146,7 +147,8 @@ def keep_one_of_each(docs: DataFrame, steps: Steps | None = None) -> DataFrame:
     id and text one stays; rows that repeat an id with another text are told apart by it.
     """
     found = near_duplicates(docs, steps).where(F.col("doc_id").eqNullSafe(F.col("component_id")))
-    kept = found.groupBy(F.col("doc_id").alias("_kept")).agg(F.count("*").alias("_rows"))
-    repeats = kept.where("_rows > 1").limit(1).count()
-    rows = docs.join(kept, F.col("doc_id").eqNullSafe(F.col("_kept")), "left_semi")
+    own = fresh(docs, "_kept")
+    kept = found.groupBy(F.col("doc_id").alias(own)).agg(F.count("*").alias("n"))
+    repeats = kept.where("n > 1").limit(1).count()
+    rows = docs.join(kept.select(own), F.col("doc_id").eqNullSafe(F.col(own)), "left_semi")
     return rows.dropDuplicates(["doc_id", "text"]) if repeats else rows

@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from credsieve.llm.common import attach, keyed
+from credsieve.llm.common import attach, fresh, keyed, text_key
 from credsieve.llm.decontaminate import covered
 from credsieve.llm.rolling import byte_anchors
 from credsieve.storage import Steps
@@ -398,9 +398,10 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> D
     """``docs`` with the repeated bytes cut out of ``text``; characters cut apart go whole."""
     found = repeated_spans(docs, length, gram)
     empty = F.array().cast("array<struct<lo:bigint,hi:bigint>>")
-    rows = docs.withColumn("_text_key", F.xxhash64(F.coalesce(F.col("text").cast("string"), F.lit(""))))
-    found = found.select(F.col("doc_id").alias("_doc_id"), F.col("text_key").alias("_found_key"), F.col("spans").alias("_spans"))
-    on = F.col("doc_id").eqNullSafe(F.col("_doc_id")) & (F.col("_text_key") == F.col("_found_key"))
+    own = {c: fresh(docs, f"_{c}") for c in found.columns}
+    found = found.withColumnsRenamed(own)
+    on = F.col("doc_id").eqNullSafe(F.col(own["doc_id"])) & (text_key(F.col("text")) == F.col(own["text_key"]))
+    spans = F.col(own["spans"])
 
     @F.pandas_udf("string")
     def cut(texts: pd.Series, spans: pd.Series) -> pd.Series:
@@ -416,6 +417,6 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> D
             out.append(b"".join([*left, data[at:]]).decode("utf-8", "ignore"))
         return pd.Series(out, dtype=object)
 
-    joined = rows.join(found, on, "left")
-    text = F.when(F.col("_spans").isNull(), F.col("text")).otherwise(cut(F.col("text"), F.coalesce("_spans", empty)))
+    joined = docs.join(found, on, "left")
+    text = F.when(spans.isNull(), F.col("text")).otherwise(cut(F.col("text"), F.coalesce(spans, empty)))
     return joined.withColumn("text", text).select(*docs.columns)
