@@ -15,8 +15,10 @@ documents of their own; an empty table gives no pieces.
 
 from __future__ import annotations
 
+import json
 import re
 from collections.abc import Iterator
+from functools import lru_cache
 
 import pyarrow as pa
 from pyspark import TaskContext
@@ -27,8 +29,8 @@ from credsieve.storage import Steps
 
 SEQUENCE = 4096
 END_ID = 2
-# Distinct words a task keeps the ids of; the rest are looked up again.
-WORDS_KEPT = 300_000
+# Distinct words a worker keeps the ids of, beside those of one text.
+WORDS_KEPT = 400_000
 # Two separators that end a token under any pre-tokeniser that drops white space.
 CHUNKS = re.compile(r"[^ \n]+")
 
@@ -39,34 +41,64 @@ def default_tokenizer() -> str:
     return public_tokenizers.path("word_bpe_49k.json")
 
 
+# Fixed value: how the default vocabulary cuts normalised text, white space being dropped.
+CUT = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+# The same cut for lower-case text up to U+024F, where Python's classes differ from these
+# only in six numerals; such text is also its own NFC.
+LATIN_CUT = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[^\W\d_²³¹¼½¾]+|[\d²³¹¼½¾]|(?:[^\w\s]|_)+")
+NOT_LATIN = re.compile(r"[\x00-\x08\x0e-\x1f\x7f\u0250-\U0010ffff]|<[|]")
+
+
+def byte_letters() -> dict[int, str]:
+    """Byte-level vocabularies write printable bytes as themselves, others from U+0100 on."""
+    shown = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
+    hidden = [b for b in range(256) if b not in shown]
+    return {b: chr(b) for b in shown} | {b: chr(256 + n) for n, b in enumerate(hidden)}
+
+
 class WordIds:
     """Ids of a text as little-endian unsigned 32-bit integers, word by word from a cache.
 
     Only for tokenisers that drop white space before they cut words; for them a text and
-    its words give the same ids.
+    its words give the same ids.  Latin text of the default vocabulary is cut into the
+    vocabulary's own words, any other text at blanks and line ends.
     """
 
     def __init__(self, path: str) -> None:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.known: dict[str, bytes] = {}
+        self.model = self.tokenizer.model
+        with open(path, encoding="utf-8") as file:
+            self.latin = json.dumps(CUT) in file.read()
+        self.letters = byte_letters()
+        self.cut: dict[str, bytes] = {}
+        self.chunks: dict[str, bytes] = {}
 
-    def add(self, words: list[str]) -> None:
-        if len(self.known) + len(words) > WORDS_KEPT:
-            self.known.clear()
-        for word in words:
-            ids = self.tokenizer.encode(word, add_special_tokens=False).ids
-            self.known[word] = b"".join(i.to_bytes(4, "little") for i in ids)
+    def _of_cut(self, word: str) -> bytes:
+        mapped = word if word.isascii() else word.encode().decode("latin-1").translate(self.letters)
+        return b"".join(t.id.to_bytes(4, "little") for t in self.model.tokenize(mapped))
+
+    def _of_chunk(self, word: str) -> bytes:
+        ids = self.tokenizer.encode(word, add_special_tokens=False).ids
+        return b"".join(i.to_bytes(4, "little") for i in ids)
 
     def of(self, text: str) -> bytes:
-        words = CHUNKS.findall(text)
-        new = set(words).difference(self.known)
-        if new:
-            self.add(sorted(new))
-            if len(self.known) < len(new) or not self.known.keys() >= set(words):
-                self.add([w for w in set(words) if w not in self.known])
-        return b"".join(map(self.known.__getitem__, words))
+        if self.latin and not NOT_LATIN.search(text):
+            words, known, look_up = LATIN_CUT.findall(text.lower()), self.cut, self._of_cut
+        else:
+            words, known, look_up = CHUNKS.findall(text), self.chunks, self._of_chunk
+        if len(known) > WORDS_KEPT:
+            known.clear()
+        for word in set(words).difference(known):
+            known[word] = look_up(word)
+        return b"".join(map(known.__getitem__, words))
+
+
+@lru_cache(1)
+def word_ids(path: str) -> WordIds:
+    """One cache for all tasks of a worker."""
+    return WordIds(path)
 
 
 def tokenised(docs: DataFrame, tokenizer: str | None = None, end_id: int = END_ID) -> DataFrame:
@@ -75,7 +107,7 @@ def tokenised(docs: DataFrame, tokenizer: str | None = None, end_id: int = END_I
     end = end_id.to_bytes(4, "little")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ids_of = WordIds(tokenizer or default_tokenizer())
+        ids_of = word_ids(tokenizer or default_tokenizer())
         part, at = TaskContext.get().partitionId(), 0
         for batch in batches:
             texts = batch.column(1)
