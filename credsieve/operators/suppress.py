@@ -17,23 +17,18 @@ from credsieve.functions.regex import Untranslatable, to_java
 from credsieve.functions.text import base_name, normal_path
 from credsieve.operators.paths import matches_globs
 
-# allowlists up to this many entries become part of the plan
-PLANNED_ENTRIES = 500
+# Regexes tested together as one alternation.
+ALTERNATIVES = 100
+# Literals are looked up by this many leading characters, shorter ones whole.
+GRAM = 8
+# A group that refers to another by number or name cannot move into an alternation.
+_REFERS = re.compile(r"\\[1-9]|\\k<|\(\?\(")
 
 
-def _entry_matches(entry: Row) -> Column | None:
-    """Predicate of one entry, None if Spark cannot run its regex."""
-    value = F.col("matched_text")
-    if entry.is_regex:
-        try:
-            hit = value.rlike(to_java(entry.pattern))
-        except re.error:
-            return F.lit(False)
-        except Untranslatable:
-            return None
-    else:
-        hit = F.contains(value, F.lit(entry.pattern))
-    return matches_globs(F.col("file_path"), [entry.scope]) & hit if entry.scope else hit
+def globs_as_python(scope: str | None) -> str | None:
+    from fnmatch import translate
+
+    return translate(scope) if scope else None
 
 
 def _python_entries(entries: list[Row]) -> Column:
@@ -55,71 +50,110 @@ def _python_entries(entries: list[Row]) -> Column:
     return allowed(F.col("matched_text"), normal_path(F.col("file_path")))
 
 
-def globs_as_python(scope: str | None) -> str | None:
-    from fnmatch import translate
+def regex_problem(pattern: str) -> str | None:
+    """Why an allowlist regex cannot be used, None if it can."""
+    try:
+        re.compile(pattern)
+    except re.error as exc:
+        return f"invalid regex: {exc}"
+    return None
 
-    return translate(scope) if scope else None
 
+def split_allowlist(allowlist: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Usable entries, and rejected ones with the reason in ``problem``."""
 
-def drop_allowed(findings: DataFrame, allowlist: DataFrame | None) -> DataFrame:
-    """Findings no allowlist entry speaks for.
+    @F.pandas_udf(StringType())
+    def problems(patterns: pd.Series) -> pd.Series:
+        return patterns.map(regex_problem)
 
-    ``allowlist`` holds (pattern, scope, is_regex).  A list of ordinary size becomes a
-    predicate with compiled patterns.  A longer one is cut into broadcast parts of
-    bounded size, each an anti join, so its size is limited nowhere.
-    """
-    if allowlist is None:
-        return findings
-    entries = allowlist.where(F.col("pattern") != "").select("pattern", "scope", "is_regex")
-    first = entries.limit(PLANNED_ENTRIES + 1).collect()
-    if len(first) > PLANNED_ENTRIES:
-        return _drop_by_joins(findings, entries)
-    tests, python_only = [], []
-    for entry in first:
-        test = _entry_matches(entry)
-        tests.append(test) if test is not None else python_only.append(entry)
+    empty = F.when(F.coalesce("pattern", F.lit("")) == "", F.lit("empty pattern"))
+    checked = allowlist.withColumn(
+        "problem", F.coalesce(empty, F.when(F.col("is_regex"), problems(F.coalesce("pattern", F.lit("")))))
+    )
+    return (
+        checked.where(F.col("problem").isNull()).drop("problem"),
+        checked.where(F.col("problem").isNotNull()),
+    )
+
+
+def _regex_tests(entries: list[Row]) -> list[Column]:
+    """Predicates of regex entries: alternations of one scope, and those only Python can run."""
+    by_scope: dict[str | None, list[str]] = {}
+    alone, python_only = [], []
+    for entry in entries:
+        if regex_problem(entry.pattern):
+            continue
+        try:
+            java = to_java(entry.pattern)
+        except Untranslatable:
+            python_only.append(entry)
+            continue
+        if _REFERS.search(entry.pattern):
+            alone.append((entry.scope, java))
+        else:
+            by_scope.setdefault(entry.scope, []).append(java)
+    for scope, patterns in by_scope.items():
+        for low in range(0, len(patterns), ALTERNATIVES):
+            alone.append((scope, "|".join(f"(?:{p})" for p in patterns[low : low + ALTERNATIVES])))
+    tests = []
+    for scope, java in alone:
+        hit = F.col("matched_text").rlike(java)
+        tests.append(matches_globs(F.col("file_path"), [scope]) & hit if scope else hit)
     if python_only:
         tests.append(_python_entries(python_only))
-    return findings.where(~functools.reduce(Column.__or__, tests)) if tests else findings
+    return tests
 
 
-def _drop_by_joins(findings: DataFrame, entries: DataFrame) -> DataFrame:
-    # the Java forms of patterns and scopes, made next to the data
-    @F.pandas_udf(StringType())
-    def java_regex(patterns: pd.Series) -> pd.Series:
-        def one(p: str) -> str | None:
-            try:
-                return to_java(p)
-            except re.error:
-                return None
-
-        return patterns.map(one)
+def _drop_literals(findings: DataFrame, literals: DataFrame) -> DataFrame:
+    """Leave out findings that hold a literal, found by its leading characters."""
 
     @F.pandas_udf(StringType())
     def java_glob(scopes: pd.Series) -> pd.Series:
         return scopes.map(lambda s: globs_to_regex([s]) if s else None)
 
-    parts = entries.count() // 5000 + 1
-    ready = entries.select(
-        "pattern",
-        "is_regex",
-        F.when(F.col("is_regex"), java_regex(F.col("pattern"))).alias("_regex"),
-        java_glob(F.col("scope")).alias("_scope"),
-        F.pmod(F.xxhash64("pattern", "scope"), F.lit(parts)).alias("_part"),
-    )
+    ready = literals.select(
+        "pattern", java_glob(F.col("scope")).alias("_scope"), F.substring("pattern", 1, GRAM).alias("_gram")
+    ).distinct()
     path, value = normal_path(F.col("file_path")), F.col("matched_text")
-    in_scope = (
+    allowed = F.contains(value, F.col("pattern")) & (
         F.col("_scope").isNull()
         | F.rlike(path, F.col("_scope"))
         | F.rlike(base_name(path), F.col("_scope"))
     )
-    hit = F.when(F.col("is_regex"), F.rlike(value, F.col("_regex"))).otherwise(
-        F.contains(value, F.col("pattern"))
-    )
-    for part in range(parts):
-        chunk = F.broadcast(ready.where(F.col("_part") == part).drop("_part"))
-        findings = findings.join(chunk, in_scope & hit, "left_anti")
-    return findings
+    if findings.isStreaming:
+        # a stream cannot be joined with what is derived from it; its batches are small
+        return findings.join(ready, allowed, "left_anti")
+    lengths = [r[0] for r in ready.select(F.length("_gram")).distinct().collect()]  # GRAM values at most
+    if not lengths:
+        return findings
+
+    def grams_of(n: int) -> Column:
+        starts = F.sequence(F.lit(1), F.length(value) - n + 1)
+        cut = F.transform(starts, lambda i: F.substr(value, i, F.lit(n)))
+        return F.when(F.length(value) >= n, cut).otherwise(F.array().cast("array<string>"))
+
+    grams = F.flatten(F.array(*[grams_of(n) for n in sorted(lengths)]))
+    pairs = findings.select("file_path", "matched_text").distinct()
+    looked_up = pairs.select("*", F.explode(F.array_distinct(grams)).alias("_gram"))
+    hits = looked_up.join(ready, "_gram").where(allowed).select("file_path", "matched_text").distinct()
+    return findings.join(hits, ["file_path", "matched_text"], "left_anti")
+
+
+def drop_allowed(findings: DataFrame, allowlist: DataFrame | None) -> DataFrame:
+    """Findings no allowlist entry speaks for.
+
+    ``allowlist`` holds (pattern, scope, is_regex).  Literals stay a table of any size and
+    are joined on their leading characters.  Regexes are compiled, so they are part of the
+    plan: of one scope, a hundred at a time.  Entries with an invalid regex allow nothing;
+    ``split_allowlist`` tells which.
+    """
+    if allowlist is None:
+        return findings
+    entries = allowlist.where(F.col("pattern") != "").select("pattern", "scope", "is_regex")
+    tests = _regex_tests(entries.where("is_regex").distinct().orderBy("scope", "pattern").collect())
+    if tests:
+        findings = findings.where(~functools.reduce(Column.__or__, tests))
+    return _drop_literals(findings, entries.where("NOT is_regex"))
 
 
 def at_least(findings: DataFrame, severity: str) -> DataFrame:

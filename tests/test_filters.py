@@ -74,9 +74,23 @@ def test_allowlist(spark, tmp_path, monkeypatch):
         return {(r.matched_text, r.file_path) for r in out.collect()}
 
     assert kept(entries) == KEPT
-    monkeypatch.setattr(suppress, "PLANNED_ENTRIES", 2)  # the joins for long lists
+    # harmless entries, however many, change nothing
+    many = spark.range(700).selectExpr(
+        "CASE WHEN id % 3 = 0 THEN concat('zz', id, 'q+$') ELSE concat('none-', id) END AS pattern",
+        "CASE WHEN id % 5 = 0 THEN concat('dir', id % 7, '/*') END AS scope", "id % 3 = 0 AS is_regex",
+    )
+    odd = [(r"(zzz)?(?(1)b|zzzqqq)", None, True), (r"(x)\1zz", None, True), ("(", None, True), ("", None, False)]
+    more = spark.createDataFrame(odd, "pattern string, scope string, is_regex boolean")
+    assert kept(entries.select("pattern", "scope", "is_regex").unionByName(many).unionByName(more)) == KEPT
+    monkeypatch.setattr(suppress, "ALTERNATIVES", 1)
     assert kept(entries) == KEPT
     monkeypatch.undo()
+    valid, rejected = suppress.split_allowlist(entries.unionByName(more.withColumn("reason", F.lit(""))))
+    assert valid.count() == 7
+    assert {(r.pattern, r.problem.split(":")[0]) for r in rejected.collect()} == {
+        ("[broken", "invalid regex"), ("(", "invalid regex"), ("", "empty pattern")}
+    plan = suppress.drop_allowed(findings(spark, VALUES), entries)._jdf.queryExecution().executedPlan().toString()
+    assert "NestedLoop" not in plan
     only_python = spark.createDataFrame(
         [(r"(RE)?(?(1)AL_)", None, True), ("SCOPED", "*.py", False)],
         "pattern string, scope string, is_regex boolean",
