@@ -116,21 +116,38 @@ def located_matches(
 PYTHON_MATCHES = "rule_idx int, line_number int, line string, match string, pos int"
 
 
+def literal_sql(text: str, rule: Rule) -> str | None:
+    """SQL condition that holds for every text the rule matches in; None if unknown."""
+    literals = [literal for literal in rule.literals if literal]
+    if not literals:
+        return None
+    if not rule.any_case:
+        return _contains_sql(text, literals)
+    low = _contains_sql(f"lower({text})", [literal.lower() for literal in literals])
+    return f"({low} OR {_contains_sql(text, FOLDING_LETTERS)})"
+
+
 def python_matches(texts: DataFrame, keys: list[str], rules: list[tuple[int, Rule]]) -> DataFrame:
-    """Matches of the rules that only Python's ``re`` can run, from Arrow batches."""
-    patterns = [(i, rule.pattern) for i, rule in rules]
+    """Matches of the rules that only Python's ``re`` can run, from Arrow batches.
+
+    Only texts with a literal of some rule leave the JVM, with the rules to try on them.
+    """
+    patterns = {i: rule.pattern for i, rule in rules}
+    tests = ", ".join(f"CASE WHEN {literal_sql('_text', rule) or 'true'} THEN {i} END" for i, rule in rules)
+    gated = texts.withColumn("_try", F.expr(f"array_compact(array({tests}))")).where(F.size("_try") > 0)
+    gated = gated.select(*keys, "_try", "_text")
     key_types = ", ".join(f"`{k}` {texts.schema[k].dataType.simpleString()}" for k in keys)
     columns = [*keys, "rule_idx", "line_number", "line", "match", "pos"]
 
     def scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        compiled = [(i, re.compile(p)) for i, p in patterns]
+        compiled = {i: re.compile(p) for i, p in patterns.items()}
         for batch in batches:
             out = []
             for row in batch.itertuples(index=False):
-                text, key = row[-1], row[:-1]
-                for i, rx in compiled:
+                text, tried, key = row[-1], row[-2], row[:-2]
+                for i in tried:
                     line_number, line_start, seen = 1, 0, set()
-                    for pos, m in enumerate(rx.finditer(text)):
+                    for pos, m in enumerate(compiled[i].finditer(text)):
                         line_number += text.count("\n", line_start, m.start())
                         line_start = m.start()
                         if (line_number, m.group()) in seen:
@@ -142,4 +159,4 @@ def python_matches(texts: DataFrame, keys: list[str], rules: list[tuple[int, Rul
                         out.append((*key, i, line_number, line, m.group(), pos))
             yield pd.DataFrame(out, columns=columns)
 
-    return texts.mapInPandas(scan, f"{key_types}, {PYTHON_MATCHES}")
+    return gated.mapInPandas(scan, f"{key_types}, {PYTHON_MATCHES}")

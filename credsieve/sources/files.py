@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import os
+import re
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -29,6 +32,11 @@ def is_readable(blobs: DataFrame, options: ScanOptions) -> Column:
     return (size <= options.max_file_size) & ~binary
 
 
+def is_text(text: Column, options: ScanOptions) -> Column:
+    """The same of a ready text."""
+    return (F.octet_length(text) <= options.max_file_size) & ~is_binary(text.cast("binary"))
+
+
 def readable_texts(blobs: DataFrame, options: ScanOptions | None = None) -> DataFrame:
     """(blob_sha, text) of the contents worth scanning.
 
@@ -36,11 +44,7 @@ def readable_texts(blobs: DataFrame, options: ScanOptions | None = None) -> Data
     """
     options = options or ScanOptions()
     if "content" not in blobs.columns:
-        fits = F.octet_length("text") <= options.max_file_size
-        no_nul = ~F.contains(
-            F.substring(F.col("text").cast("binary"), 1, SNIFFED_BYTES), F.lit(bytearray(b"\x00"))
-        )
-        return blobs.where(fits & no_nul).select("blob_sha", "text")
+        return blobs.where(is_text(F.col("text"), options)).select("blob_sha", "text")
     return blobs.where(is_readable(blobs, options)).select(
         "blob_sha", decoded(F.col("content")).alias("text")
     )
@@ -59,10 +63,15 @@ def read_folder(
         .load(path)
         .where(F.col("length") <= max_file_size)
     )
-    root = F.lit(path.rstrip("/") + "/")
+    if "://" not in path and not path.startswith(("/", "file:")):
+        path = os.path.abspath(path)
+    # the source writes file:/a for a folder given as /a or file:///a
+    root = re.sub("^file:/*", "/", path).rstrip("/") + "/"
+    # the root comes first in a path, folders of the same name come later
+    below = F.locate(root, F.col("path")) + len(root)
     return files.select(
         F.lit(repo).alias("repo"),
-        F.substring_index(F.col("path"), root, -1).alias("path"),
+        F.substr(F.col("path"), below).alias("path"),
         F.sha2("content", 256).alias("blob_sha"),
         F.col("length").alias("size"),
         is_binary(F.col("content")).alias("is_binary"),

@@ -12,8 +12,8 @@ from pyspark.sql.types import StringType
 from credsieve.functions.findings import SEVERITIES, severity_rank
 from credsieve.rules import Rule
 
-# rules become part of the plan, so their number is limited
-MAX_RULES = 2000
+# a pattern, or a part of it, that ignores case
+_ANY_CASE = re.compile(r"\(\?[a-zA-Z]*i")
 
 
 def regex_error(pattern: Column) -> Column:
@@ -72,12 +72,15 @@ def split_rules(raw: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 
 def as_rules(valid: DataFrame) -> list[Rule]:
-    """Rules for the plan builder, in order of rule_idx if there is one, else of id."""
+    """Rules for the plan builder, in order of rule_idx if there is one, else of id.
+
+    Rules are code: each is compiled into the plan, whatever their number.
+    """
     order = "rule_idx" if "rule_idx" in valid.columns else "id"
-    rows = valid.orderBy(order).limit(MAX_RULES + 1).collect()
-    if len(rows) > MAX_RULES:
-        raise ValueError(f"more than {MAX_RULES} rules; scan with them in several runs")
     return [
-        Rule(r.id, r.name, r.severity, r.pattern, [r.literal] if r.literal else [], False, r.description)
-        for r in rows
-    ]
+        Rule(
+            r.id, r.name, r.severity, r.pattern, [r.literal] if r.literal else [],
+            bool(_ANY_CASE.search(r.pattern)), r.description,
+        )
+        for r in valid.orderBy(order).collect()
+    ]
