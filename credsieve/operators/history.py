@@ -19,44 +19,87 @@ class UnknownRevision(ValueError):
 def numbered(commits: DataFrame) -> DataFrame:
     """commit_seq for linear histories: oldest first, ties by sha.
 
-    Commits are numbered within each hour; the hours of a repository are added up
-    beforehand, so that no task has to sort a whole repository.
+    Sizes are added up over the hours of a repository, then over the times of an hour and
+    the first two digits of the sha, and commits are numbered within these.  So no task
+    has to sort a whole repository, nor an import that gave all commits one time.
     """
-    hourly = commits.withColumn("_hour", F.date_trunc("hour", "committed_at"))
-    sizes = hourly.groupBy("repo", "_hour").agg(F.count("*").alias("_n"))
-    before = Window.partitionBy("repo").orderBy("_hour").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = sizes.select(
-        "repo", "_hour", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before")
+    fine = ["repo", "_hour", "committed_at", "_digits"]
+    parted = commits.withColumn("_hour", F.date_trunc("hour", "committed_at")).withColumn(
+        "_digits", F.substring("commit_sha", 1, 2)
     )
-    within = Window.partitionBy("repo", "_hour").orderBy("committed_at", "commit_sha")
+    sizes = parted.groupBy(*fine).agg(F.count("*").alias("_n"))
+    hours = sizes.groupBy("repo", "_hour").agg(F.sum("_n").alias("_n"))
+
+    def before(by: list[str], order: list[str]):
+        window = Window.partitionBy(*by).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+        return F.coalesce(F.sum("_n").over(window), F.lit(0))
+
+    offsets = hours.select("repo", "_hour", before(["repo"], ["_hour"]).alias("_hours"))
+    times = sizes.select(*fine, before(["repo", "_hour"], ["committed_at", "_digits"]).alias("_times"))
+    within = Window.partitionBy(*fine).orderBy("commit_sha")
     return (
-        hourly.join(offsets, ["repo", "_hour"])
-        .withColumn("commit_seq", F.col("_before") + F.row_number().over(within))
-        .drop("_hour", "_before")
+        parted.join(times, fine)
+        .join(offsets, ["repo", "_hour"])
+        .withColumn("commit_seq", F.col("_hours") + F.col("_times") + F.row_number().over(within))
+        .drop("_hour", "_digits", "_hours", "_times")
     )
 
 
 def head_of(commits: DataFrame) -> DataFrame:
-    """The newest commit of every repository: (repo, commit_sha)."""
-    return commits.groupBy("repo").agg(F.max_by("commit_sha", "commit_seq").alias("commit_sha"))
+    """The newest commit of every repository, ties by sha: (repo, commit_sha)."""
+    newest = F.max(F.struct("commit_seq", "commit_sha")).alias("c")
+    return commits.groupBy("repo").agg(newest).select("repo", "c.commit_sha")
+
+
+def _subtree_sizes(down: DataFrame) -> DataFrame:
+    """(repo, commit_sha, size): commits whose first-parent line passes a commit, itself
+    included, from (repo, commit_sha, down).
+
+    By pointer doubling: a round adds what lies up to twice as far above, so the rounds
+    are logarithmic in the longest line.  Sums are combined before the shuffle.
+    """
+    table = cut_lineage(down.select("repo", "commit_sha", "down", F.lit(1).cast("bigint").alias("size")))
+    while not table.where(F.col("down").isNotNull()).isEmpty():
+        more = (
+            table.where(F.col("down").isNotNull())
+            .groupBy("repo", F.col("down").alias("commit_sha"))
+            .agg(F.sum("size").alias("_more"))
+        )
+        further = table.select("repo", F.col("commit_sha").alias("down"), F.col("down").alias("_down"))
+        table = cut_lineage(
+            table.join(more, ["repo", "commit_sha"], "left")
+            .join(further, ["repo", "down"], "left")
+            .select(
+                "repo",
+                "commit_sha",
+                F.col("_down").alias("down"),
+                (F.col("size") + F.coalesce("_more", F.lit(0))).alias("size"),
+            )
+        )
+    return table.select("repo", "commit_sha", "size")
 
 
 def _chains(commits: DataFrame) -> DataFrame:
     """Cut the graphs into first-parent chains: (repo, commit_sha, chain, height).
 
-    Of the commits with the same first parent one continues the parent's chain.  Chains
-    are then ranked by pointer doubling: every round each commit looks twice as far
-    down, so a history of a million commits takes twenty rounds of one join.  Pointers
-    that are not done are all different, hence no key of these joins is hot.
+    Of the commits with the same first parent the one that most commits build on continues
+    the parent's chain; any other one at most halves that number, so a path meets
+    logarithmically many chains.  Chains are then ranked by pointer doubling: every round
+    each commit looks twice as far down, so a history of a million commits takes twenty
+    rounds of one join.  Pointers that are not done are all different, hence no key of
+    these joins is hot.
     """
+    known = commits.select("repo", F.col("commit_sha").alias("down"))
+    first = commits.select("repo", "commit_sha", F.get("parents", F.lit(0)).alias("down"))
+    linked = first.where(F.col("down").isNotNull()).join(known, ["repo", "down"], "left_semi")
+    roots = commits.select("repo", "commit_sha").join(linked, ["repo", "commit_sha"], "left_anti")
+    sizes = _subtree_sizes(linked.unionByName(roots.withColumn("down", F.lit(None).cast("string"))))
     links = (
-        commits.select("repo", "commit_sha", F.get("parents", F.lit(0)).alias("down"))
-        .where(F.col("down").isNotNull())
+        linked.join(sizes, ["repo", "commit_sha"])
         .groupBy("repo", "down")
-        .agg(F.max("commit_sha").alias("commit_sha"))
+        .agg(F.max(F.struct("size", "commit_sha")).alias("c"))
+        .select("repo", "down", "c.commit_sha")
     )
-    known = commits.select("repo", F.col("commit_sha").alias("down"))
-    links = links.join(known, ["repo", "down"], "left_semi")
     table = cut_lineage(
         commits.select("repo", "commit_sha")
         .join(links, ["repo", "commit_sha"], "left")
@@ -181,7 +224,8 @@ def commit_range(
         bases = commits.where(F.col("commit_sha") == base).select("repo", "commit_sha")
         if bases.isEmpty():
             raise UnknownRevision(f"unknown base revision {base!r}")
-        commits = commits.join(bases.select("repo"), "repo", "left_semi")
+        # a handful of repositories at most hold one sha
+        commits = commits.join(F.broadcast(bases.select("repo").distinct()), "repo", "left_semi")
     else:
         bases = base.select("repo", "commit_sha")
         missing = bases.join(commits, ["repo", "commit_sha"], "left_anti").first()
