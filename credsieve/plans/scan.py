@@ -10,14 +10,14 @@ from pyspark.sql import functions as F
 
 from credsieve.functions.findings import SEVERITIES, fingerprint, redacted
 from credsieve.operators.detect import detect, first_per_line, raw_hits
-from credsieve.operators.history import select_commits
-from credsieve.operators.joins import ROWS_PER_TASK, hot_keys, join_salted
+from credsieve.operators.history import select_commits, snapshot_at
+from credsieve.operators.joins import ROWS_PER_TASK, join_salted
 from credsieve.operators.paths import should_scan
 from credsieve.operators.snapshots import snapshot_diff
-from credsieve.operators.suppress import at_least, drop_allowed, drop_known, only_known
+from credsieve.operators.suppress import at_least, drop_allowed, drop_known, gate, only_known
 from credsieve.options import ScanOptions
 from credsieve.rules import Rule
-from credsieve.sources.files import is_readable, readable_texts
+from credsieve.sources.files import is_readable, is_text, readable_texts
 from credsieve.storage import cut_lineage
 
 Keep = Callable[[DataFrame], DataFrame] | None
@@ -30,6 +30,8 @@ FINDING_COLUMNS = [
 # what sorts a report, next to the severity
 ORDER_COLUMNS = ["commit_seq", "file_path", "det_rank", "rule_idx", "line_number", "pos"]
 
+COMMIT_COLUMNS = ["commit_sha", "commit_author", "commit_date"]
+
 # What stands for the commit of changes that are not committed yet.
 PENDING_COMMIT = {
     "commit_sha": "STAGED",
@@ -85,22 +87,28 @@ def first_occurrences(
     where: Column | None = None,
     rows_per_task: int = ROWS_PER_TASK,
 ) -> DataFrame:
-    """(repo, path, blob_sha) of scannable files with the earliest commit_seq.
+    """(repo, path, blob_sha) of scannable files with the earliest commit that has them.
 
+    Of commits with one commit_seq, as on two branches, the smallest sha counts.  Sha,
+    author and date come along, so findings need no look-up of their commit later.
     Contents play no part here; the key columns are all that is shuffled.
     """
     wanted = should_scan(F.col("path"), options) & (F.col("change_type") != "D")
     if where is not None:
         wanted = wanted & where
+    date = F.date_format("committed_at", "yyyy-MM-dd'T'HH:mm:ssxxx")
     return (
         join_salted(
             file_versions.where(wanted).select("repo", "commit_sha", "path", "blob_sha"),
-            commits.select("repo", "commit_sha", "commit_seq"),
+            commits.select(
+                "repo", "commit_sha", "commit_seq", F.col("author").alias("commit_author"), date.alias("commit_date")
+            ),
             ["repo", "commit_sha"],
             rows_per_task=rows_per_task,
         )
         .groupBy("repo", "path", "blob_sha")
-        .agg(F.min("commit_seq").alias("commit_seq"))
+        .agg(F.min(F.struct("commit_seq", *COMMIT_COLUMNS)).alias("c"))
+        .select("repo", "path", "blob_sha", "c.*")
     )
 
 
@@ -117,26 +125,7 @@ def findings_of_files(
     """
     placed = join_salted(files, hits, ["blob_sha"], rows_per_task=rows_per_task)
     placed = placed.withColumnRenamed("path", "file_path").drop("blob_sha")
-    return first_per_line(drop_allowed(placed, allowlist), ["repo", "file_path"], ["commit_seq"])
-
-
-def with_commits(
-    findings: DataFrame, commits: DataFrame, files: DataFrame, rows_per_task: int = ROWS_PER_TASK
-) -> DataFrame:
-    """Attach sha, author and date of the introducing commit.
-
-    Commits with very many files are taken from ``files``; counting findings instead
-    would mean to scan for them twice.
-    """
-    hot = hot_keys(files, ["repo", "commit_seq"], rows_per_task)
-    info = commits.select(
-        "repo",
-        "commit_seq",
-        "commit_sha",
-        F.col("author").alias("commit_author"),
-        F.date_format("committed_at", "yyyy-MM-dd'T'HH:mm:ssxxx").alias("commit_date"),
-    )
-    return join_salted(findings, info, ["repo", "commit_seq"], "left", hot=hot)
+    return first_per_line(drop_allowed(placed, allowlist), ["repo", "file_path"], ["commit_seq", "commit_sha"])
 
 
 def scan_history(
@@ -156,13 +145,18 @@ def scan_history(
 
     Every blob is read and searched once, in one narrow pass.  ``keep`` stores the two
     tables that several results are computed from, the distinct files and the hits; with
-    ``keep=None`` they are computed wherever they are used and nothing runs here.  For
-    head_only options ``file_versions`` must list the tree of the head (see
-    ``history.snapshot_at``).
+    ``keep=None`` they are computed wherever they are used and nothing runs here.  With
+    head_only the whole tree of the head is scanned, not what its commit changed, and the
+    head stands as the commit of all findings.
     """
     options = options or ScanOptions()
     selected = select_commits(commits, options, head)
     keep = keep or _as_is
+    if options.head_only:
+        tree = snapshot_at(commits, file_versions, head)
+        file_versions = tree.join(selected.select("repo", "commit_sha"), "repo").withColumn(
+            "change_type", F.lit("A")
+        )
     files = keep(first_occurrences(file_versions, selected, options, where, rows_per_task))
     if options.head_only or options.diff_base or options.since_commit:
         # a part of the history: leave out contents it does not refer to
@@ -170,13 +164,7 @@ def scan_history(
     hits = keep(detect(readable_texts(blobs, options), ["blob_sha"], "text", options, custom_rules))
     found = findings_of_files(files, hits, allowlist, rows_per_task)
     new, known = judged(found, options, baseline)
-    return Scan(
-        with_commits(new, selected, files, rows_per_task),
-        known,
-        selected,
-        files,
-        hits.select("blob_sha").distinct(),
-    )
+    return Scan(new, known, selected, files, hits.select("blob_sha").distinct())
 
 
 def scan_pending(
@@ -195,13 +183,13 @@ def scan_pending(
     changes = snapshot_diff(pending, head_tree)
     files = keep(
         changes.where(should_scan(F.col("path"), options))
-        .select("repo", "path", "blob_sha", F.lit(0).cast("bigint").alias("commit_seq"))
+        .select("repo", "path", "blob_sha")
         .distinct()
+        .withColumns({"commit_seq": F.lit(0).cast("bigint"), **{n: F.lit(v) for n, v in PENDING_COMMIT.items()}})
     )
     blobs = blobs.join(files.select("blob_sha").distinct(), "blob_sha", "left_semi")
     hits = keep(detect(readable_texts(blobs, options), ["blob_sha"], "text", options, custom_rules))
     new, known = judged(findings_of_files(files, hits, allowlist), options, baseline)
-    new = new.withColumns({name: F.lit(value) for name, value in PENDING_COMMIT.items()})
     return Scan(new, known, None, files, hits.select("blob_sha").distinct())
 
 
@@ -222,13 +210,57 @@ def scan_texts(
             texts = texts.withColumn(name, F.lit(value))
     if "commit_seq" not in texts.columns:
         texts = texts.withColumn("commit_seq", F.lit(0).cast("bigint"))
-    texts = texts.where(should_scan(F.col("path"), options)).withColumnRenamed("path", "file_path")
+    texts = texts.where(should_scan(F.col("path"), options) & is_text(F.col("text"), options))
+    texts = texts.withColumnRenamed("path", "file_path")
     carried = ["repo", "file_path", "commit_seq", *blank]
     hits = drop_allowed(raw_hits(texts, carried, "text", options, custom_rules), allowlist)
     found = first_per_line(hits, ["repo", "file_path"], ["commit_seq"])
     return judged(found, options, baseline)[0]
 
 
+@dataclass(frozen=True)
+class Result:
+    """A scan as its options want it: findings (redacted if asked for) and the gate's row."""
+
+    scan: Scan
+    findings: DataFrame
+    gate: DataFrame
+
+
+def scan(
+    commits: DataFrame,
+    file_versions: DataFrame,
+    blobs: DataFrame,
+    options: ScanOptions | None = None,
+    allowlist: DataFrame | None = None,
+    baseline: DataFrame | None = None,
+    custom_rules: list[Rule] = (),
+    head: DataFrame | None = None,
+    pending_tree: DataFrame | None = None,
+    keep: Keep = cut_lineage,
+) -> Result:
+    """Scan what the options name; the first one set wins: pending, head_only, diff_base,
+    since_commit.  Without any of them it is the whole history.
+
+    ``pending_tree`` (repo, path, blob_sha) is the tree whose changes against the head
+    ``pending`` looks at.
+    """
+    options = options or ScanOptions()
+    if options.pending:
+        if pending_tree is None:
+            raise ValueError("the option pending needs a pending_tree")
+        tree = snapshot_at(commits, file_versions, head)
+        done = scan_pending(pending_tree, tree, blobs, options, allowlist, baseline, custom_rules, keep)
+    else:
+        done = scan_history(
+            commits, file_versions, blobs, options, allowlist, baseline, custom_rules, head, keep=keep
+        )
+    from credsieve.plans.reports import redact
+
+    found = redact(done.findings, lines=True) if options.redact else done.findings
+    return Result(done, found, gate(done.findings, options.fail_on_severity))
+
+
 def summary(scan: Scan, blobs: DataFrame, options: ScanOptions | None = None) -> DataFrame:
     """Commits, files, findings per severity and suppressed findings of each repository.
 
