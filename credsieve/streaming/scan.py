@@ -6,11 +6,13 @@ kept for one thing only, the first sightings within the watermark.
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
-from pyspark.sql import DataFrame
+import pandas as pd
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from credsieve.operators.detect import raw_hits
 from credsieve.operators.paths import should_scan
@@ -19,6 +21,7 @@ from credsieve.options import ScanOptions
 from credsieve.plans.reports import baseline_rows
 from credsieve.plans.scan import described
 from credsieve.rules import Rule
+from credsieve.sources.files import is_text
 
 
 def stream_findings(
@@ -33,22 +36,56 @@ def stream_findings(
 ) -> DataFrame:
     """Findings of a stream of (repo, path, text, event time, carried columns).
 
-    A secret seen again at the same place within the horizon is reported once.  Rows
-    later than the watermark are dropped; the batch scan stays the authority on which
-    commit came first.
+    A secret seen again at the same place within the horizon is reported once.  Of the hits
+    that arrive together the one the batch scan would keep is reported: the first by time
+    and the carried columns, then by detector, rule and position.  Rows later than the watermark
+    are dropped; the batch scan stays the authority on which commit came first.
     """
     options = options or ScanOptions()
     rows = (
-        texts.where(should_scan(F.col("path"), options))
+        texts.where(should_scan(F.col("path"), options) & is_text(F.col("text"), options))
         .withColumnRenamed("path", "file_path")
         .withWatermark(event_time, horizon)
     )
     hits = raw_hits(rows, ["repo", "file_path", event_time, *carry], "text", options, custom_rules)
     hits = drop_allowed(hits, allowlist)
-    first = hits.dropDuplicatesWithinWatermark(["repo", "file_path", "line_number", "matched_text"])
+    first = first_sightings(hits, event_time, horizon, list(carry))
     return drop_known(described(at_least(first, options.min_severity)), baseline)
 
 
+def first_sightings(hits: DataFrame, event_time: str, horizon: str, carry: list[str]) -> DataFrame:
+    """One hit per (repo, file, line, text) within the horizon."""
+    names = hits.columns
+    rank = [event_time, *carry, "det_rank", "rule_idx", "pos"]
+    kept = pd.Timedelta(horizon)
+
+    def first(key: tuple, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        if state.hasTimedOut:
+            state.remove()
+            return
+        if state.exists:
+            return
+        rows = pd.concat(list(parts))
+        best = rows.sort_values(rank, kind="stable").iloc[:1]
+        state.update((True,))
+        end = int((rows[event_time].min() + kept).timestamp() * 1000)
+        state.setTimeoutTimestamp(max(end, state.getCurrentWatermarkMs() + 1))
+        yield best[names]
+
+    return hits.groupBy("repo", "file_path", "line_number", "matched_text").applyInPandasWithState(
+        first, hits.schema, "seen boolean", "append", GroupStateTimeout.EventTimeTimeout
+    )
+
+
+BASELINE = "repo string, fingerprint string, batch bigint, part int"
+PARTS = 64
+
+
+def _part(repo: Column) -> Column:
+    """Part of the baseline that knows a repository."""
+    return F.pmod(F.hash(repo), PARTS).cast("int")
+
+
 def run_incremental(
     texts: DataFrame,
     findings_path: str,
@@ -60,49 +97,49 @@ def run_incremental(
     custom_rules: list[Rule] = (),
     carry: list[str] = ("commit_seq",),
     on_batch: Callable[[DataFrame, int], None] | None = None,
+    trigger: dict | None = None,
 ) -> StreamingQuery:
     """Append new findings and roll the baseline forward, batch by batch.
 
     Each batch is compared with the baseline rows of earlier batches and writes its own
     folder, so a batch that is run again after a failure replaces its output instead of
-    doubling it.
+    doubling it.  The baseline is partitioned by a hash of the repository; a batch reads
+    the parts of its repositories only, and stores only fingerprints that are new, so each
+    is there once.  ``trigger`` holds the arguments of ``DataStreamWriter.trigger``; all
+    that is there is read, then the query ends, if none are given.
     """
     options = options or ScanOptions()
     spark = texts.sparkSession
-    schema = "batch bigint, repo string, fingerprint string"
+    # an empty batch, so that there is always something to read
+    spark.createDataFrame([], "repo string, fingerprint string, part int").write.mode("ignore").partitionBy(
+        "part"
+    ).parquet(f"{baseline_path}/batch=-1")
 
     def handle(batch: DataFrame, batch_id: int) -> None:
         from credsieve.operators.detect import first_per_line
 
-        rows = batch.where(should_scan(F.col("path"), options)).withColumnRenamed("path", "file_path")
+        rows = batch.where(should_scan(F.col("path"), options) & is_text(F.col("text"), options))
+        rows = rows.withColumnRenamed("path", "file_path")
         hits = raw_hits(rows, ["repo", "file_path", event_time, *carry], "text", options, custom_rules)
         hits = drop_allowed(hits, allowlist)
         found = first_per_line(hits, ["repo", "file_path"], [event_time, *carry])
-        # the glob is evaluated now: it sees what earlier batches have written
-        earlier = spark.read.schema(schema).json(f"{baseline_path}/*", pathGlobFilter="part-*") if (
-            _has_files(spark, baseline_path)
-        ) else spark.createDataFrame([], schema)
-        known = earlier.where(F.col("batch") < batch_id).select("repo", "fingerprint").distinct()
-        new = drop_known(described(at_least(found, options.min_severity)), known)
+        parts = [r[0] for r in batch.select(_part(F.col("repo"))).distinct().collect()]  # PARTS at most
+        # the folders are listed now: they are those of earlier batches
+        earlier = spark.read.schema(BASELINE).option("basePath", baseline_path).parquet(baseline_path)
+        known = earlier.where((F.col("batch") < batch_id) & F.col("part").isin(parts))
+        new = drop_known(described(at_least(found, options.min_severity)), known.select("repo", "fingerprint"))
         out = f"{findings_path}/batch={batch_id}"
         new.write.mode("overwrite").parquet(out)
         stored = spark.read.schema(new.schema).parquet(out)
         baseline_rows(stored.withColumn("commit_sha", F.lit(""))).select(
-            F.lit(batch_id).cast("bigint").alias("batch"), "repo", "fingerprint"
-        ).write.mode("overwrite").json(f"{baseline_path}/{batch_id}")
+            "repo", "fingerprint", _part(F.col("repo")).alias("part")
+        ).write.mode("overwrite").partitionBy("part").parquet(f"{baseline_path}/batch={batch_id}")
         if on_batch:
             on_batch(stored, batch_id)
 
     return (
         texts.writeStream.foreachBatch(handle)
         .option("checkpointLocation", checkpoint)
-        .trigger(availableNow=True)
+        .trigger(**(trigger or {"availableNow": True}))
         .start()
     )
-
-
-def _has_files(spark, path: str) -> bool:
-    """True once the folder exists in its file system."""
-    jvm_path = spark._jvm.org.apache.hadoop.fs.Path(path)
-    system = jvm_path.getFileSystem(spark._jsc.hadoopConfiguration())
-    return system.exists(jvm_path)

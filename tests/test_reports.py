@@ -7,8 +7,11 @@ import pytest
 from conftest import token
 from pyspark.sql import functions as F
 
+from credsieve.options import ScanOptions
 from credsieve.plans import reports
 from credsieve.plans.scan import scan_texts
+from credsieve.rules import Rule
+from credsieve.sources.rules import as_rules, split_rules
 from credsieve.sources.lists import read_baseline, read_baseline_rows
 from credsieve.streaming.scan import run_incremental, stream_findings
 
@@ -158,3 +161,34 @@ def test_incremental(spark, tmp_path):
     assert [(r.file_path, r.commit_seq) for r in run().collect()] == [("a.py", 1)]
     rows.where("commit_seq != 1").write.mode("append").parquet(source)
     assert {(r.file_path, r.commit_seq) for r in run().collect()} == {("a.py", 1), ("b.py", 2)}
+
+
+def test_stream_keeps_what_the_batch_keeps(spark, tmp_path):
+    """A token that a CRITICAL rule of Python's and the keyword detector both find."""
+    rule = Rule("odd", "Odd token", "CRITICAL", r"(zz)?(?(1)[a-z]+|qq[0-9a-f]{20})", ["qq"])
+    rows = spark.createDataFrame(
+        [("r", f"f{i}.py", f"token = qq{i:020x}", f"2024-01-01 00:{i:02d}:00", i) for i in range(40)],
+        "repo string, path string, text string, t string, commit_seq long",
+    ).select("repo", "path", "text", F.col("t").cast("timestamp").alias("committed_at"), "commit_seq")
+    source = str(tmp_path / "in")
+    rows.repartition(4).write.parquet(source)
+    options = ScanOptions(min_severity="HIGH", use_entropy=False)
+    base = scan_texts(rows.where("commit_seq = 3"), options, custom_rules=[rule]).select("repo", "fingerprint")
+    stream = spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(source)
+    query = (
+        stream_findings(stream, horizon="30 days", options=options, baseline=base, custom_rules=[rule])
+        .writeStream.format("memory").queryName("agree")
+        .option("checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).start()
+    )
+    query.awaitTermination()
+    got = sorted((r.file_path, r.rule_id, r.severity) for r in spark.table("agree").collect())
+    batch = scan_texts(rows, options, baseline=base, custom_rules=[rule]).collect()
+    assert got == sorted((r.file_path, r.rule_id, r.severity) for r in batch) and len(got) == 39
+
+
+def test_rules_as_rows(spark):
+    raw = spark.createDataFrame([("acme", "(?i)acme-[0-9]{6}", "acme-")], "id string, pattern string, literal string")
+    valid, rejected = split_rules(raw)
+    texts = spark.createDataFrame([("r", "a", "ACME-123456"), ("r", "b", "acme-12")], "repo string, path string, text string")
+    found = scan_texts(texts, ScanOptions(use_entropy=False), custom_rules=as_rules(valid)).collect()
+    assert [(f.file_path, f.rule_id) for f in found] == [("a", "acme")] and rejected.count() == 0
