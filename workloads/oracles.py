@@ -246,7 +246,8 @@ ORACLES: dict[str, str] = {
       SELECT {SHOWN} FROM findings f WHERE NOT EXISTS (
         SELECT 1 FROM entries e
         WHERE (scope IS NULL OR regexp_full_match(path, {GLOB}) OR regexp_full_match(string_split(path, '/')[-1], {GLOB}))
-          AND CASE WHEN is_regex THEN regexp_matches(matched_text, pattern) ELSE contains(matched_text, pattern) END)""",
+          AND CASE WHEN is_regex THEN regexp_matches(matched_text, pattern) ELSE contains(matched_text, pattern) END)
+        AND NOT (starts_with(path, 'fr/') AND (contains(matched_text, 'ab') OR contains(matched_text, 'zzzqqq')))""",
     "min_severity": f"{doc_findings('sev_rank >= 2')} SELECT {SHOWN} FROM findings",
     "gates": f"""{doc_findings()}
       SELECT gate, n_failing, n_failing > 0 AS failed, cast(CASE WHEN n_failing > 0 THEN 1 ELSE 0 END AS bigint) AS exit_code
@@ -268,7 +269,14 @@ ORACLES: dict[str, str] = {
       QUALIFY row_number() OVER (PARTITION BY repo, path ORDER BY commit_seq DESC) = 1""",
     "head_only": f"""WITH {COMMITS}
       SELECT repo, commit_sha, commit_seq FROM commits QUALIFY row_number() OVER (PARTITION BY repo ORDER BY commit_seq DESC) = 1""",
-    "snapshot_changes": f"""WITH {TURNS}, new AS ({planted.tree_sql("turns", 4)}), old AS ({planted.tree_sql("turns", 2)}),
+    "head_scan": f"""WITH {COMMITS}, {TURNS}, {FILES}, {hits_ctes("blobs", "blob_sha")},
+      tree AS (SELECT repo, path, blob_sha FROM file_versions JOIN commits USING (repo, commit_sha)
+               QUALIFY row_number() OVER (PARTITION BY repo, path ORDER BY commit_seq DESC) = 1),
+      sightings AS (SELECT * FROM tree JOIN hits USING (blob_sha) WHERE {scannable("path")}),
+      {first_hits_cte("repo, path", source="sightings")}
+      SELECT repo, path AS file_path, line_number, rule_id, severity, matched_text, commit_sha
+      FROM findings JOIN ({HEADS}) USING (repo)""",
+    "snapshot_changes": f"""WITH {TURNS}, new AS ({planted.tree_sql("turns", 0)}), old AS ({planted.tree_sql("turns", 2)}),
       gone AS (SELECT * FROM old ANTI JOIN new USING (repo, path))
       SELECT repo, path, blob_sha,
              CASE WHEN EXISTS (SELECT 1 FROM old o WHERE o.repo = n.repo AND o.path = n.path) THEN 'M'
@@ -277,7 +285,7 @@ ORACLES: dict[str, str] = {
                   ELSE 'A' END AS change_type
       FROM (SELECT * FROM new ANTI JOIN old USING (repo, path, blob_sha)) n
       UNION ALL SELECT repo, path, blob_sha, 'D' FROM gone""",
-    "pending": f"""WITH {TURNS}, new AS ({planted.tree_sql("turns", 4)}), old AS ({planted.tree_sql("turns", 2)}),
+    "pending": f"""WITH {TURNS}, new AS ({planted.tree_sql("turns", 0)}), old AS ({planted.tree_sql("turns", 2)}),
       {hits_ctes("blobs", "blob_sha")},
       sightings AS (SELECT * FROM (SELECT * FROM new ANTI JOIN old USING (repo, path, blob_sha)) JOIN hits USING (blob_sha)
                     WHERE {scannable("path")}),
@@ -292,6 +300,9 @@ ORACLES: dict[str, str] = {
     "range_scan": f"""{history("selected", commits_after(0), scannable("path"))}
       SELECT repo, path AS file_path, line_number, rule_id, matched_text, commit_sha FROM findings""",
     "scan_summary": f"{SUMMARY} SELECT * FROM summaries",
+    "suppressed_summary": f"""{history()}
+      SELECT repo, count(*) FILTER (fingerprint >= '4') AS total_findings, count(*) FILTER (fingerprint < '4') AS suppressed
+      FROM findings GROUP BY repo""",
     "scan_totals": f"""{SUMMARY} SELECT {", ".join(f"cast(sum({c}) AS bigint) AS {c}" for c in (
         "total_files", "total_findings", "n_critical", "n_high", "n_medium", "n_low", "total_commits", "suppressed"))}
       FROM summaries""",
@@ -329,6 +340,6 @@ ORACLES: dict[str, str] = {
       SELECT repo, path AS file_path, line_number, rule_id, severity, matched_text, turn AS commit_seq FROM findings""",
     "stream_scan": f"""WITH {TURNS}, texts AS (
         SELECT DISTINCT repo, turn, 'turn' || (turn % 3) || '.txt' AS path, text FROM turns),
-      {hits_ctes("texts", "repo, turn, path")}
-      SELECT DISTINCT repo, path AS file_path, line_number, matched_text FROM hits""",
+      {hits_ctes("texts", "repo, turn, path")}, {first_hits_cte("repo, path", "turn,")}
+      SELECT repo, path AS file_path, line_number, rule_id, severity, matched_text FROM findings WHERE severity <> 'LOW'""",
 }

@@ -161,16 +161,17 @@ def file_versions_sql(turns: str) -> str:
     """
 
 
-def tree_sql(turns: str, turn: int) -> str:
-    """(repo, path, blob_sha): files of a conversation after the given turn; the turns up to
-    it stand in files turn % 3, so later ones replace earlier ones; turn 2 lies elsewhere
-    in the older tree."""
+def tree_sql(turns: str, back: int) -> str:
+    """(repo, path, blob_sha): files of a conversation ``back`` turns before its last one; the
+    turns up to there stand in files turn % 3, so later ones replace earlier ones; turn 2
+    lies elsewhere in older trees."""
     return f"""
       SELECT repo, path, blob_sha FROM (
-        SELECT repo, CASE WHEN turn = 2 AND {turn} = 2 THEN 'old/turn2.txt'
+        SELECT repo, CASE WHEN turn = 2 AND {back} > 0 THEN 'old/turn2.txt'
                           ELSE 'turn' || cast(turn % 3 AS varchar(20)) || '.txt' END AS path, blob_sha,
                row_number() OVER (PARTITION BY repo, turn % 3 ORDER BY turn DESC) AS r
-        FROM {turns} x WHERE turn <= {turn}) y
+        FROM (SELECT *, max(turn) OVER (PARTITION BY repo) AS last FROM {turns}) x
+        WHERE turn <= last - {back}) y
       WHERE r = 1
     """
 
@@ -221,6 +222,6 @@ def blobs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return turns(spark, sf_dir).select("blob_sha", "text").dropDuplicates(["blob_sha"])
 
 
-def tree(spark: SparkSession, sf_dir: str, turn: int) -> DataFrame:
+def tree(spark: SparkSession, sf_dir: str, back: int) -> DataFrame:
     turns(spark, sf_dir).createOrReplaceTempView("turns")
-    return spark.sql(tree_sql("turns", turn))
+    return spark.sql(tree_sql("turns", back))

@@ -27,6 +27,7 @@ from credsieve.options import EXCLUDED_PATHS, ScanOptions
 from credsieve.plans import reports
 from credsieve.plans.scan import (
     described,
+    scan,
     scan_history,
     scan_pending,
     scan_texts,
@@ -334,8 +335,10 @@ def allowlist(spark, sf_dir):
 
 @query
 def allowlist_long(spark, sf_dir):
-    """An allowlist that grows with the data: too long to become part of the plan."""
-    entries = parse_allowlist(allow_entries(spark, sf_dir))
+    """An allowlist that grows with the data, with regexes only Python can run and bad ones."""
+    odd = [(r"(a)?(?(1)b|zzzqqq)", "fr/*", True), ("[broken", None, True), ("(", "en/*", True), ("", None, False)]
+    more = spark.createDataFrame(odd, "pattern string, scope string, is_regex boolean")
+    entries = parse_allowlist(allow_entries(spark, sf_dir)).select("pattern", "scope", "is_regex").unionByName(more)
     return shown(drop_allowed(doc_findings(spark, sf_dir), entries))
 
 
@@ -406,17 +409,27 @@ def head_only(spark, sf_dir):
     return whole(select_commits(commits, ScanOptions(head_only=True)), "repo", "commit_sha", "commit_seq")
 
 
+@query
+def head_scan(spark, sf_dir):
+    """The whole tree of the newest commit, by the options."""
+    found = scan(
+        planted.commits(spark, sf_dir), planted.file_versions(spark, sf_dir), planted.blobs(spark, sf_dir),
+        ScanOptions(head_only=True, diff_base="none"),
+    ).findings
+    return whole(found, "repo", "file_path", "line_number", "rule_id", "severity", "matched_text", "commit_sha")
+
+
 @query
 def snapshot_changes(spark, sf_dir):
     return snapshot_diff(
-        planted.tree(spark, sf_dir, 4), planted.tree(spark, sf_dir, 2), with_deleted=True
+        planted.tree(spark, sf_dir, 0), planted.tree(spark, sf_dir, 2), with_deleted=True
     )
 
 
 @query
 def pending(spark, sf_dir):
     scan = scan_pending(
-        planted.tree(spark, sf_dir, 4), planted.tree(spark, sf_dir, 2), planted.blobs(spark, sf_dir)
+        planted.tree(spark, sf_dir, 0), planted.tree(spark, sf_dir, 2), planted.blobs(spark, sf_dir)
     )
     return whole(
         scan.findings, "repo", "file_path", "line_number", "rule_id", "matched_text", "commit_author",
@@ -468,6 +481,16 @@ def scan_summary(spark, sf_dir):
     return whole(summary(scan, planted.blobs(spark, sf_dir)))
 
 
+@query
+def suppressed_summary(spark, sf_dir):
+    """Findings and suppressed findings of each repository when a baseline knows some."""
+    known = history(spark, sf_dir).findings.where("fingerprint < '4'").select("repo", "fingerprint")
+    scan = history(spark, sf_dir, baseline=cut_lineage(known))
+    return whole(summary(scan, planted.blobs(spark, sf_dir)), "repo", "total_findings", "suppressed").where(
+        "total_findings + suppressed > 0"
+    )
+
+
 @query
 def scan_totals(spark, sf_dir):
     scan = history(spark, sf_dir)
@@ -548,11 +571,11 @@ def report_document_sizes(spark, sf_dir):
 
 @query
 def stream_scan(spark, sf_dir):
-    """Turns arriving as a stream, each secret reported at its first sighting."""
+    """Turns arriving as a stream of several files, each secret reported at its first sighting."""
     from workloads.streams import stream_conversations
 
     found = stream_conversations(spark, sf_dir)
-    return whole(found, "repo", "file_path", "line_number", "matched_text")
+    return whole(found, "repo", "file_path", "line_number", "rule_id", "severity", "matched_text")
 
 
 @query

@@ -7,19 +7,24 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from credsieve.options import ScanOptions
 from credsieve.storage import work_folder
 from credsieve.streaming.scan import run_incremental, stream_findings
 from workloads import planted
 
 
+FILES = 4
+
+
 def _turns(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(repo, path, text, committed_at, commit_seq) as a stream."""
-    schema = spark.read.parquet(f"{sf_dir}/conversations.parquet").schema
-    stream = (
-        spark.readStream.schema(schema)
-        .option("pathGlobFilter", "conversations.parquet")
-        .parquet(sf_dir)
-    )
+    """(repo, path, text, committed_at, commit_seq) as a stream.
+
+    The table is dealt by conversation to a few files, each of which is a batch.
+    """
+    table = spark.read.parquet(f"{sf_dir}/conversations.parquet")
+    folder = f"{_folder(spark)}/arriving"
+    table.repartition(FILES, "conv_id").write.parquet(folder)
+    stream = spark.readStream.schema(table.schema).option("maxFilesPerTrigger", 1).parquet(folder)
     stream.createOrReplaceTempView("conversations")
     # one hour per conversation, one minute per turn, some time after the epoch
     hour = F.substr("repo", F.lit(5)).cast("bigint")
@@ -39,7 +44,10 @@ def _folder(spark: SparkSession) -> str:
 def stream_conversations(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Scan the conversations as a stream until all is read; the findings written."""
     folder = _folder(spark)
-    found = stream_findings(_turns(spark, sf_dir), horizon="30 days")
+    # batches come by conversation, not by time: the horizon is longer than the table
+    found = stream_findings(
+        _turns(spark, sf_dir), horizon="36500 days", options=ScanOptions(min_severity="MEDIUM")
+    )
     query = (
         found.writeStream.format("parquet")
         .option("checkpointLocation", f"{folder}/checkpoint")
