@@ -38,11 +38,16 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+# Frees the shuffle files of a query when the query ends.
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 class Steps:
     """Written steps of one job, each dropped as soon as the job no longer reads it.
 
     They are managed tables of a database placed in the shared work folder, so that
-    dropping one deletes its files, whatever file system the folder is on.
+    dropping one deletes its files, whatever file system the folder is on.  The shuffle
+    files of a step are freed once it is written: nothing reads them again.
     """
 
     def __init__(self, spark: SparkSession) -> None:
@@ -55,7 +60,12 @@ class Steps:
     def write(self, df: DataFrame) -> DataFrame:
         self._made += 1
         name = f"{self.database}.step_{self._made}"
-        df.write.format("parquet").saveAsTable(name)
+        before = self.spark.conf.get(_CLEANUP, "false")
+        self.spark.conf.set(_CLEANUP, "true")
+        try:
+            df.write.format("parquet").saveAsTable(name)
+        finally:
+            self.spark.conf.set(_CLEANUP, before)
         table = self.spark.table(name)
         table._step = name
         return table
