@@ -295,6 +295,11 @@ ORACLES: dict[str, str] = {
     "history_scan": f"""{history()}
       SELECT repo, path AS file_path, line_number, rule_id, severity, matched_text, commit_sha, commit_author, commit_date,
              redacted_value, fingerprint FROM findings""",
+    "history_lines": f"""{history(scan=f"({scannable('path', ['vendor/*'])}) AND starts_with(path, 'docs/')")}
+      SELECT repo, '[' || severity || '] ' || rule_name || ' in ' || path || ':' || line_number || ' (' || redacted_value || ') @ '
+             || substr(commit_sha, 1, 8) AS summary, fingerprint FROM findings""",
+    "baseline_documents": f"""{doc_findings()}
+      SELECT repo, path AS file_path, line_number, fingerprint FROM findings WHERE fingerprint >= '8'""",
     "blob_reuse": f"""{history(keep="NOT (starts_with(path, 'turn') AND (contains(matched_text, '-') OR contains(matched_text, 'a')))")}
       SELECT repo, path AS file_path, line_number, rule_id, matched_text, commit_sha FROM findings""",
     "range_scan": f"""{history("selected", commits_after(0), scannable("path"))}

@@ -36,7 +36,7 @@ from credsieve.plans.scan import (
 )
 from credsieve.rules import Rule
 from credsieve.sources.files import readable_texts
-from credsieve.sources.lists import parse_allowlist
+from credsieve.sources.lists import parse_allowlist, parse_baseline
 from credsieve.sources.rules import check_rules
 from credsieve.storage import cut_lineage
 from workloads import planted
@@ -454,6 +454,17 @@ def history_scan(spark, sf_dir):
     )
 
 
+@query
+def history_lines(spark, sf_dir):
+    """Files a predicate chooses, each finding as one line with its short commit."""
+    found = history(spark, sf_dir, where=F.startswith("path", F.lit("docs/"))).findings
+    text = one_line(
+        F.col("severity"), F.col("rule_name"), F.col("file_path"), F.col("line_number"),
+        F.col("matched_text"), F.col("commit_sha"),
+    )
+    return whole(found.withColumn("summary", text), "repo", "summary", "fingerprint")
+
+
 @query
 def blob_reuse(spark, sf_dir):
     """What is allowed in the turn files is still found in copies under docs/."""
@@ -481,6 +492,18 @@ def scan_summary(spark, sf_dir):
     return whole(summary(scan, planted.blobs(spark, sf_dir)))
 
 
+@query
+def baseline_documents(spark, sf_dir):
+    """Baselines read from JSON documents, entries as objects or plain strings."""
+    found = cut_lineage(doc_findings(spark, sf_dir))
+    known = found.where("fingerprint < '8'").groupBy("repo", F.substring("fingerprint", 1, 1).alias("first"))
+    objects = F.to_json(F.struct(F.collect_list(F.struct("fingerprint", "rule_id")).alias("findings")))
+    plain = F.to_json(F.struct(F.collect_list("fingerprint").alias("findings")))
+    documents = known.agg(F.when(F.col("first") < "4", objects).otherwise(plain).alias("value"))
+    left = drop_known(found, parse_baseline(documents))
+    return whole(left, "repo", "file_path", "line_number", "fingerprint")
+
+
 @query
 def suppressed_summary(spark, sf_dir):
     """Findings and suppressed findings of each repository when a baseline knows some."""
