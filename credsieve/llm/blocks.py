@@ -60,6 +60,8 @@ ASIDE_NAMES = {
     "pagination", "popup", "promo", "promoted", "promotion", "recommended", "related", "replies", "respond",
     "share", "sharing", "sidebar", "signup", "social", "sponsor", "sponsored", "subscribe", "toolbar", "widget",
 }
+# Beginnings of such words, for names written without a break.
+ASIDE_STEMS = ("adsby", "advert", "breadcrumb", "comments", "commentlist", "cookie", "newsletter", "sidebar", "sponsor")
 HEADERS = {"header", "masthead", "topbar"}
 
 FEATURES = [
@@ -154,6 +156,8 @@ def _says_aside(tag: str, attributes: str, in_article: bool) -> bool:
             words = set(NAME.findall(value))
             if words & ASIDE_NAMES or (words & HEADERS and not in_article):
                 return True
+            if any(word.startswith(ASIDE_STEMS) for word in words):
+                return True
     return False
 
 
