@@ -209,6 +209,8 @@ def factors(
         (_at(F.col("first.place")) - _high(F.col("first.place"))).alias("ref_lo"),
     )
 
+    copies = steps.write(copies)
+
     # boundaries: windows of blocks that share their anchor gram with other blocks
     several = index.groupBy("gram").agg(F.count("*").alias("n")).where("n > 1").select("gram")
     described = blocks.where("windows IS NOT NULL").select(*name, "windows").dropDuplicates(name)
@@ -224,16 +226,21 @@ def factors(
         ).alias("place"),
     )
     earliest = single.groupBy("gram", "mark").agg(F.min("place").alias("ref"), F.count("*").alias("n"))
-    later = single.join(earliest.where("n > 1"), ["gram", "mark"]).where("place > ref").select(
+    # written, so that the join is between two shuffles and a hot window can be split
+    earliest = steps.write(earliest.where("n > 1").drop("n"))
+    later = single.join(earliest, ["gram", "mark"]).where("place > ref").select(
         "place.doc_id", "place.text_key", "place.lo", (F.col("place.lo") + window).alias("hi"),
         F.col("ref.doc_id").alias("ref_id"), F.col("ref.lo").alias("ref_lo"),
     )
 
+    later = steps.write(later)
+    steps.drop(blocks, index, earliest)
+
     part = F.struct("lo", "hi", "ref_id", "ref_lo")
     parsed = copies.unionByName(later).groupBy("doc_id", "text_key").agg(
         F.array_sort(F.collect_set(part)).alias("parts")
     )
-    return parsed.select(
+    parsed = parsed.select(
         "doc_id", "text_key", joined_factors(F.col("parts"), docs.schema["doc_id"].dataType.simpleString()).alias("factors")
     ).select(
         "*",
@@ -241,6 +248,9 @@ def factors(
             F.transform("factors", lambda f: F.struct(f["lo"].alias("lo"), f["hi"].alias("hi")))
         ).alias("spans"),
     )
+    parsed = steps.write(parsed)
+    steps.drop(copies, later)
+    return parsed
 
 
 def joined_factors(parts: Column, id_type: str) -> Column:
