@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
@@ -40,6 +40,18 @@ def attach(rows: DataFrame, found: DataFrame) -> DataFrame:
     return rows.join(right, on, "left").drop("_doc_id", "_text_key")
 
 
+def merged(rows: DataFrame, keys: list[str]) -> DataFrame:
+    """(keys, lo, hi): the union of the [lo, hi) spans of each key as its maximal runs.
+
+    A running maximum over the spans in order, so linear in their number after the sort.
+    """
+    order = Window.partitionBy(*keys).orderBy("lo", "hi")
+    reach = F.max("hi").over(order.rowsBetween(Window.unboundedPreceding, -1))
+    new = F.when(F.coalesce(reach, F.col("lo") - 1) < F.col("lo"), 1).otherwise(0)
+    runs = rows.withColumn("_new", new).withColumn("_run", F.sum("_new").over(order))
+    return runs.groupBy(*keys, "_run").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi")).drop("_run")
+
+
 def fresh(df: DataFrame, name: str) -> str:
     """A column name that ``df`` does not have."""
     taken = {c.lower() for c in df.columns}

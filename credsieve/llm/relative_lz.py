@@ -31,8 +31,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from credsieve.llm.common import attach, keyed
-from credsieve.llm.decontaminate import covered
+from credsieve.llm.common import attach, keyed, merged
 from credsieve.llm.rolling import BLOCK, anchors, gram_hashes
 from credsieve.storage import Steps
 
@@ -236,46 +235,17 @@ def factors(
     later = steps.write(later)
     steps.drop(blocks, index, earliest)
 
-    part = F.struct("lo", "hi", "ref_id", "ref_lo")
-    parsed = copies.unionByName(later).groupBy("doc_id", "text_key").agg(
-        F.array_sort(F.collect_set(part)).alias("parts")
-    )
-    parsed = parsed.select(
-        "doc_id", "text_key", joined_factors(F.col("parts"), docs.schema["doc_id"].dataType.simpleString()).alias("factors")
-    ).select(
-        "*",
-        covered(
-            F.transform("factors", lambda f: F.struct(f["lo"].alias("lo"), f["hi"].alias("hi")))
-        ).alias("spans"),
-    )
-    parsed = steps.write(parsed)
+    # parts on the same stretch of the reference are one factor
+    stretch = copies.unionByName(later).withColumn("shift", F.col("ref_lo") - F.col("lo"))
+    parts = merged(stretch, ["doc_id", "text_key", "ref_id", "shift"])
+    part = F.struct("lo", "hi", "ref_id", (F.col("lo") + F.col("shift")).alias("ref_lo"))
+    of_document = ["doc_id", "text_key"]
+    parsed = steps.write(parts.select(*of_document, "lo", "hi", part.alias("part")))
     steps.drop(copies, later)
-    return parsed
-
-
-def joined_factors(parts: Column, id_type: str) -> Column:
-    """Sorted parts with neighbours on the same stretch of the reference made one."""
-    none = F.array().cast(f"array<struct<lo:bigint,hi:bigint,ref_id:{id_type},ref_lo:bigint>>")
-
-    def add(done: Column, part: Column) -> Column:
-        last = F.element_at(done, -1)
-        same = (
-            (F.size(done) > 0)
-            & part["ref_id"].eqNullSafe(last["ref_id"])
-            & (part["lo"] - part["ref_lo"] == last["lo"] - last["ref_lo"])
-            & (part["lo"] <= last["hi"])
-        )
-        longer = F.struct(
-            last["lo"].alias("lo"),
-            F.greatest(last["hi"], part["hi"]).alias("hi"),
-            last["ref_id"].alias("ref_id"),
-            last["ref_lo"].alias("ref_lo"),
-        )
-        return F.when(same, F.concat(F.slice(done, 1, F.size(done) - 1), F.array(longer))).otherwise(
-            F.concat(done, F.array(part))
-        )
-
-    return F.aggregate(parts, none, add)
+    spans = merged(parsed.select(*of_document, "lo", "hi").distinct(), of_document)
+    spans = spans.groupBy(*of_document).agg(F.array_sort(F.collect_list(F.struct("lo", "hi"))).alias("spans"))
+    lists = parsed.groupBy(*of_document).agg(F.array_sort(F.collect_list("part")).alias("factors"))
+    return attach(lists, spans)
 
 
 def without_copies(docs: DataFrame, found: DataFrame) -> DataFrame:
