@@ -31,8 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from credsieve.llm.common import attach, fresh, keyed, text_key
-from credsieve.llm.decontaminate import covered
+from credsieve.llm.common import attach, fresh, keyed, merged, text_key
 from credsieve.llm.rolling import byte_anchors
 from credsieve.storage import Steps
 
@@ -349,9 +348,10 @@ def repeated_spans(
     steps = steps or Steps(docs.sparkSession)
     texts = keyed(docs)
     anchors = steps.write(_anchor_rows(texts, length, gram))
-    twice = anchors.groupBy("gram").agg(F.count("*").alias("n")).where("n > 1").select("gram")
+    # written, so that the join is between two shuffles and its hot grams can be split
+    twice = steps.write(anchors.groupBy("gram").agg(F.count("*").alias("n")).where("n > 1").select("gram"))
     pieces = steps.write(_occurrences(texts, anchors.join(twice, "gram"), length))
-    steps.drop(anchors)
+    steps.drop(anchors, twice)
     bodies = pieces.where("body IS NOT NULL")
     name = ["gram", "fragment"]
     copies = pieces.groupBy(*name).agg(F.count("*").alias("n")).where("n > 1")
@@ -365,8 +365,9 @@ def repeated_spans(
         (F.col("at") - F.coalesce("r.b", "high")).cast("long").alias("lo"),
         (F.col("at") - F.coalesce("r.a", "low") + length).cast("long").alias("hi"),
     )
-    merged = spans.groupBy("doc_id", "text_key").agg(F.array_sort(F.collect_set(F.struct("lo", "hi"))).alias("s"))
-    return steps.write(merged.select("doc_id", "text_key", covered(F.col("s")).alias("spans")))
+    of_document = ["doc_id", "text_key"]
+    runs = merged(spans.distinct(), of_document).groupBy(*of_document)
+    return steps.write(runs.agg(F.array_sort(F.collect_list(F.struct("lo", "hi"))).alias("spans")))
 
 
 def without_spans(docs: DataFrame, spans: DataFrame) -> DataFrame:
