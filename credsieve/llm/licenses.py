@@ -1,9 +1,10 @@
 """Licence scans with native column expressions.
 
-1. Headers: the lines of a file that speak of licences; of a licence file the whole text.
+1. Headers: the lines of a file that speak of licences; of a licence file the whole text
+   and these lines, of which the larger cosine counts.
 2. Each header is a sparse tf-idf vector and gets the licence of the template with the
    largest cosine, if that reaches ``LEAST``.  Document frequencies cover all headers and
-   templates; words of no template count as new words, so that the lookup table of words
+   templates, a licence file counting once with its whole text; words of no template count as new words, so that the lookup table of words
    is as large as the templates and no larger.
 3. A file without a licence of its own takes that of the nearest directory above it that
    has a licence file.  Directories, not files, are joined with their ancestors; of several
@@ -88,26 +89,28 @@ def ancestors(path: Column) -> Column:
 
 def scored_headers(files: DataFrame, templates: DataFrame, steps: Steps) -> DataFrame:
     """(path, text_key, license, score) of the best header of each file with one."""
+    is_license, found = base_name(F.col("path")).rlike(LICENSE_FILE), header_lines(F.col("text"))
     lines = files.select(
         "path",
         "text_key",
-        F.posexplode(
-            F.when(base_name(F.col("path")).rlike(LICENSE_FILE), F.array("text")).otherwise(header_lines(F.col("text")))
-        ).alias("line", "header"),
+        is_license.alias("whole"),
+        F.posexplode(F.when(is_license, F.concat(F.array("text"), found)).otherwise(found)).alias("line", "header"),
     )
     lines = lines.dropDuplicates(["path", "text_key", "line"])
     header = ["path", "text_key", "line"]
     counts = steps.write(
-        lines.select(*header, F.explode(tokens(F.col("header"))).alias("term"))
-        .groupBy(*header, "term")
+        lines.select(*header, "whole", F.explode(tokens(F.col("header"))).alias("term"))
+        .groupBy(*header, "whole", "term")
         .agg(F.count("*").alias("tf"))
     )
+    # the lines of a licence file are in its whole text, which is line 0
+    once = counts.where("NOT whole OR line = 0")
     words = templates.select("template", "license", F.explode(tokens(F.col("text"))).alias("term"))
     postings = words.groupBy("template", "license", "term").agg(F.count("*").alias("tf"))
     # as large as the templates
     vocabulary = F.broadcast(postings.groupBy("term").agg(F.count("*").alias("in_templates")))
-    seen = counts.join(vocabulary, "term").groupBy("term").agg(F.count("*").alias("in_headers"))
-    n = counts.select(*header).distinct().count() + templates.count()
+    seen = once.join(vocabulary, "term").groupBy("term").agg(F.count("*").alias("in_headers"))
+    n = once.select(*header).distinct().count() + templates.count()
     in_all = F.coalesce("in_headers", F.lit(0)) + F.col("in_templates")
     known = vocabulary.join(seen, "term", "left").select(
         "term", (F.log(F.lit(1.0 + n) / (1 + in_all)) + 1).alias("idf")

@@ -105,3 +105,13 @@ def test_licences(spark):
     }
     assert licenses.scan(files.limit(0)).count() == 0
     assert {r.origin for r in licenses.scan(files, licenses.template_table(spark, [("X", "")])).collect()} == {"none"}
+
+
+def test_notice_in_a_longer_licence_file(spark):
+    """The notice is under half of the file, so that the whole text is like no template."""
+    text = sentence(__import__("random").Random(2), 25)
+    rows = [("d/LICENSE", f"{text}\nLicensed under the Apache License, Version 2.0.\n{text}"), ("d/e/one.c", text)]
+    rows += [(f"x/{i}.c", f"# {n}\n{text}") for i, n in enumerate(["Released under the MIT License.", "All rights reserved."])]
+    got = {r.path: r for r in licenses.scan(spark.createDataFrame(rows, "path string, text string")).collect()}
+    assert (got["d/LICENSE"].license, got["d/LICENSE"].score, got["d/LICENSE"].origin) == ("Apache-2.0", 1.0, "header")
+    assert (got["d/e/one.c"].license, got["d/e/one.c"].from_dir) == ("Apache-2.0", "d")
