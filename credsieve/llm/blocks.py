@@ -2,7 +2,9 @@
 
 A page becomes a list of flat blocks, the texts between block-level tags.  A block has its
 word count and link density, those of the blocks before and after it, and what the markup
-says about its place.  A decision tree grown on a small table of labelled blocks keeps or
+says about its place.  Classes and ids of an element do not set it aside if it is the page,
+a main element or an article, or holds a main element; if they set all articles of a page
+aside, the outermost of them count for nothing.  A decision tree grown on a small table of labelled blocks keeps or
 drops each one.
 
 Defined results: a null or empty page has an empty text; text without any tag is one
@@ -63,6 +65,8 @@ ASIDE_NAMES = {
 # Beginnings of such words, for names written without a break.
 ASIDE_STEMS = ("adsby", "advert", "breadcrumb", "comments", "commentlist", "cookie", "newsletter", "sidebar", "sponsor")
 HEADERS = {"header", "masthead", "topbar"}
+# Elements whose classes and ids speak of the whole page or article ("no-sidebar", "comments-open").
+WHOLE = {"html", "body", "main", "article"}
 
 FEATURES = [
     "words", "links", "words_before", "links_before", "words_after", "links_after",
@@ -140,25 +144,48 @@ def is_main(tree, features: tuple) -> bool:
     return bool(tree)
 
 
-def _says_aside(tag: str, attributes: str, in_article: bool) -> bool:
+def _says_aside(tag: str, attributes: str, in_article: bool) -> tuple[bool, bool]:
+    """Whether element, role or hidden set it aside, and whether a class or id hints at it."""
     if tag in ASIDE or (tag == "header" and not in_article):
-        return True
-    if not attributes:
-        return False
+        return True, False
+    hint = False
     for name, value in ATTRIBUTE.findall(attributes):
         name, value = name.lower(), value.strip("\"'").lower()
         if name == "hidden" or (name == "aria-hidden" and value == "true"):
-            return True
+            return True, False
         if name == "role":
             if value in ASIDE_ROLES and not (value == "banner" and in_article):
-                return True
-        elif name in ("class", "id"):
+                return True, False
+        elif name in ("class", "id") and tag not in WHOLE:
             words = set(NAME.findall(value))
-            if words & ASIDE_NAMES or (words & HEADERS and not in_article):
-                return True
-            if any(word.startswith(ASIDE_STEMS) for word in words):
-                return True
-    return False
+            hint |= bool(words & ASIDE_NAMES or (words & HEADERS and not in_article))
+            hint |= any(word.startswith(ASIDE_STEMS) for word in words)
+    return False, hint
+
+
+class _Hint:
+    """A class or id that sets an element aside, below the hints around it."""
+
+    def __init__(self, around: _Hint | None) -> None:
+        self.around = around
+        self.holds = self.void = False
+        self.depth = 0
+
+
+def _settle(hints: list[_Hint], mains: list[_Hint], articles: list[_Hint | None]) -> None:
+    """Void the hints around main elements, and the outermost around articles until one is not set aside."""
+    for hint in mains:
+        while hint and not hint.void:
+            hint.void, hint = True, hint.around
+    for hint in hints:  # outer ones come first
+        hint.depth = (hint.around.depth if hint.around else 0) + (not hint.void)
+    for hint in articles:
+        while hint and not hint.holds:
+            hint.holds, hint = True, hint.around
+    least = min((a.depth if a else 0 for a in articles), default=0)
+    for hint in hints:
+        hint.void |= hint.holds and hint.depth <= least
+        hint.depth = (hint.around.depth if hint.around else 0) + (not hint.void)
 
 
 def flat_blocks(page: str) -> list[tuple[str, int, float, int, int, int]]:
@@ -167,7 +194,10 @@ def flat_blocks(page: str) -> list[tuple[str, int, float, int, int, int]]:
     parts: list[str] = []
     linked = 0  # words of the block inside links
     link_depth = 0
-    stack: list[tuple[str, bool, bool]] = []  # tag, in article, set aside
+    stack: list[tuple[str, bool, bool, _Hint | None]] = []  # tag, in article, set aside, by hint
+    hints: list[_Hint] = []
+    mains: list[_Hint] = []
+    articles: list[_Hint | None] = []
     own_aside = heading = False
 
     def end() -> None:
@@ -176,9 +206,9 @@ def flat_blocks(page: str) -> list[tuple[str, int, float, int, int, int]]:
             words = html.unescape("".join(parts)).split()
             parts.clear()
             if words:
-                _, article, aside = stack[-1] if stack else ("", False, False)
+                _, article, aside, hint = stack[-1] if stack else ("", False, False, None)
                 density = min(1.0, linked / len(words))
-                blocks.append((" ".join(words), len(words), density, int(article), int(aside or own_aside), int(heading)))
+                blocks.append((" ".join(words), len(words), density, int(article), (aside or own_aside, hint), int(heading)))
         linked = 0
 
     def add(text: str) -> None:
@@ -220,14 +250,23 @@ def flat_blocks(page: str) -> list[tuple[str, int, float, int, int, int]]:
                     while stack.pop()[0] != name:
                         pass
                 continue
-            _, article, aside = stack[-1] if stack else ("", False, False)
-            says = _says_aside(name, attributes, article or name in ("article", "main"))
+            _, article, aside, hint = stack[-1] if stack else ("", False, False, None)
+            says, hinted = _says_aside(name, attributes, article or name in ("article", "main"))
             heading = name in ("h1", "h2", "h3", "h4", "h5", "h6")
-            own_aside = says and name not in NESTED
+            own_aside = (says or hinted) and name not in NESTED
             if name in NESTED:
-                stack.append((name, article or name in ("article", "main"), aside or says))
+                aside = aside or says
+                if hinted:
+                    hint = _Hint(hint)
+                    hints.append(hint)
+                if name == "article" and not aside:
+                    articles.append(hint)
+                elif name == "main" and not aside and hint:
+                    mains.append(hint)
+                stack.append((name, article or name in ("article", "main"), aside, hint))
     end()
-    return blocks
+    _settle(hints, mains, articles)
+    return [(*b[:4], int(b[4][0] or bool(b[4][1] and b[4][1].depth)), b[5]) for b in blocks]
 
 
 def main_text(page: str | None, tree) -> tuple[str, int, int]:

@@ -144,6 +144,23 @@ def test_pages_that_mark_no_article():
     assert blocks.main_text(page, blocks.fitted_tree())[0] == f"A title\n{text.strip()}\n{text.strip()}"
 
 
+def test_names_of_the_whole_page_set_nothing_aside():
+    text = "The article of this page has quite a lot of words in a paragraph without any links."
+    tree, article = blocks.fitted_tree(), f"<article><p>{text}</p></article>"
+    comments = "<section id=comments><article><p>Nice article, thanks a lot for writing all of this.</p></article></section>"
+    pages = [
+        f"<html class=no-sidebar><body class='single has-sidebar comments-open'>{article}</body>",
+        f"<article class='post comment-status-open'><p>{text}</p></article>",
+        f"<main id=has-sidebar><p>{text}</p></main>",
+        f"<div class='layout with-sidebar'>{article}<div class=sidebar><p>Other things that are not in it.</p></div></div>",
+        f"<div class=with-sidebar><div class=comments-open><main><p>{text}</p></main></div></div>",
+        f"<div class=with-sidebar>{article}{comments}</div>", f"<div>{article}</div>{comments}",
+        f"<div class=with-sidebar><div class=comments-open>{article}</div></div>",
+    ]
+    assert [blocks.main_text(p, tree)[0] for p in pages] == [text] * len(pages)
+    assert blocks.main_text(f"<div class=widget>{article}</div><div class=widget>{article}</div>", tree)[0] == f"{text}\n{text}"
+
+
 def test_long_page_is_read_once():
     page = "<article>" + "<p>word <b>two</b> three" * 20_000 + "<a \"" * 2000
     assert blocks.main_text(page, blocks.fitted_tree())[1] >= 20_000
