@@ -2,7 +2,7 @@
 
 A page becomes a list of flat blocks, the texts between block-level tags.  A block has its
 word count and link density, those of the blocks before and after it, and what the markup
-says about its place.  Classes and ids of an element do not set it aside if it is the page,
+says about its place.  Short articles beside much longer text are teasers and mark nothing.  Classes and ids of an element do not set it aside if it is the page,
 a main element or an article, or holds a main element; if they set all articles of a page
 aside, the outermost of them count for nothing.  A decision tree grown on a small table of labelled blocks keeps or
 drops each one.
@@ -80,9 +80,9 @@ LABELLED = [
     (14, 0.0, 6, 0.0, 70, 0.0, 1, 0, 0, 0, 1), (45, 0.1, 14, 0.0, 90, 0.0, 1, 0, 0, 0, 1),
     (120, 0.0, 45, 0.1, 20, 0.3, 1, 0, 0, 0, 1), (8, 0.6, 50, 0.0, 9, 0.5, 1, 0, 0, 0, 1),
     (4, 1.0, 70, 0.0, 60, 0.1, 1, 0, 0, 0, 1), (400, 0.02, 6, 0.0, 5, 0.0, 1, 0, 0, 0, 1),
-    (2, 0.0, 1, 0.0, 1, 1.0, 1, 0, 0, 0, 1), (1, 1.0, 2, 1.0, 1, 1.0, 1, 0, 0, 0, 1),
+    (2, 0.0, 1, 0.0, 1, 1.0, 1, 0, 0, 0, 1), (1, 1.0, 2, 1.0, 1, 1.0, 1, 0, 0, 0, 0),
     (5, 0.5, 3, 1.0, 4, 0.9, 1, 0, 0, 0, 1), (3, 0.0, 0, 0.0, 2, 1.0, 1, 0, 0, 1, 1),
-    (9, 0.8, 1, 1.0, 1, 0.0, 1, 0, 0, 0, 1), (25, 0.7, 8, 0.6, 6, 1.0, 1, 0, 0, 0, 1),
+    (9, 0.8, 1, 1.0, 1, 0.0, 1, 0, 0, 0, 0), (25, 0.7, 8, 0.6, 6, 1.0, 1, 0, 0, 0, 0),
     # inside articles, but set aside: notices, adverts, share bars, comments, forms
     (10, 0.0, 45, 0.0, 60, 0.0, 1, 0, 1, 0, 0), (4, 1.0, 80, 0.0, 4, 1.0, 1, 0, 1, 0, 0),
     (30, 0.0, 90, 0.0, 25, 0.0, 1, 0, 1, 0, 0), (75, 0.0, 3, 0.0, 40, 0.0, 1, 0, 1, 0, 0),
@@ -109,7 +109,18 @@ LABELLED = [
     (4, 0.0, 3, 0.0, 2, 0.0, 0, 0, 0, 0, 0), (7, 0.0, 50, 0.0, 0, 0.0, 0, 0, 1, 0, 0),
     (40, 0.0, 70, 0.0, 12, 0.0, 0, 0, 1, 0, 0), (3, 0.0, 2, 1.0, 2, 1.0, 0, 0, 0, 1, 0),
 ]
+# Neighbours: none, a link and a paragraph.
+_AROUND = [(*before, *after) for before in ((0, 0.0), (2, 1.0), (60, 0.0)) for after in ((0, 0.0), (2, 1.0), (60, 0.0))]
+# blocks beside each of them: what is set aside, in articles, beside them, on pages without
+LABELLED += [(w, d, *n, *at, 1, h, 0) for w in (2, 30, 120) for d, h in ((0.0, 0), (1.0, 0), (0.0, 1)) for n in _AROUND for at in ((1, 0), (0, 1), (0, 0))]
+LABELLED += [(w, d, *n, 1, 0, 0, h, 1) for w in (1, 4, 12, 30, 120) for d, h in ((0.0, 0), (0.3, 0), (0.0, 1)) for n in _AROUND]
+LABELLED += [(w, d, *n, 1, 0, 0, 0, int(1.0 not in n)) for w in (1, 4, 12, 30) for d in (0.8, 1.0) for n in _AROUND]
+LABELLED += [(w, d, *n, 0, 1, 0, 0, 0) for w in (2, 12, 30, 120) for d in (0.0, 1.0) for n in _AROUND]
+LABELLED += [(w, d, *n, 0, 0, 0, 0, 1) for w in (18, 30, 120) for d in (0.0, 0.2) for n in _AROUND]
+LABELLED += [(w, d, *n, 0, 0, 0, 0, 0) for w in (1, 4, 12, 30) for d in (0.7, 0.9, 1.0) for n in _AROUND]
 DEPTH = 6
+# Articles with fewer words than this are teasers if there is twice as much long text beside them.
+TEASER, LONG = 50, 15
 
 
 def grow(rows: np.ndarray, labels: np.ndarray, depth: int = DEPTH):
@@ -189,12 +200,13 @@ def _settle(hints: list[_Hint], mains: list[_Hint], articles: list[_Hint | None]
 
 
 def flat_blocks(page: str) -> list[tuple[str, int, float, int, int, int]]:
-    """(text, words, link density, in_article, set_aside, heading) in page order."""
+    """(text, words, link density, number of the article or 0, set_aside, heading) in page order."""
     blocks: list[tuple] = []
     parts: list[str] = []
     linked = 0  # words of the block inside links
     link_depth = 0
-    stack: list[tuple[str, bool, bool, _Hint | None]] = []  # tag, in article, set aside, by hint
+    stack: list[tuple[str, int, bool, _Hint | None]] = []  # tag, article, set aside, by hint
+    n_articles = 0
     hints: list[_Hint] = []
     mains: list[_Hint] = []
     articles: list[_Hint | None] = []
@@ -206,9 +218,9 @@ def flat_blocks(page: str) -> list[tuple[str, int, float, int, int, int]]:
             words = html.unescape("".join(parts)).split()
             parts.clear()
             if words:
-                _, article, aside, hint = stack[-1] if stack else ("", False, False, None)
+                _, article, aside, hint = stack[-1] if stack else ("", 0, False, None)
                 density = min(1.0, linked / len(words))
-                blocks.append((" ".join(words), len(words), density, int(article), (aside or own_aside, hint), int(heading)))
+                blocks.append((" ".join(words), len(words), density, article, (aside or own_aside, hint), int(heading)))
         linked = 0
 
     def add(text: str) -> None:
@@ -250,8 +262,10 @@ def flat_blocks(page: str) -> list[tuple[str, int, float, int, int, int]]:
                     while stack.pop()[0] != name:
                         pass
                 continue
-            _, article, aside, hint = stack[-1] if stack else ("", False, False, None)
-            says, hinted = _says_aside(name, attributes, article or name in ("article", "main"))
+            _, article, aside, hint = stack[-1] if stack else ("", 0, False, None)
+            if name in ("article", "main") and not article:
+                article = n_articles = n_articles + 1
+            says, hinted = _says_aside(name, attributes, article > 0)
             heading = name in ("h1", "h2", "h3", "h4", "h5", "h6")
             own_aside = (says or hinted) and name not in NESTED
             if name in NESTED:
@@ -263,23 +277,37 @@ def flat_blocks(page: str) -> list[tuple[str, int, float, int, int, int]]:
                     articles.append(hint)
                 elif name == "main" and not aside and hint:
                     mains.append(hint)
-                stack.append((name, article or name in ("article", "main"), aside, hint))
+                stack.append((name, article, aside, hint))
     end()
     _settle(hints, mains, articles)
     return [(*b[:4], int(b[4][0] or bool(b[4][1] and b[4][1].depth)), b[5]) for b in blocks]
 
 
+def _only_teasers(blocks: list[tuple]) -> int:
+    """How many articles there are if they are all teasers of other pages, else 0."""
+    plain: dict[int, float] = {}
+    beside = 0.0
+    for _, words, density, article, aside, _ in blocks:
+        if article:
+            plain[article] = plain.get(article, 0.0) + (0 if aside else words * (1 - density))
+        elif not aside and density < 0.5 and words >= LONG:
+            beside += words * (1 - density)
+    largest = max(plain.values(), default=0.0)
+    return len(plain) if largest < TEASER and beside > 2 * largest else 0
+
+
 def main_text(page: str | None, tree) -> tuple[str, int, int]:
     """The main text, how many blocks it has and how many the page has."""
     blocks = flat_blocks(page or "")
     marked = any(b[3] for b in blocks)
+    teasers = _only_teasers(blocks)
     kept = []
     for i, (text, words, density, article, aside, heading) in enumerate(blocks):
         before = blocks[i - 1] if i else ("", 0, 0.0)
         after = blocks[i + 1] if i + 1 < len(blocks) else ("", 0, 0.0)
         features = (
             words, density, before[1], before[2], after[1], after[2],
-            article, int(marked and not article), aside, heading,
+            int(article > 0 and teasers < 2), int(marked and not article and not teasers), aside, heading,
         )
         if is_main(tree, features):
             kept.append(text)

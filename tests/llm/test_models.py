@@ -161,6 +161,39 @@ def test_names_of_the_whole_page_set_nothing_aside():
     assert blocks.main_text(f"<div class=widget>{article}</div><div class=widget>{article}</div>", tree)[0] == f"{text}\n{text}"
 
 
+def test_length_and_links_decide():
+    tree = blocks.fitted_tree()
+    long = "This last paragraph without any links has so many words that it can only be the main text of the page. "
+    link, links = "<p><a href=1>More of this</a></p>", "<ul><li><a href=1>One</a><li><a href=2>Two things</a><li><a href=3>Three</a></ul>"
+    card = "<article><h3><a href=4>Another story</a></h3><p>A teaser of it.</p></article>"
+    for page in (
+        f"<p>{long}</p>{link}<p>{long}</p>",  # last, after a paragraph that is a link
+        f"{links}<p>{long}</p><p>{long}</p>{links}",
+        f"<article><p>{long}</p>{links}<p>{long}</p></article>",
+        f"<article><p>{long}</p>{link}{links}<p>{long}</p>{links}</article>",
+    ):
+        assert blocks.main_text(page, tree)[0] == f"{long.strip()}\n{long.strip()}"
+    assert blocks.main_text(f"{links}<p>{long}</p>", tree)[0] == long.strip()
+    assert blocks.main_text(f"<article>{links}<p>Short.</p>{link}</article>", tree)[0] == "Short.\nMore of this"
+    got = blocks.main_text(f"{links}<div><p>{long}</p><p>{long}</p></div>{card}{card}{card}", tree)[0]
+    assert got.startswith(f"{long.strip()}\n{long.strip()}") and "Another" not in got
+    assert blocks.main_text(f"{card}<p>A short line beside it.</p>", tree)[0].endswith("A teaser of it.")
+
+
+def test_every_neighbourhood():
+    tree = blocks.fitted_tree()
+    around = [(*b, *a) for b in ((0, 0.0), (1, 0.9), (5, 0.0), (90, 0.1)) for a in ((0, 0.0), (1, 0.9), (5, 0.0), (90, 0.1))]
+    for n in around:
+        for words in (2, 9, 40, 300):
+            assert blocks.is_main(tree, (words, 0.1, *n, 1, 0, 0, 0)), (words, n)
+            assert blocks.is_main(tree, (words, 0.95, *n, 1, 0, 0, 0)) == (0.9 not in n), (words, n)
+            assert not blocks.is_main(tree, (words, 0.95, *n, 0, 0, 0, 0))
+            for place in ((1, 0), (0, 1), (0, 0)):
+                assert not blocks.is_main(tree, (words, 0.1, *n, *place, 1, 0))
+        for words in (20, 40, 300):
+            assert blocks.is_main(tree, (words, 0.1, *n, 0, 0, 0, 0)), (words, n)
+
+
 def test_long_page_is_read_once():
     page = "<article>" + "<p>word <b>two</b> three" * 20_000 + "<a \"" * 2000
     assert blocks.main_text(page, blocks.fitted_tree())[1] >= 20_000
