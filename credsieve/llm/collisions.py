@@ -9,7 +9,11 @@ by their exact cosine.
 So that not every pair need be counted, the lines of each of ``TABLES`` tables are cut at
 their median into cells.  A vector is at home in one cell and visits every cell its window
 reaches, so a pair is met where one is at home and the other visits; it is counted in the
-first table where they meet.  The number of cut lines follows the number of vectors.
+first table where they meet.  The number of cut lines follows the number of vectors, and how
+far a visitor reaches follows the number of cut lines: ``reach`` is the smallest half-width
+at which the tables together lose at most ``MISSED`` of the pairs at the threshold, for
+vectors as far from the mean as those of the sample.  Cells and count together lose at most
+twice ``MISSED``.
 
 A cell with more vectors than ``HOME`` or ``VISITORS`` is dealt over several tasks, each of
 which compares a part of the homes with a part of the visitors.  A task returns numbers of
@@ -26,7 +30,7 @@ repeat a vec_id are vectors of their own.
 from __future__ import annotations
 
 from functools import lru_cache
-from math import comb, erf, sqrt
+from math import comb, erf, erfc, pi, sqrt
 
 import numpy as np
 import pandas as pd
@@ -68,6 +72,27 @@ def needed_collisions() -> int:
     return PROJECTIONS
 
 
+def reach(bits: int, spread: np.ndarray, cosine: float = COSINE) -> float:
+    """Half-width of the cuts at which visitors at these distances from the mean miss MISSED at most.
+
+    On a random line a visitor is normal around the cut with its distance as deviation, and its
+    partner normal around it with the radius.  A cut loses the pair if the visitor is beyond the
+    half-width and the partner across; a table if one of its cuts does.
+    """
+    if not bits:
+        return WINDOW * radius(cosine)
+    r = max(radius(cosine), 1e-9)
+    at = np.linspace(0, 6, 301)  # places of visitors in radii; twice one side of the cut
+    across = np.array([erfc(x / sqrt(2)) / 2 for x in at])
+    width = np.maximum(spread, 1e-9)[:, None] / r
+    near = 2 * np.exp(-((at / width) ** 2) / 2) / (width * sqrt(2 * pi)) * across * (at[1] - at[0])
+    lost = np.minimum(1.0, near[:, ::-1].cumsum(1)[:, ::-1])  # beyond each place
+    # no density can make a cut lose more than the partners that are as far away
+    lost = np.minimum(lost, 2 * across)
+    total = ((1 - (1 - lost) ** bits) ** TABLES).mean(0)
+    return max(WINDOW * r, float(at[np.argmax(total <= MISSED)] * r))
+
+
 @lru_cache(16)
 def lines(dimensions: int) -> np.ndarray:
     return np.random.default_rng(20 + dimensions).standard_normal((dimensions, PROJECTIONS))
@@ -106,25 +131,34 @@ def classes(vectors: DataFrame) -> tuple[DataFrame, DataFrame]:
     return rows.select("vec_id", "node"), found
 
 
-def _splits(reps: DataFrame) -> dict[int, np.ndarray]:
-    """Median of every line over a bounded sample, for each number of dimensions."""
+def cuts(vectors: np.ndarray, bits: int, cosine: float) -> tuple[np.ndarray, float]:
+    """Median of every line over these unit vectors, and how far visitors reach from it."""
+    spread = np.sqrt(((vectors - vectors.mean(0)) ** 2).sum(1))
+    return np.median(vectors @ lines(vectors.shape[1]), axis=0), reach(bits, spread, cosine)
+
+
+def _splits(reps: DataFrame, bits: int, cosine: float) -> dict[int, tuple[np.ndarray, float]]:
+    """The cuts from a bounded sample, for each number of dimensions."""
     some = reps.select("embedding").orderBy(F.xxhash64("node")).limit(SAMPLE).toPandas()
     out = {}
     for size, part in some.groupby(some["embedding"].map(len)):
-        out[int(size)] = np.median(unit(_stack(part["embedding"])) @ lines(int(size)), axis=0)
+        out[int(size)] = cuts(unit(_stack(part["embedding"])), bits, cosine)
     return out
 
 
-def _placed(reps: DataFrame, bits: int, half: float) -> DataFrame:
-    """Every class at home in one cell per table, and in all cells its window reaches."""
-    splits = _splits(reps)
+def _placed(reps: DataFrame, bits: int, cosine: float) -> DataFrame:
+    """Every class at home in one cell per table, and in all cells it reaches."""
+    splits = _splits(reps, bits, cosine)
+    # a number of dimensions that the sample does not have
+    unknown = np.zeros(PROJECTIONS), max(reach(bits, np.full(1, s), cosine) for s in np.linspace(0.1, 2, 20))
     schema = "node long, kind string, n long, embedding array<double>, signs long, far long, tab int, cell long, home boolean"
 
     def run(batches):
         for batch in batches:
             for size, part in batch.groupby(batch["embedding"].map(len)):
                 vectors = unit(_stack(part["embedding"]))
-                places = vectors @ lines(int(size)) - splits.get(int(size), np.zeros(PROJECTIONS))
+                split, half = splits.get(int(size), unknown)
+                places = vectors @ lines(int(size)) - split
                 powers = np.uint64(1) << np.arange(PROJECTIONS, dtype=np.uint64)
                 signs = ((places >= 0) * powers).sum(1, dtype=np.uint64).view(np.int64)
                 far = ((np.abs(places) > half) * powers).sum(1, dtype=np.uint64).view(np.int64)
@@ -231,7 +265,6 @@ def near_duplicates(vectors: DataFrame, cosine: float = COSINE, steps: Steps | N
     reps = steps.write(reps)
     largest = reps.groupBy("kind").agg(F.count("*").alias("n")).agg(F.max("n")).first()[0] or 0
     bits = max(0, min(PROJECTIONS // TABLES - 1, int(np.ceil(np.log2(max(1, largest) / CELL)))))
-    half = WINDOW * radius(cosine)
 
     def compare(key: tuple, group: pd.DataFrame) -> pd.DataFrame:
         homes, visitors = group[group["home"]], group[~group["home"]]
@@ -255,7 +288,7 @@ def near_duplicates(vectors: DataFrame, cosine: float = COSINE, steps: Steps | N
             ]
         )
 
-    dealt = _dealt(_placed(reps, bits, half))
+    dealt = _dealt(_placed(reps, bits, cosine))
     found = steps.write(
         dealt.groupBy("kind", "tab", "cell", "hp", "vp").applyInPandas(compare, "node long, other long, links long")
     )

@@ -134,3 +134,28 @@ def test_tables_without_links(spark):
     assert all(r.n_links == 0 and r.kept for r in collisions.near_duplicates(alone).collect())
     docs = spark.createDataFrame([], SCHEMA)
     assert simhash.near_duplicates(docs).count() == 0 and simhash.keep_one_of_each(docs).count() == 0
+
+
+def test_cells_and_count_lose_no_pair_at_the_threshold():
+    """A million pairs at the threshold in 64 dimensions, with and without a common mean direction."""
+    rng = np.random.default_rng(12)
+    n, lines, r = 50_000, collisions.lines(64), collisions.radius(collisions.COSINE)
+    mean = collisions.unit(rng.normal(size=(1, 64)))
+    for share, bits in ((0.0, 8), (0.8, 8), (0.8, 14)):
+        def drawn():
+            return collisions.unit(share * mean + np.sqrt(1 - share**2) * collisions.unit(rng.normal(size=(n, 64))))
+
+        split, reach = collisions.cuts(drawn()[: collisions.SAMPLE], bits, collisions.COSINE)
+        lost = 0
+        for _ in range(20 if bits == 14 else 7):
+            x = drawn()
+            other = rng.normal(size=x.shape)
+            other = collisions.unit(other - (other * x).sum(1, keepdims=True) * x)
+            y = collisions.COSINE * x + np.sqrt(1 - collisions.COSINE**2) * other
+            p, q = x @ lines - split, y @ lines - split
+            met = np.zeros(n, bool)
+            for t in range(collisions.TABLES):
+                cut = slice(t * (64 // collisions.TABLES), t * (64 // collisions.TABLES) + bits)
+                met |= (((p[:, cut] >= 0) == (q[:, cut] >= 0)) | (np.abs(q[:, cut]) <= reach)).all(1)
+            lost += int((~met | ((np.abs(p - q) <= collisions.WINDOW * r).sum(1) < collisions.needed_collisions())).sum())
+        assert lost <= 1, (share, bits, lost)
