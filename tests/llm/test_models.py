@@ -53,6 +53,20 @@ def test_far_texts_are_rejected(spark):
     assert not model.nearest("thernd hain")[2]
 
 
+def test_texts_of_unlearnt_languages_are_rejected_at_any_length(spark):
+    model = langid.fit(spark.createDataFrame(labelled(600), SCHEMA))
+    rng = random.Random(10)
+    scripts = ["абвгдежзиклмнопрстуфхцчшщыэюя", "αβγδεζηθικλμνξοπρστυφχψω", "的一是不了人我在有他这中大来上国个到说们"]
+    for n in (5, 40, 400, 2000):
+        for letters in scripts:
+            text = " ".join("".join(rng.choices(letters, k=rng.randint(2, 9))) for _ in range(n))
+            assert model.nearest(text)[2], (n, letters, model.nearest(text))
+    for lang in SYLLABLES:
+        for n in (2, 3, 5, 40, 400, 2000):
+            text = prose(rng, lang, n)
+            assert model.nearest(text)[::2] == (lang, False), (n, model.nearest(text))
+
+
 def test_repeated_labels_do_not_matter_for_one_text(spark):
     model = langid.fit(spark.createDataFrame(labelled(), SCHEMA))
     assert model.nearest("queaux tionle") == model.nearest("queaux tionle")
