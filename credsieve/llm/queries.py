@@ -7,7 +7,22 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from credsieve.llm import blocks, collisions, decontaminate, langid, licenses, packing, relative_lz, simhash, sql, suffix, toxicity
+from credsieve.llm import (
+    alignment,
+    blocks,
+    collisions,
+    decontaminate,
+    langid,
+    licenses,
+    packing,
+    relative_lz,
+    simhash,
+    sql,
+    suffix,
+    toxicity,
+    warc,
+    whitening,
+)
 from credsieve.llm.common import remainder, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -132,6 +147,28 @@ def op10_suffix_array_dedup(spark, sf_dir):
     )
 
 
+@query
+def op11_warc(spark, sf_dir):
+    """All pages written as WARC archives and read back, in the order of their captures."""
+    pages = table(spark, sf_dir, "pages")
+    # the table has no times: a page is captured as many seconds after a fixed time as its id
+    captured = F.lit(1_700_000_000) + F.col("page_id")
+    return warc.round_trip(pages, captured=captured)
+
+
+@query
+def op12_embedding_whitening(spark, sf_dir):
+    """All usable vectors along the eight largest principal components."""
+    found = whitening.whiten(table(spark, sf_dir, "embeddings"))
+    # n² times a squared distance leaves the range of a long at some 10 million rows
+    return found.withColumn("deviation", F.expr("try_cast(deviation AS bigint)"))
+
+
+@query
+def op13_cross_tokenizer_alignment(spark, sf_dir):
+    """All documents in both vocabularies, with the counts of their linked id pairs."""
+    return alignment.align(table(spark, sf_dir, "documents"))
+
 
 ORACLES["op9_benchmark_decontamination"] = sql.DECONTAMINATION
 ORACLES["op6_license_scan"] = sql.licenses(licenses.TEMPLATES)
