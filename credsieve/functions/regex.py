@@ -291,3 +291,70 @@ def _listed(items) -> set[int] | None:
         else:
             return None
     return codes
+
+
+# ---------------------------------------------------------------------------------
+# Strings of which every match holds one
+# ---------------------------------------------------------------------------------
+
+# Alternatives of one pattern that are told apart, further ones leave it unknown.
+ALTERNATIVES = 32
+# ASCII letters that ignoring case equates with letters beyond ASCII.
+_FOLDED = frozenset("iks")
+
+
+def required(pattern: str, ignore_case: bool = False) -> list[str]:
+    """Every match holds one of these strings, A-Z in lower case (none = nothing known).
+
+    The text is to be put into lower case the same way, A-Z only, before it is looked at.
+    """
+    tree = sre_parser.parse(pattern, re.IGNORECASE if ignore_case else 0)
+    return sorted(_needed(tree, tree.state.flags) or ())
+
+
+def _needed(items, flags: int) -> frozenset[str] | None:
+    """The best known set of alternatives: that whose shortest string is the longest."""
+    found: list[frozenset[str]] = []
+    run = _Run()
+    _collect(items, flags, run, found)
+    run.end(found)
+    return max(found, key=lambda s: (min(map(len, s)), -len(s)), default=None)
+
+
+class _Run:
+    """Literal characters that stand next to each other in every match."""
+
+    def __init__(self) -> None:
+        self.text = ""
+
+    def end(self, found: list[frozenset[str]]) -> None:
+        if self.text:
+            found.append(frozenset([self.text]))
+        self.text = ""
+
+
+def _collect(items, flags: int, run: _Run, found: list[frozenset[str]]) -> None:
+    for op, arg in items:
+        if op is sre.LITERAL:
+            char = chr(arg).lower() if arg < 128 else chr(arg)
+            if flags & re.IGNORECASE and (arg >= 128 or char in _FOLDED):
+                run.end(found)
+            else:
+                run.text += char
+        elif op is sre.SUBPATTERN:
+            _collect(arg[3], (flags | arg[1]) & ~arg[2], run, found)
+        elif op is sre.ATOMIC_GROUP:
+            _collect(arg, flags, run, found)
+        elif op in (sre.AT, sre.ASSERT, sre.ASSERT_NOT):
+            continue  # takes no characters
+        else:
+            run.end(found)
+            if op in _REPEATS and arg[0] > 0:
+                alternatives = _needed(arg[2], flags)
+            elif op is sre.BRANCH:
+                each = [_needed(branch, flags) for branch in arg[1]]
+                alternatives = frozenset().union(*each) if all(each) else None
+            else:
+                alternatives = None
+            if alternatives and len(alternatives) <= ALTERNATIVES:
+                found.append(alternatives)

@@ -19,11 +19,14 @@ from credsieve.functions.regex import to_java
 from credsieve.functions.text import drop_line_end, text_array
 from credsieve.functions.values import is_noise_line, is_valid_secret
 from credsieve.operators import entropy, keywords, patterns
+from credsieve.operators.rule_table import table_hits
 from credsieve.options import ScanOptions
 from credsieve.rules import BUILTIN_RULES, Rule
 from credsieve.rules.model import RUN_LENGTH
 
 PATTERN, KEYWORD, ENTROPY = 0, 1, 2
+# a text that was looked at, with or without hits
+SEEN = -1
 # columns added to the key columns of the input
 HIT_COLUMNS = [
     "rule_id", "rule_name", "severity", "sev_rank", "line_number", "line_content",
@@ -52,16 +55,28 @@ def raw_hits(
     keys: list[str],
     text: str = "text",
     options: ScanOptions | None = None,
-    custom_rules: list[Rule] = (),
+    custom_rules: list[Rule] | DataFrame = (),
+    seen: bool = False,
 ) -> DataFrame:
     """Every hit of every detector: the key columns and HIT_COLUMNS.
 
     Hits are not deduplicated; (det_rank, rule_idx, pos) is their order within a line.
+    With ``seen`` every text has one more row, of det_rank SEEN, so the pass itself tells
+    which texts it has read.
+    ``custom_rules`` may be rule rows: they stay a table, and the texts are read a second
+    time for them (see ``rule_table``).
     """
     options = options or ScanOptions()
+    if isinstance(custom_rules, DataFrame):
+        own = table_hits(_computed_once(texts, keys, text), keys, custom_rules, len(active_rules(options)))
+        own = own.where(~is_ignored(F.col("line_content"), options))
+        if not (options.use_builtin_rules or options.use_keywords or options.use_entropy):
+            if not seen:
+                return own
+        return raw_hits(texts, keys, text, options, seen=seen).unionByName(own)
     rules = list(enumerate(active_rules(options, custom_rules)))
     texts = _computed_once(texts, keys, text)
-    lines = _candidate_lines(texts, keys, options, [(i, r) for i, r in rules if r.java])
+    lines = _candidate_lines(texts, keys, options, [(i, r) for i, r in rules if r.java], seen)
     python_rules = [(i, r) for i, r in rules if not r.java]
     if python_rules:
         found = patterns.python_matches(texts, keys, python_rules)
@@ -96,22 +111,28 @@ def _any_gate(options: ScanOptions, rules: list[tuple[int, Rule]]) -> Column:
 
 
 def _candidate_lines(
-    texts: DataFrame, keys: list[str], options: ScanOptions, rules: list[tuple[int, Rule]]
+    texts: DataFrame, keys: list[str], options: ScanOptions, rules: list[tuple[int, Rule]], seen: bool = False
 ) -> DataFrame:
     text = F.col("_text")
+    gate = _any_gate(options, rules)
+    if seen:
+        # texts without hits go on for the sake of their mark, with all else left undone
+        texts, gate = texts.select(*keys, "_text", gate.alias("_gate")), F.lit(True)
     flags = {}
     if options.use_keywords:
         flags["_keyword"] = keywords.keyword_gate(text, options)
     if options.use_entropy:
         flags["_entropy"] = text.rlike(entropy.token_pattern(options))
-    gated = texts.where(_any_gate(options, rules)).select(
+    def if_open(value: Column, closed: Column) -> Column:
+        return F.when(F.col("_gate"), value).otherwise(closed) if seen else value
+
+    no_rules = F.array().cast("array<int>")
+    gated = texts.where(gate).select(
         *keys,
         "_text",
-        (
-            patterns.applying_rules("_text", rules) if rules else F.array().cast("array<int>")
-        ).alias("_rules"),
-        patterns.match_mark(text).alias("_mark"),
-        *[flag.alias(name) for name, flag in flags.items()],
+        (if_open(patterns.applying_rules("_text", rules), no_rules) if rules else no_rules).alias("_rules"),
+        if_open(patterns.match_mark(text), F.lit("")).alias("_mark"),
+        *[if_open(flag, F.lit(False)).alias(name) for name, flag in flags.items()],
     )
     parts = []
     if rules:
@@ -155,6 +176,9 @@ def _candidate_lines(
         parts.append(whole_lines(KEYWORD, "_keyword", keywords.keyword_lines(text, options)))
     if "_entropy" in flags:
         parts.append(whole_lines(ENTROPY, "_entropy", entropy.token_lines(text, options)))
+    if seen:
+        fields = {"det": F.lit(SEEN), "rule_idx": F.lit(0), "line_number": F.lit(0), "line": F.lit(""), "match": F.lit(""), "pos": F.lit(0)}
+        parts.append(F.array(F.struct(*[c.alias(n) for n, c in fields.items()])).cast(_LINE))
     rows = F.concat(*parts) if parts else F.array().cast(_LINE)
     lines = gated.select(*keys, F.explode(rows).alias("c")).select(*keys, "c.*")
     # matches on ignored lines are left out already
@@ -175,7 +199,7 @@ def _parts(lines: DataFrame, keys: list[str], options: ScanOptions) -> DataFrame
         entropy.line_runs(line, options),
         lambda r: F.struct(F.lit(0), r["pos"].cast("bigint"), r["head"], r["run"]),
     ).cast(_PART)
-    parts = F.when(det == PATTERN, match)
+    parts = F.when(det.isin(PATTERN, SEEN), match)
     if options.use_keywords:
         lines = lines.where((det != KEYWORD) | ~is_noise_line(line))
         parts = parts.when(det == KEYWORD, assignments)
@@ -273,10 +297,63 @@ def detect(
     keys: list[str],
     text: str = "text",
     options: ScanOptions | None = None,
+    custom_rules: list[Rule] | DataFrame = (),
+    seen: bool = False,
+) -> DataFrame:
+    """Findings of a table of texts; ``keys`` name a text (repository, path, ...).
+
+    ``seen`` adds a row of det_rank SEEN for each text, as ``raw_hits`` does.
+    """
+    return first_per_line(raw_hits(texts, keys, text, options, custom_rules, seen), keys)
+
+
+def scan_lines(
+    lines: DataFrame,
+    keys: list[str],
+    line: str = "line",
+    options: ScanOptions | None = None,
     custom_rules: list[Rule] = (),
 ) -> DataFrame:
-    """Findings of a table of texts; ``keys`` name a text (repository, path, ...)."""
-    return first_per_line(raw_hits(texts, keys, text, options, custom_rules), keys)
+    """All rule matches in a table of single lines: keys, rule_id, rule_name, severity,
+    line_content, matched_text, start and end.
+
+    The lines bring their own numbers among the ``keys``.  Every match is a row, repeats on
+    a line too; inline markers are not looked at.  start and end count characters from 0.
+    """
+    rules = list(enumerate(active_rules(options or ScanOptions(), custom_rules)))
+    java, others = [(i, r) for i, r in rules if r.java], [(i, r) for i, r in rules if not r.java]
+    texts = _computed_once(lines, keys, line)
+    text = F.col("_text")
+    found = None
+    if java:
+        by_index = F.map_from_arrays(
+            F.expr("array(" + ", ".join(str(i) for i, _ in java) + ")"), text_array([r.java for _, r in java])
+        )
+        gated = texts.where(patterns.any_rule("_text", [r for _, r in java])).select(
+            *keys, "_text", patterns.match_mark(text).alias("_mark"), F.explode(patterns.applying_rules("_text", java)).alias("rule_idx")
+        )
+        found = gated.select(
+            *keys, "_text", "rule_idx", F.inline(patterns.spans(text, F.col("_mark"), F.element_at(by_index, F.col("rule_idx"))))
+        )
+    if others:
+        more = patterns.python_spans(texts, keys, others)
+        found = more if found is None else found.unionByName(more)
+    if found is None:
+        raise ValueError("no rules to look for")
+
+    def of_rule(values: list[str]) -> Column:
+        return F.element_at(text_array(values), F.col("rule_idx") + 1)
+
+    return found.select(
+        *keys,
+        of_rule([r.id for _, r in rules]).alias("rule_id"),
+        of_rule([r.name for _, r in rules]).alias("rule_name"),
+        of_rule([r.severity for _, r in rules]).alias("severity"),
+        text.alias("line_content"),
+        F.col("match").alias("matched_text"),
+        "start",
+        "end",
+    )
 
 
 def assignments(

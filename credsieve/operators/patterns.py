@@ -113,6 +113,26 @@ def located_matches(
     return F.transform(F.array_distinct(F.array_compact(found)), located)
 
 
+def spans(text: Column, mark: Column, pattern: Column) -> Column:
+    """All matches of a rule in order: array of (start, end, match), counted in characters from 0.
+
+    The mark is put on both sides of every match; between two marks stand matches and what
+    is not matched in turn, so the lengths so far are the places.
+    """
+    marked = F.regexp_replace(text, pattern, F.concat(mark, F.lit("$0"), mark))
+    pieces = F.split(marked, F.concat(F.lit("\\Q"), mark, F.lit("\\E")), -1)
+    none = F.array().cast("array<struct<start:int,end:int,match:string>>")
+
+    def step(state: Column, piece: Column) -> Column:
+        end = state["at"] + F.length(piece)
+        span = F.struct(state["at"].alias("start"), end.alias("end"), piece.alias("match"))
+        found = F.when(state["odd"], F.concat(state["found"], F.array(span))).otherwise(state["found"])
+        return F.struct(end.alias("at"), (~state["odd"]).alias("odd"), found.alias("found"))
+
+    start = F.struct(F.lit(0).alias("at"), F.lit(False).alias("odd"), none.alias("found"))
+    return F.aggregate(pieces, start, step)["found"]
+
+
 PYTHON_MATCHES = "rule_idx int, line_number int, line string, match string, pos int"
 
 
@@ -127,6 +147,21 @@ def literal_sql(text: str, rule: Rule) -> str | None:
     return f"({low} OR {_contains_sql(text, FOLDING_LETTERS)})"
 
 
+def line_matches(text: str, pattern: re.Pattern) -> Iterator[tuple[int, str, str, int]]:
+    """(line_number, line, match, pos) of the distinct matches on a line."""
+    line_number, line_start, seen = 1, 0, set()
+    for pos, m in enumerate(pattern.finditer(text)):
+        line_number += text.count("\n", line_start, m.start())
+        line_start = m.start()
+        if (line_number, m.group()) in seen:
+            continue
+        seen.add((line_number, m.group()))
+        first = text.rfind("\n", 0, m.start()) + 1
+        last = text.find("\n", m.start())
+        line = text[first : last if last >= 0 else len(text)].rstrip("\r\n")
+        yield line_number, line, m.group(), pos
+
+
 def python_matches(texts: DataFrame, keys: list[str], rules: list[tuple[int, Rule]]) -> DataFrame:
     """Matches of the rules that only Python's ``re`` can run, from Arrow batches.
 
@@ -146,17 +181,27 @@ def python_matches(texts: DataFrame, keys: list[str], rules: list[tuple[int, Rul
             for row in batch.itertuples(index=False):
                 text, tried, key = row[-1], row[-2], row[:-2]
                 for i in tried:
-                    line_number, line_start, seen = 1, 0, set()
-                    for pos, m in enumerate(compiled[i].finditer(text)):
-                        line_number += text.count("\n", line_start, m.start())
-                        line_start = m.start()
-                        if (line_number, m.group()) in seen:
-                            continue
-                        seen.add((line_number, m.group()))
-                        first = text.rfind("\n", 0, m.start()) + 1
-                        last = text.find("\n", m.start())
-                        line = text[first : last if last >= 0 else len(text)].rstrip("\r\n")
-                        out.append((*key, i, line_number, line, m.group(), pos))
+                    out.extend((*key, i, *found) for found in line_matches(text, compiled[i]))
             yield pd.DataFrame(out, columns=columns)
 
     return gated.mapInPandas(scan, f"{key_types}, {PYTHON_MATCHES}")
+
+
+def python_spans(texts: DataFrame, keys: list[str], rules: list[tuple[int, Rule]]) -> DataFrame:
+    """(keys, _text, rule_idx, start, end, match) of the rules that only Python can run."""
+    patterns = [(i, rule.pattern) for i, rule in rules]
+    kinds = ", ".join(f"`{k}` {texts.schema[k].dataType.simpleString()}" for k in [*keys, "_text"])
+    columns = [*keys, "_text", "rule_idx", "start", "end", "match"]
+
+    def scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        compiled = [(i, re.compile(p)) for i, p in patterns]
+        for batch in batches:
+            out = [
+                (*row, i, m.start(), m.end(), m.group())
+                for row in batch.itertuples(index=False, name=None)
+                for i, p in compiled
+                for m in p.finditer(row[-1])
+            ]
+            yield pd.DataFrame(out, columns=columns)
+
+    return texts.select(*keys, "_text").mapInPandas(scan, f"{kinds}, rule_idx int, start int, end int, match string")

@@ -7,7 +7,10 @@ written as text files whose concatenation, in name order, is the document.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+import json
+from datetime import datetime, timezone
+
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from credsieve.functions.findings import (
@@ -21,6 +24,7 @@ from credsieve.functions.findings import (
 )
 from credsieve.functions.text import normal_path
 from credsieve.operators.joins import ROWS_PER_TASK, hot_keys, join_salted
+from credsieve.storage import cut_lineage
 
 # Columns of the CSV report and keys of the JSON report, in order.
 CSV_COLUMNS = [
@@ -53,6 +57,28 @@ def sorted_findings(findings: DataFrame) -> DataFrame:
     return findings.orderBy(*report_order(findings))
 
 
+def with_position(findings: DataFrame) -> DataFrame:
+    """Findings in report order, numbered from 1.
+
+    They are sorted by ranges and written; the sizes of the ranges give each its first
+    number, so no task sees more than its own range.
+    """
+    order = report_order(findings)
+    ranged = findings.repartitionByRange(*order).sortWithinPartitions(*order)
+    # the upper bits of this number are the partition, the lower 33 the place in it
+    written = cut_lineage(ranged.withColumn("_place", F.monotonically_increasing_id()))
+    part = F.shiftright("_place", 33)
+    sizes = written.groupBy(part.alias("_part")).agg(F.count("*").alias("_n"))
+    before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    starts = sizes.select("_part", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_start"))
+    at = F.col("_place") - F.shiftleft(part, 33)
+    return (
+        written.join(F.broadcast(starts), part == F.col("_part"))
+        .withColumn("position", F.col("_start") + at + 1)
+        .drop("_part", "_start", "_place")
+    )
+
+
 def redact(findings: DataFrame, lines: bool = False) -> DataFrame:
     """Replace the value by its redacted form; with ``lines`` also inside the line."""
     hidden = redacted(F.col("matched_text"))
@@ -96,8 +122,6 @@ def json_findings(findings: DataFrame, redacted_values: bool = False) -> DataFra
 
 def sarif_rules(findings: DataFrame) -> DataFrame:
     """(repo, rule_id, rule_name, rule_index) numbered by first appearance in the report."""
-    from pyspark.sql import Window
-
     known = [c for c in _ORDER if c in findings.columns]
     first = F.min(F.struct((-F.col("sev_rank")).alias("sev"), *known, "rule_name")).alias("_first")
     rules = findings.groupBy("repo", "rule_id").agg(first)
@@ -254,12 +278,30 @@ def write_documents(lines: DataFrame, path: str) -> None:
     lines.write.mode("overwrite").partitionBy("repo").text(path)
 
 
+def read_documents(spark: SparkSession, path: str) -> DataFrame:
+    """(repo, kind, json) of documents that ``write_documents`` wrote: their head, their
+    elements one by one and their tail, so a document of any size is read in parallel."""
+    lines = spark.read.text(path).where("value != ''")
+    element = F.startswith("value", F.lit("{")) & F.endswith("value", F.lit("}"))
+    later = F.startswith("value", F.lit(",{"))
+    return lines.select(
+        F.col("repo").cast("string").alias("repo"),
+        F.when(later | element, "element").when(F.length("value") < 5, "tail").otherwise("head").alias("kind"),
+        F.when(later, F.substr("value", F.lit(2))).otherwise(F.col("value")).alias("json"),
+    )
+
+
 def json_document(
-    findings: DataFrame, summaries: DataFrame, redacted_values: bool = False, parts: int | None = None
+    findings: DataFrame,
+    summaries: DataFrame,
+    redacted_values: bool = False,
+    parts: int | None = None,
+    duration_seconds: float = 0.0,
 ) -> DataFrame:
     """JSON report per repository: scan summary and all findings."""
     scan = F.to_json(
         F.struct(
+            F.lit(round(duration_seconds, 3)).alias("duration_seconds"),
             "total_commits",
             "total_files",
             "total_findings",
@@ -317,8 +359,14 @@ def gitlab_document(findings: DataFrame, repos: DataFrame, parts: int | None = N
     return document_lines(gitlab_issues(findings), heads, "]", parts)
 
 
-def baseline_document(findings: DataFrame, repos: DataFrame, parts: int | None = None) -> DataFrame:
-    """Baseline per repository as one JSON document: header and redacted entries."""
+def baseline_document(
+    findings: DataFrame, repos: DataFrame, parts: int | None = None, generated_at: str | None = None
+) -> DataFrame:
+    """Baseline per repository as one JSON document: header and redacted entries.
+
+    ``generated_at`` is the time of the run unless given, in ISO form.
+    """
+    at = json.dumps(generated_at or datetime.now(timezone.utc).isoformat())
     entries = baseline_rows(findings)
     shown = [c for c in entries.columns if c != "repo"]
     elements = entries.select(
@@ -331,7 +379,7 @@ def baseline_document(findings: DataFrame, repos: DataFrame, parts: int | None =
     heads = repos.select("repo").distinct().join(sizes, "repo", "left").select(
         "repo",
         F.concat(
-            F.lit(f'{{"version":"{TOOL_VERSION}","generator":"{TOOL_NAME}","total_findings":'),
+            F.lit(f'{{"version":"{TOOL_VERSION}","generator":"{TOOL_NAME}","generated_at":{at},"total_findings":'),
             F.coalesce("_n", F.lit(0)).cast("string"),
             F.lit(',"findings":['),
         ).alias("head"),

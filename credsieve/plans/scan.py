@@ -9,15 +9,17 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from credsieve.functions.findings import SEVERITIES, fingerprint, redacted
-from credsieve.operators.detect import detect, first_per_line, raw_hits
+from credsieve.operators.allowlist import drop_allowed
+from credsieve.operators.detect import SEEN, detect, first_per_line, raw_hits
 from credsieve.operators.history import select_commits, snapshot_at
 from credsieve.operators.joins import ROWS_PER_TASK, join_salted
 from credsieve.operators.paths import should_scan
 from credsieve.operators.snapshots import snapshot_diff
-from credsieve.operators.suppress import at_least, drop_allowed, drop_known, gate, only_known
+from credsieve.operators.suppress import at_least, drop_known, gate, only_known
 from credsieve.options import ScanOptions
+from credsieve.plans.hits import HitStore
 from credsieve.rules import Rule
-from credsieve.sources.files import is_readable, is_text, readable_texts
+from credsieve.sources.files import is_text, readable_texts
 from credsieve.storage import cut_lineage
 
 Keep = Callable[[DataFrame], DataFrame] | None
@@ -50,14 +52,15 @@ class Scan:
 
     ``findings`` are new findings, ``suppressed`` the ones the baseline knows, ``commits``
     the selected revisions, ``files`` the distinct (repo, path, blob_sha) looked at with
-    the commit that brought them, ``dirty`` the blobs with raw hits.
+    the commit that brought them, ``read`` (blob_sha, is_dirty) the contents that were
+    readable and whether they have raw hits.
     """
 
     findings: DataFrame
     suppressed: DataFrame | None
     commits: DataFrame | None
     files: DataFrame
-    dirty: DataFrame
+    read: DataFrame
 
 
 def described(findings: DataFrame) -> DataFrame:
@@ -125,7 +128,23 @@ def findings_of_files(
     """
     placed = join_salted(files, hits, ["blob_sha"], rows_per_task=rows_per_task)
     placed = placed.withColumnRenamed("path", "file_path").drop("blob_sha")
-    return first_per_line(drop_allowed(placed, allowlist), ["repo", "file_path"], ["commit_seq", "commit_sha"])
+    found = first_per_line(placed, ["repo", "file_path"], ["commit_seq", "commit_sha"])
+    # hits of one line and text are allowed or not together
+    return drop_allowed(found, allowlist)
+
+
+def hits_of_contents(
+    blobs: DataFrame, options: ScanOptions, custom_rules: list[Rule] | DataFrame, keep: Keep, store: HitStore | None
+) -> tuple[DataFrame, DataFrame]:
+    """Hits of the contents, and which contents were readable: one pass over those that the
+    store does not know."""
+    if store is None:
+        every = keep(detect(readable_texts(blobs, options), ["blob_sha"], "text", options, custom_rules, seen=True))
+    else:
+        every = store.hits_of(blobs, options, custom_rules)
+    hits = every.where(F.col("det_rank") != SEEN)
+    read = every.groupBy("blob_sha").agg(F.max(F.col("det_rank") != SEEN).alias("is_dirty"))
+    return hits, read
 
 
 def scan_history(
@@ -135,11 +154,12 @@ def scan_history(
     options: ScanOptions | None = None,
     allowlist: DataFrame | None = None,
     baseline: DataFrame | None = None,
-    custom_rules: list[Rule] = (),
+    custom_rules: list[Rule] | DataFrame = (),
     head: DataFrame | None = None,
     where: Column | None = None,
     rows_per_task: int = ROWS_PER_TASK,
     keep: Keep = cut_lineage,
+    store: HitStore | None = None,
 ) -> Scan:
     """Scan the history of one or many repositories.
 
@@ -147,7 +167,7 @@ def scan_history(
     tables that several results are computed from, the distinct files and the hits; with
     ``keep=None`` they are computed wherever they are used and nothing runs here.  With
     head_only the whole tree of the head is scanned, not what its commit changed, and the
-    head stands as the commit of all findings.
+    head stands as the commit of all findings.  Contents that ``store`` knows are not read.
     """
     options = options or ScanOptions()
     selected = select_commits(commits, options, head)
@@ -161,10 +181,10 @@ def scan_history(
     if options.head_only or options.diff_base or options.since_commit:
         # a part of the history: leave out contents it does not refer to
         blobs = blobs.join(files.select("blob_sha").distinct(), "blob_sha", "left_semi")
-    hits = keep(detect(readable_texts(blobs, options), ["blob_sha"], "text", options, custom_rules))
+    hits, read = hits_of_contents(blobs, options, custom_rules, keep, store)
     found = findings_of_files(files, hits, allowlist, rows_per_task)
     new, known = judged(found, options, baseline)
-    return Scan(new, known, selected, files, hits.select("blob_sha").distinct())
+    return Scan(new, known, selected, files, read)
 
 
 def scan_pending(
@@ -174,8 +194,9 @@ def scan_pending(
     options: ScanOptions | None = None,
     allowlist: DataFrame | None = None,
     baseline: DataFrame | None = None,
-    custom_rules: list[Rule] = (),
+    custom_rules: list[Rule] | DataFrame = (),
     keep: Keep = cut_lineage,
+    store: HitStore | None = None,
 ) -> Scan:
     """Scan what a pending tree changes against the head; all of it if there is no head."""
     options = options or ScanOptions()
@@ -188,9 +209,9 @@ def scan_pending(
         .withColumns({"commit_seq": F.lit(0).cast("bigint"), **{n: F.lit(v) for n, v in PENDING_COMMIT.items()}})
     )
     blobs = blobs.join(files.select("blob_sha").distinct(), "blob_sha", "left_semi")
-    hits = keep(detect(readable_texts(blobs, options), ["blob_sha"], "text", options, custom_rules))
+    hits, read = hits_of_contents(blobs, options, custom_rules, keep, store)
     new, known = judged(findings_of_files(files, hits, allowlist), options, baseline)
-    return Scan(new, known, None, files, hits.select("blob_sha").distinct())
+    return Scan(new, known, None, files, read)
 
 
 def scan_texts(
@@ -198,7 +219,7 @@ def scan_texts(
     options: ScanOptions | None = None,
     allowlist: DataFrame | None = None,
     baseline: DataFrame | None = None,
-    custom_rules: list[Rule] = (),
+    custom_rules: list[Rule] | DataFrame = (),
 ) -> DataFrame:
     """Findings of any table (repo, path, text), optionally with commit_seq, commit_sha,
     commit_author and commit_date; without contents shared between rows, nothing but
@@ -213,8 +234,8 @@ def scan_texts(
     texts = texts.where(should_scan(F.col("path"), options) & is_text(F.col("text"), options))
     texts = texts.withColumnRenamed("path", "file_path")
     carried = ["repo", "file_path", "commit_seq", *blank]
-    hits = drop_allowed(raw_hits(texts, carried, "text", options, custom_rules), allowlist)
-    found = first_per_line(hits, ["repo", "file_path"], ["commit_seq"])
+    hits = raw_hits(texts, carried, "text", options, custom_rules)
+    found = drop_allowed(first_per_line(hits, ["repo", "file_path"], ["commit_seq"]), allowlist)
     return judged(found, options, baseline)[0]
 
 
@@ -234,10 +255,11 @@ def scan(
     options: ScanOptions | None = None,
     allowlist: DataFrame | None = None,
     baseline: DataFrame | None = None,
-    custom_rules: list[Rule] = (),
+    custom_rules: list[Rule] | DataFrame = (),
     head: DataFrame | None = None,
     pending_tree: DataFrame | None = None,
     keep: Keep = cut_lineage,
+    store: HitStore | None = None,
 ) -> Result:
     """Scan what the options name; the first one set wins: pending, head_only, diff_base,
     since_commit.  Without any of them it is the whole history.
@@ -250,10 +272,10 @@ def scan(
         if pending_tree is None:
             raise ValueError("the option pending needs a pending_tree")
         tree = snapshot_at(commits, file_versions, head)
-        done = scan_pending(pending_tree, tree, blobs, options, allowlist, baseline, custom_rules, keep)
+        done = scan_pending(pending_tree, tree, blobs, options, allowlist, baseline, custom_rules, keep, store)
     else:
         done = scan_history(
-            commits, file_versions, blobs, options, allowlist, baseline, custom_rules, head, keep=keep
+            commits, file_versions, blobs, options, allowlist, baseline, custom_rules, head, keep=keep, store=store
         )
     from credsieve.plans.reports import redact
 
@@ -261,20 +283,14 @@ def scan(
     return Result(done, found, gate(done.findings, options.fail_on_severity))
 
 
-def summary(scan: Scan, blobs: DataFrame, options: ScanOptions | None = None) -> DataFrame:
+def summary(scan: Scan) -> DataFrame:
     """Commits, files, findings per severity and suppressed findings of each repository.
 
     A file counts if it was read, or if it repeats a blob with hits; repeats of clean
-    blobs, binary and oversized files do not.
+    blobs, binary and oversized files do not.  What was readable the scan has found out on
+    its way; no content is read here.
     """
-    options = options or ScanOptions()
-    if "content" in blobs.columns:
-        readable = blobs.where(is_readable(blobs, options)).select("blob_sha")
-    else:
-        readable = readable_texts(blobs, options).select("blob_sha")
-    state = readable.join(
-        scan.dirty.withColumn("_dirty", F.lit(True)), "blob_sha", "left"
-    ).withColumn("_dirty", F.coalesce("_dirty", F.lit(False)))
+    state = scan.read.withColumnRenamed("is_dirty", "_dirty")
     seen = join_salted(scan.files, state, ["blob_sha"])
     # clean blobs are made distinct first, so that one with many copies costs one row
     clean = seen.where(~F.col("_dirty")).select("repo", "blob_sha").distinct()

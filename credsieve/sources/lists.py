@@ -23,14 +23,21 @@ def parse_allowlist(lines: DataFrame, column: str = "value") -> DataFrame:
 
     Blank lines, comment lines, a scope without pattern and empty patterns are dropped.
     """
-    whole = lines.select(strip(F.col(column)).alias("_line")).where(
+    # filters do not move below a generator, so what it yields is computed once
+    whole = lines.select(F.explode(F.array(strip(F.col(column)))).alias("_line")).where(
         (F.col("_line") != "") & ~F.startswith("_line", F.lit("#"))
     )
     has_reason = F.contains("_line", F.lit(" #")) | F.contains("_line", F.lit("\t#"))
     halves = F.when(has_reason, F.split("_line", f"[{SPACE}]+#", 2)).otherwise(F.array("_line"))
-    entries = whole.select(halves.alias("_h")).select(
-        strip(F.col("_h")[0]).alias("_entry"),
-        F.coalesce(strip(F.get("_h", F.lit(1))), F.lit("")).alias("reason"),
+    entries = whole.select(F.explode(F.array(halves)).alias("_h")).select(
+        F.inline(
+            F.array(
+                F.struct(
+                    strip(F.col("_h")[0]).alias("_entry"),
+                    F.coalesce(strip(F.get("_h", F.lit(1))), F.lit("")).alias("reason"),
+                )
+            )
+        )
     )
     scoped = rf"\Ascope:[{SPACE}]*([^{SPACE}]+)[{SPACE}]+([^{SPACE}][\s\S]*)\z"
     is_scoped = F.startswith("_entry", F.lit("scope:"))

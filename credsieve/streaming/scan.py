@@ -8,15 +8,15 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from credsieve.operators.detect import raw_hits
+from credsieve.operators.allowlist import drop_allowed
+from credsieve.operators.detect import first_per_line, raw_hits
 from credsieve.operators.paths import should_scan
-from credsieve.operators.suppress import at_least, drop_allowed, drop_known
+from credsieve.operators.suppress import at_least, drop_known
 from credsieve.options import ScanOptions
 from credsieve.plans.reports import baseline_rows
 from credsieve.plans.scan import described
@@ -31,7 +31,7 @@ def stream_findings(
     options: ScanOptions | None = None,
     allowlist: DataFrame | None = None,
     baseline: DataFrame | None = None,
-    custom_rules: list[Rule] = (),
+    custom_rules: list[Rule] | DataFrame = (),
     carry: list[str] = ("commit_seq",),
 ) -> DataFrame:
     """Findings of a stream of (repo, path, text, event time, carried columns).
@@ -42,39 +42,56 @@ def stream_findings(
     are dropped; the batch scan stays the authority on which commit came first.
     """
     options = options or ScanOptions()
-    rows = (
-        texts.where(should_scan(F.col("path"), options) & is_text(F.col("text"), options))
-        .withColumnRenamed("path", "file_path")
-        .withWatermark(event_time, horizon)
-    )
+    wanted = should_scan(F.col("path"), options) & is_text(F.col("text"), options)
+    rows = texts.where(wanted).withColumnRenamed("path", "file_path")
     hits = raw_hits(rows, ["repo", "file_path", event_time, *carry], "text", options, custom_rules)
     hits = drop_allowed(hits, allowlist)
     first = first_sightings(hits, event_time, horizon, list(carry))
     return drop_known(described(at_least(first, options.min_severity)), baseline)
 
 
+# Rows of a task that are settled together at least.
+SETTLED = 50_000
+SIGHTING = ["repo", "file_path", "line_number", "matched_text"]
+
+
+def first_of_batch(hits: DataFrame, rank: list[str], partitions: int | None = None) -> DataFrame:
+    """Of the hits of a micro-batch at one place the first by ``rank``.
+
+    The hits of a place come to one task; it keeps one row per place while its Arrow
+    batches pass, and nothing from one micro-batch to the next.  ``rank`` decides all ties.
+    """
+    partitions = partitions or int(hits.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+
+    def first(tables: list[pa.Table]) -> pa.Table:
+        rows = pa.concat_tables(tables).sort_by([(c, "ascending") for c in rank])
+        at = pa.array(range(rows.num_rows), pa.int64())
+        places = rows.select(SIGHTING).append_column("_at", at).group_by(SIGHTING).aggregate([("_at", "min")])
+        return rows.take(places.column("_at_min"))
+
+    def settle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kept: list[pa.Table] = []
+        waiting = 0
+        for batch in batches:
+            kept.append(pa.Table.from_batches([batch]))
+            waiting += batch.num_rows
+            # as many new rows as there are places, so that each row is sorted a few times
+            if waiting > max(SETTLED, kept[0].num_rows):
+                kept, waiting = [first(kept)], 0
+        if kept:
+            yield from first(kept).combine_chunks().to_batches(max_chunksize=10_000)
+
+    return hits.repartition(partitions, *SIGHTING).mapInArrow(settle, hits.schema)
+
+
 def first_sightings(hits: DataFrame, event_time: str, horizon: str, carry: list[str]) -> DataFrame:
-    """One hit per (repo, file, line, text) within the horizon."""
-    names = hits.columns
-    rank = [event_time, *carry, "det_rank", "rule_idx", "pos"]
-    kept = pd.Timedelta(horizon)
-
-    def first(key: tuple, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        if state.hasTimedOut:
-            state.remove()
-            return
-        if state.exists:
-            return
-        rows = pd.concat(list(parts))
-        best = rows.sort_values(rank, kind="stable").iloc[:1]
-        state.update((True,))
-        end = int((rows[event_time].min() + kept).timestamp() * 1000)
-        state.setTimeoutTimestamp(max(end, state.getCurrentWatermarkMs() + 1))
-        yield best[names]
-
-    return hits.groupBy("repo", "file_path", "line_number", "matched_text").applyInPandasWithState(
-        first, hits.schema, "seen boolean", "append", GroupStateTimeout.EventTimeTimeout
-    )
+    """One hit per (repo, file, line, text) within the horizon.
+
+    What is kept between micro-batches is Spark's own: the places seen, until the
+    watermark is a horizon past their first sighting.
+    """
+    first = first_of_batch(hits, [event_time, *carry, "det_rank", "rule_idx", "pos"])
+    return first.withWatermark(event_time, horizon).dropDuplicatesWithinWatermark(SIGHTING)
 
 
 BASELINE = "repo string, fingerprint string, batch bigint, part int"
@@ -94,7 +111,7 @@ def run_incremental(
     event_time: str = "committed_at",
     options: ScanOptions | None = None,
     allowlist: DataFrame | None = None,
-    custom_rules: list[Rule] = (),
+    custom_rules: list[Rule] | DataFrame = (),
     carry: list[str] = ("commit_seq",),
     on_batch: Callable[[DataFrame, int], None] | None = None,
     trigger: dict | None = None,
@@ -116,13 +133,10 @@ def run_incremental(
     ).parquet(f"{baseline_path}/batch=-1")
 
     def handle(batch: DataFrame, batch_id: int) -> None:
-        from credsieve.operators.detect import first_per_line
-
         rows = batch.where(should_scan(F.col("path"), options) & is_text(F.col("text"), options))
         rows = rows.withColumnRenamed("path", "file_path")
         hits = raw_hits(rows, ["repo", "file_path", event_time, *carry], "text", options, custom_rules)
-        hits = drop_allowed(hits, allowlist)
-        found = first_per_line(hits, ["repo", "file_path"], [event_time, *carry])
+        found = drop_allowed(first_per_line(hits, ["repo", "file_path"], [event_time, *carry]), allowlist)
         parts = [r[0] for r in batch.select(_part(F.col("repo"))).distinct().collect()]  # PARTS at most
         # the folders are listed now: they are those of earlier batches
         earlier = spark.read.schema(BASELINE).option("basePath", baseline_path).parquet(baseline_path)

@@ -1,12 +1,15 @@
+import fnmatch
 import json
 import random
+import re
 
 import pytest
 from conftest import token
 from pyspark.sql import functions as F
 
 from credsieve.functions.findings import fingerprint
-from credsieve.operators import suppress
+from credsieve.functions.regex import required
+from credsieve.operators import allowlist, suppress
 from credsieve.operators.joins import hot_keys, join_salted
 from credsieve.operators.paths import path_of_url, should_scan
 from credsieve.options import ScanOptions
@@ -70,7 +73,7 @@ def test_allowlist(spark, tmp_path, monkeypatch):
         ("with#hash", "", None, False),
     }
     def kept(entries):
-        out = suppress.drop_allowed(findings(spark, VALUES), entries)
+        out = allowlist.drop_allowed(findings(spark, VALUES), entries)
         return {(r.matched_text, r.file_path) for r in out.collect()}
 
     assert kept(entries) == KEPT
@@ -82,14 +85,17 @@ def test_allowlist(spark, tmp_path, monkeypatch):
     odd = [(r"(zzz)?(?(1)b|zzzqqq)", None, True), (r"(x)\1zz", None, True), ("(", None, True), ("", None, False)]
     more = spark.createDataFrame(odd, "pattern string, scope string, is_regex boolean")
     assert kept(entries.select("pattern", "scope", "is_regex").unionByName(many).unionByName(more)) == KEPT
-    monkeypatch.setattr(suppress, "ALTERNATIVES", 1)
+    # a table of entries means the same as predicates
+    monkeypatch.setattr(allowlist, "FEW", 0)
+    monkeypatch.setattr(allowlist, "ALTERNATIVES", 1)
     assert kept(entries) == KEPT
+    assert kept(entries.where("pattern = 'none'")) == {v for v in VALUES}
     monkeypatch.undo()
-    valid, rejected = suppress.split_allowlist(entries.unionByName(more.withColumn("reason", F.lit(""))))
+    valid, rejected = allowlist.split_allowlist(entries.unionByName(more.withColumn("reason", F.lit(""))))
     assert valid.count() == 7
     assert {(r.pattern, r.problem.split(":")[0]) for r in rejected.collect()} == {
         ("[broken", "invalid regex"), ("(", "invalid regex"), ("", "empty pattern")}
-    plan = suppress.drop_allowed(findings(spark, VALUES), entries)._jdf.queryExecution().executedPlan().toString()
+    plan = allowlist.drop_allowed(findings(spark, VALUES), entries)._jdf.queryExecution().executedPlan().toString()
     assert "NestedLoop" not in plan
     only_python = spark.createDataFrame(
         [(r"(RE)?(?(1)AL_)", None, True), ("SCOPED", "*.py", False)],
@@ -103,6 +109,75 @@ def test_allowlist(spark, tmp_path, monkeypatch):
     assert read_allowlist(spark, str(tmp_path / "none")).count() == 0
 
 
+def model_allows(entries, value, path):
+    path = path.replace("\\", "/")
+    for pattern, scope, is_regex in entries:
+        try:
+            found = re.search(pattern, value) if is_regex else pattern in value
+        except re.error:
+            continue
+        names = (path, path.rsplit("/", 1)[-1])
+        if pattern and found and (not scope or any(fnmatch.fnmatchcase(n, scope) for n in names)):
+            return True
+    return False
+
+
+def test_many_regexes_stay_a_table(spark, monkeypatch):
+    """50,000 regexes: no entry in the plan, and what the plain loop allows."""
+    rng = random.Random(3)
+    values = [("".join(rng.choice("abcXYZ019_-é") for _ in range(rng.randrange(1, 40))), f"d{i % 5}/f{i}.{'py' if i % 3 else 'js'}") for i in range(400)]
+    odd = [(r"^[a-c]{2}X", "*.py", True), ("9", "d1/*", False), (r"(?i)ABC0", None, True), (r"(a)\1\1", None, True), ("xyz9|zzz|(cab){2}", None, True),
+           (r"(?i)kiss", None, True), (r"(X)?(?(1)Yc|00a)", "d2/*", True), ("[", None, True), (None, None, False), ("", None, True), (r"-$", "f?.js", True)]
+    made = [(f"{v[5:9]}.*{v[-2:]}$" if len(v) > 11 and n % 2 else v[:6], None if n % 3 else "*.js", len(v) > 11 and bool(n % 2)) for n, (v, _) in enumerate(values[:120])]
+    made = [(re.escape(p) if r else p, s, r) for p, s, r in made]
+    rest = spark.range(50_000).selectExpr("concat('q', id, 'w[0-9]+', id % 13, '(u|v)?')  AS pattern", "CAST(NULL AS string) AS scope", "true AS is_regex")
+    entries = spark.createDataFrame(odd + made, "pattern string, scope string, is_regex boolean").unionByName(rest)
+    expected = {v for v in values if not model_allows([e for e in odd if e[0]] + made, *v)}
+    monkeypatch.setattr(allowlist, "BLOCK", 90)
+    collected = []
+    real = type(entries).collect
+    monkeypatch.setattr(type(entries), "collect", lambda self: collected.append(real(self)) or collected[-1])
+    out = allowlist.drop_allowed(findings(spark, values), entries)
+    monkeypatch.undo()
+    assert max(map(len, collected)) <= allowlist.FEW + 1
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    assert "w[0-9]" not in plan and len(plan) < 60_000
+    got = {(r.matched_text, r.file_path) for r in out.collect()}
+    assert got == expected and 0 < len(got) < len(values)
+
+
+def test_texts_are_searched_once(spark, monkeypatch):
+    """With an allowlist of any size the texts are in one scan."""
+    seen = spark.sparkContext.accumulator(0)
+
+    def count(text):
+        seen.add(1)
+        return text
+
+    # else a filter and what stands behind it would both compute it
+    counted = F.udf(count, "string").asNondeterministic()
+    texts = spark.range(40).selectExpr("'r' AS repo", "concat('f', id, '.txt') AS path", "concat('api_key = \"zq81', id, 'hh\"') AS text")
+    entries = spark.createDataFrame([(f"zq81{i}", None, i % 2 == 0) for i in range(9)], "pattern string, scope string, is_regex boolean")
+    rows = {}
+    for few in (0, 50):
+        monkeypatch.setattr(allowlist, "FEW", few)
+        before = seen.value
+        found = scan_texts(texts.withColumn("text", counted("text").cast("string")), allowlist=entries)
+        rows[few] = {(r.file_path, r.matched_text) for r in found.collect()}
+        assert seen.value - before == 40
+    assert rows[0] == rows[50] and len(rows[0]) < 40
+
+
+@pytest.mark.parametrize(
+    "pattern,strings",
+    [("abC", ["abc"]), ("a.bcd", ["bcd"]), ("(?i)xKy", ["x"]), ("(foo|barx)zz", ["barx", "foo"]), ("a|b*", []), ("x(?:yz){2}w?", ["yz"]),
+     (r"^\bAKIA[0-9]+$", ["akia"]), ("(?=q)ab(?!c)d", ["abd"]), ("é+x", ["x"]), ("", []), ("(a(b)c)d", ["abcd"])],
+)
+def test_required_strings(pattern, strings):
+    found = required(pattern)
+    assert found == strings or (not strings and not found) or min(map(len, found)) >= min(map(len, strings))
+
+
 def test_baseline(spark, tmp_path):
     both = findings(spark, [("SECRET_ONE", "a.py"), ("SECRET_TWO", "b.py")])
     prints = [r.fingerprint for r in both.orderBy("file_path").collect()]

@@ -1,4 +1,6 @@
+import glob
 import random
+import shutil
 from datetime import datetime, timedelta
 
 import pytest
@@ -18,7 +20,10 @@ from credsieve.operators.snapshots import file_versions_of, snapshot_diff
 from credsieve.options import ScanOptions
 from credsieve.sources.files import read_folder
 from credsieve.storage import cut_lineage
+from credsieve.plans import hits
+from credsieve.plans.hits import HitStore, rules_digest
 from credsieve.plans.scan import scan, scan_history, scan_pending, summary, totals
+from credsieve.rules import Rule
 
 COMMITS = "repo string, commit_sha string, parents array<string>, commit_seq long, author string, committed_at timestamp, message string"
 FILES = "repo string, commit_sha string, path string, blob_sha string, change_type string"
@@ -143,11 +148,11 @@ def test_history_scan(spark):
             ("src/p.py", key, "c3", "Carol", "2024-01-01T00:03:00+00:00"),
             ("src/o.py", other, "c3", "Carol", "2024-01-01T00:03:00+00:00"),
         }
-    row = summary(scan, blobs, options).first()
+    row = summary(scan).first()
     # three dirty (path, blob), one clean blob under two paths; binary and oversized do not count
     assert (row.total_commits, row.total_files, row.suppressed) == (3, 4, 0)
     assert row.n_critical == 3 and row.total_findings == scan.findings.count()
-    assert totals(summary(scan, blobs, options)).first().total_files == 4
+    assert totals(summary(scan)).first().total_files == 4
 
 
 def test_history_scan_with_lists(spark):
@@ -160,7 +165,7 @@ def test_history_scan_with_lists(spark):
     second = scan_history(commits, files, blobs, ScanOptions(min_severity="HIGH"), allow, base)
     assert {f.file_path for f in second.findings.collect()} == {"src/o.py"}
     assert second.suppressed.count() == 1
-    assert summary(second, blobs).first().suppressed == 1
+    assert summary(second).first().suppressed == 1
 
 
 def test_range_and_head_scans(spark):
@@ -190,7 +195,7 @@ def test_pending_scan(spark):
     assert {(f.file_path, f.commit_author, f.commit_date) for f in aws} == {
         ("existing.py", "Current User (Staged)", "Working Tree"), ("new.py", "Current User (Staged)", "Working Tree")}
     assert scan_pending(pending, head.limit(0), blobs).findings.select("file_path").distinct().count() == 3
-    assert summary(scan, blobs).first().total_commits == 0
+    assert summary(scan).first().total_commits == 0
 
 
 def test_versions_from_trees(spark):
@@ -281,3 +286,70 @@ def test_read_folder(spark, tmp_path):
     for place in (str(root), str(root) + "/", f"file://{root}"):
         got = {(r.path, r.size) for r in read_folder(spark, place, "r", 50).collect()}
         assert got == {("lib/src/y.py", 1), ("x.py", 2)}
+
+
+def counting(spark, column):
+    """The column as it is, and how often it was computed."""
+    seen = spark.sparkContext.accumulator(0)
+
+    def count(value):
+        seen.add(1)
+        return value
+
+    return F.udf(count, "binary").asNondeterministic()(column), seen
+
+
+def as_rows(scan):
+    columns = ["repo", "file_path", "line_number", "matched_text", "rule_id", "commit_sha"]
+    return sorted(tuple(r[c] for c in columns) for r in scan.findings.collect())
+
+
+def test_summary_reads_no_contents(spark):
+    key, other, commits, files, blobs = history(spark)
+    content, seen = counting(spark, F.col("content"))
+    scan = scan_history(commits, files, blobs.withColumn("content", content), ScanOptions(max_file_size=2000))
+    assert seen.value == blobs.count()
+    row = summary(scan).first()
+    assert (row.total_commits, row.total_files, row.n_critical) == (3, 4, 3)
+    assert {(r.blob_sha, r.is_dirty) for r in scan.read.collect()} == {("k", True), ("r", False), ("o", True)}
+    assert seen.value == blobs.count()
+
+
+def test_rescan_reads_new_contents_only(spark, tmp_path, monkeypatch):
+    searched = []
+    detect = hits.detect
+    monkeypatch.setattr(hits, "detect", lambda texts, *a, **k: searched.append(texts.count()) or detect(texts, *a, **k))
+    key, other, commits, files, blobs = history(spark)
+    store = HitStore(spark, f"{tmp_path}/hits")
+    options = ScanOptions(max_file_size=2000)
+    early, first = commits.where("commit_seq < 3"), blobs.where("blob_sha IN ('k', 'r', 'n')")
+    before = scan_history(early, files, first, options, store=store)
+    assert as_rows(before) == as_rows(scan_history(early, files, first, options))
+    again = scan_history(commits, files, blobs, options, store=store)
+    full = scan_history(commits, files, blobs, options)
+    assert as_rows(again) == as_rows(full) and summary(again).collect() == summary(full).collect()
+    # what the store knows is not even looked at
+    other_content = blobs.withColumn("content", F.lit(bytearray(b"password = 'x9y8z7w6'")))
+    third = scan_history(commits, files, other_content, options, store=store)
+    assert as_rows(third) == as_rows(full) and searched == [2, 1, 0]
+    # other rules know nothing of these hits
+    rule = Rule("t", "T", "HIGH", "T = .{3}")
+    with_rule = scan_history(commits, files, blobs, options, custom_rules=[rule], store=store)
+    assert as_rows(with_rule) == as_rows(scan_history(commits, files, blobs, options, custom_rules=[rule]))
+    assert rules_digest(options, [rule]) != rules_digest(options, []) == rules_digest(ScanOptions(max_file_size=2000, min_severity="HIGH"), [])
+    rows = spark.createDataFrame([("t", "x"), ("u", "y")], "id string, pattern string")
+    assert rules_digest(options, rows) == rules_digest(options, rows.orderBy("pattern", ascending=False)) != rules_digest(options, rows.limit(1))
+
+
+def test_a_batch_that_broke_off_does_not_count(spark, tmp_path, monkeypatch):
+    key, other, commits, files, blobs = history(spark)
+    store, options = HitStore(spark, f"{tmp_path}/hits"), ScanOptions()
+    expected = as_rows(scan_history(commits, files, blobs, options))
+    rules = rules_digest(options, [])
+    # hits without the write that commits them, and one content committed by two scans
+    store.hits_of(blobs, options)
+    batch = glob.glob(f"{tmp_path}/hits/hits/rules={rules}/batch=*")[0]
+    shutil.copytree(batch, f"{tmp_path}/hits/hits/rules={rules}/batch=broken")
+    shutil.copytree(batch, f"{tmp_path}/hits/hits/rules={rules}/batch=twice")
+    shutil.copytree(batch.replace("/hits/hits/", "/hits/seen/"), f"{tmp_path}/hits/seen/rules={rules}/batch=twice")
+    assert as_rows(scan_history(commits, files, blobs, options, store=store)) == expected

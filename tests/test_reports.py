@@ -7,6 +7,7 @@ import pytest
 from conftest import token
 from pyspark.sql import functions as F
 
+from credsieve.operators.detect import scan_lines
 from credsieve.options import ScanOptions
 from credsieve.plans import reports
 from credsieve.plans.scan import scan_texts
@@ -192,3 +193,71 @@ def test_rules_as_rows(spark):
     texts = spark.createDataFrame([("r", "a", "ACME-123456"), ("r", "b", "acme-12")], "repo string, path string, text string")
     found = scan_texts(texts, ScanOptions(use_entropy=False), custom_rules=as_rules(valid)).collect()
     assert [(f.file_path, f.rule_id) for f in found] == [("a", "acme")] and rejected.count() == 0
+
+
+def test_positions(spark, findings):
+    rows = reports.with_position(findings.repartition(7)).collect()
+    assert sorted(r.position for r in rows) == list(range(1, findings.count() + 1))
+    key = [(r.position, -r.sev_rank, r.commit_seq, r.file_path, r.det_rank, r.rule_idx, r.line_number, r.pos) for r in rows]
+    in_order = sorted(key)
+    assert [k[1:] for k in in_order] == sorted(k[1:] for k in key)
+    assert reports.with_position(findings.limit(0)).collect() == []
+
+
+def test_documents_read_back(spark, findings, tmp_path):
+    lines = reports.baseline_document(findings, findings.select("repo"), parts=3, generated_at='a "time"')
+    reports.write_documents(lines, str(tmp_path / "b"))
+    rows = reports.read_documents(spark, str(tmp_path / "b")).collect()
+    assert {r.repo for r in rows} == {"r1", "r2"}
+    assert sorted(r.kind for r in rows if r.repo == "r2") == ["element", "head", "tail"]
+    assert all(json.loads(r.json)["fingerprint"] for r in rows if r.kind == "element")
+    whole = documents(lines, str(tmp_path / "c"))["r1"][0]
+    assert list(whole) == ["version", "generator", "generated_at", "total_findings", "findings"]
+    assert whole["generated_at"] == 'a "time"' and whole["total_findings"] == len(whole["findings"])
+    now = documents(reports.baseline_document(findings, findings.select("repo")), str(tmp_path / "d"))["r2"][0]
+    assert now["generated_at"].endswith("+00:00")
+    head = documents(reports.json_document(findings, summaries(spark, findings), duration_seconds=1.23456), str(tmp_path / "e"))["r1"][0]["scan"]
+    assert head["duration_seconds"] == 1.235
+
+
+def test_stream_settles_micro_batches(spark, tmp_path, monkeypatch):
+    """Copies of one place in one micro-batch, in many Arrow batches: the earliest counts."""
+    key = token("AKIA", "IOSFODNN7EXAMPLE")
+    rows = spark.range(3000).selectExpr(
+        "'r' AS repo", "concat('f', id % 7, '.py') AS path", f"'K = \"{key}\"' AS text",
+        "timestamp_seconds(1700000000 + (id * 7919) % 3001) AS committed_at", "id AS commit_seq",
+    )
+    source = str(tmp_path / "in")
+    rows.repartition(5).write.parquet(source)
+    monkeypatch.setattr("credsieve.streaming.scan.SETTLED", 10)
+    size = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(size)
+    spark.conf.set(size, "50")
+    try:
+        stream = spark.readStream.schema(rows.schema).parquet(source)
+        query = (
+            stream_findings(stream).writeStream.format("memory").queryName("settled")
+            .option("checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).start()
+        )
+        query.awaitTermination()
+    finally:
+        spark.conf.set(size, before)
+    got = {(r.file_path, r.rule_id, r.commit_seq) for r in spark.table("settled").where("rule_id like 'aws%'").collect()}
+    first = {}
+    for i in range(3000):
+        at = (7919 * i % 3001, i)
+        first[i % 7] = min(first.get(i % 7, at), at)
+    assert got == {(f"f{k}.py", "aws-access-key-id", i) for k, (_, i) in first.items()}
+
+
+def test_lines_with_given_numbers(spark):
+    key = token("AKIA", "IOSFODNN7EXAMPLE")
+    rules = [Rule("x", "X", "LOW", "x+"), Rule("c", "C", "HIGH", "(q)?(?(1)w|ee)")]
+    lines = spark.createDataFrame(
+        [("a", 40, f"é{key} xx {key} x"), ("a", 7, "qw ee"), ("b", 1, ""), ("b", 2, None)], "path string, n int, line string"
+    )
+    got = scan_lines(lines, ["path", "n"], custom_rules=rules).collect()
+    assert sorted((r.path, r.n, r.rule_id, r.matched_text, r.start, r.end) for r in got) == sorted([
+        ("a", 40, "aws-access-key-id", key, 1, 21), ("a", 40, "aws-access-key-id", key, 25, 45),
+        ("a", 40, "x", "xx", 22, 24), ("a", 40, "x", "x", 46, 47), ("a", 7, "c", "qw", 0, 2), ("a", 7, "c", "ee", 3, 5),
+    ])

@@ -207,6 +207,12 @@ ORACLES: dict[str, str] = {
     "entropy_overlap_low_threshold": entropy_rows("texts AS (SELECT path, text FROM docs)", 3.8),
     "pattern_scan_line": rule_scan("line"),
     "pattern_scan_multiline": rule_scan("multi"),
+    "line_matches": f"""WITH {DOCS}, {lines_cte("docs", "path", "numbered")},
+      given AS (SELECT path, (line_number - 1) * 10 + 7 AS n, line AS text FROM numbered),
+      {lines_cte("given", "path, n")}, {rules_cte()}, {rule_hits_cte("given", "path, n")}
+      SELECT path, n AS line_number, rule_id, severity, line AS line_content, match AS matched_text,
+             instr(line, match) - 1 AS start, instr(line, match) - 1 + length(match) AS "end"
+      FROM rule_hits JOIN rules USING (rule_idx)""",
     "custom_rules": f"""WITH {DOCS}, {lines_cte("docs", "doc_id")}, {rules_cte([*BUILTIN_RULES, *CUSTOM_RULES])},
       {rule_hits_cte("docs", "doc_id", list(enumerate([*BUILTIN_RULES, *CUSTOM_RULES])))}
       SELECT doc_id, line_number, line AS line_content, rule_id, rule_name, severity, match AS matched_text
@@ -218,6 +224,23 @@ ORACLES: dict[str, str] = {
              'LOW' AS severity, match AS matched_text
       FROM (SELECT *, unnest(regexp_extract_all(line, 'token = "| note')) AS match FROM lines)
       WHERE NOT regexp_matches(line, '(?i)credsieve\\s*:\\s*ignore|pragma\\s*:\\s*allowlist\\s+secret')""",
+    "rule_rows": f"""WITH {DOCS}, {lines_cte("docs", "path")},
+      rules AS (SELECT doc_id AS rule_idx, doc_id % 8 AS kind, sha256(cast(doc_id AS varchar)) AS h FROM documents),
+      found AS (
+        SELECT path, line_number, line, 0 AS kind, unnest(regexp_extract_all(line, 'prod_[0-9a-f]{{7,}}')) AS match FROM lines
+        UNION ALL SELECT path, line_number, line, 1, unnest(regexp_extract_all(line, '(?i)sum [0-9a-f]{{12}}')) FROM lines
+        UNION ALL SELECT path, line_number, line, 3, unnest(regexp_extract_all(line, 'ghp_[0-9a-f]{{6}}')) FROM lines
+        UNION ALL SELECT path, line_number, line, 7, unnest(regexp_extract_all(line, 'db_password = "[0-9a-f]{{2}}')) FROM lines),
+      matches AS (
+        SELECT path, line_number, line, match, rule_idx, kind FROM found JOIN rules USING (kind)
+        WHERE CASE kind WHEN 0 THEN substr(match, 6, 6) = substr(h, 1, 6) WHEN 1 THEN lower(substr(match, 5, 8)) = substr(h, 1, 8)
+                        WHEN 3 THEN substr(match, 5, 6) = substr(h, 1, 6) ELSE substr(match, 16, 2) = substr(h, 1, 2) END
+        UNION ALL SELECT path, line_number, line, unnest(regexp_extract_all(line, '[a-f0-9]{{64}}')), 4, 4 FROM lines)
+      SELECT path, line_number, 'rule-' || rule_idx AS rule_id, 'rule-' || rule_idx AS rule_name,
+             CASE kind WHEN 1 THEN 'LOW' ELSE 'HIGH' END AS severity, match AS matched_text
+      FROM matches
+      WHERE NOT regexp_matches(line, '(?i)credsieve\\s*:\\s*ignore|pragma\\s*:\\s*allowlist\\s+secret')
+      QUALIFY row_number() OVER (PARTITION BY path, line_number, match ORDER BY rule_idx) = 1""",
     "rule_validation": """
       SELECT 'rule-' || doc_id AS id, CASE WHEN doc_id % 7 <> 4 THEN 'Rule ' || doc_id ELSE 'rule-' || doc_id END AS name,
              CASE WHEN doc_id % 7 = 1 THEN '[unclosed' ELSE 'x{2}' || doc_id END AS pattern,
@@ -306,8 +329,8 @@ ORACLES: dict[str, str] = {
       SELECT repo, path AS file_path, line_number, rule_id, matched_text, commit_sha FROM findings""",
     "scan_summary": f"{SUMMARY} SELECT * FROM summaries",
     "suppressed_summary": f"""{history()}
-      SELECT repo, count(*) FILTER (fingerprint >= '4') AS total_findings, count(*) FILTER (fingerprint < '4') AS suppressed
-      FROM findings GROUP BY repo""",
+      SELECT repo, count(fingerprint) FILTER (fingerprint >= '4') AS total_findings, count(fingerprint) FILTER (fingerprint < '4') AS suppressed
+      FROM (SELECT DISTINCT repo FROM commits) LEFT JOIN findings USING (repo) GROUP BY repo""",
     "scan_totals": f"""{SUMMARY} SELECT {", ".join(f"cast(sum({c}) AS bigint) AS {c}" for c in (
         "total_files", "total_findings", "n_critical", "n_high", "n_medium", "n_low", "total_commits", "suppressed"))}
       FROM summaries""",
@@ -315,9 +338,24 @@ ORACLES: dict[str, str] = {
       SELECT s AS severity, cast(r AS bigint) AS sev_rank, (SELECT count(*) FROM findings f WHERE f.severity = s) AS n_findings
       FROM (VALUES ('LOW', 0), ('MEDIUM', 1), ('HIGH', 2), ('CRITICAL', 3)) v(s, r)""",
     "findings_report": f"""{doc_findings()}
-      SELECT repo, path AS file_path, line_number, line AS line_content, cast(sev_rank AS bigint) AS sev_rank, redacted_value, fingerprint,
+      SELECT row_number() OVER (ORDER BY {REPORT_ORDER}) AS position, repo, path AS file_path, line_number, line AS line_content, cast(sev_rank AS bigint) AS sev_rank, redacted_value, fingerprint,
              '[' || severity || '] ' || rule_name || ' in ' || path || ':' || line_number || ' (' || redacted_value || ') @ N/A' AS summary
-      FROM findings ORDER BY {REPORT_ORDER}""",
+      FROM findings""",
+    "findings_table": f"{doc_findings()} SELECT {SHOWN} FROM findings",
+    "json_documents": f"""{SUMMARY}
+      SELECT repo, rule_id, path AS file_path, redacted_value AS matched_text, commit_sha, cast(line_number AS varchar) AS line_number,
+             fingerprint, total_commits, total_files, total_findings, n_critical
+      FROM findings JOIN summaries USING (repo)""",
+    "sarif_documents": f"""{doc_findings()}, ranked AS (
+        SELECT *, row_number() OVER (PARTITION BY repo ORDER BY {REPORT_ORDER}) AS place FROM findings)
+      SELECT repo, '2.1.0' AS version, row_number() OVER (PARTITION BY repo ORDER BY min(place)) - 1 AS rule_index,
+             rule_id AS head_rule, arg_min(rule_name, place) AS rule_name, rule_id, count(*) AS n_results
+      FROM ranked GROUP BY repo, rule_id""",
+    "baseline_written": f"""{doc_findings()}, entries AS (
+        SELECT *, count(*) OVER (PARTITION BY repo) AS total_findings FROM (
+          SELECT * FROM findings QUALIFY row_number() OVER (PARTITION BY repo, fingerprint ORDER BY {REPORT_ORDER}) = 1))
+      SELECT repo, fingerprint, rule_id, path AS file_path, severity, redacted_value, 'credsieve' AS generator,
+             '2024-05-06T07:08:09+00:00' AS generated_at, total_findings FROM entries""",
     "csv_report": f"""{doc_findings()}
       SELECT {CELL("rule_id")} AS rule_id, {CELL("rule_name")} AS rule_name, severity, {CELL("path")} AS file_path, line_number,
              {CELL(f"({ODD})")} AS matched_text, '' AS commit_sha, '' AS commit_author, '' AS commit_date, detection_type
@@ -346,5 +384,16 @@ ORACLES: dict[str, str] = {
     "stream_scan": f"""WITH {TURNS}, texts AS (
         SELECT DISTINCT repo, turn, 'turn' || (turn % 3) || '.txt' AS path, text FROM turns),
       {hits_ctes("texts", "repo, turn, path")}, {first_hits_cte("repo, path", "turn,")}
+      SELECT repo, path AS file_path, line_number, rule_id, severity, matched_text FROM findings""",
+    "stream_severity": f"""WITH {TURNS}, texts AS (
+        SELECT DISTINCT repo, turn, 'turn' || (turn % 3) || '.txt' AS path, text FROM turns),
+      {hits_ctes("texts", "repo, turn, path")}, {first_hits_cte("repo, path", "turn,")}
       SELECT repo, path AS file_path, line_number, rule_id, severity, matched_text FROM findings WHERE severity <> 'LOW'""",
+    "stream_baseline": f"""WITH {TURNS}, texts AS (
+        SELECT DISTINCT repo, turn, 'turn' || (turn % 3) || '.txt' AS path, text FROM turns),
+      {hits_ctes("texts", "repo, turn, path")}, {first_hits_cte("repo, path", "turn,")},
+      marked AS (SELECT *, {FINGERPRINT} AS fingerprint FROM findings)
+      SELECT repo, path AS file_path, line_number, rule_id, severity, matched_text FROM marked WHERE fingerprint >= '8'""",
+    "rescan": f"""{history()}
+      SELECT repo, path AS file_path, line_number, rule_id, matched_text, commit_sha, fingerprint FROM findings""",
 }

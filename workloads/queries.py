@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -11,13 +12,13 @@ from credsieve.functions.entropy import base64_entropy, encoding_class, hex_entr
 from credsieve.functions.findings import one_line
 from credsieve.functions.text import base_name, normal_path
 from credsieve.functions.values import is_noise_line, is_valid_secret
-from credsieve.operators.detect import assignments, detect, raw_hits
+from credsieve.operators.allowlist import drop_allowed
+from credsieve.operators.detect import assignments, detect, raw_hits, scan_lines
 from credsieve.operators.history import commit_range, numbered, select_commits, snapshot_at
 from credsieve.operators.paths import path_of_url, should_scan
 from credsieve.operators.snapshots import snapshot_diff
 from credsieve.operators.suppress import (
     at_least,
-    drop_allowed,
     drop_known,
     gate,
     only_known,
@@ -25,6 +26,7 @@ from credsieve.operators.suppress import (
 )
 from credsieve.options import EXCLUDED_PATHS, ScanOptions
 from credsieve.plans import reports
+from credsieve.plans.hits import HitStore
 from credsieve.plans.scan import (
     described,
     scan,
@@ -38,7 +40,7 @@ from credsieve.rules import Rule
 from credsieve.sources.files import readable_texts
 from credsieve.sources.lists import parse_allowlist, parse_baseline
 from credsieve.sources.rules import check_rules
-from credsieve.storage import cut_lineage
+from credsieve.storage import cut_lineage, work_folder
 from workloads import planted
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -202,6 +204,17 @@ def custom_rules(spark, sf_dir):
     return _rule_rows(found)
 
 
+@query
+def line_matches(spark, sf_dir):
+    """Rules over single lines that bring their own numbers, with the places of the matches."""
+    docs = planted.documents(spark, sf_dir)
+    lines = docs.select("path", F.posexplode(F.split("text", "\n", -1)).alias("i", "line")).select(
+        "path", (F.col("i") * 10 + 7).alias("line_number"), "line"
+    )
+    found = scan_lines(lines, ["path", "line_number"])
+    return whole(found, "path", "line_number", "rule_id", "severity", "line_content", "matched_text", "start", "end")
+
+
 @query
 def python_rules(spark, sf_dir):
     """A rule with a conditional group, which only Python can run."""
@@ -211,6 +224,36 @@ def python_rules(spark, sf_dir):
     return _rule_rows(detect(planted.documents(spark, sf_dir), ["doc_id"], "text", options, [rule]))
 
 
+def rule_table(spark, sf_dir) -> DataFrame:
+    """A rule per document, most of them after a value planted in it; some are no rules."""
+    docs = planted.documents(spark, sf_dir)
+    n, h = F.col("doc_id"), F.sha2(F.col("doc_id").cast("string"), 256)
+    kind = n % 8
+    pattern = (
+        F.when(n == 4, F.lit("[a-f0-9]{64}"))
+        .when(kind == 0, F.concat(F.lit("prod_"), F.substring(h, 1, 6), F.lit("[0-9a-f]+")))
+        .when(kind == 1, F.concat(F.lit("(?i)SUM "), F.upper(F.substring(h, 1, 8)), F.lit("[0-9A-F]{4}")))
+        .when(kind == 2, F.lit("[unclosed"))
+        .when(kind == 3, F.concat(F.lit("(~~)?(?(1)~|ghp_"), F.substring(h, 1, 6), F.lit(")")))
+        .when(kind == 4, F.lit(""))
+        .otherwise(F.concat(F.lit('db_password = "'), F.substring(h, 1, 2)))
+    )
+    return docs.select(
+        n.alias("rule_idx"),
+        F.when(kind != 6, F.concat(F.lit("rule-"), n.cast("string"))).alias("id"),
+        pattern.alias("pattern"),
+        F.when(kind == 5, F.lit("odd")).when(kind == 1, F.lit("low")).otherwise(F.lit("high")).alias("severity"),
+    )
+
+
+@query
+def rule_rows(spark, sf_dir):
+    """Rule rows that grow with the data, from the table to findings."""
+    options = ScanOptions(use_builtin_rules=False, use_keywords=False, use_entropy=False)
+    found = detect(planted.documents(spark, sf_dir), ["path"], "text", options, rule_table(spark, sf_dir))
+    return whole(found, "path", "line_number", "rule_id", "rule_name", "severity", "matched_text")
+
+
 @query
 def rule_validation(spark, sf_dir):
     docs = planted.documents(spark, sf_dir)
@@ -454,6 +497,20 @@ def history_scan(spark, sf_dir):
     )
 
 
+@query
+def rescan(spark, sf_dir):
+    """The history scanned a second time, when most of its contents are known already."""
+    store = HitStore(spark, f"{work_folder(spark)}/hits-{uuid.uuid4().hex}")
+    early = planted.commits(spark, sf_dir).where("commit_seq < 3")
+    options = ScanOptions(exclude_paths=["vendor/*"])
+    versions, blobs = planted.file_versions(spark, sf_dir), planted.blobs(spark, sf_dir)
+    known = versions.join(early.select("repo", "commit_sha"), ["repo", "commit_sha"], "left_semi")
+    some = blobs.join(known.select("blob_sha").distinct(), "blob_sha", "left_semi")
+    scan_history(early, known, some, options, store=store)
+    found = history(spark, sf_dir, store=store).findings
+    return whole(found, "repo", "file_path", "line_number", "rule_id", "matched_text", "commit_sha", "fingerprint")
+
+
 @query
 def history_lines(spark, sf_dir):
     """Files a predicate chooses, each finding as one line with its short commit."""
@@ -489,7 +546,7 @@ def range_scan(spark, sf_dir):
 @query
 def scan_summary(spark, sf_dir):
     scan = history(spark, sf_dir)
-    return whole(summary(scan, planted.blobs(spark, sf_dir)))
+    return whole(summary(scan))
 
 
 @query
@@ -509,15 +566,13 @@ def suppressed_summary(spark, sf_dir):
     """Findings and suppressed findings of each repository when a baseline knows some."""
     known = history(spark, sf_dir).findings.where("fingerprint < '4'").select("repo", "fingerprint")
     scan = history(spark, sf_dir, baseline=cut_lineage(known))
-    return whole(summary(scan, planted.blobs(spark, sf_dir)), "repo", "total_findings", "suppressed").where(
-        "total_findings + suppressed > 0"
-    )
+    return whole(summary(scan), "repo", "total_findings", "suppressed")
 
 
 @query
 def scan_totals(spark, sf_dir):
     scan = history(spark, sf_dir)
-    return whole(totals(summary(scan, planted.blobs(spark, sf_dir))))
+    return whole(totals(summary(scan)))
 
 
 @query
@@ -532,8 +587,8 @@ def findings_report(spark, sf_dir):
         F.col("severity"), F.col("rule_name"), F.col("file_path"), F.col("line_number"),
         F.col("matched_text"), F.col("commit_sha"),
     )
-    rows = reports.sorted_findings(found).withColumn("summary", text)
-    return whole(rows, "repo", "file_path", "line_number", "line_content", "sev_rank", "redacted_value", "fingerprint", "summary")
+    rows = reports.with_position(found).withColumn("summary", text)
+    return whole(rows, "position", "repo", "file_path", "line_number", "line_content", "sev_rank", "redacted_value", "fingerprint", "summary")
 
 
 @query
@@ -589,6 +644,67 @@ def report_document_sizes(spark, sf_dir):
     )
 
 
+def _documents(spark: SparkSession, lines: DataFrame) -> DataFrame:
+    """Documents written and read back."""
+    path = f"{work_folder(spark)}/documents-{uuid.uuid4().hex}"
+    reports.write_documents(lines, path)
+    return cut_lineage(reports.read_documents(spark, path))
+
+
+@query
+def json_documents(spark, sf_dir):
+    """JSON reports of a history written as documents, parsed again: each finding with its header."""
+    scan = history(spark, sf_dir)
+    rows = _documents(spark, reports.json_document(cut_lineage(scan.findings), summary(scan), True))
+    head = F.from_json(
+        F.concat(F.substring_index("json", ',"findings":[', 1), F.lit("}")),
+        "scan struct<duration_seconds:double,total_commits:bigint,total_files:bigint,total_findings:bigint,"
+        "counts_by_severity:struct<LOW:bigint,MEDIUM:bigint,HIGH:bigint,CRITICAL:bigint>>",
+    )
+    heads = rows.where("kind = 'head'").select("repo", head["scan"].alias("scan")).select(
+        "repo", "scan.total_commits", "scan.total_files", "scan.total_findings", F.col("scan.counts_by_severity.CRITICAL").alias("n_critical")
+    )
+    names = ["rule_id", "file_path", "matched_text", "commit_sha", "line_number", "fingerprint"]
+    elements = rows.where("kind = 'element'").select("repo", *[F.get_json_object("json", f"$.{n}").alias(n) for n in names])
+    return elements.join(heads, "repo")
+
+
+@query
+def sarif_documents(spark, sf_dir):
+    """SARIF documents parsed again: the rules of each head and how many results name them."""
+    found = cut_lineage(doc_findings(spark, sf_dir))
+    rows = _documents(spark, reports.sarif_document(found, found.select("repo")))
+    rules = F.from_json(F.concat(F.col("json"), F.lit("]}]}")), "version string, runs array<struct<tool:struct<driver:struct<rules:array<struct<id:string,name:string>>>>>>")
+    heads = rows.where("kind = 'head'").select("repo", rules.alias("d")).select(
+        "repo", F.col("d.version").alias("version"), F.posexplode(F.col("d.runs")[0]["tool"]["driver"]["rules"]).alias("rule_index", "rule")
+    )
+    results = rows.where("kind = 'element'").groupBy(
+        "repo", F.get_json_object("json", "$.ruleIndex").cast("int").alias("rule_index"), F.get_json_object("json", "$.ruleId").alias("rule_id")
+    ).agg(F.count("*").alias("n_results"))
+    both = heads.join(results, ["repo", "rule_index"], "full")
+    return whole(both.select("repo", "version", "rule_index", F.col("rule.id").alias("head_rule"), F.col("rule.name").alias("rule_name"), "rule_id", "n_results"))
+
+
+@query
+def baseline_written(spark, sf_dir):
+    """Baseline documents with their header, read again as a baseline."""
+    found = cut_lineage(doc_findings(spark, sf_dir))
+    rows = _documents(spark, reports.baseline_document(found, found.select("repo"), generated_at="2024-05-06T07:08:09+00:00"))
+    head = F.from_json(F.concat(F.col("json"), F.lit("]}")), "generator string, generated_at string, total_findings bigint")
+    heads = rows.where("kind = 'head'").select("repo", head.alias("h")).select("repo", "h.generator", "h.generated_at", "h.total_findings")
+    names = ["fingerprint", "rule_id", "file_path", "severity", "redacted_value"]
+    elements = rows.where("kind = 'element'").select("repo", *[F.get_json_object("json", f"$.{n}").alias(n) for n in names])
+    return elements.join(heads, "repo")
+
+
+@query
+def findings_table(spark, sf_dir):
+    """The findings table written by repository and read again."""
+    path = f"{work_folder(spark)}/findings-{uuid.uuid4().hex}"
+    reports.write_findings(doc_findings(spark, sf_dir), path)
+    return shown(spark.read.parquet(path).withColumn("repo", F.col("repo").cast("string")))
+
+
 # ---- streams ----------------------------------------------------------------------
 
 
@@ -601,6 +717,24 @@ def stream_scan(spark, sf_dir):
     return whole(found, "repo", "file_path", "line_number", "rule_id", "severity", "matched_text")
 
 
+@query
+def stream_severity(spark, sf_dir):
+    """The same stream from a severity on."""
+    from workloads.streams import stream_conversations
+
+    found = stream_conversations(spark, sf_dir, ScanOptions(min_severity="medium"))
+    return whole(found, "repo", "file_path", "line_number", "rule_id", "severity", "matched_text")
+
+
+@query
+def stream_baseline(spark, sf_dir):
+    """The same stream with a baseline of known findings."""
+    from workloads.streams import known_turns, stream_conversations
+
+    found = stream_conversations(spark, sf_dir, baseline=known_turns(spark, sf_dir))
+    return whole(found, "repo", "file_path", "line_number", "rule_id", "severity", "matched_text")
+
+
 @query
 def stream_incremental(spark, sf_dir):
     """The same stream with findings appended and the baseline rolled forward per batch."""

@@ -8,7 +8,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from credsieve.options import ScanOptions
-from credsieve.storage import work_folder
+from credsieve.plans.scan import scan_texts
+from credsieve.storage import cut_lineage, work_folder
 from credsieve.streaming.scan import run_incremental, stream_findings
 from workloads import planted
 
@@ -41,13 +42,13 @@ def _folder(spark: SparkSession) -> str:
     return f"{work_folder(spark)}/{uuid.uuid4().hex}"
 
 
-def stream_conversations(spark: SparkSession, sf_dir: str) -> DataFrame:
+def stream_conversations(
+    spark: SparkSession, sf_dir: str, options: ScanOptions | None = None, baseline: DataFrame | None = None
+) -> DataFrame:
     """Scan the conversations as a stream until all is read; the findings written."""
     folder = _folder(spark)
     # batches come by conversation, not by time: the horizon is longer than the table
-    found = stream_findings(
-        _turns(spark, sf_dir), horizon="36500 days", options=ScanOptions(min_severity="MEDIUM")
-    )
+    found = stream_findings(_turns(spark, sf_dir), horizon="36500 days", options=options, baseline=baseline)
     query = (
         found.writeStream.format("parquet")
         .option("checkpointLocation", f"{folder}/checkpoint")
@@ -58,6 +59,14 @@ def stream_conversations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.schema(found.schema).parquet(f"{folder}/findings")
 
 
+def known_turns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A baseline of the findings of the same turns whose fingerprint starts with 0 to 7."""
+    turn = F.concat(F.lit("turn"), (F.col("turn") % 3).cast("string"), F.lit(".txt"))
+    texts = planted.turns(spark, sf_dir).select("repo", turn.alias("path"), "text", F.col("turn").alias("commit_seq"))
+    found = scan_texts(texts).where("fingerprint < '8'").select("repo", "fingerprint").distinct()
+    return cut_lineage(found)
+
+
 def incremental_conversations(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The same with a baseline that is rolled forward batch by batch."""
     folder = _folder(spark)
