@@ -112,10 +112,9 @@ def compressed(texts: DataFrame) -> DataFrame:
     return texts.mapInArrow(run, f"doc_id {kind}, text_key long, body binary")
 
 
-def _blocks(texts: DataFrame, found: DataFrame, window: int) -> DataFrame:
-    """Blocks at the anchors in ``found``; a task sends the windows of each only once."""
+def _blocks(texts: DataFrame, lists: DataFrame, window: int) -> DataFrame:
+    """Blocks at the anchors in ``lists``; a task sends the windows of each only once."""
     kind = texts.schema["doc_id"].dataType.simpleString()
-    lists = found.groupBy("doc_id", "text_key").agg(F.collect_set(F.struct("place", "gram")).alias("anchors"))
     rows = attach(compressed(texts), lists).where("anchors IS NOT NULL")
     names = ["doc_id", "text_key", "place", "gram", "block", "windows"]
 
@@ -183,12 +182,15 @@ def factors(
     """
     steps = steps or Steps(docs.sparkSession)
     texts = keyed(docs)
-    found = _anchor_rows(texts, window, gram)
-    # the same anchor of repeated rows counts once
-    twice = found.groupBy("gram").agg(F.count("*").alias("n")).where("n > 1").select("gram")
-    twice = steps.write(twice)
-    blocks = steps.write(_blocks(texts, found.join(twice, "gram"), window))
-    steps.drop(twice)
+    # a step each, so that no word is hashed a second time for its anchors and the space of
+    # one is free before the texts move
+    found = steps.write(_anchor_rows(texts, window, gram))
+    twice = steps.write(found.groupBy("gram").agg(F.count("*").alias("n")).where("n > 1").select("gram"))
+    of_text = found.join(twice, "gram").groupBy("doc_id", "text_key")
+    lists = steps.write(of_text.agg(F.collect_set(F.struct("place", "gram")).alias("anchors")))
+    steps.drop(found, twice)
+    blocks = steps.write(_blocks(texts, lists, window))
+    steps.drop(lists)
 
     # the reference index: every block at its first place
     first = F.struct("doc_id", "text_key", "place")
