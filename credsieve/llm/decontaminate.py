@@ -1,26 +1,34 @@
 """Benchmark decontamination with native column expressions.
 
 The normalised n-grams of the test items become a hash set that is broadcast behind a
-check of its size; windows of the training texts look themselves up in it.  The set is
-keyed by the words themselves, so that every hit of the hash table is verified.
+check of its size; windows of the training texts look themselves up in it.  Only windows
+whose first words have the hash of some test window's first words are put together for
+that.  The set is keyed by the words themselves, so that every hit of it is verified.
 
 Defined results: a null or wordless text has no words and no hits; an item without words
 is never found; an item shorter than the window is one window of its own length; items
 with equal windows are all reported; rows that repeat (doc_id, text) each get the same
-result; an empty table gives an empty result, an empty benchmark no hits.
+result; a very long text is one row of words, and windows only where they may hit; an empty
+table gives an empty result, an empty benchmark no hits.  Columns of any other name are left
+as they are by ``drop_contaminated`` and left behind by ``contamination``.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from credsieve.llm.common import ascii_lower, attach, fresh, keyed, text_key
+from credsieve.llm.common import ascii_lower, attach, fresh, keyed, merged, text_key
+from credsieve.storage import Steps
 
+# First words of a window that are looked at before it is put together.
+KEY_WORDS = 3
+# Remainders of their hash that are told apart.
+MARKS_LEAST, MARKS_MOST = 1 << 16, 1 << 20
 WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 WINDOW = 13
-# Words of a text that are cut into windows at a time; bounds the memory of a row.
-CHUNK = 2048
 # Above this many bytes of test windows the join is shuffled instead of broadcast.
 BROADCAST_BYTES = 64 << 20
 
@@ -48,95 +56,104 @@ def benchmark_windows(benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
     )
 
 
-def text_windows(texts: DataFrame, lengths: list[int]) -> DataFrame:
-    """(doc_id, text_key, start, length, ngram) of every window; start counts from 0."""
-    longest = max(lengths)
-    chunks = texts.select("doc_id", "text_key", words_of(F.col("text")).alias("words")).select(
-        "doc_id",
-        "text_key",
-        F.posexplode(
-            F.transform(
-                F.sequence(F.lit(0), F.greatest(F.size("words") - 1, F.lit(0)), F.lit(CHUNK)),
-                lambda at: F.slice("words", at + 1, CHUNK + longest - 1),
-            )
-        ).alias("chunk", "words"),
-    )
+def _key(words: Column, at: Column, k: int) -> Column:
+    """Hash of the k words from ``at``, counted from 0, on."""
+    return F.xxhash64(*[F.get(words, at + j) for j in range(k)])
+
+
+def _marks(grams: DataFrame, k: int) -> bytearray:
+    """A byte for each remainder of the hash of k words: 1 if a test window begins with such."""
+    of_kind = grams.where(F.least("length", F.lit(KEY_WORDS)) == k)
+    size = min(max(MARKS_LEAST, 1 << (16 * of_kind.count()).bit_length()), MARKS_MOST)
+    at = F.pmod(_key(F.split("ngram", " "), F.lit(0), k), F.lit(size))
+    marks = bytearray(size)
+    for r in of_kind.select(at.alias("at")).distinct().collect():  # MARKS_MOST at most
+        marks[r["at"]] = 1
+    return marks
 
-    def windows(length: int) -> Column:
-        last = F.least(F.size("words") - length + 1, F.lit(CHUNK))
-        grams = F.transform(
-            F.sequence(F.lit(1), last),
-            lambda i: F.struct(
-                (i - 1).alias("at"),
-                F.lit(length).alias("length"),
-                F.array_join(F.slice("words", i, length), " ").alias("ngram"),
-            ),
-        )
-        return F.when(last >= 1, grams)
-
-    parts = [F.coalesce(windows(n), F.array().cast("array<struct<at:int,length:int,ngram:string>>")) for n in lengths]
-    every = F.concat(*parts) if len(parts) > 1 else parts[0]
-    return chunks.select("doc_id", "text_key", "chunk", F.inline(every)).select(
-        "doc_id",
-        "text_key",
-        (F.col("chunk").cast("long") * CHUNK + F.col("at")).alias("start"),
-        "length",
-        "ngram",
-    )
 
+def _may_begin(words: Column, marks: bytearray, k: int) -> Callable[[Column], Column]:
+    table, size, one = F.lit(marks), F.lit(len(marks)), F.lit(bytearray(b"\x01"))
 
-def covered(spans: Column) -> Column:
-    """Merged [lo, hi) spans of a sorted array of such spans."""
-    kind = "array<struct<lo:bigint,hi:bigint>>"
+    def test(at: Column) -> Column:
+        place = F.pmod(_key(words, at, k), size).cast("int") + 1
+        return F.substr(table, place, F.lit(1)) == one
 
-    def add(done: Column, span: Column) -> Column:
-        last = F.element_at(done, -1)
-        joined = F.concat(
-            F.slice(done, 1, F.size(done) - 1),
-            F.array(
-                F.struct(last["lo"].alias("lo"), F.greatest(last["hi"], span["hi"]).alias("hi"))
-            ),
-        )
-        return F.when((F.size(done) > 0) & (span["lo"] <= last["hi"]), joined).otherwise(
-            F.concat(done, F.array(span))
-        )
+    return test
 
-    return F.aggregate(spans, F.array().cast(kind), add)
 
+def _windows(words: Column, starts: Column, length: int) -> Column:
+    def fits(at: Column) -> Column:
+        return at + length <= F.size(words)
 
-def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
+    def window(at: Column) -> Column:
+        ngram = F.array_join(F.slice(words, at + 1, length), " ")
+        return F.struct(at.alias("start"), F.lit(length).alias("length"), ngram.alias("ngram"))
+
+    return F.transform(F.filter(starts, fits), window)
+
+
+def text_windows(texts: DataFrame, grams: DataFrame, lengths: list[int]) -> DataFrame:
+    """doc_id, text_key, n_words, windows: those (start, length, ngram) that may be some test
+    item's, start counting from 0.
+
+    The words of a text are taken out once.  A window is put together only where the hash
+    of its first words, KEY_WORDS at most, is that of some test window's first words.
+    """
+    words = F.col("words")
+    # a generator, so that the words are not computed again for each of their uses
+    rows = texts.select("doc_id", "text_key", F.explode(F.array(words_of(F.col("text")))).alias("words"))
+    parts = []
+    for k in range(1, KEY_WORDS + 1):
+        of_kind = [n for n in lengths if min(n, KEY_WORDS) == k]
+        if not of_kind:
+            continue
+        places = F.sequence(F.lit(0), F.size(words) - min(of_kind))
+        starts = F.filter(places, _may_begin(words, _marks(grams, k), k))
+        none = F.array().cast("array<int>")
+        rows = rows.withColumn(f"_starts_{k}", F.when(F.size(words) >= min(of_kind), starts).otherwise(none))
+        parts += [_windows(words, F.col(f"_starts_{k}"), n) for n in of_kind]
+    windows = F.concat(*parts) if len(parts) > 1 else parts[0]
+    return rows.select("doc_id", "text_key", F.size(words).cast("long").alias("n_words"), windows.alias("windows"))
+
+
+def contamination(
+    docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, steps: Steps | None = None
+) -> DataFrame:
     """One row per document: doc_id, text_key, n_words, n_hit, item_ids, spans.
 
     ``spans`` are the merged [lo, hi) word spans that windows of test items cover.
     """
+    steps = steps or Steps(docs.sparkSession)
     texts = keyed(docs)
-    grams = benchmark_windows(benchmark, window)
+    grams = steps.write(benchmark_windows(benchmark, window))
     size = grams.agg(
         F.sum(F.octet_length("ngram") + 8 * F.size("items") + 64).alias("bytes"),
         F.collect_set("length").alias("lengths"),
     ).first()
-    plain = texts.select("doc_id", "text_key", F.size(words_of(F.col("text"))).cast("long").alias("n_words"))
     none = F.array().cast("array<struct<lo:bigint,hi:bigint>>")
     item = benchmark.schema["item_id"].dataType.simpleString()
     if not size["lengths"]:
-        return plain.select(
-            "*", F.lit(0).cast("long").alias("n_hit"),
-            F.array().cast(f"array<{item}>").alias("item_ids"), none.alias("spans"),
+        return texts.select(
+            "doc_id", "text_key", F.size(words_of(F.col("text"))).cast("long").alias("n_words"),
+            F.lit(0).cast("long").alias("n_hit"), F.array().cast(f"array<{item}>").alias("item_ids"), none.alias("spans"),
         )
-    if size["bytes"] <= BROADCAST_BYTES:
-        grams = F.broadcast(grams)
-    hits = text_windows(texts, sorted(size["lengths"])).join(grams, ["ngram", "length"])
-    span = F.struct(F.col("start").alias("lo"), (F.col("start") + F.col("length")).alias("hi"))
-    found = hits.groupBy("doc_id", "text_key").agg(
-        F.array_sort(F.collect_set(span)).alias("_hits"),
-        F.array_distinct(F.flatten(F.collect_set("items"))).alias("_items"),
+    # without texts: the few windows that are worth looking up, and the numbers of words
+    rows = steps.write(text_windows(texts, grams, sorted(size["lengths"])))
+    known = F.broadcast(grams) if size["bytes"] <= BROADCAST_BYTES else grams
+    of_document = ["doc_id", "text_key"]
+    hits = rows.select(*of_document, F.inline("windows")).join(known, ["ngram", "length"])
+    hits = steps.write(hits.select(*of_document, F.col("start").cast("long").alias("lo"), (F.col("start") + F.col("length")).cast("long").alias("hi"), "items"))
+    runs = merged(hits.select(*of_document, "lo", "hi").distinct(), of_document).groupBy(*of_document)
+    spans = runs.agg(
+        F.array_sort(F.collect_list(F.struct("lo", "hi"))).alias("_spans"), F.sum(F.col("hi") - F.col("lo")).alias("_n_hit")
     )
-    found = found.select("doc_id", "text_key", "_items", covered(F.col("_hits")).alias("_spans"))
-    n_hit = F.aggregate("_spans", F.lit(0).cast("long"), lambda n, s: n + s["hi"] - s["lo"])
-    return attach(plain, found).select(
+    items = hits.select(*of_document, F.explode("items").alias("item")).groupBy(*of_document)
+    found = attach(spans, items.agg(F.array_sort(F.collect_set("item")).alias("_items")))
+    return attach(rows.drop("windows"), found).select(
         "doc_id", "text_key", "n_words",
-        F.coalesce(n_hit, F.lit(0).cast("long")).alias("n_hit"),
-        F.coalesce(F.array_sort("_items"), F.array().cast(f"array<{item}>")).alias("item_ids"),
+        F.coalesce("_n_hit", F.lit(0).cast("long")).alias("n_hit"),
+        F.coalesce("_items", F.array().cast(f"array<{item}>")).alias("item_ids"),
         F.coalesce("_spans", none).alias("spans"),
     )
 
