@@ -1,4 +1,11 @@
-"""The corpus pipeline: documents to packed sequences in five written stages."""
+"""The corpus pipeline: documents to packed sequences in five written stages.
+
+Defined results: a null, empty or very short text has no language near it and leaves at the
+first stage; of equal texts, whatever their ids, one document stays; rows that repeat an id
+and a text are judged alike, of them the second stage keeps one; a very long text passes
+every stage in one piece; an empty table gives no pieces.  Columns beside those of documents
+stay as they are up to the last stage.
+"""
 
 from __future__ import annotations
 
@@ -26,9 +33,17 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     return simhash.keep_one_of_each(docs)
 
 
+# Passages of some fifty words take 230 bytes and more; what is shorter than this, such as
+# a sentence that many texts have, stays.
+PASSAGE, PASSAGE_GRAM = 200, 60
+
+
 def substrings(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Texts without strings of 400 bytes that occur twice; n_chars follows the text."""
-    cut = suffix.remove_repeats(docs)
+    """Texts without strings of 200 bytes that an earlier text, or an earlier place of the
+    same one, has; n_chars, where there is one, follows the text."""
+    cut = suffix.remove_repeats(docs, PASSAGE, PASSAGE_GRAM, keep_first=True)
+    if "n_chars" not in docs.columns:
+        return cut
     return cut.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
 
 

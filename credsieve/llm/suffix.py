@@ -14,11 +14,17 @@ A byte goes when it lies in a string of ``LENGTH`` bytes that also starts anywhe
    with its common-prefix lengths tells which windows of two fragments are equal.
 4. Windows become byte spans of documents.
 
+With ``keep_first`` the string's earliest start, by (doc_id, text, place), covers nothing,
+so one copy of a passage stays.
+
 A gram with more than ``GROUP`` different fragments is not gathered in one task: the hashes
 of its windows are counted instead, which is the same comparison by another key.
 
 Defined results: a null text is empty and keeps nothing; a text shorter than LENGTH keeps
-all; rows that repeat (doc_id, text) are separate occurrences, each with the same result.
+all; rows that repeat (doc_id, text) are separate occurrences, each with the same result
+(with ``keep_first`` that of the first of them); null ids come first; a very long text is
+read in slices and sent in one piece; an empty table gives no spans and an empty result.
+Columns of any other name are left as they are.
 """
 
 from __future__ import annotations
@@ -169,10 +175,14 @@ def _classes(order: list[int], lcp: list[int], depths: np.ndarray) -> np.ndarray
 
 
 def repeated_windows(
-    fragments: list[tuple[int, int, bytes]], length: int, gram: int
+    fragments: list[tuple[int, int, bytes]], length: int, gram: int, keep_first: bool = False
 ) -> list[list[tuple[int, int]]]:
     """For each different (low, high, bytes) of one gram, the ranges of s in low..high whose
-    window also occurs in another of them.  The window of s starts s bytes before the anchor."""
+    window also occurs in another of them.  The window of s starts s bytes before the anchor.
+
+    With ``keep_first`` the fragments come in the order of their first places, and only an
+    earlier one counts.
+    """
     n = len(fragments)
     lows = np.array([f[0] for f in fragments])
     highs = np.array([f[1] for f in fragments])
@@ -187,7 +197,8 @@ def repeated_windows(
     same = ranked[:, 1:] == ranked[:, :-1]
     found = np.zeros((len(s), n), bool)
     found[:, 1:] = same
-    found[:, :-1] |= same
+    if not keep_first:
+        found[:, :-1] |= same
     repeated = np.empty_like(found)
     np.put_along_axis(repeated, by, found, 1)
     out = []
@@ -279,11 +290,13 @@ def _occurrences(texts: DataFrame, found: DataFrame, length: int) -> DataFrame:
     return rows.mapInArrow(run, _OCCURRENCES.format(id=kind))
 
 
-def _compared(bodies: DataFrame, length: int, gram: int) -> DataFrame:
-    """gram, fragment, low, high of windows that two fragments of one gram share."""
+def _compared(bodies: DataFrame, length: int, gram: int, keep_first: bool, steps: Steps) -> DataFrame:
+    """gram, fragment, low, high of windows that two fragments of one gram share; with
+    ``keep_first`` those that the other one had earlier, by the column ``first``."""
     sizes = bodies.groupBy("gram").agg(F.approx_count_distinct("fragment", 0.02).alias("n"))
-    # at most rows / GROUP grams
-    large = F.broadcast(sizes.where(F.col("n") > GROUP).select("gram"))
+    # at most rows / GROUP grams; written, so that Spark knows whether they are few enough
+    # for a broadcast
+    large = steps.write(sizes.where(F.col("n") > GROUP).select("gram"))
 
     def groups(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         now, members = None, {}
@@ -292,8 +305,9 @@ def _compared(bodies: DataFrame, length: int, gram: int) -> DataFrame:
         def settle() -> None:
             if len(members) < 2:
                 return
-            ranges = repeated_windows([m for m in members.values()], length, gram)
-            for key, found in zip(members, ranges):
+            keys = sorted(members, key=lambda k: members[k][0]) if keep_first else list(members)
+            ranges = repeated_windows([members[k][1:] for k in keys], length, gram, keep_first)
+            for key, found in zip(keys, ranges):
                 for low, high in found:
                     for column, value in zip(out, (now, key, low, high)):
                         column.append(value)
@@ -312,7 +326,9 @@ def _compared(bodies: DataFrame, length: int, gram: int) -> DataFrame:
                 if row[0] != now:
                     settle()
                     now, members = row[0], {}
-                members[row[1]] = row[2:]
+                # the first place as (has an id, id, text, place)
+                first = tuple(row[2].values()) if keep_first else ()
+                members[row[1]] = ((first[0] is not None, *first) if first else (), *row[3:])
             yield pack()
         settle()
         yield pack()
@@ -331,20 +347,30 @@ def _compared(bodies: DataFrame, length: int, gram: int) -> DataFrame:
 
     columns = ["gram", "fragment", "low", "high", "body"]
     schema = "gram long, fragment long, low int, high int"
-    few = bodies.join(large, "gram", "left_anti").select(*columns)
+    first = ["first"] if keep_first else [F.lit(None).cast("int").alias("first")]
+    few = bodies.join(large, "gram", "left_anti").select("gram", "fragment", *first, *columns[2:])
     few = few.repartition("gram").sortWithinPartitions("gram").mapInArrow(groups, schema)
     # pre-aggregated: the same fragment may have been sent by several tasks
     many = bodies.join(large, "gram", "left_semi").select(*columns)
     marks = many.mapInArrow(windows, "gram long, fragment long, s int, mark binary").distinct()
-    shared = marks.groupBy("mark").agg(F.count("*").alias("n")).where("n > 1").select("mark")
-    rest = marks.join(shared, "mark").select("gram", "fragment", F.col("s").alias("low"), F.col("s").alias("high"))
+    if keep_first:
+        marks = marks.join(bodies.select("gram", "fragment", "first").distinct(), ["gram", "fragment"])
+        earliest = F.min(F.struct("first", "fragment"))
+    else:
+        earliest = F.lit(None).cast("struct<first:int,fragment:bigint>")
+    shared = marks.groupBy("mark").agg(F.count("*").alias("n"), earliest.alias("e")).where("n > 1").select("mark", "e")
+    rest = marks.join(shared, "mark")
+    if keep_first:
+        rest = rest.where(F.col("fragment") != F.col("e.fragment"))
+    rest = rest.select("gram", "fragment", F.col("s").alias("low"), F.col("s").alias("high"))
     return few.unionByName(rest)
 
 
 def repeated_spans(
-    docs: DataFrame, length: int = LENGTH, gram: int = GRAM, steps: Steps | None = None
+    docs: DataFrame, length: int = LENGTH, gram: int = GRAM, steps: Steps | None = None, keep_first: bool = False
 ) -> DataFrame:
-    """doc_id, text_key, spans: merged [lo, hi) byte spans that also occur elsewhere."""
+    """doc_id, text_key, spans: merged [lo, hi) byte spans that also occur elsewhere; with
+    ``keep_first`` those that occur earlier."""
     steps = steps or Steps(docs.sparkSession)
     texts = keyed(docs)
     anchors = steps.write(_anchor_rows(texts, length, gram))
@@ -352,14 +378,31 @@ def repeated_spans(
     twice = steps.write(anchors.groupBy("gram").agg(F.count("*").alias("n")).where("n > 1").select("gram"))
     pieces = steps.write(_occurrences(texts, anchors.join(twice, "gram"), length))
     steps.drop(anchors, twice)
-    bodies = pieces.where("body IS NOT NULL")
-    name = ["gram", "fragment"]
-    copies = pieces.groupBy(*name).agg(F.count("*").alias("n")).where("n > 1")
-    whole = copies.select(*name, F.lit(None).cast("int").alias("low"), F.lit(None).cast("int").alias("high"))
-    ranges = whole.unionByName(_compared(bodies, length, gram)).groupBy(*name)
+    bodies, name = pieces.where("body IS NOT NULL"), ["gram", "fragment"]
+    place = F.struct("doc_id", "text_key", "at")
+    copies = steps.write(
+        pieces.groupBy(*name).agg(F.count("*").alias("n"), F.min(place).alias("first"))
+        if keep_first
+        else pieces.groupBy(*name).agg(F.count("*").alias("n")).where("n > 1")
+    )
+    if keep_first:
+        bodies = bodies.join(copies.drop("n"), name)
+    no_range = F.lit(None).cast("int")
+    whole = copies.where("n > 1").select(*name, no_range.alias("low"), no_range.alias("high"))
+    ranges = whole.unionByName(_compared(bodies, length, gram, keep_first, steps)).groupBy(*name)
     ranges = ranges.agg(F.collect_set(F.struct(F.col("low").alias("a"), F.col("high").alias("b"))).alias("ranges"))
+    if keep_first:
+        ranges = ranges.join(copies.drop("n"), name)
+    # written, so that the join with the one row of a fragment with very many copies is
+    # between two shuffles as well
+    ranges = steps.write(ranges)
     at = pieces.drop("body").join(ranges, name)
-    spans = at.select("doc_id", "text_key", "at", "low", "high", F.explode("ranges").alias("r")).select(
+    found = at.select("doc_id", "text_key", "at", "low", "high", *(["first"] if keep_first else []), F.explode("ranges").alias("r"))
+    if keep_first:
+        # the whole of a fragment is repeated everywhere but at its first place
+        here = F.struct("doc_id", "text_key", "at").eqNullSafe(F.col("first"))
+        found = found.where(~here | F.col("r.a").isNotNull())
+    spans = found.select(
         "doc_id",
         "text_key",
         (F.col("at") - F.coalesce("r.b", "high")).cast("long").alias("lo"),
@@ -367,7 +410,9 @@ def repeated_spans(
     )
     of_document = ["doc_id", "text_key"]
     runs = merged(spans.distinct(), of_document).groupBy(*of_document)
-    return steps.write(runs.agg(F.array_sort(F.collect_list(F.struct("lo", "hi"))).alias("spans")))
+    out = steps.write(runs.agg(F.array_sort(F.collect_list(F.struct("lo", "hi"))).alias("spans")))
+    steps.drop(pieces, copies, ranges)
+    return out
 
 
 def without_spans(docs: DataFrame, spans: DataFrame) -> DataFrame:
@@ -395,9 +440,9 @@ def without_spans(docs: DataFrame, spans: DataFrame) -> DataFrame:
     )
 
 
-def remove_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> DataFrame:
+def remove_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, keep_first: bool = False) -> DataFrame:
     """``docs`` with the repeated bytes cut out of ``text``; characters cut apart go whole."""
-    found = repeated_spans(docs, length, gram)
+    found = repeated_spans(docs, length, gram, keep_first=keep_first)
     empty = F.array().cast("array<struct<lo:bigint,hi:bigint>>")
     own = {c: fresh(docs, f"_{c}") for c in found.columns}
     found = found.withColumnsRenamed(own)

@@ -86,6 +86,22 @@ def kept_bytes(rows, length):
     return out
 
 
+def kept_first_bytes(rows, length):
+    """Bytes left when strings that an earlier document or place has are cut; null ids come
+    first, rows that repeat are one document."""
+    seen, out = set(), {}
+    for d, text in sorted({(d, t or "") for d, t in rows}, key=lambda r: (r[0] is not None, r[0] or 0)):
+        data = text.encode()
+        gone = bytearray(len(data))
+        for i in range(len(data) - length + 1):
+            mark = data[i : i + length]
+            if mark in seen:
+                gone[i : i + length] = b"\1" * length
+            seen.add(mark)
+        out[d, text] = bytes(b for b, g in zip(data, gone) if not g)
+    return [(d, out[d, t or ""]) for d, t in rows]
+
+
 def groups(keys, linked):
     """Smallest index of the group of each key, groups being closed under ``linked``."""
     root = list(range(len(keys)))

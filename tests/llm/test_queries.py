@@ -7,7 +7,7 @@ import zlib
 from collections import defaultdict
 
 import pytest
-from llm.cases import SCHEMA, awkward_documents, groups, kept_bytes, kept_words
+from llm.cases import SCHEMA, awkward_documents, groups, kept_bytes, kept_first_bytes, kept_words
 from llm.test_models import prose
 from llm.test_native import benchmark_rows, slow_contamination
 from llm.test_near import slow_simhash
@@ -100,7 +100,7 @@ def test_pipeline(spark, folder):
     for root, r in zip(roots, left):
         least[root] = min(r[0], least.get(root, r[0]))
     left = sorted({(r[0], r[1]) for r, root in zip(left, roots) if r[0] == least[root]})
-    left = [(d, kept.decode("utf-8", "ignore")) for d, _, _, _, kept in kept_bytes(left, suffix.LENGTH)]
+    left = [(d, kept.decode("utf-8", "ignore")) for d, kept in kept_first_bytes(left, corpus_pipeline.PASSAGE)]
     dirty = {e[0] for e in slow_contamination(left, items, 13) if e[2] and 20 * e[2] >= e[1]}
     assert dirty
     expected = sorted((d, len(encode(t))) for d, t in left if str(d) not in dirty)

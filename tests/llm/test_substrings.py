@@ -3,7 +3,7 @@ import random
 
 import numpy as np
 import pytest
-from llm.cases import SCHEMA, awkward_documents, kept_bytes, kept_words, with_clashing
+from llm.cases import SCHEMA, awkward_documents, kept_bytes, kept_first_bytes, kept_words, with_clashing
 
 from credsieve.llm import relative_lz, rolling, suffix
 
@@ -65,6 +65,19 @@ def test_bytes_against_brute_force(spark, monkeypatch, group):
     assert got == sorted((str(d), *rest) for d, *rest in kept_bytes([r[:2] for r in rows], 60))
 
 
+@pytest.mark.parametrize("group", [2000, 1])
+def test_first_copy_stays(spark, monkeypatch, group):
+    monkeypatch.setattr(suffix, "GROUP", group)
+    rng = random.Random(9)
+    parts = [bytes(rng.choice(b"abcdef \xc3") for _ in range(90)).decode("latin-1") for _ in range(6)]
+    mixed = [(200 + i, "".join(rng.choice(parts)[rng.randrange(30) :] for _ in range(rng.randrange(1, 5)))) for i in range(40)]
+    rows = [r[:2] for r in awkward_documents()] + mixed + [(d + 100, t) for d, t in mixed[:9]] + mixed[3:5]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
+    spans = suffix.repeated_spans(docs, 60, 20, keep_first=True)
+    got = sorted((str(r.doc_id), bytes(r.kept)) for r in suffix.without_spans(docs, spans).collect())
+    assert got == sorted((str(d), kept) for d, kept in kept_first_bytes(rows, 60))
+
+
 def test_cut_texts_keep_their_columns(spark):
     docs = with_clashing(spark, awkward_documents())
     cut = suffix.remove_repeats(docs, 60, 20)
