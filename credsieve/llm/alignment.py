@@ -51,13 +51,16 @@ SHARD = 1 << 16
 FAN = 32
 BROADCAST = 96 << 20
 # Words a worker keeps twice at most, and the longest of them in characters.
-WORDS_KEPT, WORD_LENGTH = 250_000, 64
+WORDS_KEPT, WORD_LENGTH = 200_000, 64
+# Words that are encoded in one call.
+CALL = 1000
 # Documents whose tokens are looked at together.
 ROWS = 512
 # Distinct pairs a task counts before it sends them.
 PAIRS_HELD = 2_000_000
 # Bits of a level for each of its keys.
 GAMMA = 2
+DECIMAL = np.array([str(i) for i in range(IDS)], object)
 # A single space between two other characters.
 CUT = re.compile(r"(?<=\S) (?=\S)")
 # Fixed value: how the byte-level pre-tokenizer cuts text.
@@ -131,7 +134,7 @@ def token_bytes(path: str) -> list[bytes]:
 
 
 class Tokens:
-    """Ids of texts in both vocabularies, as little-endian 16-bit numbers.
+    """Ids of texts in both vocabularies, as 16-bit numbers.
 
     Between two words that one space parts both tokenizers always cut, so a word with its
     space is encoded once by a worker and looked up afterwards.
@@ -142,38 +145,66 @@ class Tokens:
 
         self.encode_a, self.bytes_a = _encoder(path_a), token_bytes(path_a)
         self.b, self.bytes_b = sentencepiece.SentencePieceProcessor(model_file=path_b), token_bytes(path_b)
+        self.sizes_a, self.sizes_b = (np.array([len(t) for t in x], np.int64) for x in (self.bytes_a, self.bytes_b))
         # merges of B never cross the front of a word if no piece has a space behind a letter
         self.by_word = not any(b" " in t.lstrip(b" ") for t in self.bytes_b)
-        self.known: dict[str, tuple[bytes, bytes] | None] = {}
-        self.older: dict[str, tuple[bytes, bytes] | None] = {}
-
-    def _encode(self, parts: list[str]) -> Iterator[tuple[bytes, bytes] | None]:
-        """Ids of a space and each part; None if a tokenizer changes its bytes."""
-        for part, b in zip(parts, self.b.encode(parts, num_threads=1), strict=True):
-            raw = b" " + part.encode()
-            a = self.encode_a(" " + part)
-            same = b"".join([self.bytes_a[i] for i in a]) == raw == b"".join([self.bytes_b[i] for i in b])
-            yield (np.array(a, "<u2").tobytes(), np.array(b, "<u2").tobytes()) if same else None
+        self.words: tuple[dict[str, bytes], dict[str, bytes]] = {}, {}
+        self.older: tuple[dict[str, bytes], dict[str, bytes]] = {}, {}
+        # words that a tokenizer does not give back
+        self.changed: set[str] = set()
+
+    def _learn(self, parts: list[str]) -> None:
+        """Ids of a space and each part, of many parts in one call where each is a word."""
+        words, others = [], []
+        for part in parts:
+            # white space at an end would run together with the space behind or before it
+            (others if not part or part[0].isspace() or part[-1].isspace() else words).append(part)
+        for low in range(0, len(words), CALL):
+            if not self._learn_words(words[low : low + CALL]):
+                others += words[low : low + CALL]
+        for part in others:
+            if not self._learn_words([part]):
+                self.changed.add(part)
+                self.words[0][part] = self.words[1][part] = b""
+
+    def _learn_words(self, parts: list[str]) -> bool:
+        """False if a tokenizer changes their bytes."""
+        text = " ".join(parts)
+        a, b, raw = self.encode_a(" " + text), self.b.encode(text), b" " + text.encode()
+        if b"".join(map(self.bytes_b.__getitem__, b)) != raw or b"".join(map(self.bytes_a.__getitem__, a)) != raw:
+            return False
+        ends = np.cumsum(np.fromiter((len(p.encode()) + 1 for p in parts), np.int64, len(parts)))
+        for ids, sizes, known in ((a, self.sizes_a, self.words[0]), (b, self.sizes_b, self.words[1])):
+            numbers = np.array(ids, np.uint16)
+            token_ends = np.cumsum(sizes[numbers])
+            cuts = np.searchsorted(token_ends, ends)
+            if len(parts) > 1 and not np.array_equal(token_ends[cuts], ends):
+                return False
+            data, edges = numbers.tobytes(), [0, *(2 * (cuts + 1)).tolist()]
+            known.update((p, data[i:j]) for p, i, j in zip(parts, edges, edges[1:]))
+        return True
 
     def of(self, texts: list[str | None]) -> tuple[list[bytes], list[bytes]]:
         """The A ids and the B ids of each text, none for a text without tokens."""
         rows = [(CUT.split(t) if self.by_word else [t]) if t else [] for t in texts]
-        known, older, new = self.known, self.older, []
-        for part in set(chain.from_iterable(rows)).difference(known):
-            if part in older:
-                known[part] = older[part]
+        (of_a, of_b), (old_a, old_b), new = self.words, self.older, []
+        for part in set(chain.from_iterable(rows)).difference(of_a):
+            if part in old_a:
+                of_a[part], of_b[part] = old_a[part], old_b[part]
             else:
                 new.append(part)
-        known.update(zip(new, self._encode(new), strict=True))
-        found = [list(map(known.__getitem__, r)) for r in rows]
-        found = [[] if None in f else f for f in found]
-        out = [b"".join([x[0] for x in f]) for f in found], [b"".join([x[1] for x in f]) for f in found]
+        self._learn(new)
+        if self.changed:
+            rows = [r if self.changed.isdisjoint(r) else [] for r in rows]
+        out = [b"".join(map(of_a.__getitem__, r)) for r in rows], [b"".join(map(of_b.__getitem__, r)) for r in rows]
         # long stretches seldom come again; others stay if they came again lately
         for part in new:
             if len(part) > WORD_LENGTH:
-                del known[part]
-        if len(known) > WORDS_KEPT:
-            self.known, self.older = {}, known
+                del of_a[part], of_b[part]
+                self.changed.discard(part)
+        if len(of_a) > WORDS_KEPT:
+            self.words, self.older = ({}, {}), self.words
+            self.changed.intersection_update(self.older[0])
         return out
 
 
@@ -206,7 +237,7 @@ class Aligned:
     """Documents one behind the other: their links, and where groups and documents end."""
 
     def __init__(self, a: list[bytes], b: list[bytes], sizes_a: np.ndarray, sizes_b: np.ndarray) -> None:
-        self.a, self.b = np.frombuffer(b"".join(a), "<u2"), np.frombuffer(b"".join(b), "<u2")
+        self.a, self.b = np.frombuffer(b"".join(a), np.uint16), np.frombuffer(b"".join(b), np.uint16)
         self.n_a = np.array([len(x) // 2 for x in a], np.int64)
         self.n_b = np.array([len(x) // 2 for x in b], np.int64)
         ends_a, ends_b = np.cumsum(sizes_a[self.a]), np.cumsum(sizes_b[self.b])
@@ -239,9 +270,9 @@ class Aligned:
         out[single] = names[inverse]
         wide = np.flatnonzero(~single)
         cuts = [x[y[wide]].tolist() for x in (self.at_a, self.at_b) for y in (starts, ends)]
-        ids_a, ids_b = self.a.tolist(), self.b.tolist()
+        texts_a, texts_b = DECIMAL[self.a].tolist(), DECIMAL[self.b].tolist()
         texts = [
-            ",".join(map(str, ids_a[i : j + 1])) + "|" + ",".join(map(str, ids_b[k : m + 1])) for i, j, k, m in zip(*cuts, strict=True)
+            ",".join(texts_a[i : j + 1]) + "|" + ",".join(texts_b[k : m + 1]) for i, j, k, m in zip(*cuts, strict=True)
         ]
         out[wide] = np.array([*texts, None], object)[:-1]
         edges = np.searchsorted(ends, self.until).tolist()
