@@ -1,5 +1,7 @@
 """SQL for the queries that DuckDB can express."""
 
+from credsieve.llm.licenses import GENERIC
+
 DECONTAMINATION = r"""
 WITH doc AS (
   SELECT row_number() OVER () AS r, doc_id,
@@ -31,7 +33,8 @@ FROM doc LEFT JOIN words USING (r) LEFT JOIN items USING (r)
 
 
 def licenses(templates: list[tuple[str, str]]) -> str:
-    rows = ", ".join(f"({i}, '{name}', '{text}')" for i, (name, text) in enumerate(templates))
+    rows = ", ".join(f"({i}, '{name}', '{text.replace(chr(39), chr(39) * 2)}')" for i, (name, text) in enumerate(templates))
+    generic = ", ".join(f"'{name}'" for name in GENERIC)
     return rf"""
 WITH template(template, license, text) AS (VALUES {rows}),
 lines AS (
@@ -46,17 +49,18 @@ file AS (
   FROM lines),
 header AS (SELECT r, line, hs[line] AS header
            FROM (SELECT r, hs, unnest(range(1, len(hs) + 1)) AS line
-                 FROM (SELECT r, CASE WHEN is_license THEN [text] ELSE h END AS hs FROM file))),
+                 FROM (SELECT r, CASE WHEN is_license THEN list_concat([text], h) ELSE h END AS hs FROM file))),
 counts AS (SELECT r, line, term, count(*) AS tf
            FROM (SELECT r, line, unnest(regexp_extract_all(lower(header), '[a-z0-9]+(?:[.-][a-z0-9]+)*')) AS term FROM header)
            GROUP BY ALL),
+once AS (SELECT c.* FROM counts c JOIN file USING (r) WHERE NOT is_license OR line = 1),
 postings AS (SELECT template, license, term, count(*) AS tf
              FROM (SELECT template, license, unnest(regexp_extract_all(lower(text), '[a-z0-9]+(?:[.-][a-z0-9]+)*')) AS term FROM template)
              GROUP BY ALL),
-n AS (SELECT (SELECT count(*) FROM (SELECT DISTINCT r, line FROM counts)) + (SELECT count(*) FROM template) AS n),
+n AS (SELECT (SELECT count(*) FROM (SELECT DISTINCT r, line FROM once)) + (SELECT count(*) FROM template) AS n),
 idf AS (SELECT term, ln((1 + n) / (1 + in_headers + in_templates)) + 1 AS idf
         FROM (SELECT term, count(*) AS in_templates FROM postings GROUP BY term)
-        JOIN (SELECT p.term, count(c.r) AS in_headers FROM (SELECT DISTINCT term FROM postings) p LEFT JOIN counts c USING (term) GROUP BY p.term) USING (term), n),
+        JOIN (SELECT p.term, count(c.r) AS in_headers FROM (SELECT DISTINCT term FROM postings) p LEFT JOIN once c USING (term) GROUP BY p.term) USING (term), n),
 tw AS (SELECT template, license, term, tf * idf AS w FROM postings JOIN idf USING (term)),
 tn AS (SELECT template, sqrt(sum(w * w)) AS norm FROM tw GROUP BY template),
 hw AS (SELECT r, line, term, tf * coalesce(idf, ln(1 + n) + 1) AS w FROM counts LEFT JOIN idf USING (term), n),
@@ -64,7 +68,7 @@ hn AS (SELECT r, line, sqrt(sum(w * w)) AS norm FROM hw GROUP BY ALL),
 score AS (SELECT r, license, round(least(1.0, sum(hw.w * tw.w / tn.norm) / any_value(hn.norm)), 6) AS score
           FROM hw JOIN tw USING (term) JOIN tn USING (template) JOIN hn USING (r, line) GROUP BY r, line, template, license),
 best AS (SELECT r, license, score FROM score WHERE score >= 0.5
-         QUALIFY row_number() OVER (PARTITION BY r ORDER BY score DESC, license) = 1),
+         QUALIFY row_number() OVER (PARTITION BY r ORDER BY license IN ({generic}), score DESC, license) = 1),
 licensed AS (SELECT dir, license FROM (SELECT dir, license, count(*) AS c FROM best JOIN file USING (r) WHERE is_license GROUP BY ALL)
              QUALIFY row_number() OVER (PARTITION BY dir ORDER BY c DESC, license) = 1),
 nearest AS (SELECT dir, a, license

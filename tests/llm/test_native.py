@@ -1,4 +1,8 @@
+import math
 import re
+from collections import Counter
+
+import pytest
 
 from llm.cases import SCHEMA, awkward_documents, sentence, with_clashing
 from pyspark.sql import functions as F
@@ -115,3 +119,60 @@ def test_notice_in_a_longer_licence_file(spark):
     got = {r.path: r for r in licenses.scan(spark.createDataFrame(rows, "path string, text string")).collect()}
     assert (got["d/LICENSE"].license, got["d/LICENSE"].score, got["d/LICENSE"].origin) == ("Apache-2.0", 1.0, "header")
     assert (got["d/e/one.c"].license, got["d/e/one.c"].from_dir) == ("Apache-2.0", "d")
+
+
+def named(name):
+    """The longest template of a licence, as a file with a title and an owner."""
+    text = max((t for n, t in licenses.TEMPLATES if n == name), key=len)
+    words = text.split()
+    lines = [" ".join(words[i : i + 11]) for i in range(0, len(words), 11)]
+    return "\n".join(["Copyright (c) 2019, A. Person and others", "All rights reserved.", "", *lines])
+
+
+def slow_scores(files, templates):
+    """Best (score, licence) of each file by plain Python, from the stated rule."""
+    token, cue = re.compile(licenses.TOKEN), re.compile(licenses.CUES)
+    is_license = {p: bool(re.search(licenses.LICENSE_FILE, p.rsplit("/", 1)[-1])) for p, _ in files}
+    headers = {}
+    for p, t in files:
+        lines = [x for x in t.split("\n") if cue.search(x.lower())]
+        headers[p] = [Counter(token.findall(x.lower())) for x in ([t, *lines] if is_license[p] else lines)]
+    counted = [h for p, hs in headers.items() for i, h in enumerate(hs) if h and (not is_license[p] or i == 0)]
+    vectors = [(n, Counter(token.findall(t.lower()))) for n, t in templates]
+    vocabulary = {w for _, v in vectors for w in v}
+    total = len(counted) + len(templates)
+    idf = {w: math.log((1 + total) / (1 + sum(w in h for h in counted) + sum(w in v for _, v in vectors))) + 1 for w in vocabulary}
+    new = math.log(1 + total) + 1
+
+    def cosine(a, b):
+        weight = lambda c: {w: n * idf.get(w, new) for w, n in c.items()}
+        x, y = weight(a), weight(b)
+        norm = math.sqrt(sum(v * v for v in x.values())) * math.sqrt(sum(v * v for v in y.values()))
+        return round(min(1.0, sum(v * y.get(w, 0) for w, v in x.items()) / norm), 6) if norm else 0
+
+    out = {}
+    for p, hs in headers.items():
+        found = [(n in licenses.GENERIC, -cosine(h, v), n) for h in hs for n, v in vectors]
+        found = [f for f in found if -f[1] >= licenses.LEAST]
+        out[p] = (min(found)[2], -min(found)[1]) if found else None
+    return out
+
+
+def test_licenses_against_a_plain_version(spark):
+    known = ["MIT", "ISC", "BSD-2-Clause", "BSD-3-Clause", "Apache-2.0", "GPL-2.0", "GPL-3.0"]
+    files = [(f"{n}/LICENSE", named(n)) for n in known]
+    files += [(f"{n}/src/a.py", "import os") for n in known]
+    files += [("own/LICENSE.txt", "All rights reserved."), ("own/b.c", "x\nCopyright me. All rights reserved.\n"), ("c.c", "Released under the MIT License.\nbody " * 3)]
+    files += [("short/LICENSE", "Our notes\nLicensed under CC BY 4.0.\n" + "some other words of a note " * 4)]
+    got = {r.path: r for r in licenses.scan(spark.createDataFrame(files, "path string, text string")).collect()}
+    for n in known:
+        assert (got[f"{n}/LICENSE"].license, got[f"{n}/LICENSE"].origin) == (n, "header")
+        assert (got[f"{n}/src/a.py"].license, got[f"{n}/src/a.py"].from_dir) == (n, n)
+    assert got["own/LICENSE.txt"].license == got["own/b.c"].license == "LicenseRef-proprietary"
+    assert got["short/LICENSE"].license == "CC-BY-4.0"
+    expected = slow_scores(files, licenses.TEMPLATES)
+    for p, best in expected.items():
+        if best:
+            assert got[p].license == best[0] and got[p].score == pytest.approx(best[1], abs=2e-6)
+        else:
+            assert got[p].origin != "header"
