@@ -145,6 +145,12 @@ class _Graph:
 
 def _graph(commits: DataFrame, rows_per_task: int) -> _Graph:
     placed = _chains(commits.select("repo", "commit_sha", "parents"))
+    edges = cut_lineage(_edges(commits, placed, placed, rows_per_task))
+    return _Graph(placed, edges, cut_lineage(hot_keys(edges, ["repo", "chain"], rows_per_task)))
+
+
+def _edges(commits: DataFrame, own: DataFrame, placed: DataFrame, rows_per_task: int) -> DataFrame:
+    """Edges from ``commits``, placed by ``own``, to other chains of ``placed``."""
     lower = placed.select(
         "repo",
         F.col("commit_sha").alias("parent"),
@@ -152,29 +158,30 @@ def _graph(commits: DataFrame, rows_per_task: int) -> _Graph:
         F.col("height").alias("to_height"),
     )
     links = commits.select("repo", "commit_sha", F.explode("parents").alias("parent")).join(
-        placed, ["repo", "commit_sha"]
+        own, ["repo", "commit_sha"]
     )
-    edges = cut_lineage(
+    return (
         join_salted(links, lower, ["repo", "parent"], rows_per_task=rows_per_task)
         .where(F.col("chain") != F.col("to_chain"))
         .groupBy("repo", "chain", "height", "to_chain")
         .agg(F.max("to_height").alias("to_height"))
     )
-    return _Graph(placed, edges, cut_lineage(hot_keys(edges, ["repo", "chain"], rows_per_task)))
 
 
-def _reached(graph: _Graph, starts: DataFrame, rows_per_task: int) -> DataFrame:
-    """(repo, commit_sha) of all commits reachable from ``starts``, these included.
+def _reaches(graph: _Graph, starts: DataFrame, rows_per_task: int, extra: list[str] = ()) -> DataFrame:
+    """(repo, extra, chain, reach): how far up each chain what is reachable from ``starts``
+    goes, for each value of the ``extra`` columns.
 
     On a first-parent chain a commit reaches everything below itself, so what is
     reached of a chain is one number.  Only the other edges need following, and a round
     follows all of them at once: the number of rounds is the number of chains a path
     has to pass, not the depth of the history.
     """
+    keys = ["repo", *extra, "chain"]
     reached = cut_lineage(
-        starts.select("repo", "commit_sha")
+        starts.select("repo", "commit_sha", *extra)
         .join(graph.placed, ["repo", "commit_sha"])
-        .groupBy("repo", "chain")
+        .groupBy(*keys)
         .agg(F.max("height").alias("reach"))
     )
     grown = reached
@@ -182,20 +189,23 @@ def _reached(graph: _Graph, starts: DataFrame, rows_per_task: int) -> DataFrame:
         onward = (
             join_salted(graph.edges, grown, ["repo", "chain"], hot=graph.hot)
             .where(F.col("height") <= F.col("reach"))
-            .groupBy("repo", F.col("to_chain").alias("chain"))
+            .groupBy("repo", *extra, F.col("to_chain").alias("chain"))
             .agg(F.max("to_height").alias("reach"))
         )
         before = reached.withColumnRenamed("reach", "_reach")
         grown = cut_lineage(
-            onward.join(before, ["repo", "chain"], "left")
+            onward.join(before, keys, "left")
             .where(F.col("_reach").isNull() | (F.col("reach") > F.col("_reach")))
-            .select("repo", "chain", "reach")
+            .select(*keys, "reach")
         )
         if grown.isEmpty():
-            break
-        reached = cut_lineage(
-            reached.unionByName(grown).groupBy("repo", "chain").agg(F.max("reach").alias("reach"))
-        )
+            return reached
+        reached = cut_lineage(reached.unionByName(grown).groupBy(*keys).agg(F.max("reach").alias("reach")))
+
+
+def _reached(graph: _Graph, starts: DataFrame, rows_per_task: int) -> DataFrame:
+    """(repo, commit_sha) of all commits reachable from ``starts``, these included."""
+    reached = _reaches(graph, starts, rows_per_task)
     return (
         join_salted(graph.placed, reached, ["repo", "chain"], rows_per_task=rows_per_task)
         .where(F.col("height") <= F.col("reach"))

@@ -16,7 +16,16 @@ from credsieve.operators.history import (
     select_commits,
     snapshot_at,
 )
-from credsieve.operators.snapshots import file_versions_of, snapshot_diff
+from credsieve.operators.reachability import CommitIndex
+from credsieve.operators.snapshots import (
+    changed_directories,
+    changed_hashes,
+    directory_hashes,
+    file_versions_of,
+    files_in,
+    snapshot_diff,
+    snapshot_diff_by_hashes,
+)
 from credsieve.options import ScanOptions
 from credsieve.sources.files import read_folder
 from credsieve.storage import cut_lineage
@@ -353,3 +362,77 @@ def test_a_batch_that_broke_off_does_not_count(spark, tmp_path, monkeypatch):
     shutil.copytree(batch, f"{tmp_path}/hits/hits/rules={rules}/batch=twice")
     shutil.copytree(batch.replace("/hits/hits/", "/hits/seen/"), f"{tmp_path}/hits/seen/rules={rules}/batch=twice")
     assert as_rows(scan_history(commits, files, blobs, options, store=store)) == expected
+
+
+def random_trees(rng):
+    files = {}
+    for i in range(300):
+        depth = rng.randrange(4)
+        files["/".join([f"d{rng.randrange(4)}" for _ in range(depth)] + [f"f{i}"])] = f"b{rng.randrange(200)}"
+    old = dict(files)
+    for path in rng.sample(sorted(files), 12):
+        if path.startswith("d1"):
+            continue
+        act = rng.randrange(4)
+        if act == 0:
+            files[path] = f"n{rng.randrange(99)}"
+        elif act == 1:
+            files[path + "x"] = files.pop(path)
+        elif act == 2:
+            files["d2/new/" + path] = files[path]
+        else:
+            del files[path]
+    return files, old
+
+
+@pytest.mark.parametrize("seed", [1, 2])
+def test_diff_by_directory_hashes(spark, seed):
+    rng = random.Random(seed)
+    pairs = {"a": random_trees(rng), "b": ({"x": "1"}, {"x": "1"}), "c": ({}, {"d/e/f": "1"}), "d": ({"d/e/f": "1"}, {})}
+    new, old = (
+        cut_lineage(spark.createDataFrame([(r, p, b) for r, t in pairs.items() for p, b in t[k].items()], "repo string, path string, blob_sha string"))
+        for k in (0, 1)
+    )
+    new_hashes, old_hashes = cut_lineage(directory_hashes(new)), cut_lineage(directory_hashes(old))
+    got = snapshot_diff_by_hashes(new, old, new_hashes, old_hashes, with_deleted=True)
+    expected = snapshot_diff(new, old, with_deleted=True)
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, expected.collect()))
+    # a tenth of the files changed, so most are left out before paths are compared
+    changed = changed_directories(new_hashes, old_hashes)
+    assert 0 < files_in(new, changed).count() < 0.8 * new.count()
+    assert not changed.where("repo = 'b' OR dir LIKE 'd1%'").count()
+    # hashes carried on are those made anew
+    came, went = (x.join(y, ["repo", "path", "blob_sha"], "left_anti") for x, y in ((new, old), (old, new)))
+    order = ["repo", "dir", "parent", "depth", "n", "h1", "h2"]
+    carried = changed_hashes(old_hashes, came, went).select(*order).collect()
+    assert sorted(map(str, carried)) == sorted(map(str, new_hashes.select(*order).collect()))
+    same = snapshot_diff_by_hashes(old, old, old_hashes, old_hashes)
+    assert same.count() == 0
+
+
+def test_commit_index(spark, tmp_path):
+    rng = random.Random(4)
+    rows, parents = random_graph(rng, "a", 60)
+    more, others = random_graph(rng, "b", 12)
+    commits = cut_lineage(spark.createDataFrame(rows + more, COMMITS))
+    index = CommitIndex(spark, f"{tmp_path}/i")
+    added = [index.extend(commits.where(f"commit_seq < {n}")) for n in (7, 8, 31, 31, 60)]
+    assert added[0] == 14 and added[3] == 0 and sum(added) == 72
+    whole = CommitIndex(spark, f"{tmp_path}/j")
+    whole.extend(commits)
+    asked = [("a", f"r{i}", rng.choice([None, f"c{rng.randrange(60):03d}"]), f"c{rng.randrange(60):03d}") for i in range(25)]
+    asked += [("b", "r0", "c002", "c011"), ("b", "r1", None, "c004")]
+    table = spark.createDataFrame(asked, "repo string, range_id string, base string, head string")
+    expected = set()
+    for repo, name, base, head in asked:
+        graph = parents if repo == "a" else others
+        gone = reachable(graph, base) if base else set()
+        expected |= {(repo, name, c) for c in reachable(graph, head) - gone}
+    for built in (index, whole):
+        rows = [tuple(r) for r in built.ranges(table).collect()]
+        assert len(rows) == len(set(rows)) and set(rows) == expected
+    with pytest.raises(UnknownRevision):
+        index.ranges(spark.createDataFrame([("b", "x", "c059", "c001")], "repo string, range_id string, base string, head string"))
+    # edges whose places were never written do not count
+    shutil.copytree(f"{tmp_path}/i/edges/batch=1", f"{tmp_path}/i/edges/batch=9")
+    assert {tuple(r) for r in index.ranges(table).collect()} == expected

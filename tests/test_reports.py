@@ -14,6 +14,7 @@ from credsieve.plans.scan import scan_texts
 from credsieve.rules import Rule
 from credsieve.sources.rules import as_rules, split_rules
 from credsieve.sources.lists import read_baseline, read_baseline_rows
+from credsieve.streaming import scan as stream
 from credsieve.streaming.scan import run_incremental, stream_findings
 
 
@@ -261,3 +262,66 @@ def test_lines_with_given_numbers(spark):
         ("a", 40, "aws-access-key-id", key, 1, 21), ("a", 40, "aws-access-key-id", key, 25, 45),
         ("a", 40, "x", "xx", 22, 24), ("a", 40, "x", "x", 46, 47), ("a", 7, "c", "qw", 0, 2), ("a", 7, "c", "ee", 3, 5),
     ])
+
+
+def test_rolling_baseline_is_merged(spark, tmp_path, monkeypatch):
+    """100 batches leave a bounded number of files; a merge that breaks off changes nothing."""
+    monkeypatch.setattr(stream, "PARTS", 4)
+    path = str(tmp_path / "base")
+    base = stream.RollingBaseline(spark, path)
+    columns = ["repo", "rule_id", "rule_name", "file_path", "severity", "redacted_value", "sev_rank", "fingerprint"]
+
+    def findings(batch):
+        rows = [(f"r{batch % 3}", "i", "n", "p", "HIGH", "***", 2, f"{batch}-{k}") for k in range(2)]
+        return spark.createDataFrame(rows, columns)
+
+    def known(batch):
+        return {(r.repo, r.fingerprint) for r in base.before(batch).collect()}
+
+    for batch in range(100):
+        if batch and batch % stream.GENERATION == 0:
+            base.compact(batch)
+        base.add(findings(batch), batch)
+    expected = {(f"r{b % 3}", f"{b}-{k}") for b in range(100) for k in range(2)}
+    assert known(100) == expected and base.generation() == 96
+    # a batch that runs again sees what it saw before
+    assert known(97) == {(r, f) for r, f in expected if int(f.split("-")[0]) < 97}
+    files = [f for f in glob.glob(f"{path}/**/*.parquet", recursive=True)]
+    assert len(files) <= 4 + 2 * stream.GENERATION
+    broken = stream.RollingBaseline(spark, path)
+    monkeypatch.setattr(broken, "_rows", lambda folder, schema: (_ for _ in ()).throw(OSError("lost")) if "batches" in folder else stream.RollingBaseline._rows(broken, folder, schema))
+    with pytest.raises(OSError):
+        broken.compact(100)
+    os.makedirs(f"{path}/generations/generation=100/part=0")
+    assert known(100) == expected and base.generation() == 96
+    base.compact(100)
+    base.compact(100)
+    assert known(100) == expected and base.generation() == 100
+    few = findings(5).union(spark.createDataFrame([("r0", "i", "n", "p", "HIGH", "***", 2, "new")], columns))
+    assert {r.fingerprint for r in base.known_of(few, 100).collect()} >= {"5-0", "5-1"}
+    monkeypatch.setattr(stream, "FEW", 1)
+    assert {"5-0", "5-1"} <= {r.fingerprint for r in base.known_of(few, 100).collect()}
+
+
+def test_versions_wait_for_their_contents(spark, tmp_path):
+    key, other = token("AKIA", "IOSFODNN7EXAMPLE"), token("AKIA", "AAAABBBBCCCCDDDD")
+    at = "timestamp_seconds(1700000000 + {})".format
+    versions = spark.createDataFrame(
+        [("r", "a.py", "k", 0), ("r", "b.py", "k", 60), ("r", "c.py", "o", 120), ("r", "a.py", "k", 180), ("r", "late.py", "z", 240),
+         ("r", "logo.png", "k", 5), ("q", "a.py", "o", 10)], "repo string, path string, blob_sha string, n long",
+    ).selectExpr("repo", "path", "blob_sha", f"{at('n')} AS committed_at", "n AS commit_seq")
+    contents = spark.createDataFrame(
+        [("k", f'K = "{key}"', 900), ("o", f'K = "{other}"', 0), ("z", f'K = "{other}"', 10**6), ("n", "a\0b", 0)], "blob_sha string, text string, n long"
+    ).selectExpr("blob_sha", "text", f"{at('n')} AS arrived_at")
+    sides = []
+    for name, rows in (("v", versions), ("c", contents)):
+        rows.repartition(3).write.parquet(str(tmp_path / name))
+        sides.append(spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / name)))
+    query = (
+        stream.stream_history(*sides, horizon="1 hour", salts=3).writeStream.format("memory").queryName("waited")
+        .option("checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).start()
+    )
+    query.awaitTermination()
+    got = sorted((r.repo, r.file_path, r.matched_text) for r in spark.table("waited").where("rule_id LIKE 'aws%'").collect())
+    # z came days after its version
+    assert got == sorted([("r", "a.py", key), ("r", "b.py", key), ("r", "c.py", other), ("q", "a.py", other)])

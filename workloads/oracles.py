@@ -308,6 +308,19 @@ ORACLES: dict[str, str] = {
                   ELSE 'A' END AS change_type
       FROM (SELECT * FROM new ANTI JOIN old USING (repo, path, blob_sha)) n
       UNION ALL SELECT repo, path, blob_sha, 'D' FROM gone""",
+    "tree_changes": f"""WITH {TURNS}, after AS ({planted.tree_sql("turns", 0)}), before AS ({planted.tree_sql("turns", 2)}),
+      new AS (SELECT 'all' AS repo, repo || '/' || path AS path, blob_sha FROM (
+        SELECT * FROM after WHERE cast(substr(repo, 5) AS bigint) % 2 = 0
+        UNION ALL SELECT * FROM before WHERE cast(substr(repo, 5) AS bigint) % 2 = 1)),
+      old AS (SELECT 'all' AS repo, repo || '/' || path AS path, blob_sha FROM before),
+      gone AS (SELECT * FROM old ANTI JOIN new USING (repo, path))
+      SELECT repo, path, blob_sha,
+             CASE WHEN EXISTS (SELECT 1 FROM old o WHERE o.repo = n.repo AND o.path = n.path) THEN 'M'
+                  WHEN EXISTS (SELECT 1 FROM gone o WHERE o.repo = n.repo AND o.blob_sha = n.blob_sha) THEN 'R'
+                  WHEN EXISTS (SELECT 1 FROM old o WHERE o.repo = n.repo AND o.blob_sha = n.blob_sha) THEN 'C'
+                  ELSE 'A' END AS change_type
+      FROM (SELECT * FROM new ANTI JOIN old USING (repo, path, blob_sha)) n
+      UNION ALL SELECT repo, path, blob_sha, 'D' FROM gone""",
     "pending": f"""WITH {TURNS}, new AS ({planted.tree_sql("turns", 0)}), old AS ({planted.tree_sql("turns", 2)}),
       {hits_ctes("blobs", "blob_sha")},
       sightings AS (SELECT * FROM (SELECT * FROM new ANTI JOIN old USING (repo, path, blob_sha)) JOIN hits USING (blob_sha)
@@ -385,6 +398,22 @@ ORACLES: dict[str, str] = {
         SELECT DISTINCT repo, turn, 'turn' || (turn % 3) || '.txt' AS path, text FROM turns),
       {hits_ctes("texts", "repo, turn, path")}, {first_hits_cte("repo, path", "turn,")}
       SELECT repo, path AS file_path, line_number, rule_id, severity, matched_text FROM findings""",
+    "stream_late_contents": f"""WITH {TURNS}, texts AS (
+        SELECT DISTINCT repo, turn, 'turn' || (turn % 3) || '.txt' AS path, text FROM turns),
+      {hits_ctes("texts", "repo, turn, path")}
+      SELECT DISTINCT repo, path AS file_path, line_number, matched_text FROM hits""",
+    "commit_index": f"""WITH RECURSIVE {COMMITS},
+      reach(repo, start, commit_sha) AS (
+        SELECT repo, commit_sha, commit_sha FROM commits
+        UNION SELECT r.repo, r.start, unnest(c.parents) FROM reach r JOIN commits c USING (repo, commit_sha)),
+      lasts AS (SELECT repo, max(commit_seq) AS last FROM commits GROUP BY repo),
+      asked AS (SELECT repo, commit_seq AS top, commit_sha AS head, unnest([0, 2, 4]) AS back
+                FROM commits JOIN lasts USING (repo) WHERE commit_seq % 3 = 2 OR commit_seq = last),
+      based AS (SELECT a.*, b.commit_sha AS base FROM asked a
+                LEFT JOIN commits b ON a.back > 0 AND b.repo = a.repo AND b.commit_seq = a.top - a.back)
+      SELECT a.repo, a.back || '-' || a.top AS range_id, r.commit_sha
+      FROM based a JOIN reach r ON r.repo = a.repo AND r.start = a.head
+      WHERE NOT EXISTS (SELECT 1 FROM reach b WHERE b.repo = a.repo AND b.start = a.base AND b.commit_sha = r.commit_sha)""",
     "stream_severity": f"""WITH {TURNS}, texts AS (
         SELECT DISTINCT repo, turn, 'turn' || (turn % 3) || '.txt' AS path, text FROM turns),
       {hits_ctes("texts", "repo, turn, path")}, {first_hits_cte("repo, path", "turn,")}

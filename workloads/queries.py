@@ -15,8 +15,9 @@ from credsieve.functions.values import is_noise_line, is_valid_secret
 from credsieve.operators.allowlist import drop_allowed
 from credsieve.operators.detect import assignments, detect, raw_hits, scan_lines
 from credsieve.operators.history import commit_range, numbered, select_commits, snapshot_at
+from credsieve.operators.reachability import CommitIndex
 from credsieve.operators.paths import path_of_url, should_scan
-from credsieve.operators.snapshots import snapshot_diff
+from credsieve.operators.snapshots import directory_hashes, snapshot_diff, snapshot_diff_by_hashes
 from credsieve.operators.suppress import (
     at_least,
     drop_known,
@@ -433,6 +434,24 @@ def commit_ranges(spark, sf_dir):
     return whole(commit_range(commits, bases), "repo", "commit_sha", "commit_seq", "author")
 
 
+@query
+def commit_index(spark, sf_dir):
+    """Several ranges of each repository from an index that was built and then extended."""
+    commits = cut_lineage(planted.commits(spark, sf_dir))
+    index = CommitIndex(spark, f"{work_folder(spark)}/index-{uuid.uuid4().hex}")
+    for part in ("commit_seq < 2", "commit_seq < 4", "true"):
+        index.extend(commits.where(part))
+    # up to every third commit, from the start, from two and from four commits before
+    name = commits.groupBy("repo").agg(F.max("commit_seq").alias("last"))
+    asked = commits.join(name, "repo").where("commit_seq % 3 = 2 OR commit_seq = last").select(
+        "repo", F.col("commit_seq").alias("to"), F.col("commit_sha").alias("head"), F.explode(F.array(F.lit(0), F.lit(2), F.lit(4))).alias("back")
+    )
+    at = commits.select("repo", F.col("commit_seq").alias("_seq"), F.col("commit_sha").alias("base"))
+    asked = asked.withColumn("_seq", F.when(F.col("back") > 0, F.col("to") - F.col("back"))).join(at, ["repo", "_seq"], "left")
+    asked = asked.withColumn("range_id", F.concat_ws("-", F.col("back").cast("string"), F.col("to").cast("string")))
+    return index.ranges(asked)
+
+
 @query
 def commit_numbers(spark, sf_dir):
     """commit_seq of linear histories from their commit times."""
@@ -469,6 +488,20 @@ def snapshot_changes(spark, sf_dir):
     )
 
 
+@query
+def tree_changes(spark, sf_dir):
+    """Changes of one large tree, every second directory of which is as it was, by directory hashes."""
+    before, after = planted.tree(spark, sf_dir, 2), planted.tree(spark, sf_dir, 0)
+    even = F.substr("repo", F.lit(5)).cast("bigint") % 2 == 0
+    new = after.where(even).unionByName(before.where(~even))
+
+    def one(tree: DataFrame) -> DataFrame:
+        return cut_lineage(tree.select(F.lit("all").alias("repo"), F.concat_ws("/", "repo", "path").alias("path"), "blob_sha"))
+
+    new, old = one(new), one(before)
+    return snapshot_diff_by_hashes(new, old, directory_hashes(new), directory_hashes(old), with_deleted=True)
+
+
 @query
 def pending(spark, sf_dir):
     scan = scan_pending(
@@ -735,6 +768,16 @@ def stream_baseline(spark, sf_dir):
     return whole(found, "repo", "file_path", "line_number", "rule_id", "severity", "matched_text")
 
 
+@query
+def stream_late_contents(spark, sf_dir):
+    """Versions and contents as two streams; a version waits for its content."""
+    from workloads.streams import stream_two_sides
+
+    found = stream_two_sides(spark, sf_dir)
+    # which of two turns came first depends on the arrival of their contents
+    return whole(found, "repo", "file_path", "line_number", "matched_text")
+
+
 @query
 def stream_incremental(spark, sf_dir):
     """The same stream with findings appended and the baseline rolled forward per batch."""

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from credsieve.options import ScanOptions
 from credsieve.plans.scan import scan_texts
 from credsieve.storage import cut_lineage, work_folder
-from credsieve.streaming.scan import run_incremental, stream_findings
+from credsieve.streaming.scan import run_incremental, stream_findings, stream_history
 from workloads import planted
 
 
@@ -59,6 +59,32 @@ def stream_conversations(
     return spark.read.schema(found.schema).parquet(f"{folder}/findings")
 
 
+def stream_two_sides(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The turns as two streams: versions by conversation, contents by their hash."""
+    folder = _folder(spark)
+    turns = cut_lineage(planted.turns(spark, sf_dir))
+    hour = F.substr("repo", F.lit(5)).cast("bigint")
+    at = F.timestamp_seconds(F.lit(1_700_000_000) + hour * 3600 + F.col("turn") * 60)
+    versions = turns.select(
+        "repo", F.concat(F.lit("turn"), (F.col("turn") % 3).cast("string"), F.lit(".txt")).alias("path"), "blob_sha",
+        at.alias("committed_at"), F.col("turn").cast("bigint").alias("commit_seq"),
+    )
+    contents = turns.groupBy("blob_sha").agg(F.first("text").alias("text"), F.max(at).alias("arrived_at"))
+    sides = []
+    for name, rows, key in (("versions", versions, "repo"), ("contents", contents, "blob_sha")):
+        rows.repartition(FILES, key).write.parquet(f"{folder}/{name}")
+        sides.append(spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(f"{folder}/{name}"))
+    found = stream_history(*sides, horizon="36500 days", salts=2)
+    query = (
+        found.writeStream.format("parquet")
+        .option("checkpointLocation", f"{folder}/checkpoint")
+        .trigger(availableNow=True)
+        .start(f"{folder}/findings")
+    )
+    query.awaitTermination()
+    return spark.read.schema(found.schema).parquet(f"{folder}/findings")
+
+
 def known_turns(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A baseline of the findings of the same turns whose fingerprint starts with 0 to 7."""
     turn = F.concat(F.lit("turn"), (F.col("turn") % 3).cast("string"), F.lit(".txt"))
