@@ -23,7 +23,6 @@ are ordered by a hash of the text.
 
 from __future__ import annotations
 
-import struct
 from collections.abc import Iterator
 
 import numpy as np
@@ -32,13 +31,14 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from credsieve.llm.common import attach, keyed, merged
-from credsieve.llm.rolling import BLOCK, anchors, gram_hashes
+from credsieve.llm.rolling import BLOCK, MULTIPLIER, anchors, gram_hashes, mix
 from credsieve.storage import Steps
 
 WINDOW = 20
 GRAM = 5
-# Blocks a task remembers having described.
-SENT = 200_000
+# Blocks a task remembers having described, and texts it looks at together.
+SENT = 500_000
+TEXTS = 128
 
 
 def words_of(text: str) -> list[bytes]:
@@ -112,6 +112,15 @@ def compressed(texts: DataFrame) -> DataFrame:
     return texts.mapInArrow(run, f"doc_id {kind}, text_key long, body binary")
 
 
+def _block_hashes(marks: np.ndarray, first: np.ndarray, last: np.ndarray, places: np.ndarray) -> np.ndarray:
+    """Hash of each block from its first and its last window.
+
+    The windows of a block share the gram of its anchor, so these two cover all its words.
+    """
+    ranges = (places & 0xFFFF).astype(np.uint64) * np.uint64(MULTIPLIER)
+    return mix(mix(marks[first]) + marks[last] * np.uint64(MULTIPLIER) + ranges).view(np.int64)
+
+
 def _blocks(texts: DataFrame, lists: DataFrame, window: int) -> DataFrame:
     """Blocks at the anchors in ``lists``; a task sends the windows of each only once."""
     kind = texts.schema["doc_id"].dataType.simpleString()
@@ -119,39 +128,41 @@ def _blocks(texts: DataFrame, lists: DataFrame, window: int) -> DataFrame:
     names = ["doc_id", "text_key", "place", "gram", "block", "windows"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        import xxhash
         import zstandard
 
-        grow, digest = zstandard.ZstdDecompressor().decompress, xxhash.xxh3_64_intdigest
-        sent: set[tuple[int, int]] = set()
+        grow = zstandard.ZstdDecompressor().decompress
+        sent: set[int] = set()
         for batch in batches:
-            for i in range(batch.num_rows):
-                words = grow(batch.column(2)[i].as_py()).split()
-                hashes = window_hashes(word_values(words), window)
-                places, grams, blocks, windows = [], [], [], []
-                for anchor in batch.column(3)[i].as_py():
-                    place, gram = anchor["place"], anchor["gram"]
-                    at, low, high = place >> 16, place >> 8 & 255, place & 255
-                    own = hashes[at - high : at - low + 1]
-                    block = digest(own.tobytes() + struct.pack("<2B", low, high))
-                    block -= (block >> 63) << 64
-                    new = (gram, block) not in sent
-                    if new:
-                        if len(sent) >= SENT:
-                            sent.clear()
-                        sent.add((gram, block))
-                    places.append(place)
-                    grams.append(gram)
-                    blocks.append(block)
-                    windows.append(own if new else None)
-                index = pa.array([i] * len(places), pa.int64())
+            for piece in (batch.slice(low, TEXTS) for low in range(0, batch.num_rows, TEXTS)):
+                anchors_of = piece.column(3)
+                edges = np.asarray(anchors_of.offsets) - anchors_of.offsets[0].as_py()
+                flat = anchors_of.flatten()
+                places, grams = (flat.field(c).to_numpy() for c in ("place", "gram"))
+                first, last = (places >> 16) - (places & 255), (places >> 16) - (places >> 8 & 255)
+                hashes, starts = [], [0]
+                for body in piece.column(2):
+                    hashes.append(window_hashes(word_values(grow(body.as_py()).split()), window))
+                    starts.append(starts[-1] + len(hashes[-1]))
+                marks = np.concatenate([*hashes, np.zeros(0, np.int64)])
+                base = np.repeat(np.array(starts[:-1], np.int64), np.diff(edges))
+                blocks = _block_hashes(marks.view(np.uint64), base + first, base + last, places)
+                # the first of each block here, if the task has not described it before
+                different, at = np.unique(blocks, return_index=True)
+                fresh = np.array([b not in sent for b in different.tolist()], bool)
+                if len(sent) >= SENT:
+                    sent.clear()
+                sent.update(different[fresh].tolist())
+                new = np.zeros(len(blocks), bool)
+                new[at[fresh]] = True
+                sizes = np.where(new, last - first + 1, 0)
+                ends = np.cumsum(sizes)
+                index = np.repeat(base + first - (ends - sizes), sizes) + np.arange(ends[-1] if len(ends) else 0)
+                windows = pa.ListArray.from_arrays(
+                    pa.array(np.concatenate([[0], ends]).astype(np.int32)), pa.array(marks[index]), mask=pa.array(~new)
+                )
+                rows = pa.array(np.repeat(np.arange(piece.num_rows), np.diff(edges)))
                 yield pa.RecordBatch.from_arrays(
-                    [
-                        batch.column(0).take(index),
-                        batch.column(1).take(index),
-                        *(pa.array(c, pa.int64()) for c in (places, grams, blocks)),
-                        pa.array(windows, pa.list_(pa.int64())),
-                    ],
+                    [piece.column(0).take(rows), piece.column(1).take(rows), pa.array(places), pa.array(grams), pa.array(blocks), windows],
                     names=names,
                 )
 
