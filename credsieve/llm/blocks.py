@@ -4,13 +4,20 @@ A page becomes a list of flat blocks, the texts between block-level tags.  A blo
 word count and link density, those of the blocks before and after it, and what the markup
 says about its place.  Short articles beside much longer text are teasers and mark nothing.  Classes and ids of an element do not set it aside if it is the page,
 a main element or an article, or holds a main element; if they set all articles of a page
-aside, the outermost of them count for nothing.  A decision tree grown on a small table of labelled blocks keeps or
+aside, the outermost of them count for nothing.  A form around most of the words of a page
+is a wrapper.  A heading like "Comments" sets the rest of its element aside.  A link goes on
+until it is closed, whatever blocks it holds.  A decision tree grown on a small table of labelled blocks keeps or
 drops each one.
 
+Of a page without articles on which the tree keeps nothing, all that is neither set aside nor
+a list of links stays.
+
 Defined results: a null or empty page has an empty text; text without any tag is one
 block; character references are decoded once; white space, the no-break space included,
 is one blank inside a block; unclosed tags end with the element around them, a tag cut off
-at the end of the page is dropped.  Pages are independent of each other.
+at the end of the page is dropped.  Very long pages pass in one piece; repeated rows have
+equal results; an empty table gives an empty one.  Columns of ``pages`` stay, whatever their
+names, but for those of the result.  Pages are independent of each other.
 """
 
 from __future__ import annotations
@@ -52,8 +59,8 @@ NESTED = {
     "article", "aside", "blockquote", "body", "details", "dialog", "div", "dl", "fieldset", "figure",
     "footer", "form", "header", "main", "menu", "nav", "ol", "section", "table", "ul",
 }
-ASIDE = {"aside", "dialog", "footer", "form", "menu", "nav"}
-ASIDE_ROLES = {"alert", "alertdialog", "banner", "complementary", "contentinfo", "dialog", "form", "menu", "navigation", "search"}
+ASIDE = {"aside", "dialog", "footer", "menu", "nav"}
+ASIDE_ROLES = {"alert", "alertdialog", "banner", "complementary", "contentinfo", "dialog", "menu", "navigation", "search"}
 # Words in classes and ids of what is not the article.
 ASIDE_NAMES = {
     "ad", "ads", "advert", "advertisement", "advertising", "banner", "breadcrumb", "breadcrumbs", "comment",
@@ -62,6 +69,12 @@ ASIDE_NAMES = {
     "pagination", "popup", "promo", "promoted", "promotion", "recommended", "related", "replies", "respond",
     "share", "sharing", "sidebar", "signup", "social", "sponsor", "sponsored", "subscribe", "toolbar", "widget",
 }
+# Those of them that a paragraph of the article may have as well.
+TOPICS = {"copyright", "disclaimer", "legal", "related", "respond", "social"}
+# Headings of reader comments: what follows in the same element belongs to them.
+COMMENT_TITLE = re.compile(
+    r"(?:\d+ )?(?:reader |user |leser)?(?:comments?|kommentare?|commentaires?|comentarios?)(?: \(?\d+\)?)?:?", re.I
+)
 # Beginnings of such words, for names written without a break.
 ASIDE_STEMS = ("adsby", "advert", "breadcrumb", "comments", "commentlist", "cookie", "newsletter", "sidebar", "sponsor")
 HEADERS = {"header", "masthead", "topbar"}
@@ -156,10 +169,11 @@ def is_main(tree, features: tuple) -> bool:
 
 
 def _says_aside(tag: str, attributes: str, in_article: bool) -> tuple[bool, bool]:
-    """Whether element, role or hidden set it aside, and whether a class or id hints at it."""
+    """Whether element, role or hidden set it aside, and whether a class or id, or its being a
+    form, hints at it."""
     if tag in ASIDE or (tag == "header" and not in_article):
         return True, False
-    hint = False
+    hint = tag == "form"
     for name, value in ATTRIBUTE.findall(attributes):
         name, value = name.lower(), value.strip("\"'").lower()
         if name == "hidden" or (name == "aria-hidden" and value == "true"):
@@ -167,8 +181,13 @@ def _says_aside(tag: str, attributes: str, in_article: bool) -> tuple[bool, bool
         if name == "role":
             if value in ASIDE_ROLES and not (value == "banner" and in_article):
                 return True, False
+            hint |= value == "form"
         elif name in ("class", "id") and tag not in WHOLE:
             words = set(NAME.findall(value))
+            if "hoc" in words:
+                words.discard("ad")
+            if tag not in NESTED:
+                words -= TOPICS
             hint |= bool(words & ASIDE_NAMES or (words & HEADERS and not in_article))
             hint |= any(word.startswith(ASIDE_STEMS) for word in words)
     return False, hint
@@ -177,14 +196,18 @@ def _says_aside(tag: str, attributes: str, in_article: bool) -> tuple[bool, bool
 class _Hint:
     """A class or id that sets an element aside, below the hints around it."""
 
-    def __init__(self, around: _Hint | None) -> None:
-        self.around = around
+    def __init__(self, around: _Hint | None, is_form: bool = False) -> None:
+        self.around, self.is_form = around, is_form
+        self.words, self.has_text = 0, False
         self.holds = self.void = False
         self.depth = 0
 
 
-def _settle(hints: list[_Hint], mains: list[_Hint], articles: list[_Hint | None]) -> None:
+def _settle(hints: list[_Hint], mains: list[_Hint], articles: list[_Hint | None], total: int) -> None:
     """Void the hints around main elements, and the outermost around articles until one is not set aside."""
+    for hint in hints:
+        # a form around most of the page is a wrapper
+        hint.void |= hint.is_form and hint.has_text and 2 * hint.words >= total
     for hint in mains:
         while hint and not hint.void:
             hint.void, hint = True, hint.around
@@ -204,7 +227,7 @@ def flat_blocks(page: str) -> list[tuple[str, int, float, int, int, int]]:
     blocks: list[tuple] = []
     parts: list[str] = []
     linked = 0  # words of the block inside links
-    link_depth = 0
+    link_depth = link_at = 0  # a link ends with the element it began in
     stack: list[tuple[str, int, bool, _Hint | None]] = []  # tag, article, set aside, by hint
     n_articles = 0
     hints: list[_Hint] = []
@@ -218,8 +241,16 @@ def flat_blocks(page: str) -> list[tuple[str, int, float, int, int, int]]:
             words = html.unescape("".join(parts)).split()
             parts.clear()
             if words:
-                _, article, aside, hint = stack[-1] if stack else ("", 0, False, None)
+                tag, article, aside, hint = stack[-1] if stack else ("", 0, False, None)
                 density = min(1.0, linked / len(words))
+                if heading and stack and len(words) < 5 and COMMENT_TITLE.fullmatch(" ".join(words)):
+                    aside = True
+                    stack[-1] = (tag, article, aside, hint)
+                around = hint
+                while around:
+                    around.words += len(words)
+                    around.has_text |= len(words) >= LONG and density < 0.5
+                    around = around.around
                 blocks.append((" ".join(words), len(words), density, article, (aside or own_aside, hint), int(heading)))
         linked = 0
 
@@ -252,15 +283,16 @@ def flat_blocks(page: str) -> list[tuple[str, int, float, int, int, int]]:
         if name == "br":
             parts.append(" ")
         elif name == "a":
-            link_depth = 0 if closing else 1
+            link_depth, link_at = (0 if closing else 1), len(stack)
         elif name in BREAKS:
             end()
-            link_depth = 0
             if closing:
                 own_aside = heading = False
                 if name in NESTED and any(entry[0] == name for entry in stack):
                     while stack.pop()[0] != name:
                         pass
+                    if len(stack) < link_at:
+                        link_depth = 0
                 continue
             _, article, aside, hint = stack[-1] if stack else ("", 0, False, None)
             if name in ("article", "main") and not article:
@@ -271,7 +303,7 @@ def flat_blocks(page: str) -> list[tuple[str, int, float, int, int, int]]:
             if name in NESTED:
                 aside = aside or says
                 if hinted:
-                    hint = _Hint(hint)
+                    hint = _Hint(hint, name == "form")
                     hints.append(hint)
                 if name == "article" and not aside:
                     articles.append(hint)
@@ -279,7 +311,7 @@ def flat_blocks(page: str) -> list[tuple[str, int, float, int, int, int]]:
                     mains.append(hint)
                 stack.append((name, article, aside, hint))
     end()
-    _settle(hints, mains, articles)
+    _settle(hints, mains, articles, sum(b[1] for b in blocks))
     return [(*b[:4], int(b[4][0] or bool(b[4][1] and b[4][1].depth)), b[5]) for b in blocks]
 
 
@@ -311,6 +343,9 @@ def main_text(page: str | None, tree) -> tuple[str, int, int]:
         )
         if is_main(tree, features):
             kept.append(text)
+    if not kept and not marked:
+        # a short page: all that the markup does not set aside and that is no list of links
+        kept = [b[0] for b in blocks if not b[4] and b[2] < 0.5]
     return "\n".join(kept), len(kept), len(blocks)
 
 

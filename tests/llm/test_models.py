@@ -1,9 +1,12 @@
 import random
+import zlib
 
 import numpy as np
+import pytest
 from llm.cases import SCHEMA, awkward_documents, with_clashing
 from pyspark.sql import functions as F
 
+import __spark_entry__ as entry
 from credsieve.llm import blocks, langid, toxicity
 from credsieve.llm.common import remainder
 
@@ -217,3 +220,81 @@ def test_awkward_documents(spark):
     docs = with_clashing(spark, awkward_documents())
     model = langid.fit(docs)
     assert langid.predict(docs, model).count() == docs.count()
+
+
+LONG_TEXT = "The whole of the text is about a thing that takes some time to say. " * 4
+
+
+@pytest.mark.parametrize(
+    "page,text",
+    [
+        # a form around the page is a wrapper, one in it is none
+        (f"<body><form id=aspnetForm><div><p>{LONG_TEXT}</p></div></form></body>", LONG_TEXT.strip()),
+        (f"<body><p>{LONG_TEXT}</p><form><p>Your name and address please, and what you want to say</p></form></body>", LONG_TEXT.strip()),
+        ("<nav><a href=1>Home</a><a>About</a></nav><h1>Title</h1><p>Short text.</p><footer>c 2020</footer>", "Title\nShort text."),
+        ("hello world", "hello world"),
+        # a link that holds blocks
+        (f"<div>{LONG_TEXT}</div><a href=x><h3>A teaser of some other page here</h3><p>{LONG_TEXT}</p></a>", LONG_TEXT.strip()),
+        # comments that only their heading names
+        (f"<article><p>{LONG_TEXT}</p><section><h2>Comments</h2><div>{LONG_TEXT}</div></section></article>", LONG_TEXT.strip()),
+        (f"<article><p>{LONG_TEXT}</p><h2>Comments on the law</h2><p>{LONG_TEXT}</p></article>", f"{LONG_TEXT.strip()}\nComments on the law\n{LONG_TEXT.strip()}"),
+        # words of the article's own classes
+        (f"<article><p>{LONG_TEXT}</p><p class='ad-hoc'>Said ad hoc.</p><p class=social>Social.</p><p class=legal>Legal.</p></article>", f"{LONG_TEXT.strip()}\nSaid ad hoc.\nSocial.\nLegal."),
+        (f"<article><p>{LONG_TEXT}</p><div class='social'>Follow us</div><p class='ad'>Buy now</p></article>", LONG_TEXT.strip()),
+        ("<ul><li><a>One</a></li><li><a>Two</a></li></ul>", ""),
+        (None, ""),
+    ],
+)
+def test_pages_of_all_kinds(page, text):
+    assert blocks.main_text(page, blocks.fitted_tree())[0] == text
+
+
+def slow_tree(rows, depth):
+    """The same tree grown without arrays: the split of least impurity, the first of equal ones."""
+    share = sum(r[-1] for r in rows) / len(rows)
+    if depth == 0 or share in (0.0, 1.0):
+        return int(share >= 0.5)
+
+    def impurity(part):
+        p = sum(r[-1] for r in part) / len(part)
+        return len(part) * p * (1 - p)
+
+    best = None
+    for f in range(len(rows[0]) - 1):
+        values = sorted({r[f] for r in rows})
+        for a, b in zip(values, values[1:]):
+            low, high = [r for r in rows if r[f] < (a + b) / 2], [r for r in rows if r[f] >= (a + b) / 2]
+            cost = impurity(low) + impurity(high)
+            if best is None or cost < best[0] - 1e-12:
+                best = (cost, f, (a + b) / 2, low, high)
+    if best is None:
+        return int(share >= 0.5)
+    return (best[1], best[2], slow_tree(best[3], depth - 1), slow_tree(best[4], depth - 1))
+
+
+def test_tree_against_a_plain_version():
+    assert slow_tree([tuple(map(float, r)) for r in blocks.LABELLED], blocks.DEPTH) == blocks.fitted_tree()
+
+
+def test_registered_models_on_held_out_rows(spark):
+    """op1, op5 and op8 over whole tables, judged on rows they have not learnt from."""
+    folder = "/root/testdata/sf0.01"
+    queries = entry.queries()
+    docs = {r.doc_id: r for r in spark.read.parquet(f"{folder}/documents.parquet").collect()}
+    found = queries["op8_language_id"](spark, folder).collect()
+    assert len(found) == len(docs)
+    judged = [r.lang_pred == docs[r.doc_id].lang for r in found if r.held_out and docs[r.doc_id].lang and r.lang_pred != "und"]
+    assert all(r.held_out == (zlib.crc32(str(r.doc_id).encode()) % 3 == 1) for r in found)
+    assert len(judged) > 200 and sum(judged) / len(judged) > 0.97
+    toxic = {r.doc_id: r.toxic for r in spark.read.parquet(f"{folder}/labels.parquet").collect()}
+    scores = queries["op1_toxicity"](spark, folder).collect()
+    assert len(scores) == len(docs) and all(r.predicted == int(r.score >= 0.3) for r in scores)
+    held = [(r.score, toxic[r.doc_id]) for r in scores if r.held_out and toxic.get(r.doc_id) is not None]
+    ones, zeros = [s for s, t in held if t], [s for s, t in held if not t]
+    auc = sum((a > b) + 0.5 * (a == b) for a in ones for b in zeros) / (len(ones) * len(zeros))
+    assert auc > 0.93
+    pages = spark.read.parquet(f"{folder}/pages.parquet").collect()
+    tree = blocks.fitted_tree()
+    got = {(r.page_id, r.text, r.n_chars) for r in queries["op5_html_extraction"](spark, folder).collect()}
+    texts = {p.page_id: blocks.main_text(p.html, tree)[0] for p in pages}
+    assert got == {(i, t, len(t)) for i, t in texts.items()} and sum(map(bool, texts.values())) > 0.9 * len(texts)
