@@ -14,6 +14,13 @@ from functools import lru_cache
 from re import _constants as sre
 from re import _parser as sre_parser
 
+# The parser is that of the standard library of Python 3.11 to 3.14, which names its parts
+# alike; another version that does not fails here and not in a scan.
+_ = (sre.LITERAL, sre.IN, sre.BRANCH, sre.MAX_REPEAT, sre.MIN_REPEAT, sre.POSSESSIVE_REPEAT, sre.ATOMIC_GROUP,
+     sre.SUBPATTERN, sre.GROUPREF, sre.ASSERT, sre.ASSERT_NOT, sre.AT, sre.ANY, sre.FAILURE, sre.MAXREPEAT)
+if [op for op, _arg in sre_parser.parse(r"a[b](c|de)\b")] != [sre.LITERAL, sre.LITERAL, sre.SUBPATTERN, sre.AT]:
+    raise ImportError("the regular expression parser of this Python is not known")
+
 # str.isspace() as the inside of a character class
 SPACE = r"\t-\r\x1c-\x20\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 # the same characters as a plain string, for btrim

@@ -12,13 +12,14 @@ from credsieve.functions.regex import SPACE, to_java
 from credsieve.functions.text import count_of, strip
 
 # Whole values (lower-cased) that are never secrets.
-STOP_VALUES = """
-true false null none nil undefined nan todo fixme change_me changeme replace_me placeholder
-example test dummy sample your_api_key_here your-api-key-here insert_here xxx yyy zzz abc abcdef
-foobar foo bar password secret token passw0rd value val values string text var variable lambda
-function func callback handler latest stable nightly write read all root nobody required optional
-needed needed. default
-""".split() + [""]
+STOP_VALUES = [
+    "", "true", "false", "null", "none", "nil", "undefined", "nan", "todo", "fixme", "change_me", "changeme",
+    "replace_me", "placeholder", "example", "test", "dummy", "sample", "your_api_key_here", "your-api-key-here",
+    "insert_here", "xxx", "yyy", "zzz", "abc", "abcdef", "foobar", "foo", "bar", "password", "secret", "token",
+    "passw0rd", "value", "val", "values", "string", "text", "var", "variable", "lambda", "function", "func",
+    "callback", "handler", "latest", "stable", "nightly", "write", "read", "all", "root", "nobody", "required",
+    "optional", "needed", "needed.", "default",
+]
 
 # Lower-cased starts of placeholders, lookups and type names; one per line
 # because two of them end in a space.

@@ -33,11 +33,29 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     It is computed once, a lost executor does not bring the computation back, and the
     optimizer knows its size afterwards.
     """
-    path = f"{work_folder(df.sparkSession)}/{uuid.uuid4().hex}"
+    path = f"{lineage_folder(df.sparkSession)}/{uuid.uuid4().hex}"
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def lineage_folder(spark: SparkSession) -> str:
+    """Where this application cuts lineage."""
+    return f"{work_folder(spark)}/lineage-{spark.sparkContext.applicationId}"
+
+
+_databases: list[str] = []
+
+
+def clear(spark: SparkSession) -> None:
+    """Delete what ``cut_lineage`` and ``Steps`` of this application have written.
+
+    To be called when all results are read; they may hold values in clear text.
+    """
+    while _databases:
+        spark.sql(f"DROP DATABASE IF EXISTS {_databases.pop()} CASCADE")
+    delete(spark, lineage_folder(spark))
+
+
 def delete(spark: SparkSession, path: str) -> None:
     """Delete a folder, whatever file system it is on."""
     place = spark._jvm.org.apache.hadoop.fs.Path(path)
@@ -61,6 +79,7 @@ class Steps:
         self.database = f"steps_{uuid.uuid4().hex}"
         place = f"{work_folder(spark)}/{self.database}"
         spark.sql(f"CREATE DATABASE {self.database} LOCATION '{place}'")
+        _databases.append(self.database)
         self._made = 0
 
     def write(self, df: DataFrame) -> DataFrame:

@@ -25,3 +25,16 @@ def test_a_failed_step_restores_the_setting(spark):
     with pytest.raises(Exception):
         steps.write(spark.range(1).selectExpr("raise_error('no') AS x"))
     assert spark.conf.get(storage._CLEANUP, "false") == before
+
+
+def test_clear_deletes_what_was_written(spark):
+    steps = storage.Steps(spark)
+    steps.write(spark.range(3))
+    assert storage.cut_lineage(spark.range(5)).count() == 5
+    folder = storage.lineage_folder(spark).removeprefix("file:")
+    assert glob.glob(f"{folder}/*")
+    storage.clear(spark)
+    assert not glob.glob(folder) and not spark.catalog.databaseExists(steps.database)
+    # and the application goes on
+    assert storage.cut_lineage(spark.range(5)).count() == 5
+    storage.clear(spark)
