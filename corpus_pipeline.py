@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 
 from credsieve.llm import decontaminate, langid, packing, simhash, suffix
 from credsieve.llm.common import remainder, table
-from credsieve.storage import work_folder
+from credsieve.storage import delete, work_folder
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
@@ -73,10 +73,16 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over ``documents``, each written as Parquet and read again."""
-    docs = table(spark, sf_dir, "documents")
+    """All stages over ``documents``, each written as Parquet and read again.
+
+    A stage's files go when the next one is written.
+    """
+    docs, before = table(spark, sf_dir, "documents"), None
     for name, stage in STAGES:
         path = f"{work_folder(spark)}/pipeline-{uuid.uuid4().hex}/{name}"
         stage(spark, docs, sf_dir).write.parquet(path)
         docs = spark.read.parquet(path)
+        if before is not None:
+            delete(spark, before)
+        before = path
     return docs
