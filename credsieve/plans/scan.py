@@ -23,6 +23,9 @@ from credsieve.sources.files import is_text, readable_texts
 from credsieve.storage import cut_lineage
 
 Keep = Callable[[DataFrame], DataFrame] | None
+# (texts, keys, text column, options, custom rules) to hits: keys and HIT_COLUMNS
+Engine = Callable[[DataFrame, list[str], str, ScanOptions, "list[Rule] | DataFrame"], DataFrame]
+PathFilter = Callable[[Column], Column]
 
 FINDING_COLUMNS = [
     "repo", "rule_id", "rule_name", "severity", "sev_rank", "file_path", "line_number",
@@ -89,6 +92,7 @@ def first_occurrences(
     options: ScanOptions,
     where: Column | None = None,
     rows_per_task: int = ROWS_PER_TASK,
+    path_filter: PathFilter | None = None,
 ) -> DataFrame:
     """(repo, path, blob_sha) of scannable files with the earliest commit that has them.
 
@@ -96,7 +100,8 @@ def first_occurrences(
     author and date come along, so findings need no look-up of their commit later.
     Contents play no part here; the key columns are all that is shuffled.
     """
-    wanted = should_scan(F.col("path"), options) & (F.col("change_type") != "D")
+    chosen = path_filter(F.col("path")) if path_filter else should_scan(F.col("path"), options)
+    wanted = chosen & (F.col("change_type") != "D")
     if where is not None:
         wanted = wanted & where
     date = F.date_format("committed_at", "yyyy-MM-dd'T'HH:mm:ssxxx")
@@ -134,10 +139,23 @@ def findings_of_files(
 
 
 def hits_of_contents(
-    blobs: DataFrame, options: ScanOptions, custom_rules: list[Rule] | DataFrame, keep: Keep, store: HitStore | None
+    blobs: DataFrame,
+    options: ScanOptions,
+    custom_rules: list[Rule] | DataFrame,
+    keep: Keep,
+    store: HitStore | None,
+    engine: Engine | None = None,
 ) -> tuple[DataFrame, DataFrame]:
     """Hits of the contents, and which contents were readable: one pass over those that the
     store does not know."""
+    if engine is not None:
+        if store is not None:
+            raise ValueError("a store holds hits of the own engine")
+        texts = readable_texts(blobs, options)
+        hits = keep(first_per_line(engine(texts, ["blob_sha"], "text", options, custom_rules), ["blob_sha"]))
+        dirty = hits.select("blob_sha", F.lit(True).alias("is_dirty")).distinct()
+        read = texts.select("blob_sha").join(dirty, "blob_sha", "left")
+        return hits, read.select("blob_sha", F.coalesce("is_dirty", F.lit(False)).alias("is_dirty"))
     if store is None:
         every = keep(detect(readable_texts(blobs, options), ["blob_sha"], "text", options, custom_rules, seen=True))
     else:
@@ -160,6 +178,8 @@ def scan_history(
     rows_per_task: int = ROWS_PER_TASK,
     keep: Keep = cut_lineage,
     store: HitStore | None = None,
+    engine: Engine | None = None,
+    path_filter: PathFilter | None = None,
 ) -> Scan:
     """Scan the history of one or many repositories.
 
@@ -168,6 +188,8 @@ def scan_history(
     ``keep=None`` they are computed wherever they are used and nothing runs here.  With
     head_only the whole tree of the head is scanned, not what its commit changed, and the
     head stands as the commit of all findings.  Contents that ``store`` knows are not read.
+    ``engine`` finds hits in the place of the own detectors, ``path_filter`` chooses paths in
+    the place of the options' globs.
     """
     options = options or ScanOptions()
     selected = select_commits(commits, options, head)
@@ -177,11 +199,11 @@ def scan_history(
         file_versions = tree.join(selected.select("repo", "commit_sha"), "repo").withColumn(
             "change_type", F.lit("A")
         )
-    files = keep(first_occurrences(file_versions, selected, options, where, rows_per_task))
+    files = keep(first_occurrences(file_versions, selected, options, where, rows_per_task, path_filter))
     if options.head_only or options.diff_base or options.since_commit:
         # a part of the history: leave out contents it does not refer to
         blobs = blobs.join(files.select("blob_sha").distinct(), "blob_sha", "left_semi")
-    hits, read = hits_of_contents(blobs, options, custom_rules, keep, store)
+    hits, read = hits_of_contents(blobs, options, custom_rules, keep, store, engine)
     found = findings_of_files(files, hits, allowlist, rows_per_task)
     new, known = judged(found, options, baseline)
     return Scan(new, known, selected, files, read)
@@ -220,10 +242,16 @@ def scan_texts(
     allowlist: DataFrame | None = None,
     baseline: DataFrame | None = None,
     custom_rules: list[Rule] | DataFrame = (),
+    engine: Engine = raw_hits,
+    path_filter: PathFilter | None = None,
 ) -> DataFrame:
     """Findings of any table (repo, path, text), optionally with commit_seq, commit_sha,
     commit_author and commit_date; without contents shared between rows, nothing but
-    findings is shuffled."""
+    findings is shuffled.
+
+    ``engine`` finds hits in the place of the own detectors, ``path_filter`` chooses paths in
+    the place of the options' globs.
+    """
     options = options or ScanOptions()
     blank = {"commit_sha": "", "commit_author": "", "commit_date": ""}
     for name, value in blank.items():
@@ -231,10 +259,11 @@ def scan_texts(
             texts = texts.withColumn(name, F.lit(value))
     if "commit_seq" not in texts.columns:
         texts = texts.withColumn("commit_seq", F.lit(0).cast("bigint"))
-    texts = texts.where(should_scan(F.col("path"), options) & is_text(F.col("text"), options))
+    chosen = path_filter(F.col("path")) if path_filter else should_scan(F.col("path"), options)
+    texts = texts.where(chosen & is_text(F.col("text"), options))
     texts = texts.withColumnRenamed("path", "file_path")
     carried = ["repo", "file_path", "commit_seq", *blank]
-    hits = raw_hits(texts, carried, "text", options, custom_rules)
+    hits = engine(texts, carried, "text", options, custom_rules)
     found = drop_allowed(first_per_line(hits, ["repo", "file_path"], ["commit_seq"]), allowlist)
     return judged(found, options, baseline)[0]
 

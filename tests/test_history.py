@@ -26,8 +26,9 @@ from credsieve.operators.snapshots import (
     snapshot_diff,
     snapshot_diff_by_hashes,
 )
+from credsieve.operators.detect import raw_hits
 from credsieve.options import ScanOptions
-from credsieve.sources.files import read_folder
+from credsieve.sources.files import read_folder, save_blobs
 from credsieve.storage import cut_lineage
 from credsieve.plans import hits
 from credsieve.plans.hits import HitStore, rules_digest
@@ -436,3 +437,38 @@ def test_commit_index(spark, tmp_path):
     # edges whose places were never written do not count
     shutil.copytree(f"{tmp_path}/i/edges/batch=1", f"{tmp_path}/i/edges/batch=9")
     assert {tuple(r) for r in index.ranges(table).collect()} == expected
+
+
+def test_engine_and_path_filter_of_ones_own(spark):
+    key, other, commits, files, blobs = history(spark)
+
+    def engine(texts, keys, text, options, custom_rules):
+        return raw_hits(texts, keys, text, options, custom_rules).where(F.col("matched_text") == key)
+
+    done = scan_history(commits, files, blobs, ScanOptions(max_file_size=2000), engine=engine, path_filter=lambda p: ~F.endswith(p, F.lit("f.py")))
+    assert {(r.file_path, r.matched_text) for r in done.findings.where("rule_id LIKE 'aws%'").collect()} == {("src/p.py", key), ("logo.png", key)}
+    assert {(r.blob_sha, r.is_dirty) for r in done.read.collect()} == {("k", True), ("r", False), ("o", False)}
+    with pytest.raises(ValueError):
+        scan_history(commits, files, blobs, engine=engine, store=HitStore(spark, "x"))
+
+
+def test_bucketed_contents_are_not_shuffled(spark):
+    """A part of a bucketed table of contents is read without an exchange of contents."""
+    key, other, commits, files, blobs = history(spark)
+    save_blobs(blobs, "bucketed_blobs", 8)
+    try:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+        table, wanted = spark.table("bucketed_blobs"), files.select("blob_sha").distinct()
+        plan = table.join(wanted, "blob_sha", "left_semi")._jdf.queryExecution().executedPlan().toString()
+        side = plan[plan.index("FileScan parquet") - 400 : plan.index("FileScan parquet")]
+        assert "Bucketed: true" in plan and "Exchange" not in side
+        found = scan_history(commits, files, table, ScanOptions(since_commit="c2", max_file_size=2000)).findings
+        assert as_rows_of(found) == as_rows(scan_history(commits, files, blobs, ScanOptions(since_commit="c2", max_file_size=2000)))
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+        spark.sql("DROP TABLE bucketed_blobs")
+
+
+def as_rows_of(findings):
+    columns = ["repo", "file_path", "line_number", "matched_text", "rule_id", "commit_sha"]
+    return sorted(tuple(r[c] for c in columns) for r in findings.collect())

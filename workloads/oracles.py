@@ -249,6 +249,9 @@ ORACLES: dict[str, str] = {
              CASE doc_id % 7 WHEN 1 THEN 'invalid regex:' WHEN 2 THEN 'invalid severity' END AS reason
       FROM documents WHERE doc_id % 7 NOT IN (3, 5)""",
     "detect_all": f"{doc_findings()} SELECT {SHOWN} FROM findings",
+    "injected_engine": f"""WITH {DOCS}, texts AS (SELECT * FROM docs WHERE starts_with(path, 'en/')),
+      {hits_ctes("texts", "repo, path")}, {first_hits_cte("repo, path")}
+      SELECT {SHOWN} FROM findings WHERE length(matched_text) % 2 = 0""",
     "inline_ignore": f"""WITH {DOCS}, {hits_ctes("docs", "path", ignore=False)}, {first_hits_cte("path")}
       SELECT path, line_number, rule_id, matched_text FROM findings
       WHERE regexp_matches(line, '(?i)credsieve\\s*:\\s*ignore|pragma\\s*:\\s*allowlist\\s+secret')""",

@@ -278,6 +278,18 @@ def detect_all(spark, sf_dir):
     return shown(doc_findings(spark, sf_dir))
 
 
+def even_lengths(texts, keys, text, options, custom_rules):
+    """An engine of one's own: the detectors' hits of even length."""
+    return raw_hits(texts, keys, text, options, custom_rules).where(F.length("matched_text") % 2 == 0)
+
+
+@query
+def injected_engine(spark, sf_dir):
+    """A scan with an engine and a path filter handed in."""
+    english = lambda path: F.startswith(path, F.lit("en/"))
+    return shown(scan_texts(planted.documents(spark, sf_dir), engine=even_lengths, path_filter=english))
+
+
 @query
 def inline_ignore(spark, sf_dir):
     docs = planted.documents(spark, sf_dir)
