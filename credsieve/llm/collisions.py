@@ -1,7 +1,8 @@
 """Near-duplicate vectors by collision-counting projections.
 
-Vectors are projected on ``PROJECTIONS`` random lines.  Two vectors collide on a line if the
-second lies in the window of half-width ``WINDOW`` centred on the first.  At the cosine of
+Vectors are projected on ``PROJECTIONS`` random lines, and the projections are sorted.  Two
+vectors collide on a line if the second lies in the window of half-width ``WINDOW`` centred
+on the first, a range of the sorted order.  Collisions are counted per pair.  At the cosine of
 the threshold a line collides with a known probability, which gives the smallest number of
 collisions that loses at most ``MISSED`` of such pairs; only pairs with as many are verified
 by their exact cosine.
@@ -24,7 +25,8 @@ The splits are medians of a bounded sample; every vector is indexed.
 Defined results: vectors that are null, zero or hold null or non-finite components, or
 whose label is null, link with nothing.  Vectors of different lengths never link.  Equal
 vectors of a label are one class, linked with each other without being compared; rows that
-repeat a vec_id are vectors of their own.
+repeat a vec_id are vectors of their own.  An empty table gives an empty result; other columns
+are left behind, whatever their names.
 """
 
 from __future__ import annotations
@@ -210,6 +212,10 @@ def linked(a: pd.DataFrame, b: pd.DataFrame, table: int, bits: int, cosine: floa
     x, y = _stack(a["embedding"]), _stack(b["embedding"])
     half = WINDOW * radius(cosine)
     p, q = x @ lines(x.shape[1]), y @ lines(y.shape[1])
+    # every projection of the homes sorted once: a home has a rank on each line
+    ordered = np.sort(p, axis=0)
+    ranks = np.empty(p.shape, np.int32)
+    np.put_along_axis(ranks, np.argsort(p, axis=0, kind="stable"), np.arange(len(p), dtype=np.int32)[:, None], 0)
     nodes_a, nodes_b = a["node"].to_numpy(), b["node"].to_numpy()
     signs_a, signs_b = a["signs"].to_numpy(), b["signs"].to_numpy()
     far_b = b["far"].to_numpy()
@@ -222,16 +228,17 @@ def linked(a: pd.DataFrame, b: pd.DataFrame, table: int, bits: int, cosine: floa
         for t in range(table):
             mask = ((1 << bits) - 1) << (t * (PROJECTIONS // TABLES))
             open_ &= (apart & np.int64(mask)) != 0  # else they met there
-        # a few lines first: a pair that misses too many of them cannot reach the count
-        missed = np.zeros(open_.shape, np.int8)
-        for j in range(8):
-            missed += np.abs(p[:, j, None] - q[None, part, j]) > half
-        at, bt = np.nonzero(open_ & (missed <= PROJECTIONS - least))
+        # on each line a visitor's window is a range of ranks; the homes in it collide
+        collisions = np.zeros(open_.shape, np.uint8)
+        for j in range(PROJECTIONS):
+            first = np.searchsorted(ordered[:, j], q[part, j] - half, "left").astype(np.int32)
+            past = np.searchsorted(ordered[:, j], q[part, j] + half, "right").astype(np.int32)
+            # a rank before the window is a very large number without its sign
+            collisions += (ranks[:, j, None] - first[None]).view(np.uint32) < (past - first).view(np.uint32)[None]
+        at, bt = np.nonzero(open_ & (collisions >= least))
         bt = bt + low
         for cut in range(0, len(at), PAIRS):
             i, j = at[cut : cut + PAIRS], bt[cut : cut + PAIRS]
-            enough = (np.abs(p[i] - q[j]) <= half).sum(1) >= least
-            i, j = i[enough], j[enough]
             close = np.einsum("ij,ij->i", x[i], y[j]) >= cosine
             out_a.append(i[close])
             out_b.append(j[close])
