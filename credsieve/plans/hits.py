@@ -25,6 +25,7 @@ from credsieve.operators.detect import detect
 from credsieve.options import ScanOptions
 from credsieve.rules import Rule
 from credsieve.sources.files import readable_texts
+from credsieve.storage import cut_lineage
 
 # Options that change which hits a content has; all others are applied to hits later.
 DETECTION = [
@@ -75,10 +76,14 @@ class HitStore:
         """Hits of the contents, with their SEEN rows; only unknown contents are read."""
         options = options or ScanOptions()
         rules, batch = rules_digest(options, custom_rules), uuid.uuid4().hex
-        new = blobs.join(self.seen(rules).select("blob_sha"), "blob_sha", "left_anti")
+        # ids are compared first: contents move only if very many of them are new, else their
+        # ids are few enough for a broadcast
+        ids = blobs.select("blob_sha").distinct()
+        unknown = cut_lineage(ids.join(self.seen(rules).select("blob_sha"), "blob_sha", "left_anti"))
+        new = blobs.join(unknown, "blob_sha", "left_semi")
         found = detect(readable_texts(new, options), ["blob_sha"], "text", options, custom_rules, seen=True)
         found.write.parquet(f"{self.path}/hits/rules={rules}/batch={batch}")
-        new.select("blob_sha").distinct().write.parquet(f"{self.path}/seen/rules={rules}/batch={batch}")
+        unknown.write.parquet(f"{self.path}/seen/rules={rules}/batch={batch}")
         schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in found.schema)
         stored = self._batches("hits", rules, schema).join(self.seen(rules), ["blob_sha", "batch"], "left_semi")
-        return stored.drop("batch").join(blobs.select("blob_sha").distinct(), "blob_sha", "left_semi")
+        return stored.drop("batch").join(ids, "blob_sha", "left_semi")
