@@ -18,7 +18,9 @@ vector and is rejected as ``und``.
 
 Defined results: null, empty and letterless texts are ``und`` with score 0; of equal
 cosines the alphabetically first language wins; rows are independent, so repeated rows
-get equal results; with no labelled text at all everything is ``und``.
+get equal results; with no labelled text at all everything is ``und``; a very long text is
+read in slices, whole; an empty table gives an empty result.  Columns of the documents stay,
+whatever their names, but for those of the result.
 """
 
 from __future__ import annotations

@@ -10,7 +10,9 @@ Pass one is a written table, so both passes see the same order even when a lost
 makes Spark run tasks again.
 
 Defined results: a null or empty text is the end id alone; rows that repeat an id are
-documents of their own; an empty table gives no pieces.
+documents of their own, null ids stay null; a very long text is one row of ids, cut into as
+many pieces as it takes; an empty table gives no pieces.  Other columns are left behind,
+whatever their names.
 """
 
 from __future__ import annotations

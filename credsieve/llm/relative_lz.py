@@ -1,4 +1,4 @@
-"""Substring deduplication by relative Lempel-Ziv parsing.
+"""Substring deduplication by parsing against a reference index.
 
 A word goes when a window of ``WINDOW`` consecutive words covers it whose words also start
 earlier: in a document of smaller id, or earlier in the same one.
@@ -12,13 +12,17 @@ earlier: in a document of smaller id, or earlier in the same one.
    new.  Of anchor grams with several blocks the single windows are compared, again with
    the first place of each, and the windows found there lengthen the factors.
 
+This is relative Lempel-Ziv parsing with blocks in the place of greedy longest matches: a
+factor may be shorter than a greedy one, the words removed are the same.
+
 Texts travel compressed, and only twice.  Counts and first places are combined before the
 shuffle, so a passage that very many documents share is one row per task.
 
 Defined results: words are the runs without the six ASCII white space characters; a null
 text has none; texts of fewer words than a window keep all.  Null ids come first.  Rows
 that repeat (doc_id, text) are one document and share its result; texts that share an id
-are ordered by a hash of the text.
+are ordered by a hash of the text.  A very long text is hashed in slices, whole; an empty
+table gives an empty result.  Other columns are left behind, whatever their names.
 """
 
 from __future__ import annotations

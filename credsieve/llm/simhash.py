@@ -14,7 +14,9 @@ has at most 2080 others within two bits, so links stay linear in the fingerprint
 
 Defined results: texts of fewer than three words have one shingle, wordless and null texts
 fingerprint 0, linked like any other; null ids never become a component's id unless all
-are null; an empty table gives an empty result.
+are null; rows that repeat an id are rows of their own; a very long text is hashed in slices,
+whole; an empty table gives an empty result.  Other columns are left behind by
+``near_duplicates`` and kept by ``keep_one_of_each``, whatever their names.
 """
 
 from __future__ import annotations

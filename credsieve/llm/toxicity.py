@@ -13,7 +13,9 @@ Terms come from the sample by a chi-square test; at most ``TERMS`` are kept.
 Defined results: a null or empty text has no terms and gets the score of the bias; without
 labelled rows, or with one class only, every score is the share of toxic rows (0 without
 any); several labels of an id count as toxic if one is; rows are scored one by one, so
-repeated rows get equal scores.
+repeated rows get equal scores; a very long text is a set of terms like any other, whole; an
+empty table gives an empty result.  Columns of the documents stay, whatever their names,
+but for those of the result.
 """
 
 from __future__ import annotations
