@@ -228,7 +228,8 @@ def factors(
     copies = steps.write(copies)
 
     # boundaries: windows of blocks that share their anchor gram with other blocks
-    several = index.groupBy("gram").agg(F.count("*").alias("n")).where("n > 1").select("gram")
+    # written, so that the join is between two shuffles and a gram of many blocks can be split
+    several = steps.write(index.groupBy("gram").agg(F.count("*").alias("n")).where("n > 1").select("gram"))
     described = blocks.where("windows IS NOT NULL").select(*name, "windows").dropDuplicates(name)
     # the hashes run from the earliest window, which starts _high words before the anchor
     single = described.join(several, "gram").join(index, name).select(
@@ -250,7 +251,7 @@ def factors(
     )
 
     later = steps.write(later)
-    steps.drop(blocks, index, earliest)
+    steps.drop(blocks, index, earliest, several)
 
     # parts on the same stretch of the reference are one factor
     stretch = copies.unionByName(later).withColumn("shift", F.col("ref_lo") - F.col("lo"))
