@@ -273,7 +273,7 @@ def test_rolling_baseline_is_merged(spark, tmp_path, monkeypatch):
 
     def findings(batch):
         rows = [(f"r{batch % 3}", "i", "n", "p", "HIGH", "***", 2, f"{batch}-{k}") for k in range(2)]
-        return spark.createDataFrame(rows, columns)
+        return spark.createDataFrame(rows, columns).coalesce(1)
 
     def known(batch):
         return {(r.repo, r.fingerprint) for r in base.before(batch).collect()}
