@@ -130,3 +130,16 @@ def test_bytes(spark):
     assert got == [b.decode(errors="replace") for b in blobs]
     blobs = [b"a\0", b"x" * 8191 + b"\0", b"x" * 8192 + b"\0", b""]
     assert column(spark, [bytearray(b) for b in blobs], is_binary, "binary") == [True, True, False, False]
+
+
+def test_entropy_cleans_a_text_once(spark):
+    words = ["", None, "zz", "ab12!ab", "xyz+/=", "é" * 3 + "0a"]
+    df = spark.createDataFrame([(w,) for w in words], "w string")
+    df = df.select("w", hex_entropy(F.col("w")).alias("h"), base64_entropy(F.col("w")).alias("b"))
+    # once for each of the two, not once for every symbol and share
+    assert df._jdf.queryExecution().optimizedPlan().toString().count("regexp_replace") == 2
+
+    for r in df.collect():
+        for got, chars in ((r.h, model.HEX), (r.b, model.B64)):
+            kept = "".join(c for c in r.w or "" if c in chars)
+            assert got == pytest.approx(model.bits(kept) if kept else 0), r
