@@ -325,3 +325,21 @@ def test_versions_wait_for_their_contents(spark, tmp_path):
     got = sorted((r.repo, r.file_path, r.matched_text) for r in spark.table("waited").where("rule_id LIKE 'aws%'").collect())
     # z came days after its version
     assert got == sorted([("r", "a.py", key), ("r", "b.py", key), ("r", "c.py", other), ("q", "a.py", other)])
+
+
+def test_batches_of_a_stream_are_read_by_many_tasks(spark, tmp_path):
+    from workloads import streams
+
+    rows = spark.range(3000).withColumn("key", F.col("id") % 1500)
+    tasks, seen = [], []
+
+    def look(batch, _):
+        tasks.append(batch.rdd.getNumPartitions())
+        seen.extend(batch.groupBy("key").agg(F.count("*").alias("n")).collect())
+
+    stream = streams._arriving(rows, "key", f"{tmp_path}/rows")
+    options = {"checkpointLocation": f"{tmp_path}/checkpoint"}
+    stream.writeStream.foreachBatch(look).options(**options).trigger(availableNow=True).start().awaitTermination()
+    # a few batches, each dealt to the cores; the rows of a key come together
+    assert len(tasks) == streams.BATCHES and min(tasks) >= 4
+    assert sorted(r.key for r in seen) == list(range(1500)) and {r.n for r in seen} == {2}
