@@ -257,3 +257,13 @@ def test_ignored_lines_and_copies(spark):
     )
     allow = spark.createDataFrame([(key, "tests/*", False)], "pattern string, scope string, is_regex boolean")
     assert {f.file_path for f in scan_texts(texts, allowlist=allow).collect()} == {"src/p.py"}
+
+
+def test_texts_for_the_inline_marker(spark):
+    """Texts whose path has a marker, in whichever of its rows, and those without a path."""
+    from workloads.queries import with_marker
+
+    rows = [("a", "x = 1"), ("b", "x\ny # credsieve:ignore"), ("b", "z"), ("c", None), (None, "n"), ("d", "// pragma: allowlist secret")]
+    got = with_marker(spark.createDataFrame(rows, "path string, text string")).collect()
+    assert sorted(map(str, got)) == sorted(str(r) for r in spark.createDataFrame(
+        [rows[1], rows[2], rows[4], rows[5]], "path string, text string").collect())
