@@ -267,3 +267,34 @@ def test_texts_for_the_inline_marker(spark):
     got = with_marker(spark.createDataFrame(rows, "path string, text string")).collect()
     assert sorted(map(str, got)) == sorted(str(r) for r in spark.createDataFrame(
         [rows[1], rows[2], rows[4], rows[5]], "path string, text string").collect())
+
+
+def test_long_allowlist_is_spread(spark, tmp_path):
+    """Entries are parsed by all cores, and made of ids without reading the documents' texts."""
+    from workloads.queries import allow_entries
+
+    rows = [(n, f"text {n}", "en", "web", 6) for n in range(60)]
+    spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").write.parquet(
+        str(tmp_path / "documents.parquet")
+    )
+    lines = allow_entries(spark, str(tmp_path))
+    assert lines.count() == 60
+    assert "text" not in lines._jdf.queryExecution().executedPlan().toString().split("ReadSchema:")[1]
+    entries = allowlist.prepared(parse_allowlist(lines))
+    sizes = [n for n in entries.rdd.glom().map(len).collect() if n]
+    assert sum(sizes) == 40 and len(sizes) > 3
+
+
+def test_long_allowlist_with_hot_grams(spark, monkeypatch):
+    """Grams in many texts are cut into parts by the counts there are; the index is counted once."""
+    texts = [(f"{n % 3}.py", f"common-prefix-{n:04d}") for n in range(300)]
+    values = spark.createDataFrame(texts, "file_path string, matched_text string")
+    patterns = [("common-prefix", "1.py", False), ("prefix-00[0-4]", None, True), ("fix-0299", None, False), ("absent-string", None, False)]
+    entries = allowlist.prepared(spark.createDataFrame(patterns, allowlist.ENTRY))
+    counted = []
+    monkeypatch.setattr("credsieve.operators.joins.hot_keys", lambda many, *a: counted.append(many.columns) or hot_keys(many, *a))
+    got = {tuple(r) for r in allowlist.allowed_texts(values, entries, rows_per_task=20).collect()}
+    assert got == {
+        (p, t) for p, t in texts if p == "1.py" or re.search("prefix-00[0-4]", t) or "fix-0299" in t
+    }
+    assert not [c for c in counted if "matched_text" in c]
