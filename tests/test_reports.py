@@ -343,3 +343,45 @@ def test_batches_of_a_stream_are_read_by_many_tasks(spark, tmp_path):
     # a few batches, each dealt to the cores; the rows of a key come together
     assert len(tasks) == streams.BATCHES and min(tasks) >= 4
     assert sorted(r.key for r in seen) == list(range(1500)) and {r.n for r in seen} == {2}
+
+
+def test_many_documents_are_listed_by_few_tasks(spark, tmp_path):
+    """A folder per repository, but not a task per folder; the setting is given back."""
+    path, name = str(tmp_path / "d"), "spark.sql.sources.parallelPartitionDiscovery.parallelism"
+    rows = spark.range(300).selectExpr("concat('r', id) AS repo", """concat('{"n":', id, '}') AS value""")
+    reports.write_documents(rows.coalesce(2), path)
+    before, context = spark.conf.get(name), spark.sparkContext
+    context.setJobGroup("listing", "read_documents")
+    try:
+        read = reports.read_documents(spark, path)
+    finally:
+        context.setLocalProperty("spark.jobGroup.id", None)
+    tracker = context.statusTracker()
+    stages = [s for j in tracker.getJobIdsForGroup("listing") for s in tracker.getJobInfo(j).stageIds]
+    assert stages and all(tracker.getStageInfo(s).numTasks <= 4 * context.defaultParallelism for s in stages)
+    assert spark.conf.get(name) == before
+    assert {(r.repo, r.kind, json.loads(r.json)["n"]) for r in read.collect()} == {(f"r{n}", "element", n) for n in range(300)}
+
+
+def test_json_documents_count_written_findings(spark, monkeypatch):
+    """The summary of the documents reads the findings that are written, as the documents do."""
+    from dataclasses import dataclass
+
+    from workloads import queries
+
+    @dataclass(frozen=True)
+    class Result:
+        findings: object
+
+    class Stop(Exception):
+        pass
+
+    def counted(scan):
+        raise Stop(scan.findings)
+
+    first = spark.range(1)
+    monkeypatch.setattr(queries, "history", lambda *a: Result(first))
+    monkeypatch.setattr(queries, "summary", counted)
+    with pytest.raises(Stop) as seen:
+        queries.json_documents(spark, "")
+    assert "Scan parquet" in seen.value.args[0]._jdf.queryExecution().executedPlan().toString().replace("FileScan", "Scan")
